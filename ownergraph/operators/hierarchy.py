@@ -122,27 +122,47 @@ def ancestor_chain(
 # ---------------------------------------------------------------------------
 
 
+def _sort_key(name: str, lei: str):
+    """Child order of the listing: name (NULLs last), then LEI."""
+    return F.struct(
+        F.col(name).isNull().alias("k0"), F.col(name).alias("k1"), F.col(lei).alias("k2")
+    )
+
+
 def descendant_levels(
     entities: DataFrame,
     rels: DataFrame,
     roots: DataFrame | None = None,
     max_depth: int = MAX_HIERARCHY_DEPTH,
+    with_sort_path: bool = False,
 ) -> DataFrame:
     """H2 rows without names: ``(root_lei, node_lei, via_type, depth, parent_lei)``.
 
     ``roots`` is a DataFrame with ``lei`` (None = every entity is a root).
+    With ``with_sort_path`` each row also carries ``sort_path``: the
+    (name NULLs last, name, LEI) keys from the root down to the node along
+    the kept parents - ordering by it gives the pre-order listing (H7).
     """
     edges = _direct_edges(rels)
-    level = (
-        _anchors(entities, roots, "root_lei")
-        .distinct()
-        .select(
-            "root_lei",
-            F.col("root_lei").alias("node_lei"),
-            F.lit(None).cast("string").alias("via_type"),
-            F.lit(0).alias("depth"),
-            F.lit(None).cast("string").alias("parent_lei"),
+    anchors = _anchors(entities, roots, "root_lei").distinct()
+    extra_root, extra_step = [], []
+    if with_sort_path:
+        names = entities.select(F.col("lei").alias("__nl"), F.col("legal_name").alias("__nn"))
+        edges = edges.join(names, edges["__child"] == names["__nl"], "left").select(
+            "__child", "__parent", "__type", _sort_key("__nn", "__child").alias("__key")
         )
+        anchors = anchors.join(names, anchors["root_lei"] == names["__nl"], "left").select(
+            "root_lei", _sort_key("__nn", "root_lei").alias("__key")
+        )
+        extra_root = [F.array(F.col("__key")).alias("sort_path")]
+        extra_step = [F.array_append(F.col("sort_path"), F.col("__key")).alias("s")]
+    level = anchors.select(
+        "root_lei",
+        F.col("root_lei").alias("node_lei"),
+        F.lit(None).cast("string").alias("via_type"),
+        F.lit(0).alias("depth"),
+        F.lit(None).cast("string").alias("parent_lei"),
+        *extra_root,
     )
     levels = [level]
     visited = [level.select("root_lei", "node_lei")]
@@ -150,7 +170,7 @@ def descendant_levels(
         step = level.join(edges, level["node_lei"] == edges["__parent"]).select(
             "root_lei",
             F.col("__child").alias("node_lei"),
-            F.struct(F.col("node_lei").alias("p"), F.col("__type").alias("t")).alias("__via"),
+            F.struct(F.col("node_lei").alias("p"), F.col("__type").alias("t"), *extra_step).alias("__via"),
         )
         # H5: one row per node of this level, smallest parent first.
         best = step.groupBy("root_lei", "node_lei").agg(F.min("__via").alias("__via"))
@@ -163,6 +183,7 @@ def descendant_levels(
                 F.col("__via.t").alias("via_type"),
                 F.lit(depth).alias("depth"),
                 F.col("__via.p").alias("parent_lei"),
+                *([F.col("__via.s").alias("sort_path")] if with_sort_path else []),
             )
         )
         if level.isEmpty():

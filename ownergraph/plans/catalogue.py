@@ -139,4 +139,4 @@ def oracle(select: str, *ctes: str, recursive: bool = False) -> str:
 
 
 # Import the query definitions (they call ``register``).
-from ownergraph.plans import queries_core, queries_io  # noqa: E402,F401
+from ownergraph.plans import queries_core, queries_io, queries_report  # noqa: E402,F401
