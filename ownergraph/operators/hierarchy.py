@@ -21,6 +21,7 @@ splits. The per-level grouping is a map-side combined ``min``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,13 @@ def _direct_edges(rels: DataFrame) -> DataFrame:
     )
 
 
+def _partitioned(edges: DataFrame, key: str) -> DataFrame:
+    """Hash-partition the edges on the walk's join key once and keep them:
+    every level then shuffles only its (small) frontier."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _anchors(entities: DataFrame, requests: DataFrame | None, key: str) -> DataFrame:
     """Start nodes: requested LEIs that are entities (unknown LEIs give no
     rows even when edges mention them)."""
@@ -76,7 +84,7 @@ def ancestor_levels(
     Every simple upward path is kept (not de-duplicated); ``parent_lei`` is
     the previous node of the walk (the child side), as in the source.
     """
-    edges = _direct_edges(rels)
+    edges = _partitioned(_direct_edges(rels), "__child")
     level = _anchors(entities, requests, "lei").select(
         "lei",
         F.col("lei").alias("node_lei"),
@@ -103,6 +111,7 @@ def ancestor_levels(
         if level.isEmpty():
             break
         levels.append(level)
+    edges.unpersist()
     return union_all(levels).drop("path")
 
 
@@ -156,6 +165,7 @@ def descendant_levels(
         )
         extra_root = [F.array(F.col("__key")).alias("sort_path")]
         extra_step = [F.array_append(F.col("sort_path"), F.col("__key")).alias("s")]
+    edges = _partitioned(edges, "__parent")
     level = anchors.select(
         "root_lei",
         F.col("root_lei").alias("node_lei"),
@@ -190,6 +200,7 @@ def descendant_levels(
             break
         levels.append(level)
         visited.append(level.select("root_lei", "node_lei"))
+    edges.unpersist()
     return union_all(levels)
 
 
