@@ -78,3 +78,25 @@ def test_attach_isins(spark):
     df = spark.createDataFrame([("LEI_B",), ("LEI_C",)], "lei string")
     out = rows(isin.attach_isins(df, isin.isin_map(p)), "lei", "isins")
     assert out == [("LEI_B", "DE1, DE2"), ("LEI_C", "")]
+
+
+def _like(name: str, text: str) -> bool:
+    import re
+
+    rx = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in text)
+    return re.fullmatch(".*" + rx + ".*", name.lower(), flags=re.S) is not None
+
+
+def test_batch_search_matches_brute_force(spark):
+    from ownergraph.operators.search import search_by_name_batch
+
+    names = ["Alpha Holdings", "alphabet inc", "Beta_Corp", "Gamma 100% Ltd", "Back\\slash", "ab", "A", "Delta ab Co"]
+    e = make_entities(spark, [entity(f"L{i:019d}", n, "x", "US") for i, n in enumerate(names)] + [entity("N" * 20, None, "x", "US")])
+    texts = ["alpha", "ALPHA", "a_c", "%", "", "__", "ab", "k\\s", "0%", "zzz", "a", "ta a"]
+    got = search_by_name_batch(e, spark.createDataFrame([(t,) for t in texts], "query string"), limit=3)
+    got_rows = sorted((r["query"], r["rank"], r["lei"]) for r in got.collect())
+    want = []
+    for t in texts:
+        hits = sorted((n, f"L{i:019d}") for i, n in enumerate(names) if _like(n, t.lower()))
+        want += [(t, k + 1, lei) for k, (_, lei) in enumerate(hits[:3])]
+    assert got_rows == sorted(want)
