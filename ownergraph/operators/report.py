@@ -199,3 +199,68 @@ def parent_lines(
 
 
 _ = restrict
+
+
+# Sections the source always prints, with "None" when empty.
+ALWAYS_SHOWN = ("direct_parent", "ultimate_parent", "children", "siblings")
+
+
+def report_display(report_long: DataFrame) -> DataFrame:
+    """One display line per report entry ``(lei, section_no, section, pos, text)``.
+
+    Parents as 'lei | name | status | jurisdiction-or-N/A'; related entities
+    as 'lei | name-or-N/A | type'; exceptions as 'category | reason | reference'
+    ('' for missing parts); the entity itself as its name. Parent, children
+    and sibling sections that are empty get one 'None' line (pos 0), like the
+    source; other relationships and exceptions are then simply absent.
+    """
+    from ownergraph.operators.ranking import ordinal_within_group
+
+    sec = F.col("section")
+    related = F.concat_ws(
+        " | ", F.col("related_lei"), F.coalesce(F.col("legal_name"), F.lit("N/A")), F.col("relationship_type")
+    )
+    exc = F.concat_ws(
+        " | ",
+        F.col("exception_category"),
+        F.coalesce(F.col("exception_reason"), F.lit("")),
+        F.coalesce(F.col("exception_reference"), F.lit("")),
+    )
+    parent = parent_line("related_lei", "legal_name", "entity_status", "legal_jurisdiction")
+    text = (
+        F.when(sec == "entity", F.coalesce(F.col("legal_name"), F.lit("")))
+        .when(sec.isin("direct_parent", "ultimate_parent"), parent)
+        .when(sec == "exceptions", exc)
+        .otherwise(related)
+    )
+    lines = report_long.select("lei", "section_no", "section", text.alias("text"),
+                               "legal_name", "related_lei", "relationship_type", "exception_category")
+    numbered = ordinal_within_group(
+        lines,
+        ["lei", "section"],
+        [F.col("legal_name").isNull(), F.col("legal_name"), F.col("related_lei"),
+         F.col("relationship_type"), F.col("exception_category"), F.col("text")],
+        "pos",
+    ).select("lei", "section_no", "section", "pos", "text")
+    subjects = report_long.where(sec == "entity").select("lei")
+    wanted = subjects.select(
+        "lei", F.explode(F.array(*[F.lit(s) for s in ALWAYS_SHOWN])).alias("section")
+    )
+    present = report_long.select("lei", "section").distinct()
+    empty = wanted.join(present, ["lei", "section"], "left_anti")
+    section_no = F.create_map(*[x for s in ALWAYS_SHOWN for x in (F.lit(s), F.lit(SECTIONS[s]))])
+    none_rows = empty.select(
+        "lei", section_no[F.col("section")].alias("section_no"), "section",
+        F.lit(0).cast("long").alias("pos"), F.lit("None").alias("text"),
+    )
+    return numbered.unionByName(none_rows)
+
+
+def order_report(df: DataFrame) -> DataFrame:
+    """O1-O3 display order of report lines."""
+    return df.orderBy("lei", "section_no", "pos")
+
+
+def order_tree(df: DataFrame, key: str = "root_lei") -> DataFrame:
+    """O2: tree rows by (depth, name NULLs last, LEI); chains by depth."""
+    return df.orderBy(F.col(key), "depth", F.col("legal_name").asc_nulls_last(), "node_lei")

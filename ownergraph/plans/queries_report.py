@@ -194,9 +194,7 @@ def q_full_report_counts(spark, sf_dir):
     return report.full_report_counts(t["lei_records"], t["relationships"], t["reporting_exceptions"])
 
 
-@register(
-    "full_report_long",
-    oracle(
+FULL_REPORT_SELECT = (
         "SELECT lei, section, CAST(section_no AS INTEGER) AS section_no, related_lei, legal_name, entity_status, "
         "legal_jurisdiction, relationship_type, relationship_status, exception_category, exception_reason, "
         "exception_reference FROM ("
@@ -226,10 +224,13 @@ def q_full_report_counts(spark, sf_dir):
         f"WHERE r.relationship_type NOT IN ({D}, {U}) AND r.{ACTIVE_SQL} "
         "UNION ALL SELECT x.lei, 'exceptions', 7, NULL, NULL, NULL, NULL, NULL, NULL, x.exception_category, "
         "nullif(x.exception_reason_1, ''), nullif(x.exception_reference_1, '') FROM reporting_exceptions x "
-        "WHERE x.lei IN (SELECT lei FROM lei_records)) u",
-        _chosen_parent_sql("cd", D),
-        _chosen_parent_sql("cu", U),
-    ),
+        "WHERE x.lei IN (SELECT lei FROM lei_records)) u"
+)
+
+
+@register(
+    "full_report_long",
+    oracle(FULL_REPORT_SELECT, _chosen_parent_sql("cd", D), _chosen_parent_sql("cu", U)),
 )
 def q_full_report_long(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -287,3 +288,33 @@ def q_children_map(spark, sf_dir):
     t = tables(spark, sf_dir)
     _, members, _ = hierarchy.corporate_groups(t["lei_records"], t["relationships"])
     return listing.children_map(members)
+
+
+@register(
+    "report_display",
+    oracle(
+        "SELECT lei, section_no, section, row_number() OVER (PARTITION BY lei, section ORDER BY "
+        "legal_name IS NULL, legal_name, related_lei, relationship_type, exception_category, text) AS pos, text "
+        "FROM lines UNION ALL "
+        "SELECT e.lei, CAST(s.no AS INTEGER), s.section, CAST(0 AS BIGINT), 'None' FROM lei_records e "
+        "CROSS JOIN (VALUES ('direct_parent', 2), ('ultimate_parent', 3), ('children', 4), ('siblings', 5)) "
+        "s(section, no) WHERE NOT EXISTS (SELECT 1 FROM long l WHERE l.lei = e.lei AND l.section = s.section)",
+        _chosen_parent_sql("cd", D),
+        _chosen_parent_sql("cu", U),
+        "long AS (" + FULL_REPORT_SELECT + ")",
+        "lines AS (SELECT lei, section_no, section, CASE "
+        "WHEN section = 'entity' THEN coalesce(legal_name, '') "
+        "WHEN section IN ('direct_parent', 'ultimate_parent') THEN concat_ws(' | ', related_lei, "
+        "coalesce(legal_name, ''), coalesce(entity_status, ''), coalesce(nullif(legal_jurisdiction, ''), 'N/A')) "
+        "WHEN section = 'exceptions' THEN concat_ws(' | ', exception_category, coalesce(exception_reason, ''), "
+        "coalesce(exception_reference, '')) "
+        "ELSE concat_ws(' | ', related_lei, coalesce(legal_name, 'N/A'), relationship_type) END AS text, "
+        "legal_name, related_lei, relationship_type, exception_category FROM long)",
+    ),
+)
+def q_report_display(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    long = report.full_report_long(
+        t["lei_records"], t["relationships"], t["reporting_exceptions"], expand_siblings=False
+    )
+    return report.report_display(long)

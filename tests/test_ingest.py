@@ -128,3 +128,18 @@ def test_layout_relationships(spark, base, capsys):
     assert back.count() == r.count()
     back.where(F.col("start_node_id") == "X").explain()
     assert "PushedFilters: [IsNotNull(start_node_id), EqualTo(start_node_id,X)]" in capsys.readouterr().out
+
+
+def test_load_all_counts_and_metadata(spark):
+    from ownergraph.sources.loader import MissingDatasetError, load_all
+
+    rr_header = ",".join(__import__("ownergraph.schema", fromlist=["x"]).RELATIONSHIP_COLUMNS)
+    rr = _write(rr_header + "\n" + ",".join(["A" * 20, "LEI", "B" * 20, "LEI", "IS_DIRECTLY_CONSOLIDATED_BY", "ACTIVE"] + [""] * 16) + "\n")
+    repex = _write(HEADER + "\nA0000000000000000001,CAT,r,x\nA0000000000000000002,CAT,r,y\n")
+    out = tempfile.mkdtemp(prefix="ownergraph-loadall-")
+    counts = load_all(spark, {"rr": rr, "repex": repex}, out + "/tables", {"rr": "2026-04-25"}, out + "/meta")
+    assert counts == {"rr": 1, "repex": 2}
+    meta = rows(metadata.read_metadata(spark, out + "/meta"), "dataset_type", "publish_date", "record_count")
+    assert meta == [("repex", "unknown", 2), ("rr", "2026-04-25", 1)]
+    with pytest.raises(MissingDatasetError):
+        load_all(spark, {"lei2": None}, out + "/tables")

@@ -104,3 +104,16 @@ def test_every_query_matches_its_oracle(spark):
         if _sorted_rows(spark_pdf) != _sorted_rows(duck_pdf):
             bad.append(name)
     assert bad == []
+
+
+def test_report_display_lines(spark, base):
+    e, r, x = base
+    long = report.full_report_long(e, r, x, requests_of(spark, ULTIMATE, CHILD_A))
+    lines = {(row["lei"], row["section"], row["pos"]): row["text"] for row in report.report_display(long).collect()}
+    assert lines[(ULTIMATE, "direct_parent", 0)] == "None"
+    assert lines[(ULTIMATE, "siblings", 0)] == "None"
+    assert lines[(ULTIMATE, "children", 1)] == f"{CHILD_A} | Child A Inc. | IS_ULTIMATELY_CONSOLIDATED_BY"
+    assert lines[(ULTIMATE, "exceptions", 1)] == "ULTIMATE_ACCOUNTING_CONSOLIDATION_PARENT | NO_KNOWN_PERSON | "
+    assert lines[(CHILD_A, "direct_parent", 1)] == f"{PARENT} | Parent Corp | ACTIVE | US"
+    assert lines[(CHILD_A, "children", 0)] == "None"
+    assert (CHILD_A, "other", 0) not in lines
