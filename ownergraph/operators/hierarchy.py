@@ -41,10 +41,23 @@ def _direct_edges(rels: DataFrame) -> DataFrame:
     )
 
 
-def _partitioned(edges: DataFrame, key: str) -> DataFrame:
-    """Hash-partition the edges on the walk's join key once and keep them:
-    every level then shuffles only its (small) frontier."""
+def _partitioned(edges: DataFrame, key: str, hot_factor: float = 2.0) -> DataFrame:
+    """Hash-partition the edges on the walk's join key once and keep them, so
+    every level shuffles only its frontier - but only when no key is hot.
+
+    A pre-partitioned side has no shuffle stage, so AQE could not split a
+    skewed partition of it. One aggregate job measures the largest key; if it
+    alone exceeds ``hot_factor`` x the average partition, the edges are left
+    as they are and every level's join is re-planned by AQE, which splits the
+    hot key's partition across tasks.
+    """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stats = edges.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(
+        F.max("c").alias("largest"), F.sum("c").alias("total")
+    ).first()
+    largest, total = (stats["largest"] or 0), (stats["total"] or 0)
+    if total == 0 or largest > hot_factor * total / n:
+        return edges
     return edges.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -84,7 +97,9 @@ def ancestor_levels(
     Every simple upward path is kept (not de-duplicated); ``parent_lei`` is
     the previous node of the walk (the child side), as in the source.
     """
-    edges = _partitioned(_direct_edges(rels), "__child")
+    # The hot side of this join is the frontier (many starts below one
+    # ancestor), which only a per-level shuffle lets AQE split.
+    edges = _direct_edges(rels)
     level = _anchors(entities, requests, "lei").select(
         "lei",
         F.col("lei").alias("node_lei"),
@@ -111,7 +126,6 @@ def ancestor_levels(
         if level.isEmpty():
             break
         levels.append(level)
-    edges.unpersist()
     return union_all(levels).drop("path")
 
 

@@ -200,3 +200,18 @@ def test_walks_match_brute_force_on_random_graphs(spark):
         got_tree = rows(hierarchy.descendant_tree(e, r, max_depth=4), "root_lei", "node_lei", "depth", "parent_lei")
         assert got_chain == want_chain
         assert got_tree == want_tree
+
+
+def test_hot_parent_star_is_walked_without_prepartitioning(spark):
+    # one parent owns most entities: the skew check must leave the edges to
+    # AQE, and the answer must not change
+    hub = "HUB0000000000000000"
+    kids = [f"K{i:019d}" for i in range(300)]
+    e = make_entities(spark, [entity(hub, "Hub", "x", "US")] + [entity(k, k, "x", "US") for k in kids])
+    r = make_rels(spark, [(k, hub, DIRECT_PARENT, "ACTIVE") for k in kids] + [("X" * 20, kids[0], DIRECT_PARENT, "ACTIVE")])
+    edges = hierarchy._direct_edges(r)
+    assert hierarchy._partitioned(edges, "__parent") is edges
+    tree = hierarchy.descendant_tree(e, r, requests_of(spark, hub))
+    assert tree.count() == 302
+    roots = rows(hierarchy.group_roots(e, r).where("root_lei <> 'HUB0000000000000000'"))
+    assert roots == []
