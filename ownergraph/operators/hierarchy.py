@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ownergraph.functions.normalize import empty_to_null
 from ownergraph.operators.edges import active_edges, restrict, union_all
 from ownergraph.schema import DIRECT_PARENT, MAX_HIERARCHY_DEPTH
-from ownergraph.session import materialize
+from ownergraph.session import materialize, materialize_counted
 
 NODE_COLUMNS = ["legal_name", "entity_status", "entity_category", "legal_jurisdiction"]
 
@@ -113,7 +113,7 @@ def ancestor_levels(
         step = level.join(edges, level["node_lei"] == edges["__child"]).where(
             ~F.array_contains(F.col("path"), F.col("__parent"))
         )
-        level = materialize(
+        level, rows = materialize_counted(
             step.select(
                 "lei",
                 F.col("__parent").alias("node_lei"),
@@ -123,7 +123,7 @@ def ancestor_levels(
                 F.array_append(F.col("path"), F.col("__parent")).alias("path"),
             )
         )
-        if level.isEmpty():
+        if rows == 0:
             break
         levels.append(level)
     return union_all(levels).drop("path")
@@ -200,7 +200,7 @@ def descendant_levels(
         best = step.groupBy("root_lei", "node_lei").agg(F.min("__via").alias("__via"))
         seen = union_all(visited)
         fresh = best.join(seen, ["root_lei", "node_lei"], "left_anti")
-        level = materialize(
+        level, rows = materialize_counted(
             fresh.select(
                 "root_lei",
                 "node_lei",
@@ -210,7 +210,7 @@ def descendant_levels(
                 *([F.col("__via.s").alias("sort_path")] if with_sort_path else []),
             )
         )
-        if level.isEmpty():
+        if rows == 0:
             break
         levels.append(level)
         visited.append(level.select("root_lei", "node_lei"))
