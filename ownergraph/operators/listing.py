@@ -19,9 +19,13 @@ def hierarchy_listing(
     roots: DataFrame,
     max_depth: int = MAX_HIERARCHY_DEPTH,
     isins: DataFrame | None = None,
+    with_header: bool = True,
 ) -> DataFrame:
     """H7: ``(root_lei, line_no, depth, node_lei, label)`` per tree node.
 
+    With ``with_header`` each root also gets line 0 (depth -1), 'Corporate Group (N
+    entities)', N counted by a map-side combined aggregate.
+
     Pre-order from the root, children ordered by (name NULLs last, LEI). The
     order key is the sort path carried down the breadth-first walk along the
     kept parents, so no second recursion is needed; line numbers come from a
@@ -43,7 +47,18 @@ def hierarchy_listing(
         node_label("node_lei", "legal_name", "legal_jurisdiction", "entity_status", isin_col).alias("label"),
     )
     numbered = ordinal_within_group(labelled, ["root_lei"], [F.col("sort_path")], "line_no")
-    return numbered.select("root_lei", "line_no", "depth", "node_lei", "label")
+    out = numbered.select("root_lei", "line_no", "depth", "node_lei", "label")
+    if with_header:
+        sizes = levels.groupBy("root_lei").agg(F.count(F.lit(1)).alias("__n"))
+        header = sizes.select(
+            "root_lei",
+            F.lit(0).cast("long").alias("line_no"),
+            F.lit(-1).cast("int").alias("depth"),
+            F.col("root_lei").alias("node_lei"),
+            F.concat(F.lit("Corporate Group ("), F.col("__n").cast("string"), F.lit(" entities)")).alias("label"),
+        )
+        out = out.unionByName(header)
+    return out
 
 
 def children_map(tree: DataFrame) -> DataFrame:

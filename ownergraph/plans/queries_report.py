@@ -255,7 +255,9 @@ _GROUP_TREE_CTES = (
     oracle(
         "SELECT w.root_lei, row_number() OVER (PARTITION BY w.root_lei ORDER BY w.sp) AS line_no, "
         "k.depth, w.node_lei, k.label FROM walk w JOIN des_k k ON k.root_lei = w.root_lei "
-        "AND k.node_lei = w.node_lei",
+        "AND k.node_lei = w.node_lei UNION ALL "
+        "SELECT root_lei, CAST(0 AS BIGINT), CAST(-1 AS INTEGER), root_lei, "
+        "'Corporate Group (' || CAST(count(*) AS VARCHAR) || ' entities)' FROM des1 GROUP BY root_lei",
         *_GROUP_TREE_CTES,
         "des_k AS (SELECT d.root_lei, d.node_lei, d.parent_lei, CAST(d.depth AS INTEGER) AS depth, "
         "{'k0': l.legal_name IS NULL, 'k1': l.legal_name, 'k2': d.node_lei} AS k, "
