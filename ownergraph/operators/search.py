@@ -18,8 +18,9 @@ nested-loop join would pair every text with every name. Instead:
 
 Texts without any literal character (e.g. ``''``, ``'__'``) match every name
 of at least as many characters as they have ``_``; they are answered from
-the ``limit`` first names of each name length - a table of at most
-``limit x distinct name lengths`` rows, broadcast because of that bound.
+the ``limit`` first names of each name length: each text is paired with the
+name lengths it accepts (the distinct lengths, bounded by the longest name,
+are the broadcast side) and equi-joined on the length.
 """
 
 from __future__ import annotations
@@ -99,9 +100,10 @@ def search_by_name_batch(
         .where(F.col("__r") <= limit)
         .drop("__r")
     )
-    wild_hits = wild.join(F.broadcast(per_len), F.col("len") >= F.col("n_underscore")).select(
-        "query", "lei", "legal_name"
-    )
+    # texts x name lengths is small: lengths are bounded by the longest name
+    lengths = per_len.select("len").distinct()
+    wild_lens = wild.join(F.broadcast(lengths), F.col("len") >= F.col("n_underscore"))
+    wild_hits = wild_lens.join(per_len, "len").select("query", "lei", "legal_name")
     ranked_parts.append(wild_hits)
 
     hits = ranked_parts[0]
