@@ -272,8 +272,10 @@ def corporate_groups(
     """
     roots = materialize(group_roots(entities, rels, requests, max_depth))
     distinct_roots = roots.select(F.col("root_lei").alias("lei")).distinct()
-    members = descendant_tree(entities, rels, distinct_roots, max_depth)
-    counts = members.groupBy("root_lei").agg(F.count("*").cast("long").alias("total_entities"))
+    levels = descendant_levels(entities, rels, distinct_roots, max_depth)
+    members = with_node_info(levels, entities, ["root_lei"])
+    # sizes from the bare levels: no name join needed to count
+    counts = levels.groupBy("root_lei").agg(F.count(F.lit(1)).cast("long").alias("total_entities"))
     sizes = roots.join(counts, "root_lei", "left").select(
         "lei", "root_lei", F.coalesce("total_entities", F.lit(0)).cast("long").alias("total_entities")
     )
