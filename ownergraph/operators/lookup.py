@@ -60,3 +60,17 @@ def search_rank_window() -> Window:
     return Window.partitionBy("query").orderBy(
         F.col("legal_name").asc_nulls_last(), F.col("lei").asc()
     )
+
+
+def search_title(hits: DataFrame, text: str) -> DataFrame:
+    """A3: one row ``title`` - "Name Search: 'text' (N results)" ('result'
+    when N is 1), or "No entities found matching 'text'." when empty."""
+    n = F.count(F.lit(1))
+    title = F.when(n == 0, F.lit(f"No entities found matching '{text}'.")).otherwise(
+        F.concat(
+            F.lit(f"Name Search: '{text}' ("),
+            n.cast("string"),
+            F.when(n == 1, F.lit(" result)")).otherwise(F.lit(" results)")),
+        )
+    )
+    return hits.agg(title.alias("title"), n.cast("long").alias("result_count"))

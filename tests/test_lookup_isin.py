@@ -100,3 +100,13 @@ def test_batch_search_matches_brute_force(spark):
         hits = sorted((n, f"L{i:019d}") for i, n in enumerate(names) if _like(n, t.lower()))
         want += [(t, k + 1, lei) for k, (_, lei) in enumerate(hits[:3])]
     assert got_rows == sorted(want)
+
+
+def test_search_title(spark, base):
+    e, _, _ = base
+    one = lookup.search_title(lookup.search_by_name(e, "parent"), "parent").collect()[0]
+    assert one["title"] == "Name Search: 'parent' (1 result)"
+    two = lookup.search_title(lookup.search_by_name(e, "child"), "child").collect()[0]
+    assert two["title"] == "Name Search: 'child' (2 results)"
+    none = lookup.search_title(lookup.search_by_name(e, "zzz"), "zzz").collect()[0]
+    assert none["title"] == "No entities found matching 'zzz'." and none["result_count"] == 0
