@@ -21,6 +21,8 @@ splits. The per-level grouping is a map-side combined ``min``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +83,58 @@ def with_node_info(levels: DataFrame, entities: DataFrame, key_cols: list[str])
     )
 
 
+# ---------------------------------------------------------------------------
+# Level-synchronous walk
+# ---------------------------------------------------------------------------
+
+# Levels planned into one job before a checkpoint. Planning two levels into
+# one job (the second on top of the first) measured slower at sf0.1 (5.7 s
+# vs 8.4 s for all descendant trees): the first level's post-shuffle work is
+# recomputed for each of its uses. One level per job is the default.
+LEVELS_PER_JOB = 1
+
+
+def _walk(
+    start: DataFrame,
+    step: Callable[[DataFrame, DataFrame | None, int], DataFrame],
+    max_depth: int,
+    visited_keys: list[str] | None = None,
+    levels_per_job: int | None = None,
+) -> DataFrame:
+    """Run ``step(frontier, seen, depth)`` level by level from ``start``
+    (depth 0) until a level is empty or ``max_depth`` is reached.
+
+    ``seen`` is the union of ``visited_keys`` of all earlier levels (None when
+    no visited set is kept). Each block of levels is one reliable checkpoint;
+    the rows per depth are observed while it runs, so the driver learns that
+    the walk is over without another job.
+    """
+    levels_per_job = levels_per_job or LEVELS_PER_JOB
+    blocks = [start]
+    visited = [start.select(*visited_keys)] if visited_keys else None
+    frontier, depth = start, 1
+    while depth <= max_depth:
+        k = min(levels_per_job, max_depth - depth + 1)
+        seen = union_all(visited) if visited_keys else None
+        planned, cur = [], frontier
+        for i in range(k):
+            nxt = step(cur, seen, depth + i)
+            planned.append(nxt)
+            if visited_keys:
+                seen = seen.unionByName(nxt.select(*visited_keys))
+            cur = nxt
+        depths = [depth + i for i in range(k)]
+        block, counts = materialize_counted(union_all(planned), by=("depth", depths))
+        blocks.append(block)
+        if visited_keys:
+            visited.append(block.select(*visited_keys))
+        if counts[-1] == 0:
+            break
+        frontier = block.where(F.col("depth") == depths[-1])
+        depth += k
+    return union_all(blocks)
+
+
 # ---------------------------------------------------------------------------
 # H1 ancestor chain
 # ---------------------------------------------------------------------------
@@ -108,25 +162,21 @@ def ancestor_levels(
         F.lit(None).cast("string").alias("parent_lei"),
         F.array(F.col("lei")).alias("path"),
     )
-    levels = [level]
-    for depth in range(1, max_depth + 1):
-        step = level.join(edges, level["node_lei"] == edges["__child"]).where(
+    def step(cur: DataFrame, _seen, depth: int) -> DataFrame:
+        nxt = cur.join(edges, cur["node_lei"] == edges["__child"]).where(
             ~F.array_contains(F.col("path"), F.col("__parent"))
         )
-        level, rows = materialize_counted(
-            step.select(
-                "lei",
-                F.col("__parent").alias("node_lei"),
-                F.col("__type").alias("via_type"),
-                F.lit(depth).alias("depth"),
-                F.col("node_lei").alias("parent_lei"),
-                F.array_append(F.col("path"), F.col("__parent")).alias("path"),
-            )
+        return nxt.select(
+            "lei",
+            F.col("__parent").alias("node_lei"),
+            F.col("__type").alias("via_type"),
+            F.lit(depth).alias("depth"),
+            F.col("node_lei").alias("parent_lei"),
+            F.array_append(F.col("path"), F.col("__parent")).alias("path"),
         )
-        if rows == 0:
-            break
-        levels.append(level)
-    return union_all(levels).drop("path")
+
+    levels = _walk(level, step, max_depth)
+    return levels.drop("path")
 
 
 def ancestor_chain(
@@ -188,34 +238,27 @@ def descendant_levels(
         F.lit(None).cast("string").alias("parent_lei"),
         *extra_root,
     )
-    levels = [level]
-    visited = [level.select("root_lei", "node_lei")]
-    for depth in range(1, max_depth + 1):
-        step = level.join(edges, level["node_lei"] == edges["__parent"]).select(
+    def step(cur: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
+        nxt = cur.join(edges, cur["node_lei"] == edges["__parent"]).select(
             "root_lei",
             F.col("__child").alias("node_lei"),
             F.struct(F.col("node_lei").alias("p"), F.col("__type").alias("t"), *extra_step).alias("__via"),
         )
         # H5: one row per node of this level, smallest parent first.
-        best = step.groupBy("root_lei", "node_lei").agg(F.min("__via").alias("__via"))
-        seen = union_all(visited)
+        best = nxt.groupBy("root_lei", "node_lei").agg(F.min("__via").alias("__via"))
         fresh = best.join(seen, ["root_lei", "node_lei"], "left_anti")
-        level, rows = materialize_counted(
-            fresh.select(
-                "root_lei",
-                "node_lei",
-                F.col("__via.t").alias("via_type"),
-                F.lit(depth).alias("depth"),
-                F.col("__via.p").alias("parent_lei"),
-                *([F.col("__via.s").alias("sort_path")] if with_sort_path else []),
-            )
+        return fresh.select(
+            "root_lei",
+            "node_lei",
+            F.col("__via.t").alias("via_type"),
+            F.lit(depth).alias("depth"),
+            F.col("__via.p").alias("parent_lei"),
+            *([F.col("__via.s").alias("sort_path")] if with_sort_path else []),
         )
-        if rows == 0:
-            break
-        levels.append(level)
-        visited.append(level.select("root_lei", "node_lei"))
+
+    levels = _walk(level, step, max_depth, visited_keys=["root_lei", "node_lei"])
     edges.unpersist()
-    return union_all(levels)
+    return levels
 
 
 def descendant_tree(

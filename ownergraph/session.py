@@ -88,13 +88,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Reliable checkpoint plus the row count, observed while the checkpoint
-    job runs (no extra job to ask whether the result is empty)."""
+def materialize_counted(
+    df: DataFrame, by: tuple[str, list] | None = None
+) -> tuple[DataFrame, int | list[int]]:
+    """Reliable checkpoint plus row counts, observed while the checkpoint job
+    runs (no extra job to ask whether the result is empty).
+
+    With ``by=(column, values)`` the counts per value are returned as a list.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     obs = Observation(f"rows_{uuid.uuid4().hex}")
-    out = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    return out, int(obs.get["n"])
+    if by is None:
+        metrics = [F.count(F.lit(1)).alias("n0")]
+    else:
+        column, values = by
+        metrics = [
+            F.sum(F.when(F.col(column) == v, 1).otherwise(0)).alias(f"n{i}") for i, v in enumerate(values)
+        ]
+    out = df.observe(obs, *metrics).checkpoint(eager=True)
+    got = obs.get
+    counts = [int(got[f"n{i}"] or 0) for i in range(len(metrics))]
+    return out, (counts[0] if by is None else counts)
 
 
 def local_path(path: str) -> str:
