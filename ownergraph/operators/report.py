@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ownergraph.functions.display import address, or_na, parent_line
 from ownergraph.functions.normalize import null_to_empty
 from ownergraph.operators import relations
-from ownergraph.operators.edges import chosen_parent, restrict, union_all
+from ownergraph.operators.edges import chosen_parent, union_all
 from ownergraph.operators.lookup import get_entities
 from ownergraph.schema import DIRECT_PARENT
 
@@ -198,8 +198,6 @@ def parent_lines(
     )
 
 
-_ = restrict
-
 
 # Sections the source always prints, with "None" when empty.
 ALWAYS_SHOWN = ("direct_parent", "ultimate_parent", "children", "siblings")

@@ -10,7 +10,6 @@ usage: python scripts/explain_plans.py [sf_dir] [operator ...]
 from __future__ import annotations
 
 import sys
-import tempfile
 
 sys.path.insert(0, ".")
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ownergraph.operators import hierarchy, lookup, ranking, relations, search  # noqa: E402
 from ownergraph.plans.adapter import adapter_tables  # noqa: E402
-from ownergraph.session import build_session  # noqa: E402
+from ownergraph.session import build_session, scratch_path  # noqa: E402
 
 
 def main() -> None:
@@ -26,7 +25,7 @@ def main() -> None:
     only = sys.argv[2:]
     spark = build_session("local[4]", shuffle_partitions=8)
     t = adapter_tables(spark, sf_dir, cache=False)
-    folder = tempfile.mkdtemp(prefix="ownergraph-plans-")
+    folder = scratch_path(spark, "plans")
     for k in ("lei_records", "relationships", "reporting_exceptions"):
         t[k].write.parquet(f"{folder}/{k}")
     e, r, x = (spark.read.parquet(f"{folder}/{k}") for k in ("lei_records", "relationships", "reporting_exceptions"))
