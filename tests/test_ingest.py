@@ -143,3 +143,17 @@ def test_load_all_counts_and_metadata(spark):
     assert meta == [("repex", "unknown", 2), ("rr", "2026-04-25", 1)]
     with pytest.raises(MissingDatasetError):
         load_all(spark, {"lei2": None}, out + "/tables")
+
+
+def test_malformed_rows_dropped_even_when_only_unselected_columns_differ(spark):
+    header = ",".join(list(EXCEPTION_COLUMNS) + ["Extra.A", "Extra.B"])
+    body = "\n".join(
+        [
+            header,
+            "A0000000000000000001,CAT,r,ref,a,b",
+            "A0000000000000000002,CAT,r,ref,a",
+            "A0000000000000000003,CAT,r,ref,a,b,c",
+        ]
+    )
+    df = csv_ingest.read_dataset_csv(spark, _write(body), "repex")
+    assert rows(df, "lei") == [("A0000000000000000001",)]

@@ -110,3 +110,9 @@ def test_search_title(spark, base):
     assert two["title"] == "Name Search: 'child' (2 results)"
     none = lookup.search_title(lookup.search_by_name(e, "zzz"), "zzz").collect()[0]
     assert none["title"] == "No entities found matching 'zzz'." and none["result_count"] == 0
+
+
+def test_normalize_strips_unicode_whitespace(spark):
+    raw = spark.createDataFrame([(" child000000000000001 ",), ("\tparent00000000000001\n",)], "lei_input string")
+    out = rows(lookup.normalize_requests(raw), "lei", "is_valid")
+    assert out == [("CHILD000000000000001", True), ("PARENT00000000000001", True)]
