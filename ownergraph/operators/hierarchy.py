@@ -140,28 +140,26 @@ def _walk(
 # ---------------------------------------------------------------------------
 
 
-def ancestor_levels(
-    entities: DataFrame,
-    rels: DataFrame,
-    requests: DataFrame | None = None,
-    max_depth: int = MAX_HIERARCHY_DEPTH,
-) -> DataFrame:
-    """H1 rows without names: ``(lei, node_lei, via_type, depth, parent_lei)``.
+def _upward_walk(starts: DataFrame, rels: DataFrame, max_depth: int) -> DataFrame:
+    """Every simple upward path from each start (column ``lei``):
+    ``(lei, node_lei, via_type, depth, parent_lei, first_hop)``.
 
-    Every simple upward path is kept (not de-duplicated); ``parent_lei`` is
-    the previous node of the walk (the child side), as in the source.
+    ``parent_lei`` is the previous node of the walk (the child side);
+    ``first_hop`` is the start's direct parent the path leaves through.
     """
     # The hot side of this join is the frontier (many starts below one
     # ancestor), which only a per-level shuffle lets AQE split.
     edges = _direct_edges(rels)
-    level = _anchors(entities, requests, "lei").select(
+    level = starts.select(
         "lei",
         F.col("lei").alias("node_lei"),
         F.lit(None).cast("string").alias("via_type"),
         F.lit(0).alias("depth"),
         F.lit(None).cast("string").alias("parent_lei"),
+        F.lit(None).cast("string").alias("first_hop"),
         F.array(F.col("lei")).alias("path"),
     )
+
     def step(cur: DataFrame, _seen, depth: int) -> DataFrame:
         nxt = cur.join(edges, cur["node_lei"] == edges["__child"]).where(
             ~F.array_contains(F.col("path"), F.col("__parent"))
@@ -172,11 +170,26 @@ def ancestor_levels(
             F.col("__type").alias("via_type"),
             F.lit(depth).alias("depth"),
             F.col("node_lei").alias("parent_lei"),
+            F.coalesce(F.col("first_hop"), F.col("__parent")).alias("first_hop"),
             F.array_append(F.col("path"), F.col("__parent")).alias("path"),
         )
 
-    levels = _walk(level, step, max_depth)
-    return levels.drop("path")
+    return _walk(level, step, max_depth).drop("path")
+
+
+def ancestor_levels(
+    entities: DataFrame,
+    rels: DataFrame,
+    requests: DataFrame | None = None,
+    max_depth: int = MAX_HIERARCHY_DEPTH,
+) -> DataFrame:
+    """H1 rows without names: ``(lei, node_lei, via_type, depth, parent_lei)``.
+
+    Every simple upward path is kept (not de-duplicated); ``parent_lei`` is
+    the previous node of the walk (the child side), as in the source.
+    """
+    starts = _anchors(entities, requests, "lei")
+    return _upward_walk(starts, rels, max_depth).drop("first_hop")
 
 
 def ancestor_chain(
@@ -277,16 +290,7 @@ def descendant_tree(
 # ---------------------------------------------------------------------------
 
 
-def group_roots(
-    entities: DataFrame,
-    rels: DataFrame,
-    requests: DataFrame | None = None,
-    max_depth: int = MAX_HIERARCHY_DEPTH,
-) -> DataFrame:
-    """H3: ``(lei, root_lei)`` - the deepest node of the ancestor walk
-    (ties: smallest LEI); when that node is not an entity, the entity itself
-    is the root."""
-    levels = ancestor_levels(entities, rels, requests, max_depth)
+def _roots_from_walk(levels: DataFrame, entities: DataFrame) -> DataFrame:
     deepest = levels.groupBy("lei").agg(
         F.min(F.struct((-F.col("depth")).alias("d"), F.col("node_lei").alias("n"))).alias("__top")
     )
@@ -300,6 +304,55 @@ def group_roots(
     )
 
 
+def group_roots(
+    entities: DataFrame,
+    rels: DataFrame,
+    requests: DataFrame | None = None,
+    max_depth: int = MAX_HIERARCHY_DEPTH,
+) -> DataFrame:
+    """H3: ``(lei, root_lei)`` - the deepest node of the ancestor walk
+    (ties: smallest LEI); when that node is not an entity, the entity itself
+    is the root."""
+    return _roots_from_walk(ancestor_levels(entities, rels, requests, max_depth), entities)
+
+
+def registry_group_levels(
+    entities: DataFrame, rels: DataFrame, max_depth: int = MAX_HIERARCHY_DEPTH
+) -> tuple[DataFrame, DataFrame]:
+    """H3 + H4 for the whole registry from ONE upward walk.
+
+    Returns ``(roots, levels)``: ``roots`` = ``(lei, root_lei)`` per entity;
+    ``levels`` = the descendant tree of every distinct root as
+    ``(root_lei, node_lei, via_type, depth, parent_lei)``.
+
+    A node v lies in the tree of root r at depth d exactly when r is on one
+    of v's simple upward paths and d is the shortest such depth; its tree
+    parent (smallest parent at depth d - 1) is the smallest first hop of those
+    shortest paths. So the trees are a regrouping of the upward walk - which
+    H3 needs anyway - and no second, downward walk is run. The walk starts
+    from every entity and every child of a direct edge (trees keep children
+    that are not entities).
+    """
+    direct = active_edges(rels, [DIRECT_PARENT]).select(F.col("start_node_id").alias("lei"))
+    starts = entities.select("lei").unionByName(direct).where(F.col("lei").isNotNull()).distinct()
+    walk = _upward_walk(starts, rels, max_depth)
+    entity_starts = walk.join(entities.select(F.col("lei").alias("__e")), F.col("lei") == F.col("__e"), "left_semi")
+    roots = materialize(_roots_from_walk(entity_starts, entities))
+    distinct_roots = roots.select(F.col("root_lei").alias("__r")).distinct()
+    hits = walk.join(distinct_roots, walk["node_lei"] == distinct_roots["__r"], "left_semi")
+    best = hits.groupBy(F.col("node_lei").alias("root_lei"), F.col("lei").alias("node_lei")).agg(
+        F.min(F.struct(F.col("depth").alias("d"), F.col("first_hop").alias("p"))).alias("__b")
+    )
+    levels = best.select(
+        "root_lei",
+        "node_lei",
+        F.when(F.col("__b.d") > 0, F.lit(DIRECT_PARENT)).alias("via_type"),
+        F.col("__b.d").alias("depth"),
+        F.col("__b.p").alias("parent_lei"),
+    )
+    return roots, levels
+
+
 def corporate_groups(
     entities: DataFrame,
     rels: DataFrame,
@@ -313,9 +366,14 @@ def corporate_groups(
       per root however many requests map to it;
     * sizes   - ``(lei, root_lei, total_entities)``.
     """
-    roots = materialize(group_roots(entities, rels, requests, max_depth))
-    distinct_roots = roots.select(F.col("root_lei").alias("lei")).distinct()
-    levels = descendant_levels(entities, rels, distinct_roots, max_depth)
+    if requests is None:
+        roots, levels = registry_group_levels(entities, rels, max_depth)
+    else:
+        # A request list: walk up from the requests only, then down from
+        # their roots - cheaper than walking up from the whole registry.
+        roots = materialize(group_roots(entities, rels, requests, max_depth))
+        distinct_roots = roots.select(F.col("root_lei").alias("lei")).distinct()
+        levels = descendant_levels(entities, rels, distinct_roots, max_depth)
     members = with_node_info(levels, entities, ["root_lei"])
     # sizes from the bare levels: no name join needed to count
     counts = levels.groupBy("root_lei").agg(F.count(F.lit(1)).cast("long").alias("total_entities"))

@@ -217,3 +217,25 @@ def test_hot_parent_star_is_walked_without_prepartitioning(spark):
     assert tree.count() == 302
     roots = rows(hierarchy.group_roots(e, r).where("root_lei <> 'HUB0000000000000000'"))
     assert roots == []
+
+
+def test_registry_groups_equal_downward_walk_on_random_graphs(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(11)
+    for trial in range(3):
+        nodes = [f"R{trial}{i:018d}" for i in range(10)]
+        edges = set()
+        for _ in range(16):
+            a = rnd.choice(nodes + ["ORPHAN00000000000001"])
+            b = rnd.choice(nodes + ["DANGLING000000000000"])
+            if a != b:
+                edges.add((a, b, rnd.choice(["ACTIVE", "ACTIVE", "ACTIVE", "INACTIVE"])))
+        e = make_entities(spark, [entity(n, n, "c", "US") for n in nodes[:8]])
+        r = make_rels(spark, [(a, b, DIRECT_PARENT, st) for a, b, st in sorted(edges)])
+        roots, levels = hierarchy.registry_group_levels(e, r, max_depth=5)
+        want_roots = rows(hierarchy.group_roots(e, r, max_depth=5), "lei", "root_lei")
+        assert rows(roots, "lei", "root_lei") == want_roots
+        distinct = roots.select(F.col("root_lei").alias("lei")).distinct()
+        want = rows(hierarchy.descendant_levels(e, r, distinct, max_depth=5), "root_lei", "node_lei", "depth", "parent_lei", "via_type")
+        assert rows(levels, "root_lei", "node_lei", "depth", "parent_lei", "via_type") == want
