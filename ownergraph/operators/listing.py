@@ -7,33 +7,17 @@ from pyspark.sql import functions as F
 
 from ownergraph.functions.display import node_label
 from ownergraph.functions.normalize import empty_to_null
-from ownergraph.operators.hierarchy import descendant_levels, with_node_info
+from ownergraph.operators.hierarchy import _sort_key, descendant_levels, registry_group_levels, with_node_info
 from ownergraph.operators.ranking import ordinal_within_group
 from ownergraph.schema import MAX_HIERARCHY_DEPTH
+from ownergraph.session import materialize
 from ownergraph.sources.isin import attach_isins
 
 
-def hierarchy_listing(
-    entities: DataFrame,
-    rels: DataFrame,
-    roots: DataFrame,
-    max_depth: int = MAX_HIERARCHY_DEPTH,
-    isins: DataFrame | None = None,
-    with_header: bool = True,
+def _numbered(
+    levels: DataFrame, entities: DataFrame, isins: DataFrame | None, with_header: bool
 ) -> DataFrame:
-    """H7: ``(root_lei, line_no, depth, node_lei, label)`` per tree node.
-
-    With ``with_header`` each root also gets line 0 (depth -1), 'Corporate Group (N
-    entities)', N counted by a map-side combined aggregate.
-
-    Pre-order from the root, children ordered by (name NULLs last, LEI). The
-    order key is the sort path carried down the breadth-first walk along the
-    kept parents, so no second recursion is needed; line numbers come from a
-    range-partitioned ranking, so a huge group is spread over many tasks.
-    Since the tree holds each node once, the source's "(see above)" line for
-    repeated nodes can never occur and is not produced.
-    """
-    levels = descendant_levels(entities, rels, roots, max_depth, with_sort_path=True)
+    """Labels, line numbers (ordered by ``sort_path``) and header lines."""
     nodes = with_node_info(levels, entities, ["root_lei", "sort_path"])
     isin_col = None
     if isins is not None:
@@ -61,6 +45,83 @@ def hierarchy_listing(
     return out
 
 
+def hierarchy_listing(
+    entities: DataFrame,
+    rels: DataFrame,
+    roots: DataFrame,
+    max_depth: int = MAX_HIERARCHY_DEPTH,
+    isins: DataFrame | None = None,
+    with_header: bool = True,
+) -> DataFrame:
+    """H7: ``(root_lei, line_no, depth, node_lei, label)`` per tree node of
+    the given roots.
+
+    With ``with_header`` each root also gets line 0 (depth -1), 'Corporate
+    Group (N entities)', N counted by a map-side combined aggregate.
+
+    Pre-order from the root, children ordered by (name NULLs last, LEI). The
+    order key is the sort path carried down the breadth-first walk along the
+    kept parents, so no second recursion is needed; line numbers come from a
+    range-partitioned ranking, so a huge group is spread over many tasks.
+    Since the tree holds each node once, the source's "(see above)" line for
+    repeated nodes can never occur and is not produced.
+    """
+    levels = descendant_levels(entities, rels, roots, max_depth, with_sort_path=True)
+    return _numbered(levels, entities, isins, with_header)
+
+
+def sort_paths(entities: DataFrame, levels: DataFrame) -> DataFrame:
+    """Add ``sort_path`` to tree rows ``(root_lei, node_lei, via_type, depth,
+    parent_lei)`` by pointer doubling on the kept-parent forest.
+
+    Each row starts with its own key and a pointer to its parent; a round
+    prepends the pointed-to row's path and jumps the pointer to that row's
+    pointer, so after k rounds a row holds the last 2^k keys of its path:
+    ceil(log2(depth + 1)) checkpointed rounds instead of one per level.
+    Rows join their ancestor on (root, node); a hot ancestor is a skewed key
+    on the descendant side, which AQE splits.
+    """
+    deepest = levels.agg(F.max("depth").alias("d")).first()["d"] or 0
+    names = entities.select(F.col("lei").alias("__nl"), F.col("legal_name").alias("__nn"))
+    t = levels.join(names, levels["node_lei"] == names["__nl"], "left").select(
+        "root_lei", "node_lei", "via_type", "depth", "parent_lei",
+        F.col("parent_lei").alias("__up"),
+        F.array(_sort_key("__nn", "node_lei")).alias("sort_path"),
+    )
+    span = 1
+    while span <= deepest:
+        anc = t.select(
+            F.col("root_lei").alias("__ar"), F.col("node_lei").alias("__an"),
+            F.col("sort_path").alias("__as"), F.col("__up").alias("__aup"),
+        )
+        joined = t.join(anc, (t["root_lei"] == anc["__ar"]) & (t["__up"] == anc["__an"]), "left")
+        t = materialize(
+            joined.select(
+                "root_lei", "node_lei", "via_type", "depth", "parent_lei",
+                F.when(F.col("__up").isNull(), F.lit(None).cast("string")).otherwise(F.col("__aup")).alias("__up"),
+                F.when(F.col("__up").isNull(), F.col("sort_path"))
+                .otherwise(F.concat(F.col("__as"), F.col("sort_path")))
+                .alias("sort_path"),
+            )
+        )
+        span *= 2
+    return t.drop("__up")
+
+
+def registry_listing(
+    entities: DataFrame,
+    rels: DataFrame,
+    max_depth: int = MAX_HIERARCHY_DEPTH,
+    isins: DataFrame | None = None,
+    with_header: bool = True,
+) -> DataFrame:
+    """H7 for every corporate group of the registry: the trees come from the
+    single upward walk of ``registry_group_levels`` and the pre-order keys
+    from pointer doubling - no downward walk at all."""
+    _roots, levels = registry_group_levels(entities, rels, max_depth)
+    return _numbered(sort_paths(entities, materialize(levels)), entities, isins, with_header)
+
+
 def children_map(tree: DataFrame) -> DataFrame:
     """H8 long form: ``(root_lei, parent_lei, pos, node_lei)`` - the children
     of each parent in listing order (depth, name NULLs last, LEI), 1-based.

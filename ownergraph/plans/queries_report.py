@@ -271,9 +271,7 @@ _GROUP_TREE_CTES = (
 )
 def q_hierarchy_listing(spark, sf_dir):
     t = tables(spark, sf_dir)
-    roots = hierarchy.group_roots(t["lei_records"], t["relationships"])
-    distinct_roots = roots.select(F.col("root_lei").alias("lei")).distinct()
-    return listing.hierarchy_listing(t["lei_records"], t["relationships"], distinct_roots)
+    return listing.registry_listing(t["lei_records"], t["relationships"])
 
 
 @register(

@@ -239,3 +239,21 @@ def test_registry_groups_equal_downward_walk_on_random_graphs(spark):
         distinct = roots.select(F.col("root_lei").alias("lei")).distinct()
         want = rows(hierarchy.descendant_levels(e, r, distinct, max_depth=5), "root_lei", "node_lei", "depth", "parent_lei", "via_type")
         assert rows(levels, "root_lei", "node_lei", "depth", "parent_lei", "via_type") == want
+
+
+def test_registry_listing_equals_per_root_listing(spark, diamond):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    cases = [diamond]
+    for trial in range(2):
+        nodes = [f"L{trial}{i:018d}" for i in range(9)]
+        edges = {(rnd.choice(nodes), rnd.choice(nodes + ["DANGLING000000000000"])) for _ in range(12)}
+        e = make_entities(spark, [entity(n, f"Name {rnd.randint(0, 3)}", "c", "US") for n in nodes[:7]])
+        r = make_rels(spark, [(a, b, DIRECT_PARENT, "ACTIVE") for a, b in sorted(edges) if a != b])
+        cases.append((e, r))
+    for e, r in cases:
+        fast = rows(listing.registry_listing(e, r), "root_lei", "line_no", "depth", "node_lei", "label")
+        roots = hierarchy.group_roots(e, r).select(F.col("root_lei").alias("lei")).distinct()
+        slow = rows(listing.hierarchy_listing(e, r, roots), "root_lei", "line_no", "depth", "node_lei", "label")
+        assert fast == slow
