@@ -62,9 +62,11 @@ def test_ordinal_within_group_matches_row_number(spark):
     rnd = random.Random(3)
     data = [(rnd.choice(["hot"] * 8 + ["a", "b", None]), rnd.randint(0, 10_000), i) for i in range(3000)]
     df = spark.createDataFrame(data, "g string, v int, id int")
-    got = ranking.ordinal_within_group(df, ["g"], [F.col("v"), F.col("id")], "pos", partitions=7)
     want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
-    assert rows(got, "id", "pos") == rows(want, "id", "pos")
+    # distributed path (the hot group exceeds the per-task bound) and window path
+    for bound in (100, 10**6):
+        got = ranking.ordinal_within_group(df, ["g"], [F.col("v"), F.col("id")], "pos", partitions=7, max_task_rows=bound)
+        assert rows(got, "id", "pos") == rows(want, "id", "pos")
 
 
 def test_entry_smoke(spark):
