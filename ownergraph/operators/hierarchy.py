@@ -43,24 +43,41 @@ def _direct_edges(rels: DataFrame) -> DataFrame:
     )
 
 
-def _partitioned(edges: DataFrame, key: str, hot_factor: float = 2.0) -> DataFrame:
-    """Hash-partition the edges on the walk's join key once and keep them, so
-    every level shuffles only its frontier - but only when no key is hot.
-
-    A pre-partitioned side has no shuffle stage, so AQE could not split a
-    skewed partition of it. One aggregate job measures the largest key; if it
-    alone exceeds ``hot_factor`` x the average partition, the edges are left
-    as they are and every level's join is re-planned by AQE, which splits the
-    hot key's partition across tasks.
+# Edge sets up to this many bytes are broadcast to every level's join.
+BROADCAST_EDGE_BYTES = 32 * 1024 * 1024
+
+
+def _prepare_edges(
+    edges: DataFrame, key: str, pre_partition: bool, hot_factor: float = 2.0
+) -> tuple[DataFrame, DataFrame | None]:
+    """Choose how a walk meets its edges; returns ``(edges_to_join, persisted)``.
+
+    One aggregate job measures the edges' exact byte size and their largest
+    join key:
+
+    * at most ``BROADCAST_EDGE_BYTES``: the edges are kept and broadcast, so a
+      level needs no shuffle at all and its work stays spread by start row,
+      whatever ancestor the rows share;
+    * else, with ``pre_partition``, and no key above ``hot_factor`` x the
+      average partition: hash-partitioned on the key once and kept, so a
+      level shuffles only its frontier (a pre-partitioned side has no shuffle
+      stage, so AQE could not split a hot key there - hence the check);
+    * otherwise as they are: every level's join is re-planned by AQE, which
+      splits hot partitions.
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stats = edges.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(
-        F.max("c").alias("largest"), F.sum("c").alias("total")
-    ).first()
-    largest, total = (stats["largest"] or 0), (stats["total"] or 0)
-    if total == 0 or largest > hot_factor * total / n:
-        return edges
-    return edges.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+    # JSON text of the row: an upper bound of its in-memory size
+    width = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in edges.columns])))
+    per_key = edges.groupBy(key).agg(F.count(F.lit(1)).alias("c"), F.sum(width).alias("b"))
+    stats = per_key.agg(F.max("c").alias("largest"), F.sum("c").alias("total"), F.sum("b").alias("bytes")).first()
+    largest, total, size = (stats["largest"] or 0), (stats["total"] or 0), (stats["bytes"] or 0)
+    if size <= BROADCAST_EDGE_BYTES:
+        kept = edges.persist(StorageLevel.MEMORY_AND_DISK)
+        return F.broadcast(kept), kept
+    if pre_partition and total and largest <= hot_factor * total / n:
+        kept = edges.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+        return kept, kept
+    return edges, None
 
 
 def _anchors(entities: DataFrame, requests: DataFrame | None, key: str) -> DataFrame:
@@ -148,8 +165,10 @@ def _upward_walk(starts: DataFrame, rels: DataFrame, max_depth: int) -> DataFram
     ``first_hop`` is the start's direct parent the path leaves through.
     """
     # The hot side of this join is the frontier (many starts below one
-    # ancestor), which only a per-level shuffle lets AQE split.
-    edges = _direct_edges(rels)
+    # ancestor): small edges are broadcast (no shuffle, work stays spread by
+    # start); large ones are never pre-partitioned, so AQE can split the
+    # frontier's hot partitions each level.
+    edges, kept = _prepare_edges(_direct_edges(rels), "__child", pre_partition=False)
     level = starts.select(
         "lei",
         F.col("lei").alias("node_lei"),
@@ -174,7 +193,10 @@ def _upward_walk(starts: DataFrame, rels: DataFrame, max_depth: int) -> DataFram
             F.array_append(F.col("path"), F.col("__parent")).alias("path"),
         )
 
-    return _walk(level, step, max_depth).drop("path")
+    walked = _walk(level, step, max_depth).drop("path")
+    if kept is not None:
+        kept.unpersist()
+    return walked
 
 
 def ancestor_levels(
@@ -242,7 +264,7 @@ def descendant_levels(
         )
         extra_root = [F.array(F.col("__key")).alias("sort_path")]
         extra_step = [F.array_append(F.col("sort_path"), F.col("__key")).alias("s")]
-    edges = _partitioned(edges, "__parent")
+    edges, kept = _prepare_edges(edges, "__parent", pre_partition=True)
     level = anchors.select(
         "root_lei",
         F.col("root_lei").alias("node_lei"),
@@ -270,7 +292,8 @@ def descendant_levels(
         )
 
     levels = _walk(level, step, max_depth, visited_keys=["root_lei", "node_lei"])
-    edges.unpersist()
+    if kept is not None:
+        kept.unpersist()
     return levels
 
 

@@ -212,8 +212,14 @@ def test_hot_parent_star_is_walked_without_prepartitioning(spark):
     e = make_entities(spark, [entity(hub, "Hub", "x", "US")] + [entity(k, k, "x", "US") for k in kids])
     r = make_rels(spark, [(k, hub, DIRECT_PARENT, "ACTIVE") for k in kids] + [("X" * 20, kids[0], DIRECT_PARENT, "ACTIVE")])
     edges = hierarchy._direct_edges(r)
-    assert hierarchy._partitioned(edges, "__parent") is edges
-    tree = hierarchy.descendant_tree(e, r, requests_of(spark, hub))
+    old_bound = hierarchy.BROADCAST_EDGE_BYTES
+    hierarchy.BROADCAST_EDGE_BYTES = 0  # force the large-edges decision
+    try:
+        chosen, kept = hierarchy._prepare_edges(edges, "__parent", pre_partition=True)
+        assert chosen is edges and kept is None
+        tree = hierarchy.descendant_tree(e, r, requests_of(spark, hub))
+    finally:
+        hierarchy.BROADCAST_EDGE_BYTES = old_bound
     assert tree.count() == 302
     roots = rows(hierarchy.group_roots(e, r).where("root_lei <> 'HUB0000000000000000'"))
     assert roots == []
