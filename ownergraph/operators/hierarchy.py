@@ -1,11 +1,12 @@
 """H1-H6: ancestor chains, descendant trees, corporate groups.
 
-Both walks are level-synchronous loops of DataFrame jobs: each level is one
-join of the frontier with the direct active edges, then a reliable checkpoint
-(lineage stays one level deep, a lost executor only recomputes the last
-level). The driver only asks "is the new level empty?"; no rows pass through
-it. Depth is capped by ``max_depth`` (default 50), which bounds the output to
-at most ``max_depth + 1`` rows per start entity and simple path.
+Both walks are level-synchronous loops of DataFrame jobs (``_walk``): each
+level is one join of the frontier with the direct active edges, then a
+reliable checkpoint (lineage stays one level deep, a lost executor only
+recomputes the last level); the level's row count is observed during the
+checkpoint, so the driver learns that a walk is over without another job and
+no rows pass through it. Depth is capped by ``max_depth`` (default 50), which
+bounds the output to at most ``max_depth + 1`` rows per start and path.
 
 * Ancestors (H1) enumerate every simple path upwards, carrying the path for
   the cycle guard, like the source.
@@ -13,10 +14,16 @@ at most ``max_depth + 1`` rows per start entity and simple path.
   then the smallest parent LEI. A node's shortest walk is always simple, so a
   breadth-first walk with a visited anti join gives exactly that row without
   enumerating paths (no blow-up on diamonds).
-
-Skew: the join key of a level is the frontier node; a parent with a huge
-number of children is a hot key on the edge side, which AQE's skew join
-splits. The per-level grouping is a map-side combined ``min``.
+* Corporate groups of the whole registry (H3 + H4) come from ONE upward walk:
+  roots are its deepest nodes and the trees a regrouping of it
+  (``registry_group_levels``); a request list walks up from the requests and
+  down from their roots instead.
+
+Edges and skew: ``_prepare_edges`` measures the edges once. Small edge sets
+(proven <= 32 MB) are broadcast - no shuffle per level, work spread by start
+row. Larger ones are joined by shuffle: AQE splits hot keys (a parent owning a
+third of the registry); they are pre-partitioned for the downward walk only
+when no key is hot. Per-level groupings are map-side combined ``min``.
 """
 
 from __future__ import annotations
