@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from ownergraph.functions.display import node_label
 from ownergraph.functions.normalize import empty_to_null
-from ownergraph.operators.hierarchy import _sort_key, descendant_levels, registry_group_levels, with_node_info
+from ownergraph.operators.hierarchy import (
+    BROADCAST_EDGE_BYTES,
+    _sort_key,
+    descendant_levels,
+    registry_group_levels,
+    with_node_info,
+)
 from ownergraph.operators.ranking import ordinal_within_group
 from ownergraph.schema import MAX_HIERARCHY_DEPTH
 from ownergraph.session import materialize
@@ -79,21 +85,28 @@ def sort_paths(entities: DataFrame, levels: DataFrame) -> DataFrame:
     pointer, so after k rounds a row holds the last 2^k keys of its path:
     ceil(log2(depth + 1)) checkpointed rounds instead of one per level.
     Rows join their ancestor on (root, node); a hot ancestor is a skewed key
-    on the descendant side, which AQE splits.
+    on the descendant side, which AQE splits. When one aggregate proves the
+    ancestor side small (its size now times the longest path it can reach,
+    under ``BROADCAST_EDGE_BYTES``) it is broadcast and no round shuffles.
     """
-    deepest = levels.agg(F.max("depth").alias("d")).first()["d"] or 0
     names = entities.select(F.col("lei").alias("__nl"), F.col("legal_name").alias("__nn"))
     t = levels.join(names, levels["node_lei"] == names["__nl"], "left").select(
         "root_lei", "node_lei", "via_type", "depth", "parent_lei",
         F.col("parent_lei").alias("__up"),
         F.array(_sort_key("__nn", "node_lei")).alias("sort_path"),
     )
+    width = F.octet_length(F.to_json(F.struct("root_lei", "node_lei", "__up", "sort_path")))
+    stats = t.agg(F.max("depth").alias("d"), F.sum(width).alias("b")).first()
+    deepest, size = (stats["d"] or 0), (stats["b"] or 0)
+    small = size * (deepest + 1) <= BROADCAST_EDGE_BYTES
     span = 1
     while span <= deepest:
         anc = t.select(
             F.col("root_lei").alias("__ar"), F.col("node_lei").alias("__an"),
             F.col("sort_path").alias("__as"), F.col("__up").alias("__aup"),
         )
+        if small:
+            anc = F.broadcast(anc)
         joined = t.join(anc, (t["root_lei"] == anc["__ar"]) & (t["__up"] == anc["__an"]), "left")
         t = materialize(
             joined.select(
