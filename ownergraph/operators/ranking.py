@@ -35,10 +35,11 @@ def ordinal_within_group(
     order_cols: list[Column],
     out_col: str = "ordinal",
     partitions: int | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
+    max_task_rows: int | None = None,
 ) -> DataFrame:
     """Add ``out_col`` = 1-based position of each row inside its group when
     ordered by ``order_cols`` (which must make the order total)."""
+    max_task_rows = MAX_TASK_ROWS if max_task_rows is None else max_task_rows
     df = materialize(df)
     largest = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
     if largest <= max_task_rows:

@@ -263,3 +263,15 @@ def test_registry_listing_equals_per_root_listing(spark, diamond):
         roots = hierarchy.group_roots(e, r).select(F.col("root_lei").alias("lei")).distinct()
         slow = rows(listing.hierarchy_listing(e, r, roots), "root_lei", "line_no", "depth", "node_lei", "label")
         assert fast == slow
+
+
+def test_listing_through_the_hot_group_ranking_path(spark, diamond, monkeypatch):
+    from ownergraph.operators import ranking
+
+    e, r = diamond
+    want = rows(listing.registry_listing(e, r), "root_lei", "line_no", "node_lei")
+    tree = hierarchy.descendant_tree(e, r, requests_of(spark, ULTIMATE))
+    want_map = rows(listing.children_map(tree), "parent_lei", "pos", "node_lei")
+    monkeypatch.setattr(ranking, "MAX_TASK_ROWS", 1)  # every group counts as hot
+    assert rows(listing.registry_listing(e, r), "root_lei", "line_no", "node_lei") == want
+    assert rows(listing.children_map(tree), "parent_lei", "pos", "node_lei") == want_map
