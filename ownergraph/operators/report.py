@@ -100,27 +100,29 @@ def full_report_long(
 def full_report_counts(
     entities: DataFrame, rels: DataFrame, exceptions: DataFrame, requests: DataFrame | None = None
 ) -> DataFrame:
-    """P1 summary per requested entity: parent presence and section sizes,
-    from aggregates only (siblings counted without pairing)."""
+    """P1 summary per requested entity: parent presence and section sizes.
+
+    The section rows are unioned and counted in one grouped aggregate (one
+    shuffle on the LEI, combined map-side) instead of one join per section;
+    siblings are counted without pairing members (``sibling_counts``).
+    """
     subjects = get_entities(entities, requests).select("lei")
     keys = subjects
-
-    def count_of(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(F.col("lei").alias(f"__{name}_lei")).agg(F.count(F.lit(1)).alias(name))
-
-    pieces = [
-        (relations.direct_parents(entities, rels, keys).select("lei", F.lit(1).alias("x")), "has_direct_parent"),
-        (relations.ultimate_parents(entities, rels, keys).select("lei", F.lit(1).alias("x")), "has_ultimate_parent"),
-        (relations.children(entities, rels, keys), "n_children"),
-        (relations.other_relationships(entities, rels, keys), "n_other"),
-        (relations.reporting_exceptions(exceptions, keys), "n_exceptions"),
+    sections = [
+        ("has_direct_parent", relations.direct_parents(entities, rels, keys)),
+        ("has_ultimate_parent", relations.ultimate_parents(entities, rels, keys)),
+        ("n_children", relations.children(entities, rels, keys)),
+        ("n_other", relations.other_relationships(entities, rels, keys)),
+        ("n_exceptions", relations.reporting_exceptions(exceptions, keys)),
     ]
-    out = subjects
-    for df, name in pieces:
-        agg = count_of(df, name)
-        out = out.join(agg, out["lei"] == agg[f"__{name}_lei"], "left").drop(f"__{name}_lei")
-    sib = relations.sibling_counts(rels, keys).select(F.col("lei").alias("__s_lei"), "sibling_count")
-    out = out.join(sib, out["lei"] == sib["__s_lei"], "left").drop("__s_lei")
+    tagged = union_all([df.select(F.col("lei").alias("__l"), F.lit(name).alias("__s")) for name, df in sections])
+    counts = tagged.groupBy("__l").agg(
+        *[F.sum(F.when(F.col("__s") == name, 1).otherwise(0)).alias(name) for name, _ in sections]
+    )
+    sib = relations.sibling_counts(rels, keys).select(F.col("lei").alias("__sl"), "sibling_count")
+    out = subjects.join(counts, subjects["lei"] == counts["__l"], "left").join(
+        sib, subjects["lei"] == sib["__sl"], "left"
+    )
     return out.select(
         "lei",
         (F.coalesce("has_direct_parent", F.lit(0)) > 0).alias("has_direct_parent"),
