@@ -121,26 +121,29 @@ def sibling_counts(rels: DataFrame, requests: DataFrame | None = None) -> DataFr
     """R4, factorised: ``(lei, parent_lei, sibling_count)`` per child.
 
     sibling_count = direct active edges into the parent minus the child's own
-    edges to it - exactly the row count of R4 - from two map-side combined
-    aggregates, without pairing members.
+    edges to it - exactly the row count of R4. One (child, parent) edge count
+    feeds both the chosen parent (smallest parent, carrying its own edge
+    count) and the parents' in-degrees; every step is a map-side combined
+    aggregate and no pair of members is formed.
     """
-    chosen = chosen_parent(rels, DIRECT_PARENT, requests)
     direct = active_edges(rels, [DIRECT_PARENT])
-    indegree = direct.groupBy(F.col("end_node_id").alias("__p")).agg(F.count("start_node_id").alias("__in"))
-    own = direct.groupBy(
-        F.col("start_node_id").alias("__c"), F.col("end_node_id").alias("__cp")
-    ).agg(F.count("*").alias("__own"))
-    out = chosen.join(indegree, chosen["end_node_id"] == indegree["__p"], "left").join(
-        own,
-        (chosen["start_node_id"] == own["__c"]) & (chosen["end_node_id"] == own["__cp"]),
-        "left",
+    pairs = direct.groupBy("start_node_id", "end_node_id").agg(F.count(F.lit(1)).alias("__own"))
+    chosen = (
+        restrict(pairs, "start_node_id", requests)
+        .where(F.col("start_node_id").isNotNull() & F.col("end_node_id").isNotNull())
+        .groupBy("start_node_id")
+        .agg(F.min(F.struct(F.col("end_node_id").alias("p"), F.col("__own").alias("n"))).alias("__c"))
     )
+    indegree = (
+        pairs.where(F.col("start_node_id").isNotNull())
+        .groupBy(F.col("end_node_id").alias("__p"))
+        .agg(F.sum("__own").alias("__in"))
+    )
+    out = chosen.join(indegree, chosen["__c.p"] == indegree["__p"], "left")
     return out.select(
         F.col("start_node_id").alias("lei"),
-        F.col("end_node_id").alias("parent_lei"),
-        (F.coalesce(F.col("__in"), F.lit(0)) - F.coalesce(F.col("__own"), F.lit(0)))
-        .cast("long")
-        .alias("sibling_count"),
+        F.col("__c.p").alias("parent_lei"),
+        (F.coalesce(F.col("__in"), F.lit(0)) - F.col("__c.n")).cast("long").alias("sibling_count"),
     )
 
 
