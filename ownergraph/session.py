@@ -23,6 +23,9 @@ SESSION_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Top-k above this many rows is planned as a sort, not a per-task heap.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
+    # The walks checkpoint every level; delete the files of levels no longer
+    # referenced instead of letting them pile up in the shared folder.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
