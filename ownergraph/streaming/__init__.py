@@ -1 +1,6 @@
-"""streaming."""
+"""Streaming: intentionally empty.
+
+The source has no streaming surface: each daily publish replaces the three
+tables in full, which is a batch overwrite (``sources.loader.load_all``), and
+no operator keeps state across publishes. No stream operators are added.
+"""
