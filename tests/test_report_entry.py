@@ -97,14 +97,20 @@ def test_every_query_matches_its_oracle(spark):
     for t in "customer supplier nation orders".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMOKE}/{t}.parquet')")
     oracles = se.oracle_sql()
+    types = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "boolean": "BOOLEAN"}
     bad = []
     for name, fn in se.queries().items():
-        spark_pdf = fn(spark, SMOKE).toPandas()
+        sdf = fn(spark, SMOKE)
+        spark_pdf = sdf.toPandas()
         if name not in oracles:
             continue
         duck_pdf = con.execute(oracles[name]).df()
         if _sorted_rows(spark_pdf) != _sorted_rows(duck_pdf):
             bad.append(name)
+        spark_types = {f.name: types.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+        duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {oracles[name]}").fetchall()}
+        if spark_types != duck_types:
+            bad.append(name + ":types")
     assert bad == []
 
 
