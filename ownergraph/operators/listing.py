@@ -135,12 +135,23 @@ def registry_listing(
     return _numbered(sort_paths(entities, materialize(levels)), entities, isins, with_header)
 
 
-def children_map(tree: DataFrame) -> DataFrame:
+def children_map(tree: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """H8 long form: ``(root_lei, parent_lei, pos, node_lei)`` - the children
     of each parent in listing order (depth, name NULLs last, LEI), 1-based.
-    ``tree`` is a descendant tree (H2 output); the root has parent NULL."""
+    ``tree`` is a descendant tree (H2 output); the root has parent NULL.
+
+    With ``entities`` the order uses the stored name, so an empty name sorts
+    first as in the source; without, the tree's normalised name (empty ->
+    NULL, last) is used.
+    """
+    rows = tree.select("root_lei", "parent_lei", "node_lei", "depth", "legal_name")
+    if entities is not None:
+        raw = entities.select(F.col("lei").alias("__rl"), F.col("legal_name").alias("__raw"))
+        rows = rows.drop("legal_name").join(raw, rows["node_lei"] == raw["__rl"], "left").select(
+            "root_lei", "parent_lei", "node_lei", "depth", F.col("__raw").alias("legal_name")
+        )
     ordered = ordinal_within_group(
-        tree.select("root_lei", "parent_lei", "node_lei", "depth", "legal_name"),
+        rows,
         ["root_lei", "parent_lei"],
         [F.col("depth"), F.col("legal_name").isNull(), F.col("legal_name"), F.col("node_lei")],
         "pos",

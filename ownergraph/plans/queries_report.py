@@ -278,7 +278,7 @@ def q_hierarchy_listing(spark, sf_dir):
     "children_map",
     oracle(
         "SELECT d.root_lei, d.parent_lei, row_number() OVER (PARTITION BY d.root_lei, d.parent_lei "
-        "ORDER BY d.depth, nullif(l.legal_name, '') NULLS LAST, d.node_lei) AS pos, d.node_lei "
+        "ORDER BY d.depth, l.legal_name NULLS LAST, d.node_lei) AS pos, d.node_lei "
         "FROM des1 d LEFT JOIN lei_records l ON l.lei = d.node_lei",
         *_GROUP_TREE_CTES,
         recursive=True,
@@ -287,7 +287,7 @@ def q_hierarchy_listing(spark, sf_dir):
 def q_children_map(spark, sf_dir):
     t = tables(spark, sf_dir)
     _, members, _ = hierarchy.corporate_groups(t["lei_records"], t["relationships"])
-    return listing.children_map(members)
+    return listing.children_map(members, t["lei_records"])
 
 
 @register(

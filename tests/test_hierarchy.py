@@ -275,3 +275,15 @@ def test_listing_through_the_hot_group_ranking_path(spark, diamond, monkeypatch)
     monkeypatch.setattr(ranking, "MAX_TASK_ROWS", 1)  # every group counts as hot
     assert rows(listing.registry_listing(e, r), "root_lei", "line_no", "node_lei") == want
     assert rows(listing.children_map(tree), "parent_lei", "pos", "node_lei") == want_map
+
+
+def test_empty_name_sorts_first_and_null_last(spark):
+    top, a, b, c = "T" * 20, "A" * 20, "B" * 20, "C" * 20
+    e = make_entities(spark, [entity(top, "Top", "x", "US"), entity(a, "Zed", "x", "US"),
+                              entity(b, "", "x", "US"), entity(c, None, "x", "US")])
+    r = make_rels(spark, [(k, top, DIRECT_PARENT, "ACTIVE") for k in (a, b, c)])
+    lines = listing.registry_listing(e, r).where("line_no > 0").orderBy("line_no").collect()
+    assert [x["node_lei"] for x in lines] == [top, b, a, c]
+    tree = hierarchy.descendant_tree(e, r, requests_of(spark, top))
+    kids = [x["node_lei"] for x in listing.children_map(tree, e).where(f"parent_lei = '{top}'").orderBy("pos").collect()]
+    assert kids == [b, a, c]
