@@ -50,6 +50,10 @@ def _direct_edges(rels: DataFrame) -> DataFrame:
     )
 
 
+# An upward walk used to build trees gives up when a level holds more than
+# this many times the rows of its first level (paths multiplying).
+PATH_GROWTH_LIMIT = 8.0
+
 # Edge sets up to this many bytes are broadcast to every level's join.
 BROADCAST_EDGE_BYTES = 32 * 1024 * 1024
 
@@ -124,19 +128,22 @@ def _walk(
     max_depth: int,
     visited_keys: list[str] | None = None,
     levels_per_job: int | None = None,
-) -> DataFrame:
+    growth_limit: float | None = None,
+) -> DataFrame | None:
     """Run ``step(frontier, seen, depth)`` level by level from ``start``
     (depth 0) until a level is empty or ``max_depth`` is reached.
 
     ``seen`` is the union of ``visited_keys`` of all earlier levels (None when
     no visited set is kept). Each block of levels is one reliable checkpoint;
     the rows per depth are observed while it runs, so the driver learns that
-    the walk is over without another job.
+    the walk is over without another job. With ``growth_limit`` the walk gives
+    up (returns None) as soon as a level holds more than that many times the
+    rows of the first level - the sign of paths multiplying.
     """
     levels_per_job = levels_per_job or LEVELS_PER_JOB
     blocks = [start]
     visited = [start.select(*visited_keys)] if visited_keys else None
-    frontier, depth = start, 1
+    frontier, depth, first = start, 1, None
     while depth <= max_depth:
         k = min(levels_per_job, max_depth - depth + 1)
         seen = union_all(visited) if visited_keys else None
@@ -152,6 +159,9 @@ def _walk(
         blocks.append(block)
         if visited_keys:
             visited.append(block.select(*visited_keys))
+        first = counts[0] if first is None else first
+        if growth_limit is not None and max(counts) > growth_limit * max(first, 1):
+            return None
         if counts[-1] == 0:
             break
         frontier = block.where(F.col("depth") == depths[-1])
@@ -164,7 +174,9 @@ def _walk(
 # ---------------------------------------------------------------------------
 
 
-def _upward_walk(starts: DataFrame, rels: DataFrame, max_depth: int) -> DataFrame:
+def _upward_walk(
+    starts: DataFrame, rels: DataFrame, max_depth: int, growth_limit: float | None = None
+) -> DataFrame | None:
     """Every simple upward path from each start (column ``lei``):
     ``(lei, node_lei, via_type, depth, parent_lei, first_hop)``.
 
@@ -200,10 +212,10 @@ def _upward_walk(starts: DataFrame, rels: DataFrame, max_depth: int) -> DataFram
             F.array_append(F.col("path"), F.col("__parent")).alias("path"),
         )
 
-    walked = _walk(level, step, max_depth).drop("path")
+    walked = _walk(level, step, max_depth, growth_limit=growth_limit)
     if kept is not None:
         kept.unpersist()
-    return walked
+    return None if walked is None else walked.drop("path")
 
 
 def ancestor_levels(
@@ -310,8 +322,20 @@ def descendant_tree(
     roots: DataFrame | None = None,
     max_depth: int = MAX_HIERARCHY_DEPTH,
 ) -> DataFrame:
-    """H2: one row per node below each root (root itself at depth 0)."""
-    levels = descendant_levels(entities, rels, roots, max_depth)
+    """H2: one row per node below each root (root itself at depth 0).
+
+    For every entity as a root (``roots`` None) the trees are regrouped from
+    one upward walk, which needs no shuffle per level; the walk gives up if
+    its paths multiply (a level above ``PATH_GROWTH_LIMIT`` x the first), and
+    the breadth-first walk, which never enumerates paths, answers instead.
+    """
+    levels = None
+    if roots is None:
+        walk = _registry_walk(entities, rels, max_depth, growth_limit=PATH_GROWTH_LIMIT)
+        if walk is not None:
+            levels = _trees_from_walk(walk, entities.select(F.col("lei").alias("__r")))
+    if levels is None:
+        levels = descendant_levels(entities, rels, roots, max_depth)
     return with_node_info(levels, entities, ["root_lei"])
 
 
@@ -363,24 +387,38 @@ def registry_group_levels(
     from every entity and every child of a direct edge (trees keep children
     that are not entities).
     """
-    direct = active_edges(rels, [DIRECT_PARENT]).select(F.col("start_node_id").alias("lei"))
-    starts = entities.select("lei").unionByName(direct).where(F.col("lei").isNotNull()).distinct()
-    walk = _upward_walk(starts, rels, max_depth)
+    walk = _registry_walk(entities, rels, max_depth)
     entity_starts = walk.join(entities.select(F.col("lei").alias("__e")), F.col("lei") == F.col("__e"), "left_semi")
     roots = materialize(_roots_from_walk(entity_starts, entities))
     distinct_roots = roots.select(F.col("root_lei").alias("__r")).distinct()
-    hits = walk.join(distinct_roots, walk["node_lei"] == distinct_roots["__r"], "left_semi")
+    return roots, _trees_from_walk(walk, distinct_roots)
+
+
+def _registry_walk(
+    entities: DataFrame, rels: DataFrame, max_depth: int, growth_limit: float | None = None
+) -> DataFrame | None:
+    """Upward walk from every entity and every child of a direct edge (trees
+    keep children that are not entities)."""
+    direct = active_edges(rels, [DIRECT_PARENT]).select(F.col("start_node_id").alias("lei"))
+    starts = entities.select("lei").unionByName(direct).where(F.col("lei").isNotNull()).distinct()
+    return _upward_walk(starts, rels, max_depth, growth_limit)
+
+
+def _trees_from_walk(walk: DataFrame, roots: DataFrame) -> DataFrame:
+    """Descendant trees of ``roots`` (column ``__r``) regrouped from an upward
+    walk: one row per (root, node) with the shortest depth and the smallest
+    first hop as parent."""
+    hits = walk.join(roots, walk["node_lei"] == roots["__r"], "left_semi")
     best = hits.groupBy(F.col("node_lei").alias("root_lei"), F.col("lei").alias("node_lei")).agg(
         F.min(F.struct(F.col("depth").alias("d"), F.col("first_hop").alias("p"))).alias("__b")
     )
-    levels = best.select(
+    return best.select(
         "root_lei",
         "node_lei",
         F.when(F.col("__b.d") > 0, F.lit(DIRECT_PARENT)).alias("via_type"),
         F.col("__b.d").alias("depth"),
         F.col("__b.p").alias("parent_lei"),
     )
-    return roots, levels
 
 
 def corporate_groups(

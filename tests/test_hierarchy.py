@@ -287,3 +287,12 @@ def test_empty_name_sorts_first_and_null_last(spark):
     tree = hierarchy.descendant_tree(e, r, requests_of(spark, top))
     kids = [x["node_lei"] for x in listing.children_map(tree, e).where(f"parent_lei = '{top}'").orderBy("pos").collect()]
     assert kids == [b, a, c]
+
+
+def test_descendant_tree_falls_back_when_paths_multiply(spark, diamond, monkeypatch):
+    e, r = diamond
+    want = rows(hierarchy.descendant_tree(e, r), "root_lei", "node_lei", "depth", "parent_lei")
+    monkeypatch.setattr(hierarchy, "PATH_GROWTH_LIMIT", 0.0)  # any level trips the guard
+    assert hierarchy._registry_walk(e, r, 50, growth_limit=0.0) is None
+    got = rows(hierarchy.descendant_tree(e, r), "root_lei", "node_lei", "depth", "parent_lei")
+    assert got == want
