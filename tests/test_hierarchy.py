@@ -296,3 +296,20 @@ def test_descendant_tree_falls_back_when_paths_multiply(spark, diamond, monkeypa
     assert hierarchy._registry_walk(e, r, 50, growth_limit=0.0) is None
     got = rows(hierarchy.descendant_tree(e, r), "root_lei", "node_lei", "depth", "parent_lei")
     assert got == want
+
+
+def test_deep_descendant_trees_match_brute_force(spark):
+    rnd = random.Random(23)
+    for trial in range(2):
+        nodes = [f"D{trial}{i:018d}" for i in range(10)]
+        edges = set()
+        for _ in range(15):
+            a, b = rnd.choice(nodes), rnd.choice(nodes + ["DANGLING000000000000"])
+            if a != b:
+                edges.add((a, b))
+        ents = nodes[:8]
+        e = make_entities(spark, [entity(n, n, "c", "US") for n in ents])
+        r = make_rels(spark, [(a, b, DIRECT_PARENT, "ACTIVE") for a, b in sorted(edges)])
+        _, want_tree = _brute(sorted(edges), ents, 6)
+        got = rows(hierarchy.descendant_tree(e, r, max_depth=6), "root_lei", "node_lei", "depth", "parent_lei")
+        assert got == want_tree
