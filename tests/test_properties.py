@@ -53,3 +53,35 @@ def test_report_counts_match_long_report(spark, edges):
         assert row["n_other"] == per[(lei, "other")]
         assert row["n_exceptions"] == per[(lei, "exceptions")]
         assert row["has_direct_parent"] == (per[(lei, "direct_parent")] > 0)
+
+
+item = st.one_of(
+    st.just({"type": "isins"}),
+    st.builds(lambda v: {"type": "isins", "attributes": {"lei": "X", "isin": v}},
+              st.one_of(st.none(), st.just(""), st.text(alphabet="ABCDEFGHIJ0123456789", min_size=2, max_size=12))),
+    st.just({"type": "isins", "attributes": {"lei": "X"}}),
+)
+payload = st.one_of(st.none(), st.builds(lambda items: {"data": items}, st.lists(item, max_size=5)))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(payload, min_size=1, max_size=8))
+def test_isin_parsing_matches_python_json(spark, payloads):
+    import json
+
+    from ownergraph.sources import isin
+
+    data = [(f"L{i:019d}", None if p is None else json.dumps(p)) for i, p in enumerate(payloads)]
+    df = spark.createDataFrame(data, "lei string, payload string")
+    want = {}
+    for lei, text in data:
+        if text is None:
+            continue
+        found = [it.get("attributes", {}).get("isin") for it in json.loads(text)["data"]]
+        found = [x for x in found if x]
+        if found:
+            want[lei] = found
+    got = {r["lei"]: list(r["isins"]) for r in isin.isin_map(df).collect()}
+    assert got == want
+    # S2 keys are a subset of the requested LEIs
+    assert set(got) <= {lei for lei, _ in data}
