@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ownergraph.schema import ENTITY_COLUMNS, LEI_LENGTH, REQUIRED_ENTITY_COLUMNS
 
 # (?U) makes \s Unicode aware, so no-break and em spaces are removed too,
-# like Python's str.strip().
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# like Python's str.strip(); Python also counts the separators U+001C-U+001F
+# as whitespace, Java's \s does not, so they are listed explicitly.
+_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def _col(c) -> Column:

@@ -85,3 +85,18 @@ def test_isin_parsing_matches_python_json(spark, payloads):
     assert got == want
     # S2 keys are a subset of the requested LEIs
     assert set(got) <= {lei for lei, _ in data}
+
+
+PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+lei_text = st.text(alphabet=PY_WHITESPACE + "abcxyzABC0189", max_size=12)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(lei_text, min_size=1, max_size=20))
+def test_lei_normalisation_matches_python_strip_upper(spark, texts):
+    from ownergraph.operators import lookup
+
+    df = spark.createDataFrame([(t,) for t in texts], "lei_input string")
+    got = [(r["lei_input"], r["lei"], r["is_valid"]) for r in lookup.normalize_requests(df).collect()]
+    want = [(t, t.strip().upper(), len(t.strip().upper()) == 20) for t in texts]
+    assert sorted(got) == sorted(want)
