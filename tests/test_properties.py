@@ -100,3 +100,34 @@ def test_lei_normalisation_matches_python_strip_upper(spark, texts):
     got = [(r["lei_input"], r["lei"], r["is_valid"]) for r in lookup.normalize_requests(df).collect()]
     want = [(t, t.strip().upper(), len(t.strip().upper()) == 20) for t in texts]
     assert sorted(got) == sorted(want)
+
+
+def _ilike_contains(name: str, text: str) -> bool:
+    import re
+
+    rx = "".join(".*" if ch == "%" else "." if ch == "_" else re.escape(ch) for ch in text.lower())
+    return re.fullmatch(".*" + rx + ".*", name.lower(), flags=re.S) is not None
+
+
+search_alpha = "aAb%_\\ "
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet=search_alpha, max_size=6), min_size=1, max_size=10),
+       st.lists(st.text(alphabet=search_alpha, max_size=3), min_size=1, max_size=4))
+def test_name_search_matches_ilike_model(spark, names, texts):
+    from ownergraph.operators import lookup, search
+
+    ents = [entity(f"S{i:019d}", n, "x", "US") for i, n in enumerate(names)]
+    e = make_entities(spark, ents)
+    for text in texts:
+        want = sorted((n, f"S{i:019d}") for i, n in enumerate(names) if _ilike_contains(n, text))[:3]
+        got = [(r["legal_name"], r["lei"]) for r in lookup.search_by_name(e, text, 3).collect()]
+        assert got == want
+    batch = search.search_by_name_batch(e, spark.createDataFrame([(t,) for t in texts], "query string"), 3)
+    got_b = sorted((r["query"], r["rank"], r["lei"]) for r in batch.collect())
+    want_b = []
+    for text in set(texts):
+        hits = sorted((n, f"S{i:019d}") for i, n in enumerate(names) if _ilike_contains(n, text))[:3]
+        want_b += [(text, k + 1, lei) for k, (_, lei) in enumerate(hits)]
+    assert got_b == sorted(want_b)
