@@ -131,3 +131,31 @@ def test_name_search_matches_ilike_model(spark, names, texts):
         hits = sorted((n, f"S{i:019d}") for i, n in enumerate(names) if _ilike_contains(n, text))[:3]
         want_b += [(text, k + 1, lei) for k, (_, lei) in enumerate(hits)]
     assert got_b == sorted(want_b)
+
+
+field = st.text(alphabet='ab ,"\n\tZ1', max_size=8)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(field, field, field), min_size=1, max_size=8))
+def test_csv_values_round_trip(spark, records):
+    import csv
+    import os
+    import tempfile
+
+    from ownergraph.schema import EXCEPTION_COLUMNS
+    from ownergraph.sources import csv_ingest
+
+    folder = tempfile.mkdtemp(prefix="ownergraph-prop-csv-")
+    path = os.path.join(folder, "x.csv")
+    with open(path, "w", newline="", encoding="utf-8") as fh:
+        w = csv.writer(fh, quoting=csv.QUOTE_MINIMAL, lineterminator="\n")
+        w.writerow(list(EXCEPTION_COLUMNS))
+        for i, (a, b, c) in enumerate(records):
+            w.writerow([f"L{i:019d}", a, b, c])
+    got = sorted(
+        tuple(r[k] for k in EXCEPTION_COLUMNS.values())
+        for r in csv_ingest.read_dataset_csv(spark, path, "repex").collect()
+    )
+    want = sorted((f"L{i:019d}", a or None, b or None, c or None) for i, (a, b, c) in enumerate(records))
+    assert got == want
