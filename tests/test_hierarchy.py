@@ -313,3 +313,24 @@ def test_deep_descendant_trees_match_brute_force(spark):
         _, want_tree = _brute(sorted(edges), ents, 6)
         got = rows(hierarchy.descendant_tree(e, r, max_depth=6), "root_lei", "node_lei", "depth", "parent_lei")
         assert got == want_tree
+
+
+def test_degenerate_inputs(spark):
+    from ownergraph.operators import report, search
+
+    e = make_entities(spark, [entity("A" * 20, "Alpha", "x", "US"), entity("B" * 20, "Beta", "x", "US")])
+    no_edges = make_rels(spark, [])
+    no_entities = make_entities(spark, [])
+    x = spark.createDataFrame([], "lei string, exception_category string, exception_reason_1 string, exception_reference_1 string")
+    # no edges: every entity is its own group of one
+    assert rows(hierarchy.corporate_groups(e, no_edges)[2], "lei", "total_entities") == [("A" * 20, 1), ("B" * 20, 1)]
+    assert rows(listing.registry_listing(e, no_edges), "line_no") == [(0,), (0,), (1,), (1,)]
+    assert hierarchy.descendant_tree(e, no_edges).count() == 2
+    assert report.full_report_counts(e, no_edges, x).count() == 2
+    # no entities: empty answers, no errors
+    r = make_rels(spark, [("A" * 20, "B" * 20, DIRECT_PARENT, "ACTIVE")])
+    assert hierarchy.corporate_groups(no_entities, r)[1].count() == 0
+    assert listing.registry_listing(no_entities, r).count() == 0
+    assert hierarchy.ancestor_chain(no_entities, r).count() == 0
+    texts = spark.createDataFrame([("a",), ("",)], "query string")
+    assert search.search_by_name_batch(no_entities, texts).count() == 0
