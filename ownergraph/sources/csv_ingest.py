@@ -102,14 +102,18 @@ def layout_relationships(rels: DataFrame, out_path: str, partitions: int) -> Non
     """The access paths the source builds as indexes, as file layout.
 
     Two copies: clustered by child and by parent. Each is range-partitioned
-    on its key (disjoint key ranges per file) and sorted inside the file, so
-    Parquet file and row-group min/max statistics skip all but the matching
-    row groups of a LEI lookup.
+    on (key, other end) and sorted inside the file, so Parquet file and
+    row-group min/max statistics skip all but the matching row groups of a
+    LEI lookup. The other end as second range key splits a hot key (a parent
+    owning a third of all edges) across files instead of one task.
     """
-    for key, sub in (("start_node_id", "by_child"), ("end_node_id", "by_parent")):
+    for key, other, sub in (
+        ("start_node_id", "end_node_id", "by_child"),
+        ("end_node_id", "start_node_id", "by_parent"),
+    ):
         (
-            rels.repartitionByRange(partitions, key)
-            .sortWithinPartitions(key, "relationship_type", "relationship_status")
+            rels.repartitionByRange(partitions, key, other)
+            .sortWithinPartitions(key, other, "relationship_type")
             .write.mode("overwrite")
             .parquet(f"{out_path.rstrip('/')}/{sub}")
         )

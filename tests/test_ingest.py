@@ -157,3 +157,17 @@ def test_malformed_rows_dropped_even_when_only_unselected_columns_differ(spark):
     )
     df = csv_ingest.read_dataset_csv(spark, _write(body), "repex")
     assert rows(df, "lei") == [("A0000000000000000001",)]
+
+
+def test_layout_splits_a_hot_parent_across_files(spark):
+    import glob
+
+    from ownergraph.schema import DIRECT_PARENT
+
+    rows_ = [(f"C{i:019d}", "H" * 20, DIRECT_PARENT, "ACTIVE") for i in range(400)]
+    r = spark.createDataFrame(rows_, "start_node_id string, end_node_id string, relationship_type string, relationship_status string")
+    out = tempfile.mkdtemp(prefix="ownergraph-layout-hot-")
+    csv_ingest.layout_relationships(r, out, 4)
+    files = [f for f in glob.glob(out + "/by_parent/*.parquet")]
+    assert len(files) > 1
+    assert spark.read.parquet(out + "/by_parent").where(F.col("end_node_id") == "H" * 20).count() == 400
