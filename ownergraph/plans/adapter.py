@@ -148,9 +148,3 @@ def adapter_tables(spark: SparkSession, sf_dir: str, cache: bool = True) -> dict
     if cache:
         _CACHE[key] = frames
     return frames
-
-
-def model_tables(spark: SparkSession, sf_dir: str, cache: bool = True):
-    """(entities, relationships, exceptions) of the adapter."""
-    t = adapter_tables(spark, sf_dir, cache)
-    return t["lei_records"], t["relationships"], t["reporting_exceptions"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -112,12 +111,3 @@ def materialize_counted(
     got = obs.get
     counts = [int(got[f"n{i}"] or 0) for i in range(len(metrics))]
     return out, (counts[0] if by is None else counts)
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python file APIs can read a local path."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)

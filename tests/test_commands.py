@@ -29,3 +29,45 @@ def test_name_search_command(spark, base):
     out = commands.name_search(commands.Tables(e, r, x), "child", limit=1)
     assert out.title.collect()[0]["title"] == "Name Search: 'child' (1 result)"
     assert [row["lei"] for row in out.results.collect()] == [CHILD_A]
+
+
+def test_end_to_end_from_csv_files(spark, deep):
+    import os
+    import tempfile
+
+    from conftest import PARENT
+
+    from ownergraph.operators import hierarchy, report
+    from ownergraph.sources import snapshots
+    from ownergraph.sources.loader import load_all
+
+    import csv
+
+    from ownergraph.schema import COLUMN_MAPS
+
+    e, r = deep
+    x = make_exceptions(spark, [(ULTIMATE, "CAT", "R", "")])
+    folder = tempfile.mkdtemp(prefix="ownergraph-e2e-")
+    os.makedirs(f"{folder}/raw")
+    for kind, df in (("lei2", e), ("rr", r), ("repex", x)):
+        # one CSV file per dataset, named as the publisher names them
+        cmap = COLUMN_MAPS[kind]
+        with open(f"{folder}/raw/20260425-0800-pub-goldencopy-{kind}-golden-copy.csv", "w", newline="") as fh:
+            w = csv.writer(fh, lineterminator="\n")
+            w.writerow(list(cmap))
+            for row in df.collect():
+                w.writerow([row[c] if c in df.columns and row[c] is not None else "" for c in cmap.values()])
+    files = snapshots.list_files(spark, f"{folder}/raw/*.csv")
+    latest = {row["dataset_type"]: row["path"] for row in snapshots.latest_snapshots(files).collect()}
+    assert set(latest) == {"lei2", "rr", "repex"}
+    counts = load_all(spark, latest, f"{folder}/tables", {"lei2": "2026-04-25"}, f"{folder}/meta")
+    assert counts == {"lei2": 5, "rr": 6, "repex": 1}
+    t = commands.open_tables(spark, f"{folder}/tables")
+    raw = spark.createDataFrame([(CHILD_A,)], "lei_input string")
+    lines = report.order_report(commands.lei_report(t, raw).lines).collect()
+    assert [x["section"] for x in lines][:3] == ["entity", "direct_parent", "ultimate_parent"]
+    assert lines[1]["text"].startswith(PARENT)
+    tree = report.order_tree(hierarchy.descendant_tree(t.entities, t.relationships, spark.createDataFrame([(ULTIMATE,)], "lei string")))
+    assert [x["node_lei"] for x in tree.collect()][0] == ULTIMATE
+    status = rows(commands.status(spark, f"{folder}/meta"), "dataset", "records")
+    assert ("Level 1 - LEI Records", "5") in status
