@@ -117,3 +117,15 @@ def layout_relationships(rels: DataFrame, out_path: str, partitions: int) -> Non
             .write.mode("overwrite")
             .parquet(f"{out_path.rstrip('/')}/{sub}")
         )
+
+
+def layout_exceptions(exceptions: DataFrame, out_path: str, partitions: int) -> None:
+    """I13 for the reporting exceptions: range-partitioned and sorted on
+    (lei, category), so a lookup by LEI reads only the row groups whose
+    min/max range holds it."""
+    (
+        exceptions.repartitionByRange(partitions, "lei", "exception_category")
+        .sortWithinPartitions("lei", "exception_category")
+        .write.mode("overwrite")
+        .parquet(out_path)
+    )

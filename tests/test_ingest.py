@@ -171,3 +171,13 @@ def test_layout_splits_a_hot_parent_across_files(spark):
     files = [f for f in glob.glob(out + "/by_parent/*.parquet")]
     assert len(files) > 1
     assert spark.read.parquet(out + "/by_parent").where(F.col("end_node_id") == "H" * 20).count() == 400
+
+
+def test_layout_exceptions(spark, base, capsys):
+    _, _, x = base
+    out = tempfile.mkdtemp(prefix="ownergraph-layout-exc-") + "/repex"
+    csv_ingest.layout_exceptions(x, out, 2)
+    back = spark.read.parquet(out)
+    assert back.count() == x.count()
+    back.where(F.col("lei") == "X").explain()
+    assert "EqualTo(lei,X)" in capsys.readouterr().out
