@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import gc
+import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +17,29 @@ BATCH_ROWS = 2_000
 BATCH_BYTES = 16 << 20
 
 
+_SHIPPED: set[str] = set()  # applications whose executors have this package
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package (its code, no data)."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    name = os.path.join(tempfile.mkdtemp(prefix="ownergraph-code-"), "ownergraph.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for folder, _, files in os.walk(os.path.join(top, "ownergraph")):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), top))
+    spark.sparkContext.addPyFile(name)
+    _SHIPPED.add(app)
+
+
 def prepare(spark: SparkSession) -> None:
-    """Shared checkpoint folder and Arrow batch limits of the session."""
+    """Shared checkpoint folder, code on the executors and Arrow batch limits."""
     ensure_checkpoint_dir(spark)
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ownergraph.llm.bpe_count import token_counts
 from ownergraph.llm.common import prepare, table
 from ownergraph.llm.packing import pack
+from ownergraph.llm.simhash_anchor import near_duplicates
 from ownergraph.llm.token_files import token_files
+from ownergraph.llm.warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +27,16 @@ def register(fn):
     return fn
 
 
+@register
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
+
+
+@register
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 @register
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
