@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ownergraph.llm import embedding_pq
 from ownergraph.llm.bpe_count import token_counts
 from ownergraph.llm.common import prepare, table
 from ownergraph.llm.packing import pack
@@ -27,6 +28,11 @@ def register(fn):
     return fn
 
 
+@register
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_pq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @register
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
