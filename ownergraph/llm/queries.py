@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ownergraph.llm import embedding_pq
 from ownergraph.llm.bpe_count import token_counts
 from ownergraph.llm.common import prepare, table
+from ownergraph.llm.language_gru import language_id
 from ownergraph.llm.packing import pack
 from ownergraph.llm.simhash_anchor import near_duplicates
 from ownergraph.llm.token_files import token_files
+from ownergraph.llm.toxicity import toxicity
 from ownergraph.llm.warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +58,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+@register
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
