@@ -34,6 +34,7 @@ UNITS = 8
 WINDOW = 128
 STEPS, BATCH, RATE = 350, 256, 0.015
 UNKNOWN = "und"
+LEAST_SCORE = 0.35  # below, no language is taken as found
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -233,3 +234,15 @@ def language_id(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), language(F.col("text"), net).alias("__p")
     ).select("doc_id", "held_out", "__p.lang_pred", "__p.score")
+
+
+def in_known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The documents in which a language is found, columns unchanged: not ``und``,
+    and a score of at least ``least_score`` (so a text in two languages stays)."""
+    net = train(training_sample(docs))
+    p = F.col("__p")
+    return (
+        docs.withColumn("__p", language(F.col("text"), net))
+        .where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least_score))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ownergraph.llm import embedding_pq
 from ownergraph.llm.bpe_count import token_counts
 from ownergraph.llm.common import prepare, table
+from ownergraph.llm.edit_match import contamination
 from ownergraph.llm.language_gru import language_id
+from ownergraph.llm.line_dedup import line_report
 from ownergraph.llm.packing import pack
 from ownergraph.llm.simhash_anchor import near_duplicates
 from ownergraph.llm.token_files import token_files
@@ -22,6 +24,8 @@ ORACLES: dict[str, str] = {}
 
 
 def register(fn):
+    """Register a query; its oracle, where SQL can express it, is in ORACLES."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
         return fn(spark, sf_dir)
@@ -35,6 +39,11 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_pq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+@register
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
@@ -50,6 +59,46 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+# Every pair of lines with a common word is counted in full.
+ORACLES["op6_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents),
+worded AS (
+  SELECT doc_id, line_no, list_sort(list_distinct(list_filter(
+         string_split_regex(line, '[ \\t\\r\\x0B\\f]+'), lambda w: w <> ''))) AS ws
+  FROM lines),
+sets AS (
+  SELECT ws, len(ws) AS n, min({'d': doc_id, 'l': line_no}) AS head, row_number() OVER () AS s
+  FROM worded WHERE len(ws) > 0 GROUP BY ws),
+words AS (SELECT s, n, unnest(ws) AS w FROM sets),
+alike AS (
+  SELECT a.s AS s, b.s AS t
+  FROM words a JOIN words b ON a.w = b.w AND a.s < b.s AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)
+  GROUP BY a.s, b.s, a.n, b.n
+  HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+both_ways AS (SELECT s, t FROM alike UNION ALL SELECT t, s FROM alike),
+cuts AS (
+  SELECT x.s, x.ws, least(x.head, coalesce(min(y.head), x.head)) AS cut
+  FROM sets x LEFT JOIN both_ways p ON p.s = x.s LEFT JOIN sets y ON y.s = p.t
+  GROUP BY x.s, x.ws, x.head),
+gone AS (
+  SELECT DISTINCT doc_id, line_no FROM worded JOIN cuts USING (ws)
+  WHERE {'d': doc_id, 'l': line_no} > cut)
+SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, coalesce(g.nos, '') AS removed_lines
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) AS n, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS nos
+  FROM gone GROUP BY doc_id) g USING (doc_id)
+"""
+
+
 @register
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)

@@ -254,25 +254,52 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits),
-    component_id (smallest doc_id reachable by links, itself included)."""
+def groups(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, fp, component_id, row, stays.
+
+    ``row`` is the row's ``monotonically_increasing_id``; of every group the row
+    with the smallest doc_id (known ids first, then the smallest row) stays."""
     own = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text"), shingle).alias("fp")),
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            fingerprints(F.col("text"), shingle).alias("fp"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
         "fingerprints",
     )
-    least = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-groups")
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    least = stored(own.groupBy("fp").agg(F.min(first).alias("first")), "fingerprint-groups")
     linked = components(links(least.select("fp"), bits))
-    # Least document per component, then per fingerprint; each join reads two
+    # First document per component, then per fingerprint; each join reads two
     # written tables, so a hot component or fingerprint can be split.
     part = stored(
         least.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", "least", F.coalesce("component", "fp").alias("component")
+            "fp", "first", F.coalesce("component", "fp").alias("component")
         ),
         "fingerprint-components",
     )
-    named = stored(part.groupBy("component").agg(F.min("least").alias("component_id")), "component-names")
-    by_fp = stored(part.join(named, "component").select("fp", "component_id"), "fingerprint-names")
-    return own.join(by_fp, "fp").select(
+    named = stored(part.groupBy("component").agg(F.min("first").alias("best")), "component-names")
+    by_fp = stored(
+        part.join(named, "component").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("best_row")),
+        "fingerprint-names",
+    )
+    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id", "row", (F.col("row") == F.col("best_row")).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest
+    doc_id reachable by links, itself included)."""
+    return groups(docs, shingle, bits).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+    """One document of every group, columns unchanged. ``docs`` must be a table
+    that gives the same rows in the same order when read again."""
+    stay = stored(groups(docs, shingle, bits).where("stays").select(F.col("row").alias("__row")), "fingerprint-stay")
+    return (
+        docs.withColumn("__row", F.monotonically_increasing_id())
+        .join(stay, "__row", "left_semi")
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )
