@@ -62,8 +62,10 @@ def related_projection(
     type_col: Column,
     status_col: Column,
     direction: str,
+    stored_name: bool = False,
 ) -> list[Column]:
-    """E5 + E16: one related-entity row (name NULL when empty, status '')."""
+    """E5 + E16: one related-entity row (name NULL when empty, status '').
+    ``stored_name`` adds the name as stored, the key of the display order."""
     return [
         request_col.alias("lei"),
         related_col.alias("related_lei"),
@@ -71,4 +73,5 @@ def related_projection(
         type_col.alias("relationship_type"),
         null_to_empty(status_col).alias("relationship_status"),
         F.lit(direction).alias("direction"),
+        *([name_col.alias("stored_name")] if stored_name else []),
     ]

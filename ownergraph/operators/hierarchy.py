@@ -1,29 +1,26 @@
 """H1-H6: ancestor chains, descendant trees, corporate groups.
 
-Both walks are level-synchronous loops of DataFrame jobs (``_walk``): each
-level is one join of the frontier with the direct active edges, then a
-reliable checkpoint (lineage stays one level deep, a lost executor only
-recomputes the last level); the level's row count is observed during the
-checkpoint, so the driver learns that a walk is over without another job and
-no rows pass through it. Depth is capped by ``max_depth`` (default 50), which
-bounds the output to at most ``max_depth + 1`` rows per start and path.
-
-* Ancestors (H1) enumerate every simple path upwards, carrying the path for
-  the cycle guard, like the source.
+* Ancestors (H1) are by definition one row per simple path upwards: a level by
+  level walk that carries the path for the cycle guard.
 * Descendants (H2) keep one row per (root, node) with the smallest depth and
-  then the smallest parent LEI. A node's shortest walk is always simple, so a
-  breadth-first walk with a visited anti join gives exactly that row without
-  enumerating paths (no blow-up on diamonds).
-* Corporate groups of the whole registry (H3 + H4) come from ONE upward walk:
-  roots are its deepest nodes and the trees a regrouping of it
-  (``registry_group_levels``); a request list walks up from the requests and
-  down from their roots instead.
-
-Edges and skew: ``_prepare_edges`` measures the edges once. Small edge sets
-(proven <= 32 MB) are broadcast - no shuffle per level, work spread by start
-row. Larger ones are joined by shuffle: AQE splits hot keys (a parent owning a
-third of the registry); they are pre-partitioned for the downward walk only
-when no key is hot. Per-level groupings are map-side combined ``min``.
+  then the smallest parent LEI. From given roots this is a breadth-first walk
+  with a visited anti join (``descendant_levels``). With every entity as a root
+  the distances are doubled instead (``_shortest``): what lies within 2^k of a
+  node follows from what lies within 2^(k-1), so six rounds cover depth 50.
+* Group roots (H3) are the deepest nodes of the simple upward paths. A start
+  that cannot reach a cycle has only simple walks, so distinct
+  (start, node, depth) rows tell, again by doubling (``_walk_lengths``) and
+  without paths; only starts that reach a cycle are walked with paths.
+* Corporate groups (H4) are breadth-first trees of the distinct roots, for a
+  request list and for the whole registry alike.
+
+Every level or round is a reliable checkpoint (a lost executor only recomputes
+the last one); row counts are observed while it runs, so the driver learns that
+a walk is over without another job and no rows pass through it. Joins are left
+to the planner: both sides come from stored rows and have an exchange of their
+own, so AQE broadcasts a small side or splits a hot key (a parent owning a third
+of the registry), and the grouping after a join is on other keys, behind its own
+exchange.
 """
 
 from __future__ import annotations
@@ -47,50 +44,7 @@ def _direct_edges(rels: DataFrame) -> DataFrame:
         F.col("start_node_id").alias("__child"),
         F.col("end_node_id").alias("__parent"),
         F.col("relationship_type").alias("__type"),
-    )
-
-
-# An upward walk used to build trees gives up when a level holds more than
-# this many times the rows of its first level (paths multiplying).
-PATH_GROWTH_LIMIT = 8.0
-# Depth limits up to this use the breadth-first walk for descendant trees.
-SHALLOW_DEPTH = 4
-
-# Edge sets up to this many bytes are broadcast to every level's join.
-BROADCAST_EDGE_BYTES = 32 * 1024 * 1024
-
-
-def _prepare_edges(
-    edges: DataFrame, key: str, pre_partition: bool, hot_factor: float = 2.0
-) -> tuple[DataFrame, DataFrame | None]:
-    """Choose how a walk meets its edges; returns ``(edges_to_join, persisted)``.
-
-    One aggregate job measures the edges' exact byte size and their largest
-    join key:
-
-    * at most ``BROADCAST_EDGE_BYTES``: the edges are kept and broadcast, so a
-      level needs no shuffle at all and its work stays spread by start row,
-      whatever ancestor the rows share;
-    * else, with ``pre_partition``, and no key above ``hot_factor`` x the
-      average partition: hash-partitioned on the key once and kept, so a
-      level shuffles only its frontier (a pre-partitioned side has no shuffle
-      stage, so AQE could not split a hot key there - hence the check);
-    * otherwise as they are: every level's join is re-planned by AQE, which
-      splits hot partitions.
-    """
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # JSON text of the row: an upper bound of its in-memory size
-    width = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in edges.columns])))
-    per_key = edges.groupBy(key).agg(F.count(F.lit(1)).alias("c"), F.sum(width).alias("b"))
-    stats = per_key.agg(F.max("c").alias("largest"), F.sum("c").alias("total"), F.sum("b").alias("bytes")).first()
-    largest, total, size = (stats["largest"] or 0), (stats["total"] or 0), (stats["bytes"] or 0)
-    if size <= BROADCAST_EDGE_BYTES:
-        kept = edges.persist(StorageLevel.MEMORY_AND_DISK)
-        return F.broadcast(kept), kept
-    if pre_partition and total and largest <= hot_factor * total / n:
-        kept = edges.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
-        return kept, kept
-    return edges, None
+    ).where("__child IS NOT NULL AND __parent IS NOT NULL")
 
 
 def _anchors(entities: DataFrame, requests: DataFrame | None, key: str) -> DataFrame:
@@ -130,22 +84,19 @@ def _walk(
     max_depth: int,
     visited_keys: list[str] | None = None,
     levels_per_job: int | None = None,
-    growth_limit: float | None = None,
-) -> DataFrame | None:
+) -> DataFrame:
     """Run ``step(frontier, seen, depth)`` level by level from ``start``
     (depth 0) until a level is empty or ``max_depth`` is reached.
 
     ``seen`` is the union of ``visited_keys`` of all earlier levels (None when
     no visited set is kept). Each block of levels is one reliable checkpoint;
     the rows per depth are observed while it runs, so the driver learns that
-    the walk is over without another job. With ``growth_limit`` the walk gives
-    up (returns None) as soon as a level holds more than that many times the
-    rows of the first level - the sign of paths multiplying.
+    the walk is over without another job.
     """
     levels_per_job = levels_per_job or LEVELS_PER_JOB
     blocks = [start]
     visited = [start.select(*visited_keys)] if visited_keys else None
-    frontier, depth, first = start, 1, None
+    frontier, depth = start, 1
     while depth <= max_depth:
         k = min(levels_per_job, max_depth - depth + 1)
         seen = union_all(visited) if visited_keys else None
@@ -161,9 +112,6 @@ def _walk(
         blocks.append(block)
         if visited_keys:
             visited.append(block.select(*visited_keys))
-        first = counts[0] if first is None else first
-        if growth_limit is not None and max(counts) > growth_limit * max(first, 1):
-            return None
         if counts[-1] == 0:
             break
         frontier = block.where(F.col("depth") == depths[-1])
@@ -176,27 +124,19 @@ def _walk(
 # ---------------------------------------------------------------------------
 
 
-def _upward_walk(
-    starts: DataFrame, rels: DataFrame, max_depth: int, growth_limit: float | None = None
-) -> DataFrame | None:
+def _upward_walk(starts: DataFrame, rels: DataFrame, max_depth: int) -> DataFrame:
     """Every simple upward path from each start (column ``lei``):
-    ``(lei, node_lei, via_type, depth, parent_lei, first_hop)``.
+    ``(lei, node_lei, via_type, depth, parent_lei)``.
 
-    ``parent_lei`` is the previous node of the walk (the child side);
-    ``first_hop`` is the start's direct parent the path leaves through.
+    ``parent_lei`` is the previous node of the walk (the child side).
     """
-    # The hot side of this join is the frontier (many starts below one
-    # ancestor): small edges are broadcast (no shuffle, work stays spread by
-    # start); large ones are never pre-partitioned, so AQE can split the
-    # frontier's hot partitions each level.
-    edges, kept = _prepare_edges(_direct_edges(rels), "__child", pre_partition=False)
+    edges = _direct_edges(rels).persist(StorageLevel.MEMORY_AND_DISK)
     level = starts.select(
         "lei",
         F.col("lei").alias("node_lei"),
         F.lit(None).cast("string").alias("via_type"),
         F.lit(0).alias("depth"),
         F.lit(None).cast("string").alias("parent_lei"),
-        F.lit(None).cast("string").alias("first_hop"),
         F.array(F.col("lei")).alias("path"),
     )
 
@@ -210,14 +150,12 @@ def _upward_walk(
             F.col("__type").alias("via_type"),
             F.lit(depth).alias("depth"),
             F.col("node_lei").alias("parent_lei"),
-            F.coalesce(F.col("first_hop"), F.col("__parent")).alias("first_hop"),
             F.array_append(F.col("path"), F.col("__parent")).alias("path"),
         )
 
-    walked = _walk(level, step, max_depth, growth_limit=growth_limit)
-    if kept is not None:
-        kept.unpersist()
-    return None if walked is None else walked.drop("path")
+    walked = _walk(level, step, max_depth)
+    edges.unpersist()
+    return walked.drop("path")
 
 
 def ancestor_levels(
@@ -232,7 +170,7 @@ def ancestor_levels(
     the previous node of the walk (the child side), as in the source.
     """
     starts = _anchors(entities, requests, "lei")
-    return _upward_walk(starts, rels, max_depth).drop("first_hop")
+    return _upward_walk(starts, rels, max_depth)
 
 
 def ancestor_chain(
@@ -285,7 +223,7 @@ def descendant_levels(
         )
         extra_root = [F.array(F.col("__key")).alias("sort_path")]
         extra_step = [F.array_append(F.col("sort_path"), F.col("__key")).alias("s")]
-    edges, kept = _prepare_edges(edges, "__parent", pre_partition=True)
+    edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
     level = anchors.select(
         "root_lei",
         F.col("root_lei").alias("node_lei"),
@@ -294,6 +232,7 @@ def descendant_levels(
         F.lit(None).cast("string").alias("parent_lei"),
         *extra_root,
     )
+
     def step(cur: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
         nxt = cur.join(edges, cur["node_lei"] == edges["__parent"]).select(
             "root_lei",
@@ -313,33 +252,71 @@ def descendant_levels(
         )
 
     levels = _walk(level, step, max_depth, visited_keys=["root_lei", "node_lei"])
-    if kept is not None:
-        kept.unpersist()
+    edges.unpersist()
     return levels
 
 
+def _shortest(rels: DataFrame, max_depth: int) -> DataFrame:
+    """``(root_lei, node_lei, depth, parent_lei)`` of every pair joined by a
+    downward walk of 1 to ``max_depth`` edges: shortest depth, then smallest
+    parent, found by doubling the distance.
+
+    Every shortest walk longer than 2^k passes a node at distance 2^k from its
+    root, so the pairs at that distance, continued by all pairs known so far,
+    give all pairs up to 2^(k+1), with the right parent: the least over all those
+    nodes is the least over all shortest walks.
+    """
+    pair = ["root_lei", "node_lei"]
+    known = _direct_edges(rels).where("__child <> __parent").groupBy(
+        F.col("__parent").alias("root_lei"), F.col("__child").alias("node_lei")
+    ).agg(F.min(F.struct(F.lit(1).alias("d"), F.col("__parent").alias("p"))).alias("__b"))
+    reach = 1
+    known, (at_reach,) = materialize_counted(
+        known.select(*pair, F.col("__b.d").alias("depth"), F.col("__b.p").alias("parent_lei")), by=("depth", [reach])
+    )
+    while at_reach and reach < max_depth:
+        far = known.where(F.col("depth") == reach).select("root_lei", F.col("node_lei").alias("__mid"))
+        more = known.select(
+            F.col("root_lei").alias("__from"), "node_lei", (F.col("depth") + reach).alias("d"), F.col("parent_lei").alias("p")
+        ).where(F.col("d") <= max_depth)
+        found = far.join(more, far["__mid"] == more["__from"]).where(F.col("root_lei") != F.col("node_lei"))
+        best = (
+            known.select(*pair, F.struct(F.col("depth").alias("d"), F.col("parent_lei").alias("p")).alias("__b"))
+            .unionByName(found.select(*pair, F.struct("d", "p").alias("__b")))
+            .groupBy(*pair)
+            .agg(F.min("__b").alias("__b"))
+        )
+        reach *= 2
+        known, (at_reach,) = materialize_counted(
+            best.select(*pair, F.col("__b.d").alias("depth"), F.col("__b.p").alias("parent_lei")), by=("depth", [reach])
+        )
+    return known
+
+
 def descendant_tree(
     entities: DataFrame,
     rels: DataFrame,
     roots: DataFrame | None = None,
     max_depth: int = MAX_HIERARCHY_DEPTH,
 ) -> DataFrame:
-    """H2: one row per node below each root (root itself at depth 0).
-
-    For every entity as a root (``roots`` None) and a depth limit above
-    ``SHALLOW_DEPTH`` the trees are regrouped from one upward walk, which
-    needs no shuffle per level (measured ~25% faster at sf0.1; for a shallow
-    limit the few breadth-first levels are cheaper); the walk gives up if
-    its paths multiply (a level above ``PATH_GROWTH_LIMIT`` x the first), and
-    the breadth-first walk, which never enumerates paths, answers instead.
-    """
-    levels = None
-    if roots is None and max_depth > SHALLOW_DEPTH:
-        walk = _registry_walk(entities, rels, max_depth, growth_limit=PATH_GROWTH_LIMIT)
-        if walk is not None:
-            levels = _trees_from_walk(walk, entities.select(F.col("lei").alias("__r")))
-    if levels is None:
-        levels = descendant_levels(entities, rels, roots, max_depth)
+    """H2: one row per node below each root (root itself at depth 0). With
+    ``roots`` None every entity is a root."""
+    if roots is not None:
+        return with_node_info(descendant_levels(entities, rels, roots, max_depth), entities, ["root_lei"])
+    own = _anchors(entities, None, "root_lei").distinct()
+    top = own.select(
+        "root_lei",
+        F.col("root_lei").alias("node_lei"),
+        F.lit(None).cast("string").alias("via_type"),
+        F.lit(0).alias("depth"),
+        F.lit(None).cast("string").alias("parent_lei"),
+    )
+    if max_depth < 1:
+        return with_node_info(top, entities, ["root_lei"])
+    below = _shortest(rels, max_depth).join(own, "root_lei", "left_semi")
+    levels = top.unionByName(
+        below.select("root_lei", "node_lei", F.lit(DIRECT_PARENT).alias("via_type"), "depth", "parent_lei")
+    )
     return with_node_info(levels, entities, ["root_lei"])
 
 
@@ -348,18 +325,39 @@ def descendant_tree(
 # ---------------------------------------------------------------------------
 
 
-def _roots_from_walk(levels: DataFrame, entities: DataFrame) -> DataFrame:
-    deepest = levels.groupBy("lei").agg(
-        F.min(F.struct((-F.col("depth")).alias("d"), F.col("node_lei").alias("n"))).alias("__top")
-    )
-    known = entities.select(F.col("lei").alias("__known")).groupBy("__known").agg(
-        F.lit(True).alias("__is_entity")
-    )
-    joined = deepest.join(known, deepest["__top.n"] == known["__known"], "left")
-    return joined.select(
-        "lei",
-        F.when(F.col("__is_entity"), F.col("__top.n")).otherwise(F.col("lei")).alias("root_lei"),
+def _walk_lengths(edges: DataFrame, max_depth: int) -> DataFrame:
+    """Distinct ``(lei, node_lei, depth)`` of all upward walks of 1 to
+    ``max_depth`` edges, by doubling: a walk longer than 2^k is one of 2^k edges
+    followed by a shorter one. At most nodes x ancestors x depth rows, however
+    many paths there are."""
+    cols = ["lei", "node_lei", "depth"]
+    reach = 1
+    walks, (longest,) = materialize_counted(
+        edges.select(F.col("__child").alias("lei"), F.col("__parent").alias("node_lei"), F.lit(1).alias("depth")).distinct(),
+        by=("depth", [1]),
     )
+    while longest and reach < max_depth:
+        first = walks.where(F.col("depth") == reach).select("lei", F.col("node_lei").alias("__mid"))
+        rest = walks.select(F.col("lei").alias("__from"), "node_lei", (F.col("depth") + reach).alias("depth")).where(
+            F.col("depth") <= max_depth
+        )
+        more = first.join(rest, first["__mid"] == rest["__from"]).select(*cols).distinct()
+        reach *= 2
+        more, (longest,) = materialize_counted(more, by=("depth", [reach]))
+        walks = walks.unionByName(more)
+    return walks
+
+
+def _edges_above(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+    """The edges that upward walks from ``starts`` can use."""
+    top = starts.select(F.col("lei").alias("node"), F.lit(0).alias("depth")).distinct()
+
+    def step(cur: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
+        nxt = cur.join(edges, cur["node"] == edges["__child"]).select(F.col("__parent").alias("node")).distinct()
+        return nxt.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"))
+
+    met = _walk(top, step, max_depth, visited_keys=["node"])
+    return materialize(edges.join(met.select(F.col("node").alias("__child")).distinct(), "__child", "left_semi"))
 
 
 def group_roots(
@@ -371,58 +369,50 @@ def group_roots(
     """H3: ``(lei, root_lei)`` - the deepest node of the ancestor walk
     (ties: smallest LEI); when that node is not an entity, the entity itself
     is the root."""
-    return _roots_from_walk(ancestor_levels(entities, rels, requests, max_depth), entities)
+    starts = _anchors(entities, requests, "lei")
+    if max_depth < 1:
+        return starts.select("lei", F.col("lei").alias("root_lei"))
+    edges = _direct_edges(rels)
+    if requests is not None:
+        edges = _edges_above(edges, starts, max_depth)
+    walks = _walk_lengths(edges, max_depth)
+    # Starts that meet a node which a walk leads back to: their walks are not
+    # all simple, they need the paths.
+    circular = walks.where(F.col("lei") == F.col("node_lei")).select(F.col("node_lei").alias("__c")).distinct()
+    tangled = (
+        walks.join(circular, walks["node_lei"] == circular["__c"], "left_semi")
+        .select(F.col("lei").alias("__t"))
+        .distinct()
+    )
+    tangled = materialize(starts.select("lei").distinct().join(tangled, F.col("lei") == F.col("__t"), "left_semi"))
+    simple = walks.join(starts.select("lei").distinct(), "lei", "left_semi").join(tangled, "lei", "left_anti")
+    deep = simple
+    if not tangled.isEmpty():
+        deep = simple.unionByName(_upward_walk(tangled, rels, max_depth).where("depth > 0").select("lei", "node_lei", "depth"))
+    deepest = deep.groupBy("lei").agg(
+        F.min(F.struct((-F.col("depth")).alias("d"), F.col("node_lei").alias("n"))).alias("__top")
+    )
+    known = entities.select(F.col("lei").alias("__known")).distinct().withColumn("__is_entity", F.lit(True))
+    tops = deepest.join(known, deepest["__top.n"] == known["__known"], "left").select(
+        F.col("lei").alias("__l"), F.when(F.col("__is_entity"), F.col("__top.n")).alias("__root")
+    )
+    return starts.join(tops, starts["lei"] == tops["__l"], "left").select(
+        "lei", F.coalesce("__root", "lei").alias("root_lei")
+    )
 
 
-def registry_group_levels(
-    entities: DataFrame, rels: DataFrame, max_depth: int = MAX_HIERARCHY_DEPTH
+def group_levels(
+    entities: DataFrame,
+    rels: DataFrame,
+    requests: DataFrame | None = None,
+    max_depth: int = MAX_HIERARCHY_DEPTH,
+    with_sort_path: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """H3 + H4 for the whole registry from ONE upward walk.
-
-    Returns ``(roots, levels)``: ``roots`` = ``(lei, root_lei)`` per entity;
-    ``levels`` = the descendant tree of every distinct root as
-    ``(root_lei, node_lei, via_type, depth, parent_lei)``.
-
-    A node v lies in the tree of root r at depth d exactly when r is on one
-    of v's simple upward paths and d is the shortest such depth; its tree
-    parent (smallest parent at depth d - 1) is the smallest first hop of those
-    shortest paths. So the trees are a regrouping of the upward walk - which
-    H3 needs anyway - and no second, downward walk is run. The walk starts
-    from every entity and every child of a direct edge (trees keep children
-    that are not entities).
-    """
-    walk = _registry_walk(entities, rels, max_depth)
-    entity_starts = walk.join(entities.select(F.col("lei").alias("__e")), F.col("lei") == F.col("__e"), "left_semi")
-    roots = materialize(_roots_from_walk(entity_starts, entities))
-    distinct_roots = roots.select(F.col("root_lei").alias("__r")).distinct()
-    return roots, _trees_from_walk(walk, distinct_roots)
-
-
-def _registry_walk(
-    entities: DataFrame, rels: DataFrame, max_depth: int, growth_limit: float | None = None
-) -> DataFrame | None:
-    """Upward walk from every entity and every child of a direct edge (trees
-    keep children that are not entities)."""
-    direct = active_edges(rels, [DIRECT_PARENT]).select(F.col("start_node_id").alias("lei"))
-    starts = entities.select("lei").unionByName(direct).where(F.col("lei").isNotNull()).distinct()
-    return _upward_walk(starts, rels, max_depth, growth_limit)
-
-
-def _trees_from_walk(walk: DataFrame, roots: DataFrame) -> DataFrame:
-    """Descendant trees of ``roots`` (column ``__r``) regrouped from an upward
-    walk: one row per (root, node) with the shortest depth and the smallest
-    first hop as parent."""
-    hits = walk.join(roots, walk["node_lei"] == roots["__r"], "left_semi")
-    best = hits.groupBy(F.col("node_lei").alias("root_lei"), F.col("lei").alias("node_lei")).agg(
-        F.min(F.struct(F.col("depth").alias("d"), F.col("first_hop").alias("p"))).alias("__b")
-    )
-    return best.select(
-        "root_lei",
-        "node_lei",
-        F.when(F.col("__b.d") > 0, F.lit(DIRECT_PARENT)).alias("via_type"),
-        F.col("__b.d").alias("depth"),
-        F.col("__b.p").alias("parent_lei"),
-    )
+    """``(roots, levels)``: H3 per requested entity, and the breadth-first tree
+    of every distinct root, once per root however many requests map to it."""
+    roots = materialize(group_roots(entities, rels, requests, max_depth))
+    distinct_roots = roots.select(F.col("root_lei").alias("lei")).distinct()
+    return roots, descendant_levels(entities, rels, distinct_roots, max_depth, with_sort_path)
 
 
 def corporate_groups(
@@ -434,18 +424,10 @@ def corporate_groups(
     """H4: ``(roots, members, sizes)``.
 
     * roots   - ``(lei, root_lei)`` per requested entity (H3);
-    * members - the descendant tree of every distinct root, expanded once
-      per root however many requests map to it;
+    * members - the descendant tree of every distinct root, with names;
     * sizes   - ``(lei, root_lei, total_entities)``.
     """
-    if requests is None:
-        roots, levels = registry_group_levels(entities, rels, max_depth)
-    else:
-        # A request list: walk up from the requests only, then down from
-        # their roots - cheaper than walking up from the whole registry.
-        roots = materialize(group_roots(entities, rels, requests, max_depth))
-        distinct_roots = roots.select(F.col("root_lei").alias("lei")).distinct()
-        levels = descendant_levels(entities, rels, distinct_roots, max_depth)
+    roots, levels = group_levels(entities, rels, requests, max_depth)
     members = with_node_info(levels, entities, ["root_lei"])
     # sizes from the bare levels: no name join needed to count
     counts = levels.groupBy("root_lei").agg(F.count(F.lit(1)).cast("long").alias("total_entities"))

@@ -7,16 +7,9 @@ from pyspark.sql import functions as F
 
 from ownergraph.functions.display import node_label
 from ownergraph.functions.normalize import empty_to_null
-from ownergraph.operators.hierarchy import (
-    BROADCAST_EDGE_BYTES,
-    _sort_key,
-    descendant_levels,
-    registry_group_levels,
-    with_node_info,
-)
+from ownergraph.operators.hierarchy import descendant_levels, group_levels, with_node_info
 from ownergraph.operators.ranking import ordinal_within_group
 from ownergraph.schema import MAX_HIERARCHY_DEPTH
-from ownergraph.session import materialize
 from ownergraph.sources.isin import attach_isins
 
 
@@ -76,51 +69,6 @@ def hierarchy_listing(
     return _numbered(levels, entities, isins, with_header)
 
 
-def sort_paths(entities: DataFrame, levels: DataFrame) -> DataFrame:
-    """Add ``sort_path`` to tree rows ``(root_lei, node_lei, via_type, depth,
-    parent_lei)`` by pointer doubling on the kept-parent forest.
-
-    Each row starts with its own key and a pointer to its parent; a round
-    prepends the pointed-to row's path and jumps the pointer to that row's
-    pointer, so after k rounds a row holds the last 2^k keys of its path:
-    ceil(log2(depth + 1)) checkpointed rounds instead of one per level.
-    Rows join their ancestor on (root, node); a hot ancestor is a skewed key
-    on the descendant side, which AQE splits. When one aggregate proves the
-    ancestor side small (its size now times the longest path it can reach,
-    under ``BROADCAST_EDGE_BYTES``) it is broadcast and no round shuffles.
-    """
-    names = entities.select(F.col("lei").alias("__nl"), F.col("legal_name").alias("__nn"))
-    t = levels.join(names, levels["node_lei"] == names["__nl"], "left").select(
-        "root_lei", "node_lei", "via_type", "depth", "parent_lei",
-        F.col("parent_lei").alias("__up"),
-        F.array(_sort_key("__nn", "node_lei")).alias("sort_path"),
-    )
-    width = F.octet_length(F.to_json(F.struct("root_lei", "node_lei", "__up", "sort_path")))
-    stats = t.agg(F.max("depth").alias("d"), F.sum(width).alias("b")).first()
-    deepest, size = (stats["d"] or 0), (stats["b"] or 0)
-    small = size * (deepest + 1) <= BROADCAST_EDGE_BYTES
-    span = 1
-    while span <= deepest:
-        anc = t.select(
-            F.col("root_lei").alias("__ar"), F.col("node_lei").alias("__an"),
-            F.col("sort_path").alias("__as"), F.col("__up").alias("__aup"),
-        )
-        if small:
-            anc = F.broadcast(anc)
-        joined = t.join(anc, (t["root_lei"] == anc["__ar"]) & (t["__up"] == anc["__an"]), "left")
-        t = materialize(
-            joined.select(
-                "root_lei", "node_lei", "via_type", "depth", "parent_lei",
-                F.when(F.col("__up").isNull(), F.lit(None).cast("string")).otherwise(F.col("__aup")).alias("__up"),
-                F.when(F.col("__up").isNull(), F.col("sort_path"))
-                .otherwise(F.concat(F.col("__as"), F.col("sort_path")))
-                .alias("sort_path"),
-            )
-        )
-        span *= 2
-    return t.drop("__up")
-
-
 def registry_listing(
     entities: DataFrame,
     rels: DataFrame,
@@ -128,32 +76,16 @@ def registry_listing(
     isins: DataFrame | None = None,
     with_header: bool = True,
 ) -> DataFrame:
-    """H7 for every corporate group of the registry: the trees come from the
-    single upward walk of ``registry_group_levels`` and the pre-order keys
-    from pointer doubling - no downward walk at all."""
-    _roots, levels = registry_group_levels(entities, rels, max_depth)
-    return _numbered(sort_paths(entities, materialize(levels)), entities, isins, with_header)
+    """H7 for every corporate group of the registry."""
+    _, levels = group_levels(entities, rels, None, max_depth, with_sort_path=True)
+    return _numbered(levels, entities, isins, with_header)
 
 
-def children_map(tree: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+def children_map(tree: DataFrame) -> DataFrame:
     """H8 long form: ``(root_lei, parent_lei, pos, node_lei)`` - the children
-    of each parent in listing order (depth, name NULLs last, LEI), 1-based.
-    ``tree`` is a descendant tree (H2 output); the root has parent NULL.
-
-    With ``entities`` the order uses the stored name, so an empty name sorts
-    first as in the source; without, the tree's normalised name (empty ->
-    NULL, last) is used.
-    """
-    rows = tree.select("root_lei", "parent_lei", "node_lei", "depth", "legal_name")
-    if entities is not None:
-        raw = entities.select(F.col("lei").alias("__rl"), F.col("legal_name").alias("__raw"))
-        rows = rows.drop("legal_name").join(raw, rows["node_lei"] == raw["__rl"], "left").select(
-            "root_lei", "parent_lei", "node_lei", "depth", F.col("__raw").alias("legal_name")
-        )
-    ordered = ordinal_within_group(
-        rows,
-        ["root_lei", "parent_lei"],
-        [F.col("depth"), F.col("legal_name").isNull(), F.col("legal_name"), F.col("node_lei")],
-        "pos",
-    )
+    of each parent in listing order (depth, stored name NULLs last, LEI), 1-based;
+    the root has parent NULL. ``tree`` is ``descendant_levels`` or
+    ``group_levels`` with ``with_sort_path``, whose last key holds the name."""
+    rows = tree.select("root_lei", "parent_lei", "node_lei", "depth", F.element_at("sort_path", -1).alias("k"))
+    ordered = ordinal_within_group(rows, ["root_lei", "parent_lei"], [F.col("depth"), F.col("k")], "pos")
     return ordered.select("root_lei", empty_to_null("parent_lei").alias("parent_lei"), "pos", "node_lei")

@@ -2,9 +2,7 @@
 
 ``row_number().over(Window.partitionBy(g))`` puts every row of a group into
 one task; a corporate group holding a third of the registry would then sit in
-a single task. So the input is checkpointed once and its largest group is
-measured: when it fits one task (``max_task_rows``) the window is used;
-otherwise the rows are range-partitioned on (group, order keys) - a hot group
+a single task. So rows are range-partitioned on (group, order keys) - a hot group
 is cut into many partitions - and each row's position is its global rank
 minus the global rank of its group's first row. The only small pieces there
 are per-partition counts (one row per partition, broadcast, bounded by the
@@ -25,36 +23,15 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
 
-# Largest group a single task may rank with a window.
-MAX_TASK_ROWS = 1_000_000
-
-
 def ordinal_within_group(
     df: DataFrame,
     group_cols: list[str],
     order_cols: list[Column],
     out_col: str = "ordinal",
     partitions: int | None = None,
-    max_task_rows: int | None = None,
 ) -> DataFrame:
     """Add ``out_col`` = 1-based position of each row inside its group when
     ordered by ``order_cols`` (which must make the order total)."""
-    max_task_rows = MAX_TASK_ROWS if max_task_rows is None else max_task_rows
-    df = materialize(df)
-    largest = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
-    if largest <= max_task_rows:
-        window = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.withColumn(out_col, F.row_number().over(window).cast("long"))
-    return _ranked_by_range(df, group_cols, order_cols, out_col, partitions)
-
-
-def _ranked_by_range(
-    df: DataFrame,
-    group_cols: list[str],
-    order_cols: list[Column],
-    out_col: str,
-    partitions: int | None,
-) -> DataFrame:
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols] + list(order_cols)

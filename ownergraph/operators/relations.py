@@ -17,7 +17,7 @@ from ownergraph.schema import DIRECT_PARENT, ENTITY_COLUMNS, ULTIMATE_PARENT
 
 
 def parents(
-    entities: DataFrame, rels: DataFrame, rel_type: str, requests: DataFrame | None = None
+    entities: DataFrame, rels: DataFrame, rel_type: str, requests: DataFrame | None = None, stored_name: bool = False
 ) -> DataFrame:
     """The parent entity of each child for ``rel_type``.
 
@@ -30,19 +30,23 @@ def parents(
     ent = entities.select(*ENTITY_COLUMNS).alias("p")
     joined = chosen.join(ent, chosen["end_node_id"] == F.col("p.lei"), "inner")
     return joined.select(
-        F.col("start_node_id").alias("lei"), *entity_projection("p", lei_alias="parent_lei")
+        F.col("start_node_id").alias("lei"),
+        *entity_projection("p", lei_alias="parent_lei"),
+        *([F.col("p.legal_name").alias("stored_name")] if stored_name else []),
     )
 
 
-def direct_parents(entities, rels, requests=None) -> DataFrame:
-    return parents(entities, rels, DIRECT_PARENT, requests)
+def direct_parents(entities, rels, requests=None, stored_name: bool = False) -> DataFrame:
+    return parents(entities, rels, DIRECT_PARENT, requests, stored_name)
 
 
-def ultimate_parents(entities, rels, requests=None) -> DataFrame:
-    return parents(entities, rels, ULTIMATE_PARENT, requests)
+def ultimate_parents(entities, rels, requests=None, stored_name: bool = False) -> DataFrame:
+    return parents(entities, rels, ULTIMATE_PARENT, requests, stored_name)
 
 
-def children(entities: DataFrame, rels: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+def children(
+    entities: DataFrame, rels: DataFrame, requests: DataFrame | None = None, stored_name: bool = False
+) -> DataFrame:
     """Every active edge into the LEI, of any type, with the child name.
 
     No type filter: a child with a direct and an ultimate edge to the same
@@ -59,11 +63,14 @@ def children(entities: DataFrame, rels: DataFrame, requests: DataFrame | None =
             F.col("relationship_type"),
             F.col("relationship_status"),
             "child",
+            stored_name,
         )
     )
 
 
-def siblings(entities: DataFrame, rels: DataFrame, requests: DataFrame) -> DataFrame:
+def siblings(
+    entities: DataFrame, rels: DataFrame, requests: DataFrame, stored_name: bool = False
+) -> DataFrame:
     """R4 for a request list: entities sharing the chosen direct parent.
 
     The answer for one LEI is all other members of its parent's group, so a
@@ -88,6 +95,7 @@ def siblings(entities: DataFrame, rels: DataFrame, requests: DataFrame) -> DataF
             F.col("relationship_type"),
             F.col("relationship_status"),
             "sibling",
+            stored_name,
         )
     )
 
@@ -148,7 +156,7 @@ def sibling_counts(rels: DataFrame, requests: DataFrame | None = None) -> DataFr
 
 
 def other_relationships(
-    entities: DataFrame, rels: DataFrame, requests: DataFrame | None = None
+    entities: DataFrame, rels: DataFrame, requests: DataFrame | None = None, stored_name: bool = False
 ) -> DataFrame:
     """Active edges of a non-consolidation type at either end.
 
@@ -186,6 +194,7 @@ def other_relationships(
             F.col("relationship_type"),
             F.col("relationship_status"),
             "other",
+            stored_name,
         )
     )
 
@@ -203,10 +212,13 @@ def reporting_exceptions(exceptions: DataFrame, requests: DataFrame | None = Non
 
 
 def order_related(df: DataFrame) -> DataFrame:
-    """Display order of related rows: name (NULLs last), LEI, type."""
+    """Display order of related rows: stored name (an empty one first, NULLs
+    last), LEI, type. ``df`` is the output of an operator above, best with
+    ``stored_name``; without it the normalised name (empty is NULL) is used."""
+    name = "stored_name" if "stored_name" in df.columns else "legal_name"
     return df.orderBy(
         F.col("lei").asc(),
-        F.col("legal_name").asc_nulls_last(),
+        F.col(name).asc_nulls_last(),
         F.col("related_lei").asc(),
         F.col("relationship_type").asc(),
     )

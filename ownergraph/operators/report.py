@@ -1,11 +1,11 @@
 """The full relationship report of each requested entity.
 
 The report is a long table keyed by the requested LEI: one row per related
-entity and section. For a list of requests the siblings section is expanded
-(as the source does for one LEI). For the whole registry use
-``expand_siblings=False``: the section then holds one row pointing at the
-sibling group of the chosen parent (``sibling_groups``), because expanding
-it for every member would emit every pair of a group.
+entity and section. For a request list the siblings section holds the siblings,
+one row each. For the whole registry that would be every pair of every group, so
+the registry form has a section ``sibling_group`` instead: one row with the
+chosen parent and the number of siblings (``sibling_groups`` holds the members
+once per parent).
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from ownergraph.functions.display import address, or_na, parent_line
 from ownergraph.functions.normalize import null_to_empty
 from ownergraph.operators import relations
-from ownergraph.operators.edges import chosen_parent, union_all
+from ownergraph.operators.edges import union_all
 from ownergraph.operators.lookup import get_entities
-from ownergraph.schema import DIRECT_PARENT
+from ownergraph.operators.ranking import ordinal_within_group
+from ownergraph.sources.isin import attach_isins
 
 # Section order of the report.
 SECTIONS = {
@@ -27,6 +28,7 @@ SECTIONS = {
     "ultimate_parent": 3,
     "children": 4,
     "siblings": 5,
+    "sibling_group": 5,
     "other": 6,
     "exceptions": 7,
 }
@@ -43,6 +45,8 @@ LONG_COLUMNS = [
     "exception_category",
     "exception_reason",
     "exception_reference",
+    "sibling_count",
+    "stored_name",
 ]
 
 
@@ -65,32 +69,42 @@ def full_report_long(
     rels: DataFrame,
     exceptions: DataFrame,
     requests: DataFrame | None = None,
-    expand_siblings: bool = True,
+    rels_by_parent: DataFrame | None = None,
 ) -> DataFrame:
-    """P1 long form. Only requested LEIs that are entities get a report."""
+    """P1 long form. Only requested LEIs that are entities get a report.
+
+    ``requests`` None is the registry form (section ``sibling_group``), a list
+    gets the siblings themselves. ``rels_by_parent`` is a copy of ``rels``
+    clustered by parent for the lookups by parent (children).
+    ``stored_name`` is the name as stored, the key of the display order.
+    """
     subjects = get_entities(entities, requests)
     keys = subjects.select("lei")
+    names = entities.select(F.col("lei").alias("__own"), F.col("legal_name").alias("stored_name"))
     c = F.col
+    own = subjects.join(names, subjects["lei"] == names["__own"], "left")
     parts = [
-        _shape(subjects, "entity", lei=c("lei"), related_lei=c("lei"), legal_name=c("legal_name"),
-               entity_status=c("entity_status"), legal_jurisdiction=c("legal_jurisdiction")),
+        _shape(own, "entity", lei=c("lei"), related_lei=c("lei"), legal_name=c("legal_name"),
+               entity_status=c("entity_status"), legal_jurisdiction=c("legal_jurisdiction"),
+               stored_name=c("stored_name")),
     ]
     for section, fn in (("direct_parent", relations.direct_parents), ("ultimate_parent", relations.ultimate_parents)):
-        p = fn(entities, rels, keys)
+        p = fn(entities, rels, keys, stored_name=True)
         parts.append(_shape(p, section, lei=c("lei"), related_lei=c("parent_lei"), legal_name=c("legal_name"),
-                            entity_status=c("entity_status"), legal_jurisdiction=c("legal_jurisdiction")))
-    related = [("children", relations.children(entities, rels, keys)),
-               ("other", relations.other_relationships(entities, rels, keys))]
-    if expand_siblings:
-        related.append(("siblings", relations.siblings(entities, rels, keys)))
+                            entity_status=c("entity_status"), legal_jurisdiction=c("legal_jurisdiction"),
+                            stored_name=c("stored_name")))
+    related = [("children", relations.children(entities, rels if rels_by_parent is None else rels_by_parent, keys, True)),
+               ("other", relations.other_relationships(entities, rels, keys, True))]
+    if requests is not None:
+        related.append(("siblings", relations.siblings(entities, rels, keys, True)))
     for section, df in related:
         parts.append(_shape(df, section, lei=c("lei"), related_lei=c("related_lei"), legal_name=c("legal_name"),
                             relationship_type=c("relationship_type"),
-                            relationship_status=c("relationship_status")))
-    if not expand_siblings:
-        group = chosen_parent(rels, DIRECT_PARENT, keys)
-        parts.append(_shape(group, "siblings", lei=c("start_node_id"), related_lei=c("end_node_id"),
-                            relationship_type=F.lit("SIBLING_GROUP")))
+                            relationship_status=c("relationship_status"), stored_name=c("stored_name")))
+    if requests is None:
+        group = relations.sibling_counts(rels).join(keys, "lei", "left_semi").where("sibling_count > 0")
+        parts.append(_shape(group, "sibling_group", lei=c("lei"), related_lei=c("parent_lei"),
+                            sibling_count=c("sibling_count").cast("string")))
     exc = relations.reporting_exceptions(exceptions, keys)
     parts.append(_shape(exc, "exceptions", lei=c("lei"), exception_category=c("exception_category"),
                         exception_reason=c("exception_reason"), exception_reference=c("exception_reference")))
@@ -135,28 +149,25 @@ def full_report_counts(
 
 
 def report_leis(report: DataFrame) -> DataFrame:
-    """Distinct LEIs of each report (entity, parents, children, siblings,
-    others), with the position of their first occurrence
-    ``(lei, related_lei, section_no, first_pos)``; order by it to get the
-    source's first-seen order. ``first_pos`` is the display order inside the
-    section (name NULLs last, LEI, type)."""
-    rows = report.where(F.col("section") != "exceptions").where(F.col("related_lei").isNotNull())
+    """The distinct LEIs of each report of a request list (entity, parents,
+    children, siblings, others): ``(lei, related_lei, section_no, first_pos)``,
+    ``first_pos`` being the place (from 1) at which the LEI is first seen in
+    display order: section, stored name (NULLs last), LEI."""
+    rows = report.where(~F.col("section").isin("exceptions", "sibling_group")).where(F.col("related_lei").isNotNull())
     key = F.struct(
         F.col("section_no").alias("s"),
-        F.col("legal_name").isNull().alias("n0"),
-        F.col("legal_name").alias("n1"),
-        F.col("related_lei").alias("l"),
+        F.col("stored_name").isNull().alias("n0"),
+        F.col("stored_name").alias("n1"),
     )
-    first = rows.groupBy("lei", "related_lei").agg(F.min(key).alias("__k"))
-    return first.select("lei", "related_lei", F.col("__k.s").alias("section_no"))
+    first = rows.groupBy("lei", "related_lei").agg(F.min(key).alias("k"))
+    numbered = ordinal_within_group(first, ["lei"], [F.col("k"), F.col("related_lei")], "first_pos")
+    return numbered.select("lei", "related_lei", F.col("k.s").alias("section_no"), "first_pos")
 
 
 def entity_panel(entities: DataFrame, requests: DataFrame | None = None, isins: DataFrame | None = None) -> DataFrame:
     """The entity panel lines as columns."""
     e = get_entities(entities, requests)
     if isins is not None:
-        from ownergraph.sources.isin import attach_isins
-
         e = attach_isins(e, isins)
     cols = [
         "lei",
@@ -184,8 +195,6 @@ def parent_lines(
         p = fn(entities, rels, subjects)
         isin_col = None
         if isins is not None:
-            from ownergraph.sources.isin import attach_isins
-
             p = attach_isins(p, isins, "parent_lei", "__pi")
             isin_col = "__pi"
         line = p.select(
@@ -200,25 +209,29 @@ def parent_lines(
     )
 
 
+# Sections that are always shown, with "None" when empty; the fifth is that of
+# the report's form.
+ALWAYS_SHOWN = ("direct_parent", "ultimate_parent", "children")
 
-# Sections the source always prints, with "None" when empty.
-ALWAYS_SHOWN = ("direct_parent", "ultimate_parent", "children", "siblings")
 
-
-def report_display(report_long: DataFrame) -> DataFrame:
+def report_display(report_long: DataFrame, registry: bool, isins: DataFrame | None = None) -> DataFrame:
     """One display line per report entry ``(lei, section_no, section, pos, text)``.
 
     Parents as 'lei | name | status | jurisdiction-or-N/A'; related entities
     as 'lei | name-or-N/A | type'; exceptions as 'category | reason | reference'
-    ('' for missing parts); the entity itself as its name. Parent, children
-    and sibling sections that are empty get one 'None' line (pos 0), like the
-    source; other relationships and exceptions are then simply absent.
+    ('' for missing parts); the entity itself as its name; the sibling group of
+    the registry form (``registry``) as 'parent | count'. With ``isins``
+    parents and related entities get an ISIN part where there are any. Parent,
+    children and sibling sections that are empty get one 'None' line (pos 0);
+    other relationships and exceptions are then simply absent.
     """
-    from ownergraph.operators.ranking import ordinal_within_group
-
     sec = F.col("section")
+    rows, part = report_long, F.lit("")
+    if isins is not None:
+        rows, part = attach_isins(report_long, isins, "related_lei", "__isin_text"), F.col("__isin_text")
+    isin_part = F.when(part != "", F.concat(F.lit("ISINs: "), part))
     related = F.concat_ws(
-        " | ", F.col("related_lei"), F.coalesce(F.col("legal_name"), F.lit("N/A")), F.col("relationship_type")
+        " | ", F.col("related_lei"), F.coalesce(F.col("legal_name"), F.lit("N/A")), F.col("relationship_type"), isin_part
     )
     exc = F.concat_ws(
         " | ",
@@ -226,29 +239,29 @@ def report_display(report_long: DataFrame) -> DataFrame:
         F.coalesce(F.col("exception_reason"), F.lit("")),
         F.coalesce(F.col("exception_reference"), F.lit("")),
     )
-    parent = parent_line("related_lei", "legal_name", "entity_status", "legal_jurisdiction")
+    parent = parent_line("related_lei", "legal_name", "entity_status", "legal_jurisdiction", part)
     text = (
         F.when(sec == "entity", F.coalesce(F.col("legal_name"), F.lit("")))
         .when(sec.isin("direct_parent", "ultimate_parent"), parent)
         .when(sec == "exceptions", exc)
+        .when(sec == "sibling_group", F.concat_ws(" | ", F.col("related_lei"), F.col("sibling_count")))
         .otherwise(related)
     )
-    lines = report_long.select("lei", "section_no", "section", text.alias("text"),
-                               "legal_name", "related_lei", "relationship_type", "exception_category")
+    lines = rows.select("lei", "section_no", "section", text.alias("text"),
+                        "stored_name", "related_lei", "relationship_type", "exception_category")
     numbered = ordinal_within_group(
         lines,
         ["lei", "section"],
-        [F.col("legal_name").isNull(), F.col("legal_name"), F.col("related_lei"),
+        [F.col("stored_name").isNull(), F.col("stored_name"), F.col("related_lei"),
          F.col("relationship_type"), F.col("exception_category"), F.col("text")],
         "pos",
     ).select("lei", "section_no", "section", "pos", "text")
+    shown = [*ALWAYS_SHOWN, "sibling_group" if registry else "siblings"]
     subjects = report_long.where(sec == "entity").select("lei")
-    wanted = subjects.select(
-        "lei", F.explode(F.array(*[F.lit(s) for s in ALWAYS_SHOWN])).alias("section")
-    )
+    wanted = subjects.select("lei", F.explode(F.array(*[F.lit(s) for s in shown])).alias("section"))
     present = report_long.select("lei", "section").distinct()
     empty = wanted.join(present, ["lei", "section"], "left_anti")
-    section_no = F.create_map(*[x for s in ALWAYS_SHOWN for x in (F.lit(s), F.lit(SECTIONS[s]))])
+    section_no = F.create_map(*[x for s in shown for x in (F.lit(s), F.lit(SECTIONS[s]))])
     none_rows = empty.select(
         "lei", section_no[F.col("section")].alias("section_no"), "section",
         F.lit(0).cast("long").alias("pos"), F.lit("None").alias("text"),
@@ -261,6 +274,9 @@ def order_report(df: DataFrame) -> DataFrame:
     return df.orderBy("lei", "section_no", "pos")
 
 
-def order_tree(df: DataFrame, key: str = "root_lei") -> DataFrame:
-    """O2: tree rows by (depth, name NULLs last, LEI); chains by depth."""
-    return df.orderBy(F.col(key), "depth", F.col("legal_name").asc_nulls_last(), "node_lei")
+def order_tree(df: DataFrame, entities: DataFrame, key: str = "root_lei") -> DataFrame:
+    """O2: tree rows by (depth, stored name NULLs last, LEI); chains by depth."""
+    names = entities.select(F.col("lei").alias("__nl"), F.col("legal_name").alias("__nn"))
+    joined = df.join(names, df["node_lei"] == names["__nl"], "left")
+    ordered = joined.orderBy(F.col(key), "depth", F.col("__nn").asc_nulls_last(), "node_lei")
+    return ordered.drop("__nl", "__nn")

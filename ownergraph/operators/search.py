@@ -7,8 +7,8 @@ nested-loop join would pair every text with every name. Instead:
    piece must occur in every matching name, so every gram of that piece
    does too. Of that piece's grams (length ``min(3, len(piece))``) the one
    held by the fewest names is the probe.
-2. Names are indexed as ``(gram, lei, name)`` postings (distinct grams per
-   name); the texts join the postings on their probe gram - an equi-join, so
+2. Names are indexed as ``(gram, lei, name)`` postings of the grams that some
+   text holds (distinct per name), written once; the texts join the postings on their probe gram - an equi-join, so
    each name meets only the texts that can match it. A very common probe gram
    is a hot key; AQE's skew join splits it.
 3. Candidates are verified with ILIKE, then the first ``limit`` per text by
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ownergraph.functions.normalize import entity_projection
 from ownergraph.schema import DEFAULT_SEARCH_LIMIT, ENTITY_COLUMNS
+from ownergraph.session import materialize
 
 MAX_GRAM = 3
 
@@ -45,6 +46,10 @@ def _grams(text: F.Column, g: F.Column) -> F.Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, g)))
 
 
+def _tagged_grams(text: F.Column, g: int) -> F.Column:
+    return F.transform(_grams(text, F.lit(g)), lambda x: F.struct(F.lit(g).alias("g"), x.alias("gram")))
+
+
 def search_by_name_batch(
     entities: DataFrame, searches: DataFrame, limit: int = DEFAULT_SEARCH_LIMIT, text_col: str = "query"
 ) -> DataFrame:
@@ -68,20 +73,21 @@ def search_by_name_batch(
     text_grams = literal.select(
         "query", "pattern", "g", F.explode(_grams(F.col("piece"), F.col("g"))).alias("gram")
     )
-    gram_sizes = [r["g"] for r in literal.select("g").distinct().collect()]  # at most 3 values
-    postings = None
-    for g in gram_sizes:
-        part = names.select(
-            "lei", "legal_name", F.lit(g).alias("g"),
-            F.explode(_grams(F.lower(F.col("legal_name")), F.lit(g))).alias("gram"),
-        )
-        postings = part if postings is None else postings.unionByName(part)
+    # One small job: gram lengths in use (at most 3 values), and whether there
+    # are texts without a literal character.
+    shapes = {r["g"] for r in texts.select("g").distinct().collect()}
+    gram_sizes = sorted(shapes - {0})
     ranked_parts = []
-    if postings is not None:
-        wanted = text_grams.select("g", "gram").distinct()
-        freq = postings.join(wanted, ["g", "gram"], "left_semi").groupBy("g", "gram").agg(
-            F.count(F.lit(1)).alias("df")
+    if gram_sizes:
+        # Only wanted grams become postings; they are written once, counted
+        # (combined per task, behind an exchange of its own) and joined.
+        wanted = text_grams.select(F.col("g").alias("__g"), F.col("gram").alias("__gram")).distinct()
+        grams = F.flatten(F.array(*[_tagged_grams(F.lower(F.col("legal_name")), g) for g in gram_sizes]))
+        exploded = names.select("lei", "legal_name", F.explode(grams).alias("x")).select("lei", "legal_name", "x.g", "x.gram")
+        postings = materialize(
+            exploded.join(wanted, (F.col("g") == F.col("__g")) & (F.col("gram") == F.col("__gram")), "left_semi")
         )
+        freq = postings.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("df"))
         probe = (
             text_grams.join(freq, ["g", "gram"], "left")
             .groupBy("query", "pattern", "g")
@@ -92,19 +98,19 @@ def search_by_name_batch(
         ranked_parts.append(candidates.select("query", "lei", "legal_name"))
 
     # --- texts without a literal character: top names per name length ------
-    wild = texts.where(F.col("g") == 0)
-    by_len = Window.partitionBy("len").orderBy("legal_name", "lei")
-    per_len = (
-        names.withColumn("len", F.length("legal_name"))
-        .withColumn("__r", F.row_number().over(by_len))
-        .where(F.col("__r") <= limit)
-        .drop("__r")
-    )
-    # texts x name lengths is small: lengths are bounded by the longest name
-    lengths = per_len.select("len").distinct()
-    wild_lens = wild.join(F.broadcast(lengths), F.col("len") >= F.col("n_underscore"))
-    wild_hits = wild_lens.join(per_len, "len").select("query", "lei", "legal_name")
-    ranked_parts.append(wild_hits)
+    if 0 in shapes or not shapes:
+        wild = texts.where(F.col("g") == 0)
+        by_len = Window.partitionBy("len").orderBy("legal_name", "lei")
+        per_len = (
+            names.withColumn("len", F.length("legal_name"))
+            .withColumn("__r", F.row_number().over(by_len))
+            .where(F.col("__r") <= limit)
+            .drop("__r")
+        )
+        # texts x name lengths is small: lengths are bounded by the longest name
+        lengths = per_len.select("len").distinct()
+        wild_lens = wild.join(F.broadcast(lengths), F.col("len") >= F.col("n_underscore"))
+        ranked_parts.append(wild_lens.join(per_len, "len").select("query", "lei", "legal_name"))
 
     hits = ranked_parts[0]
     for p in ranked_parts[1:]:

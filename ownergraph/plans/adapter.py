@@ -148,3 +148,14 @@ def adapter_tables(spark: SparkSession, sf_dir: str, cache: bool = True) -> dict
     if cache:
         _CACHE[key] = frames
     return frames
+
+
+def store_adapter_tables(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write the adapter views of ``sf_dir`` as Parquet below ``folder``; later
+    queries over ``sf_dir`` in this session scan those files."""
+    frames = adapter_tables(spark, sf_dir, cache=False)
+    stored = {t: frames[t] for t in BASE_TABLES}
+    for name, _ in VIEWS:
+        frames[name].write.parquet(f"{folder}/{name}")
+        stored[name] = spark.read.parquet(f"{folder}/{name}")
+    _CACHE[(spark.sparkContext.applicationId, sf_dir)] = stored

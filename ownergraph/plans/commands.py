@@ -18,7 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ownergraph.operators import hierarchy, listing, lookup, report
-from ownergraph.schema import DEFAULT_SEARCH_LIMIT, MAX_HIERARCHY_DEPTH
+from ownergraph.schema import (
+    DATASET_KINDS,
+    DEFAULT_SEARCH_LIMIT,
+    KIND_ENTITIES,
+    KIND_EXCEPTIONS,
+    MAX_HIERARCHY_DEPTH,
+)
+from ownergraph.sources import csv_ingest
 from ownergraph.sources import isin as isin_src
 from ownergraph.sources import metadata
 
@@ -29,19 +36,23 @@ class Tables:
     relationships: DataFrame
     exceptions: DataFrame
     isins: DataFrame | None = None  # (lei, isins array) from isin_map
+    relationships_by_parent: DataFrame | None = None  # the same edges, clustered by parent
 
 
 def open_tables(spark: SparkSession, table_dir: str, isin_payloads: str | None = None) -> Tables:
-    """The Parquet tables written by ``load_all`` (one folder per kind)."""
+    """The Parquet tables written by ``load_all``; edges come from their
+    clustered copies."""
     base = table_dir.rstrip("/")
     isins = None
     if isin_payloads:
         isins = isin_src.isin_map(spark.read.parquet(isin_payloads))
+    rows = {kind: spark.read.parquet(f"{base}/{kind}") for kind in DATASET_KINDS}
     return Tables(
-        spark.read.parquet(f"{base}/lei2"),
-        spark.read.parquet(f"{base}/rr"),
-        spark.read.parquet(f"{base}/repex"),
+        rows[KIND_ENTITIES],
+        spark.read.parquet(f"{base}/{csv_ingest.BY_CHILD}"),
+        rows[KIND_EXCEPTIONS],
         isins,
+        spark.read.parquet(f"{base}/{csv_ingest.BY_PARENT}"),
     )
 
 
@@ -57,12 +68,12 @@ class LeiReport:
 def lei_report(t: Tables, raw: DataFrame, input_col: str = "lei_input") -> LeiReport:
     cleaned = lookup.normalize_requests(raw, input_col)
     valid = cleaned.where("is_valid").select("lei").distinct()
-    long = report.full_report_long(t.entities, t.relationships, t.exceptions, valid)
+    long = report.full_report_long(t.entities, t.relationships, t.exceptions, valid, t.relationships_by_parent)
     return LeiReport(
         rejected=cleaned.where(~F.col("is_valid")),
         missing=lookup.missing_leis(t.entities, valid),
         report=long,
-        lines=report.report_display(long),
+        lines=report.report_display(long, registry=False, isins=t.isins),
         panel=report.entity_panel(t.entities, valid, t.isins),
     )
 
@@ -76,7 +87,7 @@ class LeiTree:
 
 def lei_tree(t: Tables, raw: DataFrame, input_col: str = "lei_input", max_depth: int = MAX_HIERARCHY_DEPTH) -> LeiTree:
     valid = lookup.valid_requests(raw, input_col).distinct()
-    roots, _members, sizes = hierarchy.corporate_groups(t.entities, t.relationships, valid, max_depth)
+    roots, _, sizes = hierarchy.corporate_groups(t.entities, t.relationships, valid, max_depth)
     distinct_roots = roots.select(F.col("root_lei").alias("lei")).distinct()
     lines = listing.hierarchy_listing(t.entities, t.relationships, distinct_roots, max_depth, t.isins)
     return LeiTree(roots, sizes, lines)

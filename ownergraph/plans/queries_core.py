@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ownergraph.operators import hierarchy, lookup, relations
+from ownergraph.operators.edges import chosen_parent
 from ownergraph.plans.catalogue import (
     ACTIVE_SQL,
     ALL_NODES_SQL,
     D,
+    OTHER_ENDS_SQL,
     U,
     ancestors_cte,
     descendants_cte,
@@ -21,6 +23,7 @@ from ownergraph.plans.catalogue import (
     tables,
     tree_select_sql,
 )
+from ownergraph.schema import DIRECT_PARENT
 
 # ---------------------------------------------------------------------------
 # E1 / E2 / L1 / L2
@@ -186,19 +189,46 @@ def q_sibling_groups(spark, sf_dir):
     return relations.sibling_groups(t["lei_records"], t["relationships"])
 
 
+def sibling_requests(spark, sf_dir):
+    """A request list made from all direct edges: of every chosen parent the
+    smallest child, so that the siblings asked for stay linear in the edges."""
+    chosen = chosen_parent(tables(spark, sf_dir)["relationships"], DIRECT_PARENT)
+    return chosen.groupBy("end_node_id").agg(F.min("start_node_id").alias("lei")).select("lei")
+
+
+# The same list, from the definition: children no child of whose parent is less.
+SIBLING_REQUESTS_SQL = (
+    f"own_parent AS (SELECT q, p FROM (SELECT q, {first_parent_sql('all_nodes.q', D)} AS p FROM all_nodes) c "
+    "WHERE p IS NOT NULL), "
+    "asked AS (SELECT q AS lei, p FROM own_parent x WHERE NOT EXISTS "
+    "(SELECT 1 FROM own_parent y WHERE y.p = x.p AND y.q < x.q))"
+)
+
+
 @register(
-    "other_relationships",
+    "siblings",
     oracle(
-        "SELECT n.q AS lei, "
-        "CASE WHEN r.start_node_id = n.q THEN r.end_node_id ELSE r.start_node_id END AS related_lei, "
-        "nullif(l.legal_name, '') AS legal_name, r.relationship_type, "
-        "coalesce(r.relationship_status, '') AS relationship_status, 'other' AS direction "
-        "FROM all_nodes n JOIN relationships r "
-        "ON (r.start_node_id = n.q OR r.end_node_id = n.q) "
-        "LEFT JOIN lei_records l ON l.lei = "
-        "(CASE WHEN r.start_node_id = n.q THEN r.end_node_id ELSE r.start_node_id END) "
-        f"WHERE r.relationship_type NOT IN ({D}, {U}) AND r.{ACTIVE_SQL}",
+        "SELECT x.lei, r.start_node_id AS related_lei, nullif(l.legal_name, '') AS legal_name, "
+        "r.relationship_type, coalesce(r.relationship_status, '') AS relationship_status, "
+        "'sibling' AS direction FROM asked x JOIN relationships r ON r.end_node_id = x.p "
+        f"AND r.{ACTIVE_SQL} AND r.relationship_type = {D} AND r.start_node_id <> x.lei "
+        "LEFT JOIN lei_records l ON l.lei = r.start_node_id",
         ALL_NODES_SQL,
+        SIBLING_REQUESTS_SQL,
+    ),
+)
+def q_siblings(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return relations.siblings(t["lei_records"], t["relationships"], sibling_requests(spark, sf_dir))
+
+
+@register(
+    "other_relationships",
+    oracle(
+        "SELECT o.lei, o.related_lei, nullif(l.legal_name, '') AS legal_name, o.relationship_type, "
+        "o.status AS relationship_status, 'other' AS direction "
+        "FROM other_ends o LEFT JOIN lei_records l ON l.lei = o.related_lei",
+        OTHER_ENDS_SQL,
     ),
 )
 def q_other_relationships(spark, sf_dir):

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ownergraph.operators import lookup, quality
+from ownergraph.operators import lookup, quality, relations
 from ownergraph.operators.edges import union_all
 from ownergraph.plans.adapter import base_table
-from ownergraph.plans.catalogue import entity_cols_sql, oracle, register, tables
+from ownergraph.plans.catalogue import ACTIVE_SQL, ISIN_LIST_SQL, D, entity_cols_sql, oracle, register, tables
 from ownergraph.schema import (
+    COLUMN_MAPS,
+    DIRECT_PARENT,
     EXCEPTION_COLUMNS,
     KIND_ENTITIES,
     KIND_EXCEPTIONS,
@@ -17,29 +19,49 @@ from ownergraph.schema import (
     RELATIONSHIP_COLUMNS,
 )
 from ownergraph.session import scratch_path
-from ownergraph.sources import csv_ingest, isin, metadata, snapshots
+from ownergraph.sources import csv_ingest, isin, loader, metadata, snapshots
 
 # ---------------------------------------------------------------------------
 # CSV round trip of the adapter tables through the loaders
 # ---------------------------------------------------------------------------
 
-# Names of entities whose LEI ends in 0 get a line break and doubled quotes,
-# so the loads exercise multi-line fields and the quote escape.
+# Names of entities whose LEI ends in 0 get a line break and doubled quotes, names
+# of those that end in 5 letters beyond ASCII and a replacement character that
+# was really written: multi-line fields, the quote escape and the encoding.
 NAME_TAIL_SPARK = '\n"quoted, part"'
 NAME_TAIL_SQL = "chr(10) || '\"quoted, part\"'"
+WIDE_TAIL = " \u0141\u00f3d\u017a \ufffd"
 
 
 def _dirty_entities(entities):
-    name = F.when(
-        F.col("lei").endswith("0"), F.concat(F.col("legal_name"), F.lit(NAME_TAIL_SPARK))
-    ).otherwise(F.col("legal_name"))
-    return entities.withColumn("legal_name", name)
+    lei, name = F.col("lei"), F.col("legal_name")
+    dirty = F.when(lei.endswith("0"), F.concat(name, F.lit(NAME_TAIL_SPARK))).when(
+        lei.endswith("5"), F.concat(name, F.lit(WIDE_TAIL))
+    )
+    return entities.withColumn("legal_name", dirty.otherwise(name))
 
 
-def _roundtrip(spark, df, kind, tag):
-    path = scratch_path(spark, tag)
+def _write_dirty_csv(df, kind, path):
+    """The CSV files of ``df`` plus rows that are too short and too long, one of
+    each for every row of the mapped columns' first file: none may be loaded."""
     csv_ingest.write_csv_with_headers(df, kind, path)
-    return csv_ingest.read_dataset_csv(spark, path, kind)
+    headers = list(COLUMN_MAPS[kind])
+    key = F.regexp_replace(F.coalesce(F.col(df.columns[0]), F.lit("")), '[",\\s]', "")
+    short = F.concat(key, F.lit(",short"))
+    long = F.concat(key, F.lit(",x" * len(headers)))
+    lines = df.where(F.col(df.columns[0]).endswith("1")).select(F.explode(F.array(short, long)).alias("value"))
+    head = df.sparkSession.createDataFrame([(",".join(f'"{h}"' for h in headers),)], "value string")
+    # One file: its header line first.
+    (
+        head.withColumn("__o", F.lit(0)).unionByName(lines.withColumn("__o", F.lit(1)))
+        .coalesce(1).sortWithinPartitions("__o").select("value").write.mode("append").text(path)
+    )
+
+
+def _roundtrip(spark, df, kind, tag, multi_line=True):
+    path = scratch_path(spark, tag)
+    _write_dirty_csv(df, kind, path)
+    return csv_ingest.read_dataset_csv(spark, path, kind, multi_line=multi_line)
 
 
 def _text_cols_sql(column_map, present, overrides=None):
@@ -68,7 +90,10 @@ LOAD_ENTITIES_SQL = oracle(
     + _text_cols_sql(
         LEVEL1_COLUMNS,
         ENTITY_PRESENT,
-        {"legal_name": f"CASE WHEN lei LIKE '%0' THEN legal_name || {NAME_TAIL_SQL} ELSE legal_name END"},
+        {
+            "legal_name": f"CASE WHEN lei LIKE '%0' THEN legal_name || {NAME_TAIL_SQL} "
+            f"WHEN lei LIKE '%5' THEN legal_name || '{WIDE_TAIL}' ELSE legal_name END"
+        },
     )
     + " FROM lei_records"
 )
@@ -86,7 +111,7 @@ def q_load_entities(spark, sf_dir):
 )
 def q_load_relationships(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return _roundtrip(spark, t["relationships"], KIND_RELATIONSHIPS, "load-relationships")
+    return _roundtrip(spark, t["relationships"], KIND_RELATIONSHIPS, "load-relationships", multi_line=False)
 
 
 @register(
@@ -116,7 +141,7 @@ def q_dataset_counts(spark, sf_dir):
     ):
         csv_path = scratch_path(spark, f"csv-{name}")
         out_path = scratch_path(spark, f"table-{name}")
-        csv_ingest.write_csv_with_headers(df, kind, csv_path)
+        _write_dirty_csv(df, kind, csv_path)
         csv_ingest.load_dataset(spark, kind, csv_path, out_path)
         frames.append(csv_ingest.table_count(spark.read.parquet(out_path), kind))
     return union_all(frames)
@@ -128,18 +153,18 @@ def q_dataset_counts(spark, sf_dir):
 
 META_CURRENT_SQL = (
     "meta_current AS ("
-    "SELECT 'lei2' AS dataset_type, '2026-04-25' AS publish_date, "
-    "CAST('2026-04-26 07:31:02' AS TIMESTAMP) AS loaded_at, CAST(count(*) AS INTEGER) AS record_count "
+    "SELECT 'lei2' AS dataset_type, '2031-02-17' AS publish_date, "
+    "CAST('2031-02-18 03:05:41' AS TIMESTAMP) AS loaded_at, CAST(count(*) AS INTEGER) AS record_count "
     "FROM lei_records UNION ALL "
-    "SELECT 'rr', '2026-04-24', CAST('2026-04-25 07:33:15' AS TIMESTAMP), CAST(count(*) AS INTEGER) "
+    "SELECT 'rr', '2031-02-14', CAST('2031-02-17 07:33:15' AS TIMESTAMP), CAST(count(*) AS INTEGER) "
     "FROM relationships)"
 )
 META_UPDATES_SQL = (
     "meta_updates AS ("
-    "SELECT 'rr' AS dataset_type, '2026-04-25' AS publish_date, "
-    "CAST('2026-04-26 07:33:15' AS TIMESTAMP) AS loaded_at, CAST(count(*) AS INTEGER) AS record_count "
-    "FROM relationships WHERE relationship_status = 'ACTIVE' UNION ALL "
-    "SELECT 'repex', 'unknown', CAST('2026-04-26 07:34:02' AS TIMESTAMP), CAST(count(*) AS INTEGER) "
+    "SELECT 'rr' AS dataset_type, '2031-02-17' AS publish_date, "
+    "CAST('2031-02-18 03:07:22' AS TIMESTAMP) AS loaded_at, CAST(count(*) AS INTEGER) AS record_count "
+    "FROM relationships UNION ALL "
+    "SELECT 'repex', 'unknown', CAST('2031-02-18 03:08:50' AS TIMESTAMP), CAST(count(*) AS INTEGER) "
     "FROM reporting_exceptions)"
 )
 META_MERGED_SQL = (
@@ -158,11 +183,11 @@ def _metadata_frames(spark, sf_dir):
         )
         return metadata.metadata_rows(loads, F.lit(stamp).cast("timestamp"))
 
-    current = row(e, "lei2", "2026-04-25", "2026-04-26 07:31:02").unionByName(
-        row(r, "rr", "2026-04-24", "2026-04-25 07:33:15")
+    current = row(e, "lei2", "2031-02-17", "2031-02-18 03:05:41").unionByName(
+        row(r, "rr", "2031-02-14", "2031-02-17 07:33:15")
     )
-    updates = row(r.where(F.col("relationship_status") == "ACTIVE"), "rr", "2026-04-25", "2026-04-26 07:33:15")
-    updates = updates.unionByName(row(x, "repex", None, "2026-04-26 07:34:02"))
+    updates = row(r, "rr", "2031-02-17", "2031-02-18 03:07:22")
+    updates = updates.unionByName(row(x, "repex", None, "2031-02-18 03:08:50"))
     return current, updates
 
 
@@ -210,6 +235,9 @@ def q_status_report(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
+PUBLISHER = "registrar"
+
+
 def _snapshot_files(spark, sf_dir):
     orders = base_table(spark, sf_dir, "orders")
     kind = (
@@ -221,29 +249,29 @@ def _snapshot_files(spark, sf_dir):
     path = F.concat(
         F.lit("/data/"),
         F.date_format("o_orderdate", "yyyyMMdd"),
-        F.lit("-0800-lei-goldencopy-"),
+        F.lit("-0615-registrar-goldencopy-"),
         kind,
         F.lit("-golden-copy.csv"),
     )
-    return orders.where(F.col("o_orderstatus") != "P").select(path.alias("path"))
+    return orders.select(path.alias("path"))
 
 
 SNAPSHOT_FILES_SQL = (
-    "files AS (SELECT '/data/' || strftime(o_orderdate, '%Y%m%d') || '-0800-lei-goldencopy-' || "
+    "files AS (SELECT '/data/' || strftime(o_orderdate, '%Y%m%d') || '-0615-registrar-goldencopy-' || "
     "CASE o_orderkey % 4 WHEN 0 THEN 'lei2' WHEN 1 THEN 'rr' WHEN 2 THEN 'repex' ELSE 'notes' END "
-    "|| '-golden-copy.csv' AS path FROM orders WHERE o_orderstatus <> 'P')"
+    "|| '-golden-copy.csv' AS path FROM orders)"
 )
 LATEST_SQL = (
     "latest AS (SELECT k.kind AS dataset_type, max(f.path) AS path FROM "
     "(SELECT 'lei2' AS kind UNION ALL SELECT 'rr' UNION ALL SELECT 'repex') k "
-    "JOIN files f ON regexp_extract(f.path, '[^/]*$') LIKE '%-goldencopy-' || k.kind || '-%' "
+    "JOIN files f ON regexp_extract(f.path, '[^/]*$') LIKE '%-registrar-goldencopy-' || k.kind || '-%' "
     "GROUP BY k.kind)"
 )
 
 
 @register("latest_snapshot", oracle("SELECT dataset_type, path FROM latest", SNAPSHOT_FILES_SQL, LATEST_SQL))
 def q_latest_snapshot(spark, sf_dir):
-    return snapshots.latest_snapshots(_snapshot_files(spark, sf_dir))
+    return snapshots.latest_snapshots(_snapshot_files(spark, sf_dir), PUBLISHER)
 
 
 def _remote_dates(spark, sf_dir):
@@ -253,9 +281,10 @@ def _remote_dates(spark, sf_dir):
         .when(F.col("o_orderkey") % 3 == 1, "rr")
         .otherwise("repex")
     )
-    return orders.groupBy(kind.alias("dataset_type")).agg(
-        F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("publish_date")
-    )
+    latest = orders.groupBy(kind.alias("dataset_type")).agg(F.max("o_orderdate").alias("d"))
+    # One kind has been published again since the last download.
+    newer = F.when(F.col("dataset_type") == "rr", 1).otherwise(0)
+    return latest.select("dataset_type", F.date_format(F.date_add("d", newer), "yyyy-MM-dd").alias("publish_date"))
 
 
 @register(
@@ -269,14 +298,15 @@ def _remote_dates(spark, sf_dir):
         SNAPSHOT_FILES_SQL,
         LATEST_SQL,
         "remote AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'lei2' WHEN 1 THEN 'rr' ELSE 'repex' END "
-        "AS dataset_type, strftime(max(o_orderdate), '%Y-%m-%d') AS publish_date FROM orders GROUP BY 1)",
+        "AS dataset_type, strftime(CAST(max(o_orderdate) AS DATE) + CASE WHEN o_orderkey % 3 = 1 THEN 1 ELSE 0 END, "
+        "'%Y-%m-%d') AS publish_date FROM orders GROUP BY o_orderkey % 3)",
         "local_dates AS (SELECT dataset_type, substr(regexp_extract(path, '[^/]*$'), 1, 4) || '-' || "
         "substr(regexp_extract(path, '[^/]*$'), 5, 2) || '-' || substr(regexp_extract(path, '[^/]*$'), 7, 2) "
         "AS local_date FROM latest)",
     ),
 )
 def q_stale_datasets(spark, sf_dir):
-    latest = snapshots.latest_snapshots(_snapshot_files(spark, sf_dir))
+    latest = snapshots.latest_snapshots(_snapshot_files(spark, sf_dir), PUBLISHER)
     name = F.element_at(F.split("path", "/"), -1)
     local = latest.select(
         "dataset_type",
@@ -334,15 +364,108 @@ def q_key_violations_entities(spark, sf_dir):
     return quality.key_violations(tables(spark, sf_dir)["lei_records"], quality.TABLE_KEYS["lei_records"])
 
 
+@register(
+    "key_violations_exceptions",
+    oracle(
+        "SELECT lei, exception_category, CAST(count(*) AS BIGINT) AS row_count, "
+        "(lei IS NULL OR exception_category IS NULL) AS has_null_key FROM ("
+        "SELECT lei, exception_category FROM reporting_exceptions UNION ALL "
+        "SELECT lei, exception_category FROM reporting_exceptions WHERE exception_reason_1 = 'NON_PUBLIC' UNION ALL "
+        "SELECT lei, CAST(NULL AS VARCHAR) FROM reporting_exceptions WHERE exception_reason_1 = 'LEGAL_OBSTACLES') d "
+        "GROUP BY ALL HAVING count(*) > 1 OR lei IS NULL OR exception_category IS NULL"
+    ),
+)
+def q_key_violations_exceptions(spark, sf_dir):
+    x = tables(spark, sf_dir)["reporting_exceptions"]
+    keys = x.select("lei", "exception_category")
+    reason = F.col("exception_reason_1")
+    dirty = keys.unionByName(x.where(reason == "NON_PUBLIC").select("lei", "exception_category")).unionByName(
+        x.where(reason == "LEGAL_OBSTACLES").select("lei", F.lit(None).cast("string").alias("exception_category"))
+    )
+    return quality.key_violations(dirty, quality.TABLE_KEYS["reporting_exceptions"])
+
+
 # ---------------------------------------------------------------------------
-# S1 - S4
+# Load everything, stored bookkeeping, clustered copies
 # ---------------------------------------------------------------------------
 
-ISIN_LIST_SQL = (
-    "isin_lists AS (SELECT lei, list_filter(json_extract_string(payload, '$.data[*].attributes.isin'), "
-    "lambda x: x IS NOT NULL AND x <> '') AS l FROM isin_payloads)"
+
+def _load_everything(spark, sf_dir, tag):
+    """CSV files of the three adapter tables, loaded by ``load_all``."""
+    t = tables(spark, sf_dir)
+    base = scratch_path(spark, tag)
+    files = {}
+    for kind, df in (
+        (KIND_ENTITIES, _dirty_entities(t["lei_records"])),
+        (KIND_RELATIONSHIPS, t["relationships"]),
+        (KIND_EXCEPTIONS, t["reporting_exceptions"]),
+    ):
+        files[kind] = [f"{base}/csv/{kind}"]
+        _write_dirty_csv(df, kind, files[kind][0])
+    dates = {KIND_ENTITIES: "2031-02-17", KIND_RELATIONSHIPS: "2031-02-17"}
+    loader.load_all(spark, files, f"{base}/tables", dates, f"{base}/metadata")
+    return f"{base}/tables", f"{base}/metadata"
+
+
+@register(
+    "load_all_counts",
+    oracle(
+        "SELECT 'lei2' AS name, count(*) AS n FROM lei_records UNION ALL SELECT 'rr', count(*) FROM relationships "
+        "UNION ALL SELECT 'rr_by_child', count(*) FROM relationships "
+        "UNION ALL SELECT 'rr_by_parent', count(*) FROM relationships "
+        "UNION ALL SELECT 'repex', count(*) FROM reporting_exceptions"
+    ),
+)
+def q_load_all_counts(spark, sf_dir):
+    base, _ = _load_everything(spark, sf_dir, "load-all")
+    names = [KIND_ENTITIES, KIND_RELATIONSHIPS, csv_ingest.BY_CHILD, csv_ingest.BY_PARENT, KIND_EXCEPTIONS]
+    return union_all(
+        [spark.read.parquet(f"{base}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
+    )
+
+
+@register(
+    "metadata_stored",
+    oracle(
+        "SELECT dataset_type, publish_date, record_count FROM ("
+        "SELECT 'lei2' AS dataset_type, '2031-02-17' AS publish_date, CAST(count(*) AS INTEGER) AS record_count "
+        "FROM lei_records UNION ALL "
+        "SELECT 'rr', '2031-02-20', CAST(count(*) AS INTEGER) FROM relationships UNION ALL "
+        "SELECT 'repex', 'unknown', CAST(count(*) AS INTEGER) FROM reporting_exceptions) m"
+    ),
+)
+def q_metadata_stored(spark, sf_dir):
+    """Written by a load, upserted by a later load of one kind, read back."""
+    base, path = _load_everything(spark, sf_dir, "metadata-stored")
+    again = csv_ingest.table_count(spark.read.parquet(f"{base}/rr"), KIND_RELATIONSHIPS)
+    metadata.write_metadata(metadata.metadata_rows(again.withColumn("publish_date", F.lit("2031-02-20"))), path)
+    return metadata.status(metadata.read_metadata(spark, path)).select("dataset_type", "publish_date", "record_count")
+
+
+@register(
+    "lookup_by_layout",
+    oracle(
+        "SELECT end_node_id AS lei, count(*) AS n_children, "
+        f"count(*) FILTER (WHERE relationship_type = {D}) AS n_direct, min(start_node_id) AS first_child "
+        f"FROM relationships WHERE {ACTIVE_SQL} AND end_node_id IS NOT NULL GROUP BY end_node_id"
+    ),
 )
+def q_lookup_by_layout(spark, sf_dir):
+    """Children per parent, from the edge copy clustered by parent."""
+    base, _ = _load_everything(spark, sf_dir, "layout")
+    kids = relations.children(
+        spark.read.parquet(f"{base}/{KIND_ENTITIES}"), spark.read.parquet(f"{base}/{csv_ingest.BY_PARENT}")
+    )
+    return kids.where(F.col("lei").isNotNull()).groupBy("lei").agg(
+        F.count(F.lit(1)).alias("n_children"),
+        F.count(F.when(F.col("relationship_type") == DIRECT_PARENT, 1)).alias("n_direct"),
+        F.min("related_lei").alias("first_child"),
+    )
+
 
+# ---------------------------------------------------------------------------
+# S1 - S4
+# ---------------------------------------------------------------------------
 
 @register(
     "isin_parse",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ownergraph.functions.display import node_label
 from ownergraph.operators import hierarchy, listing, report
 from ownergraph.plans.catalogue import (
     ACTIVE_SQL,
+    ALL_NODES_SQL,
     D,
+    ISIN_LIST_SQL,
+    ISIN_TEXT_SQL,
+    OTHER_ENDS_SQL,
     U,
     ancestors_cte,
     descendants_cte,
@@ -17,17 +19,9 @@ from ownergraph.plans.catalogue import (
     roots_cte,
     tables,
 )
+from ownergraph.plans.queries_core import SIBLING_REQUESTS_SQL, sibling_requests
 from ownergraph.sources import isin
 
-ISIN_LIST_SQL = (
-    "isin_lists AS (SELECT lei, list_filter(json_extract_string(payload, '$.data[*].attributes.isin'), "
-    "lambda x: x IS NOT NULL AND x <> '') AS l FROM isin_payloads)"
-)
-ISIN_TEXT_SQL = (
-    "isin_text AS (SELECT lei, array_to_string(l, ', ') AS isins FROM isin_lists WHERE len(l) > 0)"
-)
-
-
 def label_sql(lei, name, jur, status, isins=None) -> str:
     parts = [
         lei,
@@ -124,51 +118,101 @@ def q_parent_lines(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# P1, U2 over the whole registry (siblings as a pointer to their group)
+# Over the whole registry (sibling group line) and for a request list
+# made from all direct edges (the siblings themselves)
 # ---------------------------------------------------------------------------
 
+SECTION_NO_SQL = (
+    "CAST(CASE section WHEN 'entity' THEN 1 WHEN 'direct_parent' THEN 2 WHEN 'ultimate_parent' THEN 3 "
+    "WHEN 'children' THEN 4 WHEN 'other' THEN 6 WHEN 'exceptions' THEN 7 ELSE 5 END AS INTEGER)"
+)
+REPORT_COLUMNS = (
+    "lei, section, section_no, related_lei, legal_name, entity_status, legal_jurisdiction, relationship_type, "
+    "relationship_status, exception_category, exception_reason, exception_reference, sibling_count, stored_name"
+)
 
-def _related_union_sql() -> str:
-    """Per entity: parents (known only), children, others - as the source."""
-    return f"""rel_rows AS (
-    SELECT e.lei, 'entity' AS section, 1 AS section_no, e.lei AS related_lei, e.legal_name AS nm
-    FROM lei_records e
-    UNION ALL
-    SELECT cd.lei, 'direct_parent', 2, pe.lei, pe.legal_name FROM cd JOIN lei_records pe ON pe.lei = cd.p
-    WHERE cd.lei IN (SELECT lei FROM lei_records)
-    UNION ALL
-    SELECT cu.lei, 'ultimate_parent', 3, pe.lei, pe.legal_name FROM cu JOIN lei_records pe ON pe.lei = cu.p
-    WHERE cu.lei IN (SELECT lei FROM lei_records)
-    UNION ALL
-    SELECT r.end_node_id, 'children', 4, r.start_node_id, nullif(l.legal_name, '')
-    FROM relationships r LEFT JOIN lei_records l ON l.lei = r.start_node_id
-    WHERE r.{ACTIVE_SQL} AND r.end_node_id IN (SELECT lei FROM lei_records)
+
+def report_ctes(requested: bool) -> list[str]:
+    """``report_rows``: what a report holds, from its definition."""
+    into_parent = (
+        f"FROM relationships r WHERE r.end_node_id = x.p AND r.{ACTIVE_SQL} AND r.relationship_type = {D} "
+        "AND r.start_node_id <> x.lei"
+    )
+    if requested:
+        head = [SIBLING_REQUESTS_SQL, "subjects AS (SELECT lei FROM lei_records WHERE lei IN (SELECT lei FROM asked))"]
+        siblings = (
+            "SELECT x.lei, 'siblings', r.start_node_id, r.relationship_type, coalesce(r.relationship_status, ''), "
+            f"CAST(NULL AS VARCHAR) FROM cd x, relationships r WHERE r.end_node_id = x.p AND r.{ACTIVE_SQL} "
+            f"AND r.relationship_type = {D} AND r.start_node_id <> x.lei"
+        )
+    else:
+        head = ["subjects AS (SELECT lei FROM lei_records)"]
+        siblings = (
+            "SELECT lei, 'sibling_group', p, NULL, NULL, CAST(n AS VARCHAR) FROM "
+            f"(SELECT x.lei, x.p, (SELECT count(*) {into_parent}) AS n FROM cd x) g WHERE n > 0"
+        )
+    return [
+        ALL_NODES_SQL,
+        *head,
+        _chosen_parent_sql("cd", D),
+        _chosen_parent_sql("cu", U),
+        OTHER_ENDS_SQL,
+        f"""places(lei, section, related_lei, relationship_type, relationship_status, sibling_count) AS (
+    SELECT lei, 'entity', lei, NULL, NULL, CAST(NULL AS VARCHAR) FROM lei_records
+    UNION ALL SELECT lei, 'direct_parent', p, NULL, NULL, NULL FROM cd WHERE p IN (SELECT lei FROM lei_records)
+    UNION ALL SELECT lei, 'ultimate_parent', p, NULL, NULL, NULL FROM cu WHERE p IN (SELECT lei FROM lei_records)
+    UNION ALL SELECT end_node_id, 'children', start_node_id, relationship_type, coalesce(relationship_status, ''), NULL
+              FROM relationships WHERE {ACTIVE_SQL}
+    UNION ALL SELECT lei, 'other', related_lei, relationship_type, status, NULL FROM other_ends
+    UNION ALL {siblings})""",
+        f"""report_rows AS (
+    SELECT s.lei, section, {SECTION_NO_SQL} AS section_no, p.related_lei,
+           CASE WHEN section IN ('entity', 'direct_parent', 'ultimate_parent') THEN coalesce(l.legal_name, '')
+                WHEN section <> 'sibling_group' THEN nullif(l.legal_name, '') END AS legal_name,
+           CASE WHEN section IN ('entity', 'direct_parent', 'ultimate_parent') THEN coalesce(l.entity_status, '') END
+             AS entity_status,
+           CASE WHEN section IN ('entity', 'direct_parent', 'ultimate_parent') THEN nullif(l.legal_jurisdiction, '') END
+             AS legal_jurisdiction,
+           p.relationship_type, p.relationship_status, NULL AS exception_category, NULL AS exception_reason,
+           NULL AS exception_reference, p.sibling_count,
+           CASE WHEN section <> 'sibling_group' THEN l.legal_name END AS stored_name
+    FROM subjects s JOIN places p ON p.lei = s.lei LEFT JOIN lei_records l ON l.lei = p.related_lei
     UNION ALL
-    SELECT e.lei, 'other', 6,
-           CASE WHEN r.start_node_id = e.lei THEN r.end_node_id ELSE r.start_node_id END,
-           nullif(l.legal_name, '')
-    FROM lei_records e JOIN relationships r ON (r.start_node_id = e.lei OR r.end_node_id = e.lei)
-    LEFT JOIN lei_records l
-      ON l.lei = CASE WHEN r.start_node_id = e.lei THEN r.end_node_id ELSE r.start_node_id END
-    WHERE r.relationship_type NOT IN ({D}, {U}) AND r.{ACTIVE_SQL})"""
+    SELECT s.lei, 'exceptions', 7, NULL, NULL, NULL, NULL, NULL, NULL, x.exception_category,
+           nullif(x.exception_reason_1, ''), nullif(x.exception_reference_1, ''), NULL, NULL
+    FROM subjects s JOIN reporting_exceptions x ON x.lei = s.lei)""",
+    ]
+
+
+def _report(spark, sf_dir, requested: bool):
+    t = tables(spark, sf_dir)
+    requests = sibling_requests(spark, sf_dir) if requested else None
+    return report.full_report_long(t["lei_records"], t["relationships"], t["reporting_exceptions"], requests)
+
+
+@register("full_report_long", oracle(f"SELECT {REPORT_COLUMNS} FROM report_rows", *report_ctes(False)))
+def q_full_report_long(spark, sf_dir):
+    return _report(spark, sf_dir, requested=False)
+
+
+@register("full_report_requests", oracle(f"SELECT {REPORT_COLUMNS} FROM report_rows", *report_ctes(True)))
+def q_full_report_requests(spark, sf_dir):
+    return _report(spark, sf_dir, requested=True)
 
 
 @register(
     "report_leis",
     oracle(
-        "SELECT lei, related_lei, min(section_no) AS section_no FROM rel_rows "
-        "WHERE related_lei IS NOT NULL GROUP BY lei, related_lei",
-        _chosen_parent_sql("cd", D),
-        _chosen_parent_sql("cu", U),
-        _related_union_sql(),
+        "SELECT lei, related_lei, section_no, row_number() OVER (PARTITION BY lei ORDER BY place) AS first_pos FROM ("
+        "SELECT lei, related_lei, min(section_no) AS section_no, min(place) AS place FROM ("
+        "SELECT lei, related_lei, section_no, row_number() OVER (PARTITION BY lei ORDER BY section_no, "
+        "stored_name NULLS LAST, related_lei) AS place FROM report_rows "
+        "WHERE related_lei IS NOT NULL AND section <> 'exceptions') seen GROUP BY lei, related_lei) firsts",
+        *report_ctes(True),
     ),
 )
 def q_report_leis(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    long = report.full_report_long(
-        t["lei_records"], t["relationships"], t["reporting_exceptions"], expand_siblings=False
-    )
-    return report.report_leis(long.where(F.col("section") != "siblings"))
+    return report.report_leis(_report(spark, sf_dir, requested=True))
 
 
 @register(
@@ -181,12 +225,12 @@ def q_report_leis(spark, sf_dir):
         "coalesce((SELECT count(*) FROM relationships r2 JOIN cd ON r2.end_node_id = cd.p "
         f"WHERE cd.lei = e.lei AND r2.relationship_type = {D} AND r2.{ACTIVE_SQL} "
         "AND r2.start_node_id != e.lei), 0) AS n_siblings, "
-        "(SELECT count(*) FROM relationships r WHERE (r.start_node_id = e.lei OR r.end_node_id = e.lei) "
-        f"AND r.relationship_type NOT IN ({D}, {U}) AND r.{ACTIVE_SQL}) AS n_other, "
+        "(SELECT count(*) FROM other_ends o WHERE o.lei = e.lei) AS n_other, "
         "(SELECT count(*) FROM reporting_exceptions x WHERE x.lei = e.lei) AS n_exceptions "
         "FROM lei_records e",
         _chosen_parent_sql("cd", D),
         _chosen_parent_sql("cu", U),
+        OTHER_ENDS_SQL,
     ),
 )
 def q_full_report_counts(spark, sf_dir):
@@ -194,51 +238,6 @@ def q_full_report_counts(spark, sf_dir):
     return report.full_report_counts(t["lei_records"], t["relationships"], t["reporting_exceptions"])
 
 
-FULL_REPORT_SELECT = (
-        "SELECT lei, section, CAST(section_no AS INTEGER) AS section_no, related_lei, legal_name, entity_status, "
-        "legal_jurisdiction, relationship_type, relationship_status, exception_category, exception_reason, "
-        "exception_reference FROM ("
-        "SELECT e.lei, 'entity' AS section, 1 AS section_no, e.lei AS related_lei, "
-        "coalesce(e.legal_name, '') AS legal_name, coalesce(e.entity_status, '') AS entity_status, "
-        "nullif(e.legal_jurisdiction, '') AS legal_jurisdiction, NULL AS relationship_type, "
-        "NULL AS relationship_status, NULL AS exception_category, NULL AS exception_reason, "
-        "NULL AS exception_reference FROM lei_records e "
-        "UNION ALL SELECT cd.lei, 'direct_parent', 2, p.lei, coalesce(p.legal_name, ''), "
-        "coalesce(p.entity_status, ''), nullif(p.legal_jurisdiction, ''), NULL, NULL, NULL, NULL, NULL "
-        "FROM cd JOIN lei_records p ON p.lei = cd.p WHERE cd.lei IN (SELECT lei FROM lei_records) "
-        "UNION ALL SELECT cu.lei, 'ultimate_parent', 3, p.lei, coalesce(p.legal_name, ''), "
-        "coalesce(p.entity_status, ''), nullif(p.legal_jurisdiction, ''), NULL, NULL, NULL, NULL, NULL "
-        "FROM cu JOIN lei_records p ON p.lei = cu.p WHERE cu.lei IN (SELECT lei FROM lei_records) "
-        "UNION ALL SELECT r.end_node_id, 'children', 4, r.start_node_id, nullif(l.legal_name, ''), NULL, NULL, "
-        "r.relationship_type, coalesce(r.relationship_status, ''), NULL, NULL, NULL "
-        "FROM relationships r LEFT JOIN lei_records l ON l.lei = r.start_node_id "
-        f"WHERE r.{ACTIVE_SQL} AND r.end_node_id IN (SELECT lei FROM lei_records) "
-        "UNION ALL SELECT cd.lei, 'siblings', 5, cd.p, NULL, NULL, NULL, 'SIBLING_GROUP', NULL, NULL, NULL, NULL "
-        "FROM cd WHERE cd.lei IN (SELECT lei FROM lei_records) "
-        "UNION ALL SELECT e.lei, 'other', 6, "
-        "CASE WHEN r.start_node_id = e.lei THEN r.end_node_id ELSE r.start_node_id END, "
-        "nullif(l.legal_name, ''), NULL, NULL, r.relationship_type, coalesce(r.relationship_status, ''), "
-        "NULL, NULL, NULL FROM lei_records e JOIN relationships r "
-        "ON (r.start_node_id = e.lei OR r.end_node_id = e.lei) LEFT JOIN lei_records l "
-        "ON l.lei = CASE WHEN r.start_node_id = e.lei THEN r.end_node_id ELSE r.start_node_id END "
-        f"WHERE r.relationship_type NOT IN ({D}, {U}) AND r.{ACTIVE_SQL} "
-        "UNION ALL SELECT x.lei, 'exceptions', 7, NULL, NULL, NULL, NULL, NULL, NULL, x.exception_category, "
-        "nullif(x.exception_reason_1, ''), nullif(x.exception_reference_1, '') FROM reporting_exceptions x "
-        "WHERE x.lei IN (SELECT lei FROM lei_records)) u"
-)
-
-
-@register(
-    "full_report_long",
-    oracle(FULL_REPORT_SELECT, _chosen_parent_sql("cd", D), _chosen_parent_sql("cu", U)),
-)
-def q_full_report_long(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    return report.full_report_long(
-        t["lei_records"], t["relationships"], t["reporting_exceptions"], expand_siblings=False
-    )
-
-
 # ---------------------------------------------------------------------------
 # H7, H8 over every corporate group
 # ---------------------------------------------------------------------------
@@ -250,30 +249,41 @@ _GROUP_TREE_CTES = (
 )
 
 
-@register(
-    "hierarchy_listing",
-    oracle(
+def _listing_oracle(with_isins: bool) -> str:
+    isins = "coalesce(i.isins, '')" if with_isins else None
+    return oracle(
         "SELECT w.root_lei, row_number() OVER (PARTITION BY w.root_lei ORDER BY w.sp) AS line_no, "
         "k.depth, w.node_lei, k.label FROM walk w JOIN des_k k ON k.root_lei = w.root_lei "
         "AND k.node_lei = w.node_lei UNION ALL "
         "SELECT root_lei, CAST(0 AS BIGINT), CAST(-1 AS INTEGER), root_lei, "
         "'Corporate Group (' || CAST(count(*) AS VARCHAR) || ' entities)' FROM des1 GROUP BY root_lei",
         *_GROUP_TREE_CTES,
+        ISIN_LIST_SQL,
+        ISIN_TEXT_SQL,
         "des_k AS (SELECT d.root_lei, d.node_lei, d.parent_lei, CAST(d.depth AS INTEGER) AS depth, "
         "{'k0': l.legal_name IS NULL, 'k1': l.legal_name, 'k2': d.node_lei} AS k, "
-        + label_sql("d.node_lei", "l.legal_name", "l.legal_jurisdiction", "l.entity_status")
-        + " AS label FROM des1 d LEFT JOIN lei_records l ON l.lei = d.node_lei)",
+        + label_sql("d.node_lei", "l.legal_name", "l.legal_jurisdiction", "l.entity_status", isins)
+        + " AS label FROM des1 d LEFT JOIN lei_records l ON l.lei = d.node_lei "
+        "LEFT JOIN isin_text i ON i.lei = d.node_lei)",
         "walk AS (SELECT root_lei, node_lei, [k] AS sp FROM des_k WHERE depth = 0 "
         "UNION ALL SELECT c.root_lei, c.node_lei, list_append(w.sp, c.k) FROM walk w "
         "JOIN des_k c ON c.root_lei = w.root_lei AND c.parent_lei = w.node_lei AND c.depth > 0)",
         recursive=True,
-    ),
-)
+    )
+
+
+@register("hierarchy_listing", _listing_oracle(False))
 def q_hierarchy_listing(spark, sf_dir):
     t = tables(spark, sf_dir)
     return listing.registry_listing(t["lei_records"], t["relationships"])
 
 
+@register("hierarchy_listing_isins", _listing_oracle(True))
+def q_hierarchy_listing_isins(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return listing.registry_listing(t["lei_records"], t["relationships"], isins=isin.isin_map(t["isin_payloads"]))
+
+
 @register(
     "children_map",
     oracle(
@@ -286,35 +296,48 @@ def q_hierarchy_listing(spark, sf_dir):
 )
 def q_children_map(spark, sf_dir):
     t = tables(spark, sf_dir)
-    _, members, _ = hierarchy.corporate_groups(t["lei_records"], t["relationships"])
-    return listing.children_map(members, t["lei_records"])
+    _, levels = hierarchy.group_levels(t["lei_records"], t["relationships"], with_sort_path=True)
+    return listing.children_map(levels)
 
 
-@register(
-    "report_display",
-    oracle(
+def _display_oracle(requested: bool, with_isins: bool) -> str:
+    isin_part = "CASE WHEN i.isins <> '' THEN 'ISINs: ' || i.isins END" if with_isins else "NULL"
+    last = "siblings" if requested else "sibling_group"
+    return oracle(
         "SELECT lei, section_no, section, row_number() OVER (PARTITION BY lei, section ORDER BY "
-        "legal_name IS NULL, legal_name, related_lei, relationship_type, exception_category, text) AS pos, text "
+        "stored_name IS NULL, stored_name, related_lei, relationship_type, exception_category, text) AS pos, text "
         "FROM lines UNION ALL "
-        "SELECT e.lei, CAST(s.no AS INTEGER), s.section, CAST(0 AS BIGINT), 'None' FROM lei_records e "
-        "CROSS JOIN (VALUES ('direct_parent', 2), ('ultimate_parent', 3), ('children', 4), ('siblings', 5)) "
-        "s(section, no) WHERE NOT EXISTS (SELECT 1 FROM long l WHERE l.lei = e.lei AND l.section = s.section)",
-        _chosen_parent_sql("cd", D),
-        _chosen_parent_sql("cu", U),
-        "long AS (" + FULL_REPORT_SELECT + ")",
-        "lines AS (SELECT lei, section_no, section, CASE "
+        "SELECT e.lei, CAST(s.no AS INTEGER), s.section, CAST(0 AS BIGINT), 'None' FROM subjects e "
+        f"CROSS JOIN (VALUES ('direct_parent', 2), ('ultimate_parent', 3), ('children', 4), ('{last}', 5)) "
+        "s(section, no) WHERE NOT EXISTS (SELECT 1 FROM report_rows l WHERE l.lei = e.lei AND l.section = s.section)",
+        *report_ctes(requested),
+        ISIN_LIST_SQL,
+        ISIN_TEXT_SQL,
+        "lines AS (SELECT r.lei, section_no, section, CASE "
         "WHEN section = 'entity' THEN coalesce(legal_name, '') "
         "WHEN section IN ('direct_parent', 'ultimate_parent') THEN concat_ws(' | ', related_lei, "
-        "coalesce(legal_name, ''), coalesce(entity_status, ''), coalesce(nullif(legal_jurisdiction, ''), 'N/A')) "
+        "coalesce(legal_name, ''), coalesce(entity_status, ''), coalesce(nullif(legal_jurisdiction, ''), 'N/A'), "
+        f"{isin_part}) "
+        "WHEN section = 'sibling_group' THEN concat_ws(' | ', related_lei, sibling_count) "
         "WHEN section = 'exceptions' THEN concat_ws(' | ', exception_category, coalesce(exception_reason, ''), "
         "coalesce(exception_reference, '')) "
-        "ELSE concat_ws(' | ', related_lei, coalesce(legal_name, 'N/A'), relationship_type) END AS text, "
-        "legal_name, related_lei, relationship_type, exception_category FROM long)",
-    ),
-)
-def q_report_display(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    long = report.full_report_long(
-        t["lei_records"], t["relationships"], t["reporting_exceptions"], expand_siblings=False
+        f"ELSE concat_ws(' | ', related_lei, coalesce(legal_name, 'N/A'), relationship_type, {isin_part}) END AS text, "
+        "stored_name, related_lei, relationship_type, exception_category "
+        "FROM report_rows r LEFT JOIN isin_text i ON i.lei = r.related_lei)",
     )
-    return report.report_display(long)
+
+
+@register("report_display", _display_oracle(False, False))
+def q_report_display(spark, sf_dir):
+    return report.report_display(_report(spark, sf_dir, requested=False), registry=True)
+
+
+@register("report_display_requests", _display_oracle(True, False))
+def q_report_display_requests(spark, sf_dir):
+    return report.report_display(_report(spark, sf_dir, requested=True), registry=False)
+
+
+@register("report_display_isins", _display_oracle(True, True))
+def q_report_display_isins(spark, sf_dir):
+    isins = isin.isin_map(tables(spark, sf_dir)["isin_payloads"])
+    return report.report_display(_report(spark, sf_dir, requested=True), registry=False, isins=isins)

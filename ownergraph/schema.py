@@ -105,7 +105,7 @@ LEI_LENGTH = 20
 UNKNOWN_PUBLISH_DATE = "unknown"
 # Snapshot files are named "<stamp>-<publisher>-goldencopy-<kind>-<rest>"; the
 # kind is taken from the part after "goldencopy-".
-SNAPSHOT_KIND_PATTERN = r"-goldencopy-(lei2|rr|repex)-"
+SNAPSHOT_KIND_PATTERN = r"-{publisher}-goldencopy-(lei2|rr|repex)-"
 
 # Entity projection shared by lookups, parents and search (10 columns).
 ENTITY_COLUMNS = [

@@ -59,8 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
     On a cluster this is the shared folder named by ``spark.checkpoint.dir``.
-    Only when nothing is configured (local runs, tests) a private temporary
-    folder is set.
+    Only when nothing is configured on a local master (tests) a private
+    temporary folder is set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -73,6 +73,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - conf lookup may fail in Connect mode
             configured = None
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ownergraph-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

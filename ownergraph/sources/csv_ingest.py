@@ -5,10 +5,12 @@ Parity points with the source's CSV reader:
 * every column is read as text, a header row names the columns;
 * an empty field, quoted or not, becomes NULL;
 * ``""`` inside a quoted field is a literal quote (``escape='"'``);
-* quoted fields may hold line breaks (``multiLine``; this makes one task per
-  file, so the load writes Parquet once and every query reads Parquet);
-* malformed rows (too few or too many fields) are dropped;
-* rows that held invalid UTF-8 are dropped (they arrive with U+FFFD).
+* quoted fields may hold line breaks (``multiLine``: one task per file, so the
+  files of a kind may be several; the load writes Parquet once and every query
+  reads Parquet);
+* malformed rows (too few or too many fields) are dropped, in wide files too;
+* rows with invalid UTF-8 in a mapped column are dropped, found from the bytes:
+  a valid U+FFFD that the publisher wrote stays.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ownergraph.schema import COLUMN_MAPS
+from ownergraph.schema import COLUMN_MAPS, KIND_EXCEPTIONS
 
-REPLACEMENT_CHAR = "\ufffd"
+# Folders of the clustered edge copies below the table folder.
+BY_CHILD, BY_PARENT = "rr_by_child", "rr_by_parent"
 
 
 class MissingColumnsError(ValueError):
@@ -27,43 +30,43 @@ class MissingColumnsError(ValueError):
 
 def read_dataset_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     kind: str,
     multi_line: bool = True,
-    drop_invalid_utf8: bool = True,
 ) -> DataFrame:
-    """I1 + I2: scan one dataset CSV and project / rename by its column map.
+    """I1 + I2: scan the CSV file or files of one kind and project / rename by
+    its column map.
 
-    Only the mapped columns are selected, so Catalyst prunes the rest of a
-    wide file in the CSV scan.
+    Column pruning is off in the scan: a parser that skips columns no longer
+    sees that a row is too short or too long. The bytes are read one to one (as
+    Latin-1) and taken as UTF-8 here, where invalid ones show.
     """
     column_map = COLUMN_MAPS[kind]
-    raw = spark.read.csv(
+    raw = spark.read.option("columnPruning", "false").csv(
         path,
         header=True,
         inferSchema=False,
         escape='"',
         multiLine=multi_line,
         mode="DROPMALFORMED",
-        encoding="UTF-8",
+        encoding="ISO-8859-1",
     )
     missing = [h for h in column_map if h not in raw.columns]
     if missing:
         raise MissingColumnsError(f"{kind}: missing columns {missing}")
-    out = raw.select([F.col(f"`{header}`").alias(name) for header, name in column_map.items()])
-    if drop_invalid_utf8:
-        bad = None
-        for name in column_map.values():
-            hit = F.coalesce(F.instr(F.col(name), REPLACEMENT_CHAR) > 0, F.lit(False))
-            bad = hit if bad is None else (bad | hit)
-        out = out.where(~bad)
-    return out
+    out = raw.select(
+        [F.encode(F.col(f"`{header}`"), "ISO-8859-1").cast("string").alias(name) for header, name in column_map.items()]
+    )
+    valid = F.lit(True)
+    for name in column_map.values():
+        valid = valid & F.coalesce(F.is_valid_utf8(name), F.lit(True))
+    return out.where(valid)
 
 
 def load_dataset(
     spark: SparkSession,
     kind: str,
-    csv_path: str,
+    csv_path: str | list[str],
     out_path: str,
     multi_line: bool = True,
     out_partitions: int | None = None,
@@ -71,10 +74,13 @@ def load_dataset(
     """I3-I5 + I6: replace the Parquet table of ``kind`` and return its row
     count, counted in the same pass as the write (an ``Observation``)."""
     df = read_dataset_csv(spark, csv_path, kind, multi_line=multi_line)
-    if multi_line:
+    n = out_partitions or spark.sparkContext.defaultParallelism
+    if kind == KIND_EXCEPTIONS:
+        df = clustered_exceptions(df, n)
+    elif multi_line:
         # A multi-line CSV is read by one task per file; spread the rows
         # before encoding Parquet so the write runs in parallel.
-        df = df.repartition(out_partitions or spark.sparkContext.defaultParallelism)
+        df = df.repartition(n)
     obs = Observation(f"load_{kind}")
     df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(out_path)
     return int(obs.get["rows"])
@@ -108,8 +114,8 @@ def layout_relationships(rels: DataFrame, out_path: str, partitions: int) -> Non
     owning a third of all edges) across files instead of one task.
     """
     for key, other, sub in (
-        ("start_node_id", "end_node_id", "by_child"),
-        ("end_node_id", "start_node_id", "by_parent"),
+        ("start_node_id", "end_node_id", BY_CHILD),
+        ("end_node_id", "start_node_id", BY_PARENT),
     ):
         (
             rels.repartitionByRange(partitions, key, other)
@@ -119,13 +125,10 @@ def layout_relationships(rels: DataFrame, out_path: str, partitions: int) -> Non
         )
 
 
-def layout_exceptions(exceptions: DataFrame, out_path: str, partitions: int) -> None:
+def clustered_exceptions(exceptions: DataFrame, partitions: int) -> DataFrame:
     """I13 for the reporting exceptions: range-partitioned and sorted on
     (lei, category), so a lookup by LEI reads only the row groups whose
     min/max range holds it."""
-    (
-        exceptions.repartitionByRange(partitions, "lei", "exception_category")
-        .sortWithinPartitions("lei", "exception_category")
-        .write.mode("overwrite")
-        .parquet(out_path)
+    return exceptions.repartitionByRange(partitions, "lei", "exception_category").sortWithinPartitions(
+        "lei", "exception_category"
     )

@@ -40,7 +40,7 @@ def attach_isins(
     df: DataFrame, isins: DataFrame, lei_col: str = "lei", out_col: str = "isins"
 ) -> DataFrame:
     """Add ``out_col`` = ISINs joined by ', ' ('' when none)."""
-    m = isins.select(F.col("lei").alias("__isin_lei"), F.col("isins").alias("__isins"))
+    m = isins.select(F.col("lei").alias("__isin_lei"), F.col("isins").alias("__isin_list"))
     joined = df.join(m, df[lei_col] == m["__isin_lei"], "left")
-    text = F.coalesce(F.array_join("__isins", ", "), F.lit(""))
-    return joined.withColumn(out_col, text).drop("__isin_lei", "__isins")
+    text = F.coalesce(F.array_join("__isin_list", ", "), F.lit(""))
+    return joined.withColumn(out_col, text).drop("__isin_lei", "__isin_list")

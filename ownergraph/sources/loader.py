@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ownergraph.schema import DATASET_KINDS
+from ownergraph.schema import DATASET_KINDS, KIND_RELATIONSHIPS
 from ownergraph.sources import csv_ingest, metadata
 
 
@@ -14,7 +14,7 @@ class MissingDatasetError(FileNotFoundError):
 
 def load_all(
     spark: SparkSession,
-    files: dict[str, str | None],
+    files: dict[str, str | list[str] | None],
     table_dir: str,
     publish_dates: dict[str, str | None] | None = None,
     metadata_path: str | None = None,
@@ -23,7 +23,8 @@ def load_all(
     metadata row. Returns kind -> row count.
 
     The three loads are independent jobs; each counts its rows during its own
-    write. A kind mapped to ``None`` (no file found) is an error, as in the
+    write. The edges are then written twice more, clustered by either end (I13);
+    exceptions are stored clustered. A kind mapped to ``None`` (no file found) is an error, as in the
     source; a missing publish date is recorded as 'unknown'.
     """
     publish_dates = publish_dates or {}
@@ -34,14 +35,14 @@ def load_all(
     for kind in [k for k in DATASET_KINDS if k in files]:
         out = f"{table_dir.rstrip('/')}/{kind}"
         counts[kind] = csv_ingest.load_dataset(spark, kind, files[kind], out)
+    if KIND_RELATIONSHIPS in counts:
+        rels = spark.read.parquet(f"{table_dir.rstrip('/')}/{KIND_RELATIONSHIPS}")
+        csv_ingest.layout_relationships(rels, table_dir, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if metadata_path:
         loads = spark.createDataFrame(
             [(k, publish_dates.get(k), n) for k, n in counts.items()],
             "dataset_type string, publish_date string, record_count int",
         )
-        updates = metadata.metadata_rows(loads)
-        current = metadata.read_metadata(spark, metadata_path)
-        merged = metadata.upsert_metadata(current, updates)
-        # Only the updated kinds are rewritten (dynamic partition overwrite).
-        metadata.write_metadata(merged.join(updates.select("dataset_type"), "dataset_type", "left_semi"), metadata_path)
+        # Only the loaded kinds are rewritten (dynamic partition overwrite).
+        metadata.write_metadata(metadata.metadata_rows(loads), metadata_path)
     return counts

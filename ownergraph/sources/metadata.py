@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +14,12 @@ def empty_metadata(spark: SparkSession) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """The stored metadata table, or an empty one when nothing was loaded."""
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if "://" not in path and not os.path.exists(local):
-        return empty_metadata(spark)
-    try:
-        return spark.read.schema(METADATA_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - absent table on a remote file system
+    """The stored metadata table, or an empty one when nothing was loaded: when
+    the path's own file system says that it does not exist. Other errors rise."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return empty_metadata(spark)
+    return spark.read.schema(METADATA_SCHEMA).parquet(path)
 
 
 def metadata_rows(loads: DataFrame, loaded_at: Column | None = None) -> DataFrame:

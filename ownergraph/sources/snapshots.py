@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,13 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return files
 
 
-def latest_snapshots(files: DataFrame, path_col: str = "path") -> DataFrame:
+def latest_snapshots(files: DataFrame, publisher: str, path_col: str = "path") -> DataFrame:
     """``(dataset_type, path)`` - per kind the lexicographically last
     file whose name matches the snapshot naming; kinds without a file are
-    absent."""
+    absent. ``publisher`` is the publisher's part of the file names: files of
+    others are not taken."""
     name = F.element_at(F.split(F.col(path_col), "/"), -1)
-    kind = F.regexp_extract(name, SNAPSHOT_KIND_PATTERN, 1)
+    kind = F.regexp_extract(name, SNAPSHOT_KIND_PATTERN.format(publisher=re.escape(publisher)), 1)
     tagged = files.select(kind.alias("dataset_type"), F.col(path_col).alias("path"))
     return tagged.where(F.col("dataset_type") != "").groupBy("dataset_type").agg(
         F.max("path").alias("path")

@@ -13,12 +13,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from ownergraph.schema import DIRECT_PARENT, ENTITY_COLUMNS, ULTIMATE_PARENT  # noqa: E402
 from ownergraph.session import build_session  # noqa: E402
 
-PARENT = "PARENT00000000000001"
-CHILD_A = "CHILD000000000000001"
-CHILD_B = "CHILD000000000000002"
-ULTIMATE = "ULTIMATE000000000001"
-GRANDCHILD = "GRANDCHILD0000000001"
-SHARED = "SHARED00000000000001"
+PARENT = "MIDWOOD0000000000071"
+CHILD_A = "AMBERMILL00000000052"
+CHILD_B = "BRISKCANAL0000000053"
+ULTIMATE = "SKARVENSHIP000000090"
+GRANDCHILD = "TEALORCHARD000000034"
+SHARED = "QUARRYLOOM0000000017"
 
 
 @pytest.fixture(scope="session")
@@ -61,10 +61,10 @@ def requests_of(spark, *leis):
 
 
 BASE_ENTITIES = [
-    entity(PARENT, "Parent Corp", "New York", "US"),
-    entity(CHILD_A, "Child A Inc.", "Chicago", "US"),
-    entity(CHILD_B, "Child B Ltd.", "London", "GB"),
-    entity(ULTIMATE, "Ultimate Holdings PLC", "London", "GB"),
+    entity(PARENT, "Middlewood Trading AB", "New York", "US"),
+    entity(CHILD_A, "Amber Mills Ltda", "Chicago", "US"),
+    entity(CHILD_B, "Brisk Canals BV", "London", "GB"),
+    entity(ULTIMATE, "Skarven Shipping ASA", "London", "GB"),
 ]
 BASE_EDGES = [
     (CHILD_A, PARENT, DIRECT_PARENT, "ACTIVE"),
@@ -73,12 +73,12 @@ BASE_EDGES = [
     (PARENT, ULTIMATE, DIRECT_PARENT, "ACTIVE"),
 ]
 BASE_EXCEPTIONS = [(ULTIMATE, "ULTIMATE_ACCOUNTING_CONSOLIDATION_PARENT", "NO_KNOWN_PERSON", "")]
-DEEP_ENTITIES = BASE_ENTITIES + [entity(GRANDCHILD, "Grandchild GmbH", "Berlin", "DE")]
+DEEP_ENTITIES = BASE_ENTITIES + [entity(GRANDCHILD, "Teal Orchards OY", "Berlin", "DE")]
 DEEP_EDGES = BASE_EDGES + [
     (GRANDCHILD, CHILD_A, DIRECT_PARENT, "ACTIVE"),
     (GRANDCHILD, ULTIMATE, ULTIMATE_PARENT, "ACTIVE"),
 ]
-DIAMOND_ENTITIES = DEEP_ENTITIES + [entity(SHARED, "Shared Subsidiary SA", "Geneva", "CH")]
+DIAMOND_ENTITIES = DEEP_ENTITIES + [entity(SHARED, "Quarry & Loom KK", "Geneva", "CH")]
 DIAMOND_EDGES = DEEP_EDGES + [
     (SHARED, CHILD_A, DIRECT_PARENT, "ACTIVE"),
     (SHARED, CHILD_B, DIRECT_PARENT, "ACTIVE"),

@@ -47,7 +47,7 @@ def test_ancestor_chain_max_depth(spark, deep):
 def test_ancestor_chain_fields(spark, deep):
     e, r = deep
     row = hierarchy.ancestor_chain(e, r, requests_of(spark, GRANDCHILD)).where("depth = 1").collect()[0]
-    assert row["legal_name"] == "Child A Inc."
+    assert row["legal_name"] == "Amber Mills Ltda"
     assert row["relationship_type"] == DIRECT_PARENT
     assert row["legal_jurisdiction"] == "US"
 
@@ -141,12 +141,12 @@ def test_hierarchy_listing_preorder(spark, diamond):
     out = out[1:]
     assert [x["node_lei"] for x in out] == [ULTIMATE, PARENT, CHILD_A, GRANDCHILD, SHARED, CHILD_B]
     assert [x["line_no"] for x in out] == [1, 2, 3, 4, 5, 6]
-    assert out[0]["label"] == f"{ULTIMATE} Ultimate Holdings PLC (GB, ACTIVE)"
+    assert out[0]["label"] == f"{ULTIMATE} Skarven Shipping ASA (GB, ACTIVE)"
 
 
 def test_children_map(spark, deep):
     e, r = deep
-    tree = hierarchy.descendant_tree(e, r, requests_of(spark, ULTIMATE))
+    tree = hierarchy.descendant_levels(e, r, requests_of(spark, ULTIMATE), with_sort_path=True)
     out = rows(listing.children_map(tree), "parent_lei", "pos", "node_lei")
     assert (PARENT, 1, CHILD_A) in out and (PARENT, 2, CHILD_B) in out and (None, 1, ULTIMATE) in out
 
@@ -204,25 +204,60 @@ def test_walks_match_brute_force_on_random_graphs(spark):
         assert got_tree == want_tree
 
 
-def test_hot_parent_star_is_walked_without_prepartitioning(spark):
-    # one parent owns most entities: the skew check must leave the edges to
-    # AQE, and the answer must not change
-    hub = "HUB0000000000000000"
-    kids = [f"K{i:019d}" for i in range(300)]
-    e = make_entities(spark, [entity(hub, "Hub", "x", "US")] + [entity(k, k, "x", "US") for k in kids])
+def test_hub_with_a_third_of_all_entities(spark):
+    hub = "HUB00000000000000000"
+    kids = [f"K{i:019d}" for i in range(100)]
+    loners = [f"L{i:019d}" for i in range(200)]
+    e = make_entities(spark, [entity(n, n, "x", "US") for n in [hub, *kids, *loners]])
     r = make_rels(spark, [(k, hub, DIRECT_PARENT, "ACTIVE") for k in kids] + [("X" * 20, kids[0], DIRECT_PARENT, "ACTIVE")])
-    edges = hierarchy._direct_edges(r)
-    old_bound = hierarchy.BROADCAST_EDGE_BYTES
-    hierarchy.BROADCAST_EDGE_BYTES = 0  # force the large-edges decision
-    try:
-        chosen, kept = hierarchy._prepare_edges(edges, "__parent", pre_partition=True)
-        assert chosen is edges and kept is None
-        tree = hierarchy.descendant_tree(e, r, requests_of(spark, hub))
-    finally:
-        hierarchy.BROADCAST_EDGE_BYTES = old_bound
-    assert tree.count() == 302
-    roots = rows(hierarchy.group_roots(e, r).where("root_lei <> 'HUB0000000000000000'"))
-    assert roots == []
+    assert hierarchy.descendant_tree(e, r, requests_of(spark, hub)).count() == 102
+    roots, members, sizes = hierarchy.corporate_groups(e, r)
+    assert dict(rows(roots))[kids[7]] == hub and dict(rows(roots))[loners[3]] == loners[3]
+    assert members.where(f"root_lei = '{hub}'").count() == 102
+    # the group's rows are dealt out by (root, node) before they are grouped
+    _, levels = hierarchy.group_levels(e, r)
+    walk = hierarchy._shortest(r, 4)
+    assert rows(walk.where(f"root_lei = '{hub}'"), "depth").count((1,)) == 100
+    assert levels.count() == members.count()
+    assert {n for _, _, n in rows(sizes)} == {1, 102}
+
+
+def _layers(spark, depth, width):
+    names = [[f"Y{d:02d}{w}" + "0" * 16 for w in range(width)] for d in range(depth)]
+    e = make_entities(spark, [entity(n, n, "x", "US") for layer in names for n in layer])
+    edges = [(c, p, DIRECT_PARENT, "ACTIVE") for up, down in zip(names, names[1:]) for c in down for p in up]
+    return names, e, make_rels(spark, edges), edges
+
+
+def test_layered_registry_needs_no_paths(spark):
+    # nine layers of three: 3^8 paths from the lowest layer, few distinct rows
+    names, e, r, edges = _layers(spark, 9, 3)
+    walks = hierarchy._walk_lengths(hierarchy._direct_edges(r), 50)
+    assert walks.count() == 9 * 3 * 3 * 8 // 2  # each start, each node above, one depth
+    assert dict(rows(hierarchy.group_roots(e, r))) == {n: names[0][0] if d else n for d, layer in enumerate(names) for n in layer}
+    tree = hierarchy.descendant_tree(e, r)
+    assert tree.count() == 27 + 9 * 3 * 3 * 8 // 2
+    best = {(x.root_lei, x.node_lei): (x.depth, x.parent_lei) for x in tree.where("depth > 0").collect()}
+    for d, layer in enumerate(names):
+        for i, top in enumerate(layer):
+            for k in range(d + 1, 9):
+                assert best[top, names[k][2]] == (k - d, top if k == d + 1 else names[k - 1][0])
+
+
+def test_cycle_behind_a_diamond(spark):
+    # d -> b, c -> a -> x <-> y, and z -> d: starts below the cycle need paths
+    n = {k: k.upper() * 20 for k in "abcdxyz"}
+    pairs = ["db", "dc", "ba", "ca", "ax", "xy", "yx", "zd"]
+    e = make_entities(spark, [entity(v, v, "c", "US") for v in n.values()])
+    r = make_rels(spark, [(n[a], n[b], DIRECT_PARENT, "ACTIVE") for a, b in pairs])
+    want = {n[k]: n["y"] for k in "abcdxz"} | {n["y"]: n["x"]}
+    assert dict(rows(hierarchy.group_roots(e, r))) == want
+    assert dict(rows(hierarchy.group_roots(e, r, requests_of(spark, n["d"], n["y"])))) == {n["d"]: n["y"], n["y"]: n["x"]}
+    chains = hierarchy.ancestor_chain(e, r)
+    deepest = {}
+    for x in chains.collect():
+        deepest[x.lei] = min(deepest.get(x.lei, (1, "")), (-x.depth, x.node_lei))
+    assert {k: v[1] for k, v in deepest.items()} == want
 
 
 def test_registry_groups_equal_downward_walk_on_random_graphs(spark):
@@ -239,9 +274,13 @@ def test_registry_groups_equal_downward_walk_on_random_graphs(spark):
                 edges.add((a, b, rnd.choice(["ACTIVE", "ACTIVE", "ACTIVE", "INACTIVE"])))
         e = make_entities(spark, [entity(n, n, "c", "US") for n in nodes[:8]])
         r = make_rels(spark, [(a, b, DIRECT_PARENT, st) for a, b, st in sorted(edges)])
-        roots, levels = hierarchy.registry_group_levels(e, r, max_depth=5)
-        want_roots = rows(hierarchy.group_roots(e, r, max_depth=5), "lei", "root_lei")
+        roots, levels = hierarchy.group_levels(e, r, max_depth=5)
+        deepest = {}
+        for x in hierarchy.ancestor_chain(e, r, max_depth=5).collect():
+            deepest[x.lei] = min(deepest.get(x.lei, (1, "")), (-x.depth, x.node_lei))
+        want_roots = sorted((k, v if v in nodes[:8] else k) for k, (_, v) in deepest.items())
         assert rows(roots, "lei", "root_lei") == want_roots
+        assert rows(hierarchy.group_roots(e, r, e.select("lei"), max_depth=5), "lei", "root_lei") == want_roots
         distinct = roots.select(F.col("root_lei").alias("lei")).distinct()
         want = rows(hierarchy.descendant_levels(e, r, distinct, max_depth=5), "root_lei", "node_lei", "depth", "parent_lei", "via_type")
         assert rows(levels, "root_lei", "node_lei", "depth", "parent_lei", "via_type") == want
@@ -265,18 +304,6 @@ def test_registry_listing_equals_per_root_listing(spark, diamond):
         assert fast == slow
 
 
-def test_listing_through_the_hot_group_ranking_path(spark, diamond, monkeypatch):
-    from ownergraph.operators import ranking
-
-    e, r = diamond
-    want = rows(listing.registry_listing(e, r), "root_lei", "line_no", "node_lei")
-    tree = hierarchy.descendant_tree(e, r, requests_of(spark, ULTIMATE))
-    want_map = rows(listing.children_map(tree), "parent_lei", "pos", "node_lei")
-    monkeypatch.setattr(ranking, "MAX_TASK_ROWS", 1)  # every group counts as hot
-    assert rows(listing.registry_listing(e, r), "root_lei", "line_no", "node_lei") == want
-    assert rows(listing.children_map(tree), "parent_lei", "pos", "node_lei") == want_map
-
-
 def test_empty_name_sorts_first_and_null_last(spark):
     top, a, b, c = "T" * 20, "A" * 20, "B" * 20, "C" * 20
     e = make_entities(spark, [entity(top, "Top", "x", "US"), entity(a, "Zed", "x", "US"),
@@ -284,20 +311,11 @@ def test_empty_name_sorts_first_and_null_last(spark):
     r = make_rels(spark, [(k, top, DIRECT_PARENT, "ACTIVE") for k in (a, b, c)])
     lines = listing.registry_listing(e, r).where("line_no > 0").orderBy("line_no").collect()
     assert [x["node_lei"] for x in lines] == [top, b, a, c]
-    tree = hierarchy.descendant_tree(e, r, requests_of(spark, top))
-    kids = [x["node_lei"] for x in listing.children_map(tree, e).where(f"parent_lei = '{top}'").orderBy("pos").collect()]
+    tree = hierarchy.descendant_levels(e, r, requests_of(spark, top), with_sort_path=True)
+    kids = [x["node_lei"] for x in listing.children_map(tree).where(f"parent_lei = '{top}'").orderBy("pos").collect()]
     assert kids == [b, a, c]
 
 
-def test_descendant_tree_falls_back_when_paths_multiply(spark, diamond, monkeypatch):
-    e, r = diamond
-    want = rows(hierarchy.descendant_tree(e, r), "root_lei", "node_lei", "depth", "parent_lei")
-    monkeypatch.setattr(hierarchy, "PATH_GROWTH_LIMIT", 0.0)  # any level trips the guard
-    assert hierarchy._registry_walk(e, r, 50, growth_limit=0.0) is None
-    got = rows(hierarchy.descendant_tree(e, r), "root_lei", "node_lei", "depth", "parent_lei")
-    assert got == want
-
-
 def test_deep_descendant_trees_match_brute_force(spark):
     rnd = random.Random(23)
     for trial in range(2):

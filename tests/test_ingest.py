@@ -51,6 +51,22 @@ def test_invalid_utf8_row_dropped(spark):
     assert rows(df, "lei") == [("A0000000000000000001",)]
 
 
+def test_written_replacement_character_is_kept(spark):
+    raw = (HEADER + "\nA0000000000000000001,CAT,caf\u00e9 \ufffd,r\nA0000000000000000002,CAT,ok,\u0141\u00f3d\u017a\n").encode("utf-8")
+    raw += b"A0000000000000000003,CAT,\xc3\x28,r\n"  # no UTF-8
+    for multi_line in (True, False):
+        df = csv_ingest.read_dataset_csv(spark, _write("", raw), "repex", multi_line=multi_line)
+        assert rows(df, "lei", "exception_reason_1", "exception_reference_1") == [
+            ("A0000000000000000001", "caf\u00e9 \ufffd", "r"),
+            ("A0000000000000000002", "ok", "\u0141\u00f3d\u017a"),
+        ]
+
+
+def test_several_files_of_one_kind(spark):
+    paths = [_write(HEADER + f"\nA000000000000000000{i},CAT,r,x\n") for i in range(3)]
+    assert csv_ingest.read_dataset_csv(spark, paths, "repex").count() == 3
+
+
 def test_missing_column_fails(spark):
     path = _write("LEI,Exception.Category\nA0000000000000000001,CAT\n")
     with pytest.raises(csv_ingest.MissingColumnsError):
@@ -72,42 +88,43 @@ def test_level1_wide_file_projection_and_load_count(spark):
 def test_metadata_upsert_status(spark):
     empty = metadata.read_metadata(spark, "/nonexistent/metadata")
     assert empty.count() == 0
-    loads = spark.createDataFrame([("lei2", "2026-04-25", 2381240), ("rr", None, 4012887)], "dataset_type string, publish_date string, record_count int")
-    first = metadata.metadata_rows(loads, F.lit("2026-04-26 07:31:02").cast("timestamp"))
+    loads = spark.createDataFrame([("lei2", "2031-02-17", 1234567), ("rr", None, 7654321)], "dataset_type string, publish_date string, record_count int")
+    first = metadata.metadata_rows(loads, F.lit("2031-02-18 03:05:41").cast("timestamp"))
     upd = metadata.metadata_rows(
-        spark.createDataFrame([("rr", "2026-04-26", 5)], "dataset_type string, publish_date string, record_count int"),
-        F.lit("2026-04-27 08:00:00").cast("timestamp"),
+        spark.createDataFrame([("rr", "2031-02-18", 5)], "dataset_type string, publish_date string, record_count int"),
+        F.lit("2031-02-19 04:00:00").cast("timestamp"),
     )
     merged = metadata.upsert_metadata(first, upd)
     rep = rows(metadata.status_report(merged), "dataset", "publish_date", "loaded_at", "records")
     assert rep == [
-        ("Level 1 - LEI Records", "2026-04-25", "2026-04-26 07:31:02", "2,381,240"),
-        ("Level 2 - Relationships", "2026-04-26", "2026-04-27 08:00:00", "5"),
+        ("Level 1 - LEI Records", "2031-02-17", "2031-02-18 03:05:41", "1,234,567"),
+        ("Level 2 - Relationships", "2031-02-18", "2031-02-19 04:00:00", "5"),
     ]
     path = tempfile.mkdtemp(prefix="ownergraph-meta-") + "/m"
     metadata.write_metadata(first, path)
     metadata.write_metadata(upd, path)
     stored = rows(metadata.read_metadata(spark, path), "dataset_type", "record_count")
-    assert stored == [("lei2", 2381240), ("rr", 5)]
+    assert stored == [("lei2", 1234567), ("rr", 5)]
 
 
 def test_snapshots_and_staleness(spark):
     files = spark.createDataFrame(
         [
-            ("/d/20260424-0800-pub-goldencopy-rr-golden-copy.csv",),
-            ("/d/20260425-0800-pub-goldencopy-rr-golden-copy.csv",),
-            ("/d/20260425-0800-pub-goldencopy-lei2-golden-copy.csv",),
+            ("/d/20310216-0615-pub-goldencopy-rr-golden-copy.csv",),
+            ("/d/20310217-0615-pub-goldencopy-rr-golden-copy.csv",),
+            ("/d/20310217-0615-pub-goldencopy-lei2-golden-copy.csv",),
+            ("/d/20310218-0615-other-goldencopy-rr-golden-copy.csv",),
             ("/d/notes.txt",),
         ],
         "path string",
     )
-    latest = snapshots.latest_snapshots(files)
+    latest = snapshots.latest_snapshots(files, "pub")
     assert rows(latest) == [
-        ("lei2", "/d/20260425-0800-pub-goldencopy-lei2-golden-copy.csv"),
-        ("rr", "/d/20260425-0800-pub-goldencopy-rr-golden-copy.csv"),
+        ("lei2", "/d/20310217-0615-pub-goldencopy-lei2-golden-copy.csv"),
+        ("rr", "/d/20310217-0615-pub-goldencopy-rr-golden-copy.csv"),
     ]
-    remote = spark.createDataFrame([("lei2", "2026-04-25"), ("rr", "2026-04-26"), ("repex", "2026-04-25")], "dataset_type string, publish_date string")
-    local = spark.createDataFrame([("lei2", "2026-04-25"), ("rr", "2026-04-25")], "dataset_type string, local_date string")
+    remote = spark.createDataFrame([("lei2", "2031-02-17"), ("rr", "2031-02-18"), ("repex", "2031-02-17")], "dataset_type string, publish_date string")
+    local = spark.createDataFrame([("lei2", "2031-02-17"), ("rr", "2031-02-17")], "dataset_type string, local_date string")
     out = dict(rows(snapshots.stale_datasets(remote, local, latest), "dataset_type", "needs_download"))
     assert out == {"lei2": False, "rr": True, "repex": True}
     forced = dict(rows(snapshots.stale_datasets(remote, local, latest, force=True), "dataset_type", "needs_download"))
@@ -124,7 +141,7 @@ def test_layout_relationships(spark, base, capsys):
     _, r, _ = base
     out = tempfile.mkdtemp(prefix="ownergraph-layout-")
     csv_ingest.layout_relationships(r, out, 2)
-    back = spark.read.parquet(out + "/by_child")
+    back = spark.read.parquet(out + "/rr_by_child")
     assert back.count() == r.count()
     back.where(F.col("start_node_id") == "X").explain()
     assert "PushedFilters: [IsNotNull(start_node_id), EqualTo(start_node_id,X)]" in capsys.readouterr().out
@@ -137,10 +154,10 @@ def test_load_all_counts_and_metadata(spark):
     rr = _write(rr_header + "\n" + ",".join(["A" * 20, "LEI", "B" * 20, "LEI", "IS_DIRECTLY_CONSOLIDATED_BY", "ACTIVE"] + [""] * 16) + "\n")
     repex = _write(HEADER + "\nA0000000000000000001,CAT,r,x\nA0000000000000000002,CAT,r,y\n")
     out = tempfile.mkdtemp(prefix="ownergraph-loadall-")
-    counts = load_all(spark, {"rr": rr, "repex": repex}, out + "/tables", {"rr": "2026-04-25"}, out + "/meta")
+    counts = load_all(spark, {"rr": rr, "repex": repex}, out + "/tables", {"rr": "2031-02-17"}, out + "/meta")
     assert counts == {"rr": 1, "repex": 2}
     meta = rows(metadata.read_metadata(spark, out + "/meta"), "dataset_type", "publish_date", "record_count")
-    assert meta == [("repex", "unknown", 2), ("rr", "2026-04-25", 1)]
+    assert meta == [("repex", "unknown", 2), ("rr", "2031-02-17", 1)]
     with pytest.raises(MissingDatasetError):
         load_all(spark, {"lei2": None}, out + "/tables")
 
@@ -155,8 +172,20 @@ def test_malformed_rows_dropped_even_when_only_unselected_columns_differ(spark):
             "A0000000000000000003,CAT,r,ref,a,b,c",
         ]
     )
-    df = csv_ingest.read_dataset_csv(spark, _write(body), "repex")
-    assert rows(df, "lei") == [("A0000000000000000001",)]
+    for multi_line in (True, False):
+        df = csv_ingest.read_dataset_csv(spark, _write(body), "repex", multi_line=multi_line)
+        assert rows(df, "lei") == [("A0000000000000000001",)]
+
+
+def test_unreadable_metadata_raises(spark):
+    folder = tempfile.mkdtemp(prefix="ownergraph-meta-bad-")
+    with open(folder + "/part-0.parquet", "w") as fh:
+        fh.write("this is no parquet file")
+    with pytest.raises(Exception):
+        metadata.read_metadata(spark, folder).collect()
+    with pytest.raises(Exception):
+        metadata.read_metadata(spark, "nosuchscheme://x/y")
+    assert metadata.read_metadata(spark, folder + "/absent").count() == 0
 
 
 def test_layout_splits_a_hot_parent_across_files(spark):
@@ -168,16 +197,39 @@ def test_layout_splits_a_hot_parent_across_files(spark):
     r = spark.createDataFrame(rows_, "start_node_id string, end_node_id string, relationship_type string, relationship_status string")
     out = tempfile.mkdtemp(prefix="ownergraph-layout-hot-")
     csv_ingest.layout_relationships(r, out, 4)
-    files = [f for f in glob.glob(out + "/by_parent/*.parquet")]
+    files = [f for f in glob.glob(out + "/rr_by_parent/*.parquet")]
     assert len(files) > 1
-    assert spark.read.parquet(out + "/by_parent").where(F.col("end_node_id") == "H" * 20).count() == 400
+    assert spark.read.parquet(out + "/rr_by_parent").where(F.col("end_node_id") == "H" * 20).count() == 400
 
 
-def test_layout_exceptions(spark, base, capsys):
+def test_exceptions_are_stored_clustered(spark, base, capsys):
     _, _, x = base
     out = tempfile.mkdtemp(prefix="ownergraph-layout-exc-") + "/repex"
-    csv_ingest.layout_exceptions(x, out, 2)
+    csv_ingest.clustered_exceptions(x, 2).write.parquet(out)
     back = spark.read.parquet(out)
     assert back.count() == x.count()
     back.where(F.col("lei") == "X").explain()
     assert "EqualTo(lei,X)" in capsys.readouterr().out
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster(monkeypatch):
+    from ownergraph import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())

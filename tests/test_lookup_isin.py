@@ -11,13 +11,13 @@ from ownergraph.sources import isin
 def test_get_entity_and_missing(spark, base):
     e, _, _ = base
     got = lookup.get_entities(e, requests_of(spark, PARENT, "NONEXISTENT000000001"))
-    assert rows(got, "lei", "legal_name", "legal_address_city") == [(PARENT, "Parent Corp", "New York")]
+    assert rows(got, "lei", "legal_name", "legal_address_city") == [(PARENT, "Middlewood Trading AB", "New York")]
     missing = lookup.missing_leis(e, requests_of(spark, PARENT, "NONEXISTENT000000001"))
     assert rows(missing, "lei") == [("NONEXISTENT000000001",)]
 
 
 def test_normalize_requests(spark):
-    raw = spark.createDataFrame([("  child000000000000001 ",), ("SHORT",), (" ULTIMATE000000000001 ",), (None,)], "lei_input string")
+    raw = spark.createDataFrame([("  ambermill00000000052 ",), ("SHORT",), (" SKARVENSHIP000000090 ",), (None,)], "lei_input string")
     out = rows(lookup.normalize_requests(raw), "lei", "is_valid")
     assert (CHILD_A, True) in out and ("SHORT", False) in out and (ULTIMATE, True) in out
     assert (None, False) in out
@@ -25,11 +25,11 @@ def test_normalize_requests(spark):
 
 def test_search_by_name(spark, base):
     e, _, _ = base
-    assert rows(lookup.search_by_name(e, "child"), "lei") == [(CHILD_A,), ("CHILD000000000000002",)]
-    assert rows(lookup.search_by_name(e, "PARENT"), "lei") == [(PARENT,)]
+    assert rows(lookup.search_by_name(e, "s"), "lei") == [(CHILD_A,), ("BRISKCANAL0000000053",), (ULTIMATE,)]
+    assert rows(lookup.search_by_name(e, "MIDDLE"), "lei") == [(PARENT,)]
     assert lookup.search_by_name(e, "nothing here").count() == 0
     assert lookup.search_by_name(e, "", limit=2).count() == 2
-    assert [r["lei"] for r in lookup.search_by_name(e, "", limit=2).collect()] == ["CHILD000000000000001", "CHILD000000000000002"]
+    assert [r["lei"] for r in lookup.search_by_name(e, "", limit=2).collect()] == ["AMBERMILL00000000052", "BRISKCANAL0000000053"]
 
 
 def test_search_wildcards_and_backslash(spark):
@@ -104,15 +104,15 @@ def test_batch_search_matches_brute_force(spark):
 
 def test_search_title(spark, base):
     e, _, _ = base
-    one = lookup.search_title(lookup.search_by_name(e, "parent"), "parent").collect()[0]
-    assert one["title"] == "Name Search: 'parent' (1 result)"
-    two = lookup.search_title(lookup.search_by_name(e, "child"), "child").collect()[0]
-    assert two["title"] == "Name Search: 'child' (2 results)"
+    one = lookup.search_title(lookup.search_by_name(e, "middle"), "middle").collect()[0]
+    assert one["title"] == "Name Search: 'middle' (1 result)"
+    two = lookup.search_title(lookup.search_by_name(e, "ls"), "ls").collect()[0]
+    assert two["title"] == "Name Search: 'ls' (2 results)"
     none = lookup.search_title(lookup.search_by_name(e, "zzz"), "zzz").collect()[0]
     assert none["title"] == "No entities found matching 'zzz'." and none["result_count"] == 0
 
 
 def test_normalize_strips_unicode_whitespace(spark):
-    raw = spark.createDataFrame([(" child000000000000001 ",), ("\tparent00000000000001\n",)], "lei_input string")
+    raw = spark.createDataFrame([(" ambermill00000000052 ",), ("\tmidwood0000000000071\n",)], "lei_input string")
     out = rows(lookup.normalize_requests(raw), "lei", "is_valid")
-    assert out == [("CHILD000000000000001", True), ("PARENT00000000000001", True)]
+    assert out == [("AMBERMILL00000000052", True), ("MIDWOOD0000000000071", True)]

@@ -23,13 +23,13 @@ from ownergraph.schema import DIRECT_PARENT, ULTIMATE_PARENT
 def test_direct_parent(spark, base):
     e, r, _ = base
     out = relations.direct_parents(e, r, requests_of(spark, CHILD_A))
-    assert rows(out, "lei", "parent_lei", "legal_name") == [(CHILD_A, PARENT, "Parent Corp")]
+    assert rows(out, "lei", "parent_lei", "legal_name") == [(CHILD_A, PARENT, "Middlewood Trading AB")]
 
 
 def test_ultimate_parent(spark, base):
     e, r, _ = base
     out = relations.ultimate_parents(e, r, requests_of(spark, CHILD_A))
-    assert rows(out, "parent_lei", "legal_name") == [(ULTIMATE, "Ultimate Holdings PLC")]
+    assert rows(out, "parent_lei", "legal_name") == [(ULTIMATE, "Skarven Shipping ASA")]
 
 
 def test_no_parent(spark, base):
@@ -42,8 +42,8 @@ def test_children(spark, base):
     e, r, _ = base
     out = relations.children(e, r, requests_of(spark, PARENT))
     assert rows(out, "related_lei", "legal_name", "direction") == [
-        (CHILD_A, "Child A Inc.", "child"),
-        (CHILD_B, "Child B Ltd.", "child"),
+        (CHILD_A, "Amber Mills Ltda", "child"),
+        (CHILD_B, "Brisk Canals BV", "child"),
     ]
     # Ultimate holds a direct child (PARENT) and an ultimate-type child (CHILD_A).
     out = relations.children(e, r, requests_of(spark, ULTIMATE))
@@ -62,7 +62,7 @@ def test_siblings(spark, base):
     e, r, _ = base
     out = relations.siblings(e, r, requests_of(spark, CHILD_A))
     assert rows(out, "lei", "related_lei", "legal_name", "direction") == [
-        (CHILD_A, CHILD_B, "Child B Ltd.", "sibling")
+        (CHILD_A, CHILD_B, "Brisk Canals BV", "sibling")
     ]
     assert relations.siblings(e, r, requests_of(spark, ULTIMATE)).count() == 0
 
@@ -145,10 +145,10 @@ def test_children_keep_dangling_child_and_duplicate_types(spark):
     e, r = _edge_cases(spark)
     out = rows(relations.children(e, r, requests_of(spark, PARENT)), "related_lei", "legal_name", "relationship_type")
     assert (("ORPHAN00000000000001", None, DIRECT_PARENT)) in out
-    assert (CHILD_A, "Child A Inc.", DIRECT_PARENT) in out
-    assert (CHILD_A, "Child A Inc.", ULTIMATE_PARENT) in out
+    assert (CHILD_A, "Amber Mills Ltda", DIRECT_PARENT) in out
+    assert (CHILD_A, "Amber Mills Ltda", ULTIMATE_PARENT) in out
     # ordering puts the NULL name last
-    ordered = relations.order_related(relations.children(e, r, requests_of(spark, PARENT))).collect()
+    ordered = relations.order_related(relations.children(e, r, requests_of(spark, PARENT), stored_name=True)).collect()
     assert ordered[-1]["legal_name"] is None
 
 
@@ -182,3 +182,23 @@ def test_exceptions_fixture_shape(spark):
     x = make_exceptions(spark, [("A" * 20, "DIRECT_ACCOUNTING_CONSOLIDATION_PARENT", "", None)])
     out = relations.reporting_exceptions(x).collect()[0]
     assert out["exception_reason"] is None and out["exception_reference"] is None
+
+
+def test_empty_names_come_first_in_display_order(spark):
+    from ownergraph.operators import hierarchy, report
+
+    top, kids = "T" * 20, {"A" * 20: "Alpha", "B" * 20: "", "C" * 20: None}
+    e = make_entities(spark, [entity(top, "Top", "x", "US"), *[entity(k, v, "x", "US") for k, v in kids.items()]])
+    r = make_rels(spark, [(k, top, DIRECT_PARENT, "ACTIVE") for k in kids])
+    asked = requests_of(spark, top)
+    want = ["B" * 20, "A" * 20, "C" * 20]
+    got = relations.order_related(relations.children(e, r, asked, stored_name=True)).collect()
+    assert [x["related_lei"] for x in got] == want
+    tree = report.order_tree(hierarchy.descendant_tree(e, r, asked), e).collect()
+    assert [x["node_lei"] for x in tree] == [top, *want]
+    x = spark.createDataFrame([], "lei string, exception_category string, exception_reason_1 string, exception_reference_1 string")
+    long = report.full_report_long(e, r, x, asked)
+    lines = report.report_display(long, registry=False).where("section = 'children'").orderBy("pos").collect()
+    assert [v["text"][:20] for v in lines] == want
+    leis = report.report_leis(long).orderBy("first_pos").collect()
+    assert [v["related_lei"] for v in leis] == [top, *want]
