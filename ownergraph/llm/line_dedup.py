@@ -13,9 +13,11 @@ one with Jaccard similarity of at least ``threshold``.
    positional filter (what follows the shared key can still reach the overlap)
    and a parity signature: the xor of one bit per word bounds the number of words
    that differ from below. A frequent key is split by AQE like any skewed join.
-4. The surviving pairs are verified by the Jaccard of their words.
-5. Per set the earliest line of a similar set is the cut: its lines after the
-   cut, or after its own first line, go.
+4. Only the earliest similar set matters to a set. Per set the join is reduced to
+   the earliest candidate, whose words are verified; the sets whose candidate
+   fails ask again for the next ones, ever more at once, until none is left.
+5. The first line of that set is the cut: the set's lines after the cut, or after
+   its own first line, go.
 
 Equal sets never meet as pairs: they are collapsed before the join. Lines without
 a word are kept and match nothing. Null texts stay null. Rows with the same doc_id
@@ -26,14 +28,15 @@ first. An empty table gives no rows. All other columns stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ownergraph.llm.common import release, stored
+from ownergraph.llm.common import discard, release, stored
 
 THRESHOLD = 0.8
 SLOTS = 1 << 16
 HASH_BITS = 40
+MORE = 64  # times as many candidates a set in each further round
 SPACE = "[ \\t\\r\\x0B\\f]+"
 
 
@@ -48,7 +51,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(line, SPACE), "")
 
 
 def _slot_counts(lines: DataFrame) -> Column:
@@ -73,7 +76,7 @@ def _sets(lines: DataFrame, threshold: float) -> DataFrame:
         slot = F.pmod(h, F.lit(SLOTS)).cast("int")
         return F.shiftleft(F.get(counts, slot), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS).bitwiseAND(F.lit(mask)))
 
-    keyed = lines.select("doc_id", "row", "line_no", F.array_sort(F.array_distinct(F.transform(_words(F.col("line")), key))).alias("k"))
+    keyed = lines.select("doc_id", "row", "line_no", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), key))).alias("k"))
     return (
         keyed.select(
             "doc_id",
@@ -91,78 +94,121 @@ def _sets(lines: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (id, sig, n, id2, sig2, n2) of different sets that pass the filters,
-    the longer one (or the one with the larger id) first."""
-    posts = sets.select("id", "sig", "n", F.posexplode("prefix").alias("pos", "key"))
-    a, b = posts.alias("a"), posts.alias("b")
+def _earliest(posts: DataFrame, asking: DataFrame | None, k: int, threshold: float) -> DataFrame:
+    """(s, e): for every set s of ``asking(s, after)`` (None: every set) the ``k``
+    earliest sets e after ``after`` and before s that pass all filters. Sets are
+    numbered in the order of their first lines. Pairs meet inside the join and are
+    reduced there, per task, to ``k`` a set; they are not dealt out."""
+    a = (posts if asking is None else posts.join(asking, "s")).alias("a")
+    b = posts.alias("b")
+    # Without asking sets both sides are the same rows, dealt out once.
+    later = F.lit(True) if asking is None else F.col("b.s") > F.col("a.after")
     n, m = F.col("a.n"), F.col("b.n")
     share = threshold / (1 + threshold)
     # At the first shared key: it and what follows it in both can be shared.
     left = F.least(n - F.col("a.pos"), m - F.col("b.pos"))
     differ = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig")))
-    longer = (n > m) | ((n == m) & (F.col("a.id") > F.col("b.id")))
-    return (
-        a.join(
-            b,
-            (F.col("a.key") == F.col("b.key"))
-            & longer
-            & (m >= n * threshold - 1e-9)
-            & (left >= (n + m) * share - 1e-9)
-            & (differ <= (n + m) * (1 - 2 * share) + 1e-9),
-        )
-        .select(
-            F.col("a.id").alias("id"), F.col("a.sig").alias("sig"), n.alias("n"),
-            F.col("b.id").alias("id2"), F.col("b.sig").alias("sig2"), m.alias("n2"),
-        )
-        .distinct()
-    )
+    found = a.join(
+        b,
+        (F.col("a.key") == F.col("b.key"))
+        & (F.col("b.s") < F.col("a.s"))
+        & later
+        & (m >= n * threshold - 1e-9)
+        & (n >= m * threshold - 1e-9)
+        & (left >= (n + m) * share - 1e-9)
+        & (differ <= (n + m) * (1 - 2 * share) + 1e-9),
+    ).select(F.col("a.s").alias("s"), F.col("b.s").alias("e"))
+    if k == 1:
+        return found.groupBy("s").agg(F.min("e").alias("e"))
+    nearest = Window.partitionBy("s").orderBy("e")
+    return found.withColumn("r", F.dense_rank().over(nearest)).where(F.col("r") <= k).select("s", "e").distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, row, line_no) of the lines that go."""
     spark = docs.sparkSession
     lines = _lines(docs)
-    own = stored(_sets(lines, threshold), "line-sets")
+    own = stored(_sets(lines, threshold), "line-own")
     place = F.struct("doc_id", "line_no")
-    sets = own.groupBy("id", "sig", "n").agg(F.min(place).alias("first"), F.first("prefix").alias("prefix"))
-    pairs = stored(_candidates(sets.drop("first"), threshold), "line-pairs")
-    release(spark)
-    ends = pairs.select("id", "sig", "n").union(pairs.select("id2", "sig2", "n2")).distinct()
-    firsts = stored(own.groupBy("id", "sig", "n").agg(F.min(place).alias("first")), "line-firsts")
-    # The words of the sets in pairs, from their first lines.
-    met = firsts.join(ends, ["id", "sig", "n"]).select("id", "sig", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    texts = stored(
-        lines.alias("l").join(met.alias("m"), F.col("l.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("l.line_no") == F.col("m.line_no")))
-        .select("id", "sig", "n", F.struct("l.doc_id", "l.line_no").alias("first"), F.array_distinct(_words(F.col("line"))).alias("w")),
-        "line-words",
-    )
-    x = texts.select("id", "sig", "n", F.col("first").alias("f1"), F.col("w").alias("w1"))
-    y = texts.select(F.col("id").alias("id2"), F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("first").alias("f2"), F.col("w").alias("w2"))
-    shared = F.size(F.array_intersect("w1", "w2"))
-    good = (
-        pairs.join(x, ["id", "sig", "n"]).join(y, ["id2", "sig2", "n2"])
-        .where(shared >= (F.size("w1") + F.size("w2") - shared) * threshold - 1e-9)
-    )
-    cuts = stored(
-        good.select("id", "sig", "n", F.col("f2").alias("cut")).union(good.select("id2", "sig2", "n2", "f1"))
-        .groupBy("id", "sig", "n").agg(F.min("cut").alias("cut")),
-        "line-cuts",
+    found = own.groupBy("id", "sig", "n").agg(F.min(place).alias("first"), F.first("prefix").alias("prefix"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Numbered in the order of first lines: ranges, sorted, then rising ids.
+    sets = stored(
+        found.repartitionByRange(parts, "first").sortWithinPartitions("first").withColumn("s", F.monotonically_increasing_id()),
+        "line-sets",
     )
+    whole, own = own, stored(own.drop("prefix"), "line-places")
+    discard(whole)
+    # Each step's shuffle files go before the next step makes its own.
+    release(spark)
+    posts = sets.select("s", "sig", "n", F.posexplode("prefix").alias("pos", "key"))
+    firsts, n_sets = sets.select("s", "first"), sets.count()
+    asking, good, k = None, None, 1
+    while True:
+        pairs = stored(_earliest(posts, asking, k, threshold), "line-pairs")
+        release(spark)
+        # The words of the two sets, from their first lines.
+        ends = pairs.select("s").union(pairs.select("e")).distinct()
+        met = firsts.join(ends, "s").select("s", F.col("first.doc_id").alias("__d"), F.col("first.line_no").alias("__l"))
+        texts = stored(
+            lines.join(met, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("line_no") == F.col("__l"))).select("s", "line", "doc_id", "line_no"),
+            "line-texts",
+        )
+        release(spark)
+        x = texts.select("s", F.col("line").alias("x"))
+        y = texts.select(F.col("s").alias("e"), F.col("line").alias("y"), F.struct("doc_id", "line_no").alias("cut"))
+        u, v = F.array_distinct(_words(F.col("x"))), F.array_distinct(_words(F.col("y")))
+        # In batches of at most a quarter as many pairs as there are sets, so the
+        # lines that move at once stay below the input's size.
+        batches = max(1, -(-4 * pairs.count() // max(1, n_sets)))
+        checked = None
+        for i in range(batches):
+            part = pairs.where(F.pmod(F.xxhash64("s"), F.lit(batches)) == i)
+            sizes = part.join(x, "s").join(y, "e").select(
+                "s", "e", "cut", F.size(u).alias("nu"), F.size(v).alias("nv"), F.size(F.array_intersect(u, v)).alias("both")
+            )
+            # Rows with the same doc_id may hold other lines at the place: one
+            # line that fits is enough.
+            like = F.col("both") >= (F.col("nu") + F.col("nv") - F.col("both")) * threshold - 1e-9
+            done = stored(
+                sizes.withColumn("like", like).groupBy("s", "e").agg(F.max("like").alias("like"), F.min("cut").alias("cut")),
+                "line-checked",
+            )
+            checked = done if checked is None else checked.unionByName(done)
+            release(spark)
+        discard(pairs, texts)
+        release(spark)
+        by_set = checked.groupBy("s").agg(
+            F.min(F.when(F.col("like"), F.struct("e", "cut"))).alias("fit"), F.max("e").alias("after"), F.count("*").alias("n")
+        )
+        fits = by_set.where("fit IS NOT NULL").select("s", F.col("fit.cut").alias("cut"))
+        good = fits if good is None else good.unionByName(fits)
+        # Sets whose candidates all failed ask for more of them at once.
+        asking = by_set.where((F.col("fit").isNull()) & (F.col("n") >= k)).select("s", "after")
+        if asking.isEmpty():
+            break
+        k *= MORE
     ends = stored(
-        firsts.join(cuts, ["id", "sig", "n"], "left").select("id", "sig", "n", F.least("first", F.coalesce("cut", "first")).alias("cut")),
+        sets.join(good, "s", "left").select("id", "sig", "n", F.coalesce("cut", "first").alias("cut")),
         "line-ends",
     )
-    return (
+    discard(sets)
+    release(spark)
+    out = (
         own.select("id", "sig", "n", "doc_id", "row", "line_no").join(ends, ["id", "sig", "n"])
         .where(F.col("cut") < place).select("doc_id", "row", "line_no")
     )
+    out.read_from = (own, ends)
+    return out
 
 
 def removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document with removed lines: doc_id, row, removed (sorted numbers)."""
     gone = removed_lines(docs, threshold)
-    return stored(gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "line-removals")
+    out = stored(gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "line-removals")
+    discard(*gone.read_from)
+    release(docs.sparkSession)
+    return out
 
 
 def _with_removals(docs: DataFrame, threshold: float) -> DataFrame:
