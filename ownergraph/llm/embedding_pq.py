@@ -11,9 +11,9 @@ vector can lie within the threshold's radius only if its asymmetric distance is
 most radius + e: these are the candidates, none within the list is missed, and
 their exact cosine in double precision decides.
 
-Probes: lists whose bisector with the home list is nearer than ``PROBE_SLACK``.
-A partner at the radius (0.447 for cosine 0.9) would have to lie far out in that one
-direction to be in another list; the tests measure recall against brute force.
+Probes: lists whose bisector with the home list is within half the radius. The
+distances of a pair in two lists to these lists' bisector add up to at most the
+pair's distance, so one of the two probes the other's list and no pair is lost.
 
 Equal vectors are collapsed before and counted. Lists over ``BLOCK`` rows are dealt
 out in blocks of indexed rows and blocks of queries, so a task's group is bounded;
@@ -42,7 +42,8 @@ SAMPLE = 16_384  # vectors that the index is fitted on, at most
 LIST_ROWS = 256  # rows a list has on average, up to LISTS lists
 LISTS = 2_048
 SUBSPACES, WORDS = 16, 64
-PROBE_SLACK = 0.12
+MARGIN = 1e-6  # added to half the radius for rounding
+DEALT = 8_192  # rows of a batch that is dealt out
 BLOCK = 4_096
 SEED = 7
 
@@ -90,16 +91,29 @@ class Index:
         back = np.stack([self.words[p][codes[:, p]] for p in range(self.parts)], 1)
         return home, codes, np.sqrt(((rest - back) ** 2).sum((1, 2)))
 
-    def probes(self, x: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs to search: home lists, and lists whose bisector
-        with the home list is nearer than ``slack``."""
+    def reaches(self, x: np.ndarray, home: np.ndarray, lists: np.ndarray, slack: float) -> np.ndarray:
+        """Whether the bisector of each row's ``home`` and ``lists`` is within
+        ``slack``; worked out row by row, so it is the same in every task."""
+        out = np.empty(len(x), bool)
+        half = (self.centre * self.centre).sum(1) / 2
+        for i in range(0, len(x), 4096):
+            h, l = home[i : i + 4096], lists[i : i + 4096]
+            gap = self.centre[h] - self.centre[l]
+            out[i : i + 4096] = (x[i : i + 4096] * gap).sum(1) + half[l] - half[h] <= slack * np.sqrt((gap * gap).sum(1))
+        return out
+
+    def probes(self, x: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Home lists, and the (row, list) pairs to search: home lists, and lists
+        whose bisector with the home list is within ``slack``."""
         d = _distances(x, self.centre)
         home = d.argmin(1)
-        gap = self.between[home]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            away = (d - d[np.arange(len(x)), home][:, None]) / (2 * gap)
-        away[gap == 0] = 0
-        return np.nonzero(away <= slack)
+        over = (d - d[np.arange(len(x)), home][:, None]) / 2 - slack * self.between[home]
+        row, probe = np.nonzero(over <= 1e-7)
+        # Matrix products round as their shapes have it: the close ones again.
+        close = np.flatnonzero(over[row, probe] > -1e-7)
+        keep = np.ones(len(row), bool)
+        keep[close] = (home[row[close]] == probe[close]) | self.reaches(x[row[close]], home[row[close]], probe[close], slack)
+        return home, row[keep], probe[keep]
 
     def asymmetric(self, query: np.ndarray, list_id: int, codes: np.ndarray) -> np.ndarray:
         """Distances of the queries to the coded rows of a list."""
@@ -118,7 +132,7 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def links(reps: DataFrame, dim: int, rows: int, threshold: float, slack: float = PROBE_SLACK) -> DataFrame:
+def links(reps: DataFrame, dim: int, rows: int, threshold: float) -> DataFrame:
     """``reps(rep long, v array<double>, copies long)``, all of length ``dim``:
     a row (rep, n, other) per task and rep with n > 0 copies linked, or per link
     of a spanning forest (n = 0, other set)."""
@@ -126,19 +140,22 @@ def links(reps: DataFrame, dim: int, rows: int, threshold: float, slack: float =
     sample = reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow()
     index = Index(_unit(sample.column("v").combine_chunks()), rows)
     radius = math.sqrt(2 - 2 * threshold) if threshold < 1 else 0.0
+    slack = radius / 2 + MARGIN
 
     # Rows and queries per list: at most LISTS rows come to the driver.
     def count(batches):
         homes, asks = np.zeros(len(index.centre), "i8"), np.zeros(len(index.centre), "i8")
         for batch in batches:
             if batch.num_rows:
-                x = _unit(batch.column("v"))
-                homes += np.bincount(_distances(x, index.centre).argmin(1), minlength=len(homes))
-                asks += np.bincount(index.probes(x, slack)[1], minlength=len(asks))
+                home, _, probe = index.probes(_unit(batch.column("v")), slack)
+                homes += np.bincount(home, minlength=len(homes))
+                asks += np.bincount(probe, minlength=len(asks))
         yield pa.RecordBatch.from_pydict({"list": pa.array(range(len(homes))), "homes": pa.array(homes), "asks": pa.array(asks)})
 
     sizes = reps.select("v").mapInArrow(count, "list long, homes long, asks long").groupBy("list").agg(F.sum("homes"), F.sum("asks")).collect()
-    splits = {r[0]: (-(-r[1] // BLOCK) or 1, -(-r[2] // BLOCK) or 1) for r in sizes}
+    splits = np.ones((2, len(index.centre)), "i8")
+    for r in sizes:
+        splits[:, r[0]] = -(-r[1] // BLOCK) or 1, -(-r[2] // BLOCK) or 1
 
     def deal(batches):
         """Indexed rows (ask = 0) to all blocks of queries of their list, and
@@ -146,29 +163,24 @@ def links(reps: DataFrame, dim: int, rows: int, threshold: float, slack: float =
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                x = _unit(part.column("v"))
                 rep = part.column("rep").to_numpy()
-                home = _distances(x, index.centre).argmin(1)
-                row, probe = index.probes(x, slack)
-                key, at, ask = [], [], []
-                for r, l in zip(range(len(x)), home.tolist()):
-                    n, q = splits[l]
-                    block = int(rep[r]) % n
-                    for b in range(q):
-                        key.append(l << 32 | block << 16 | b)
-                        at.append(r)
-                        ask.append(0)
-                for r, l in zip(row.tolist(), probe.tolist()):
-                    n, q = splits[l]
-                    block = int(rep[r]) % q
-                    for b in range(n):
-                        key.append(l << 32 | b << 16 | block)
-                        at.append(r)
-                        ask.append(1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(ask, pa.int8())] + [part.column(c).take(pa.array(at)) for c in ("rep", "copies", "v")],
-                    names=["key", "ask", "rep", "copies", "v"],
-                )
+                home, row, probe = index.probes(_unit(part.column("v")), slack)
+                keys, ats = [], []
+                for ask, at, lists in ((0, np.arange(len(home)), home), (1, row, probe)):
+                    # Own block among the own kind, every block of the other.
+                    own, others = rep[at] % splits[ask, lists], splits[1 - ask, lists]
+                    k = np.repeat(np.arange(len(at)), others)
+                    other = np.arange(len(k)) - np.repeat(np.cumsum(others) - others, others)
+                    first, second = (other, own[k]) if ask else (own[k], other)
+                    keys.append(lists[k] << 32 | first << 16 | second)
+                    ats.append(at[k])
+                key, at, ask = np.concatenate(keys), np.concatenate(ats), np.repeat([0, 1], [len(k) for k in keys]).astype("i1")
+                for j in range(0, len(key), DEALT):
+                    to = at[j : j + DEALT]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[j : j + DEALT]), pa.array(ask[j : j + DEALT])] + [part.column(c).take(pa.array(to)) for c in ("rep", "copies", "v")],
+                        names=["key", "ask", "rep", "copies", "v"],
+                    )
 
     def search(group: pa.Table) -> pa.Table:
         ask = group.column("ask").to_numpy().astype(bool)
@@ -198,7 +210,7 @@ def links(reps: DataFrame, dim: int, rows: int, threshold: float, slack: float =
     return dealt.groupBy("key").applyInArrow(search, "rep long, n long, other long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, slack: float = PROBE_SLACK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Per row of ``vectors(vec_id, embedding)``: vec_id, n_links,
     component_id, kept. ``threshold`` > 0."""
     spark = vectors.sparkSession
@@ -225,7 +237,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, slack: float = P
     found = None
     # A row per length of vectors; usually one.
     for dim, n in reps.groupBy(F.size("v")).count().collect():
-        one = links(reps.where(F.size("v") == dim).select("rep", "v", "copies"), dim, n, threshold, slack)
+        one = links(reps.where(F.size("v") == dim).select("rep", "v", "copies"), dim, n, threshold)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = spark.createDataFrame([], "rep long, n long, other long")

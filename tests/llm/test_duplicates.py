@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ownergraph.llm import line_dedup, simhash_anchor
+from ownergraph.llm import embedding_pq, line_dedup, simhash_anchor
 from ownergraph.llm.common import stored
 from ownergraph.llm.embedding_pq import near_duplicates as near_vectors
 from ownergraph.llm.graph import components
@@ -90,6 +90,31 @@ def test_recall_of_the_index_on_the_given_vectors(llm_spark):
     assert sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def _hot_vectors(rows, noise, axes):
+    """A third of all rows in one group of cosine about 0.91, as unit vectors."""
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(rows, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    apart = np.zeros((rows // 3, 64))
+    apart[:, :axes] = noise / np.sqrt(axes) * draw.normal(size=(rows // 3, axes))
+    x[: rows // 3] = x[0] + apart
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("lists, axes", [(40, 64), (234, 16), (2048, 4)])
+def test_probes_of_planted_groups_lose_no_pair(lists, axes):
+    x = _hot_vectors(embedding_pq.SAMPLE, 0.31, axes)
+    index = embedding_pq.Index(x, lists * embedding_pq.LIST_ROWS)
+    assert len(index.centre) == lists
+    some = np.concatenate([x[:1000], x[-500:]])
+    home, row, probe = index.probes(some, np.sqrt(0.2) / 2 + embedding_pq.MARGIN)
+    probed = np.zeros((len(some), lists), bool)
+    probed[row, probe] = True
+    found = probed[:, home]
+    alike = some @ some.T >= 0.9
+    assert alike.sum() > 100_000 and (found | found.T)[alike].all()
+
+
 # --- SimHash -----------------------------------------------------------------
 
 
