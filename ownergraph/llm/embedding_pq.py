@@ -13,7 +13,8 @@ their exact cosine in double precision decides.
 
 Probes: lists whose bisector with the home list is within half the radius. The
 distances of a pair in two lists to these lists' bisector add up to at most the
-pair's distance, so one of the two probes the other's list and no pair is lost.
+pair's distance, so one of the two probes the other's list and no pair is lost. A
+pair that only one end finds is counted for both by the task that finds it.
 
 Equal vectors are collapsed before and counted. Lists over ``BLOCK`` rows are dealt
 out in blocks of indexed rows and blocks of queries, so a task's group is bounded;
@@ -83,13 +84,12 @@ class Index:
         out[:, : self.dim] = x
         return out.reshape(len(x), self.parts, self.sub)
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(home list, codes, e) of every row, and nothing left out."""
-        home = _distances(x, self.centre).argmin(1)
-        rest = self._pad(x - self.centre[home])
+    def place(self, x: np.ndarray, list_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, e) of every row of a list, and nothing left out."""
+        rest = self._pad(x - self.centre[list_id])
         codes = np.stack([_distances(rest[:, p], self.words[p]).argmin(1) for p in range(self.parts)], 1).astype("u1")
         back = np.stack([self.words[p][codes[:, p]] for p in range(self.parts)], 1)
-        return home, codes, np.sqrt(((rest - back) ** 2).sum((1, 2)))
+        return codes, np.sqrt(((rest - back) ** 2).sum((1, 2)))
 
     def reaches(self, x: np.ndarray, home: np.ndarray, lists: np.ndarray, slack: float) -> np.ndarray:
         """Whether the bisector of each row's ``home`` and ``lists`` is within
@@ -178,8 +178,8 @@ def links(reps: DataFrame, dim: int, rows: int, threshold: float) -> DataFrame:
                 for j in range(0, len(key), DEALT):
                     to = at[j : j + DEALT]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[j : j + DEALT]), pa.array(ask[j : j + DEALT])] + [part.column(c).take(pa.array(to)) for c in ("rep", "copies", "v")],
-                        names=["key", "ask", "rep", "copies", "v"],
+                        [pa.array(key[j : j + DEALT]), pa.array(ask[j : j + DEALT])] + [pa.array(home[to], pa.int32())] + [part.column(c).take(pa.array(to)) for c in ("rep", "copies", "v")],
+                        names=["key", "ask", "home", "rep", "copies", "v"],
                     )
 
     def search(group: pa.Table) -> pa.Table:
@@ -187,11 +187,12 @@ def links(reps: DataFrame, dim: int, rows: int, threshold: float) -> DataFrame:
         rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
         x = _unit(group.column("v").combine_chunks())
         list_id = int(group.column("key")[0].as_py()) >> 32
-        rows, own, many = x[~ask], rep[~ask], copies[~ask]
+        home = group.column("home").to_numpy()[ask]
+        rows, own, many, asked = x[~ask], rep[~ask], copies[~ask], copies[ask]
         out: list[tuple[int, int, int | None]] = []
         if len(rows):
-            _, codes, left = index.place(rows)
-            forest = Forest()
+            codes, left = index.place(rows, list_id)
+            forest, back = Forest(), np.zeros(len(rows), "i8")
             bound = (radius + left + 1e-5).astype("f4")
             for i in range(0, int(ask.sum()), 512):
                 query, name = x[ask][i : i + 512], rep[ask][i : i + 512]
@@ -202,11 +203,17 @@ def links(reps: DataFrame, dim: int, rows: int, threshold: float) -> DataFrame:
                 q, r = q[hit], r[hit]
                 n = np.bincount(q, weights=many[r], minlength=len(query)).astype("i8")
                 out += [(int(name[k]), int(n[k]), None) for k in np.flatnonzero(n)]
+                # Partners that don't ask in the query's home list are counted here.
+                pair, at = np.unique(r * len(index.centre) + home[i : i + 512][q], return_inverse=True)
+                r_one, h_one = pair // len(index.centre), pair % len(index.centre)
+                alone = ((h_one != list_id) & ~index.reaches(rows[r_one], np.full(len(pair), list_id), h_one, slack))[at]
+                back += np.bincount(r[alone], weights=asked[i : i + 512][q[alone]], minlength=len(rows)).astype("i8")
                 out += [(a, 0, b) for a, b in zip(name[q].tolist(), own[r].tolist()) if forest.join(a, b)]
+            out += [(int(own[k]), int(back[k]), None) for k in np.flatnonzero(back)]
         a, n, b = zip(*out) if out else ((), (), ())
         return pa.table({"rep": pa.array(a, pa.int64()), "n": pa.array(n, pa.int64()), "other": pa.array(b, pa.int64())})
 
-    dealt = reps.mapInArrow(deal, f"key long, ask byte, rep long, copies long, v {dict(reps.dtypes)['v']}")
+    dealt = reps.mapInArrow(deal, f"key long, ask byte, home int, rep long, copies long, v {dict(reps.dtypes)['v']}")
     return dealt.groupBy("key").applyInArrow(search, "rep long, n long, other long")
 
 

@@ -115,6 +115,19 @@ def test_probes_of_planted_groups_lose_no_pair(lists, axes):
     assert alike.sum() > 100_000 and (found | found.T)[alike].all()
 
 
+def test_links_are_counted_for_both_ends(llm_spark, monkeypatch):
+    monkeypatch.setattr(embedding_pq, "LIST_ROWS", 12)
+    monkeypatch.setattr(embedding_pq, "BLOCK", 64)  # lists are dealt out in blocks
+    x = _hot_vectors(1500, 0.31, 16)
+    x[-3:] = 2 * x[:3]  # same direction, other vector
+    df = llm_spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000, x[0].tolist())], "vec_id long, embedding array<double>")
+    x = np.concatenate([x, x[:1]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in near_vectors(df).collect()}
+    assert [got[i] for i in [*range(1500), 2000]] == want.tolist()
+
+
 # --- SimHash -----------------------------------------------------------------
 
 
