@@ -254,16 +254,17 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     )
 
 
-def groups(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 4, bits: int = 4, row: Column | None = None) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, fp, component_id, row, stays.
 
-    ``row`` is the row's ``monotonically_increasing_id``; of every group the row
-    with the smallest doc_id (known ids first, then the smallest row) stays."""
+    ``row`` numbers the rows (by default ``monotonically_increasing_id``); of every
+    group the row with the smallest doc_id (known ids first, then the smallest row)
+    stays."""
     own = stored(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             fingerprints(F.col("text"), shingle).alias("fp"),
-            F.monotonically_increasing_id().alias("row"),
+            (F.monotonically_increasing_id() if row is None else row).alias("row"),
         ),
         "fingerprints",
     )
@@ -295,11 +296,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """One document of every group, columns unchanged. ``docs`` must be a table
-    that gives the same rows in the same order when read again."""
-    stay = stored(groups(docs, shingle, bits).where("stays").select(F.col("row").alias("__row")), "fingerprint-stay")
-    return (
-        docs.withColumn("__row", F.monotonically_increasing_id())
-        .join(stay, "__row", "left_semi")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    """One document of every group, columns unchanged. The rows are numbered once
+    and written with their numbers: another read may split the files elsewhere."""
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "fingerprint-docs")
+    stay = stored(groups(numbered, shingle, bits, F.col("__row")).where("stays").select(F.col("row").alias("__row")), "fingerprint-stay")
+    return numbered.join(stay, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

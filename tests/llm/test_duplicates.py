@@ -155,6 +155,21 @@ def test_no_fingerprints(no_docs):
     assert simhash_anchor.one_of_each(no_docs).count() == 0
 
 
+def test_one_of_each_when_files_are_split_otherwise(llm_spark, tmp_path):
+    texts = [" ".join(f"t{i}w{j}" for j in range(30)) for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[::-1] + texts[:7])]
+    for i in range(0, len(rows), 4):
+        llm_spark.createDataFrame(rows[i : i + 4], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    stay = simhash_anchor.one_of_each(llm_spark.read.parquet(f"{tmp_path}/docs"))
+    # As when an executor is lost between the two reads.
+    old = llm_spark.conf.get("spark.sql.files.maxPartitionBytes")
+    llm_spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        assert sorted((r.doc_id, r.text) for r in stay.collect()) == rows[:20]
+    finally:
+        llm_spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_close_fingerprints_share_an_anchor():
     draw = random.Random(5)
     for _ in range(150):
