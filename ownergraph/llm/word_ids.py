@@ -1,7 +1,8 @@
 """Token ids of whole texts by the ``tokenizers`` library, word by word.
 
 The vocabulary drops white space between pre-tokens, so a text's ids are the
-ids of its white-space-separated words put together. Each Python worker asks the
+ids of its white-space-separated words put together. Words that may hold a special
+string, which matches in its own case only, are left as they are. Each Python worker asks the
 library once for a word it has not seen lately and keeps its ids as bytes.
 """
 
@@ -12,9 +13,17 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+MARK = b"<|"  # the special strings begin so
 REMEMBER = 500_000  # words per worker; a full table keeps only the words in use
 
 
+def _split(text: bytes) -> list[bytes]:
+    # Lower case of A-Z only; the library's own rule does the others.
+    if MARK not in text:
+        return text.lower().split()
+    return [w if MARK in w else w.lower() for w in text.split()]
+
+
 class WordIds:
     def __init__(self, path: str) -> None:
         self.lib = Tokenizer.from_file(path)
@@ -63,8 +72,7 @@ class WordIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text the ids as little-endian unsigned integers of ``dtype``."""
-        # Lower case of A-Z only; the library's own rule does the others.
-        split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        split = [_split((t or "").encode("utf-8", "replace")) for t in texts]
         known = self.known
         new = {w for words in split for w in words if w not in known}
         if new:

@@ -45,6 +45,14 @@ def test_word_ids_equal_the_library_on_odd_texts(monkeypatch):
     assert got == [own.pack(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_special_strings_match_in_their_own_case_only():
+    own, lib = WordIds(WORDS), Tokenizer.from_file(WORDS)
+    texts = ["A <|ENDOFTEXT|> b", "x<|EndOfText|>Y", "<|endoftext|>Word <|StartOfText|>", "UP<|startoftext|>UP <|"]
+    got = own.encode(texts)
+    assert got == [own.pack(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert own.pack([49407]) not in got[0] + got[1]
+
+
 def test_token_counts_on_odd_rows(odd_docs, no_docs):
     lib = Tokenizer.from_file(BYTES)
     got = token_counts(odd_docs, BYTES).collect()
