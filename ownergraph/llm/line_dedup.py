@@ -130,7 +130,12 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = _lines(docs)
     own = stored(_sets(lines, threshold), "line-own")
     place = F.struct("doc_id", "line_no")
-    found = own.groupBy("id", "sig", "n").agg(F.min(place).alias("first"), F.first("prefix").alias("prefix"))
+    # The row tells whose line is the first, where rows share a doc_id.
+    found = (
+        own.groupBy("id", "sig", "n")
+        .agg(F.min(F.struct("doc_id", "line_no", "row")).alias("head"), F.first("prefix").alias("prefix"))
+        .select("id", "sig", "n", F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.row").alias("row"), "prefix")
+    )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Numbered in the order of first lines: ranges, sorted, then rising ids.
     sets = stored(
@@ -142,16 +147,16 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Each step's shuffle files go before the next step makes its own.
     release(spark)
     posts = sets.select("s", "sig", "n", F.posexplode("prefix").alias("pos", "key"))
-    firsts, n_sets = sets.select("s", "first"), sets.count()
+    firsts, n_sets = sets.select("s", "first", "row"), sets.count()
     asking, good, k = None, None, 1
     while True:
         pairs = stored(_earliest(posts, asking, k, threshold), "line-pairs")
         release(spark)
         # The words of the two sets, from their first lines.
         ends = pairs.select("s").union(pairs.select("e")).distinct()
-        met = firsts.join(ends, "s").select("s", F.col("first.doc_id").alias("__d"), F.col("first.line_no").alias("__l"))
+        met = firsts.join(ends, "s").select("s", F.col("first.doc_id").alias("__d"), F.col("first.line_no").alias("__l"), F.col("row").alias("__r"))
         texts = stored(
-            lines.join(met, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("line_no") == F.col("__l"))).select("s", "line", "doc_id", "line_no"),
+            lines.join(met, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row") == F.col("__r")) & (F.col("line_no") == F.col("__l"))).select("s", "line", "doc_id", "line_no"),
             "line-texts",
         )
         release(spark)
@@ -167,8 +172,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             sizes = part.join(x, "s").join(y, "e").select(
                 "s", "e", "cut", F.size(u).alias("nu"), F.size(v).alias("nv"), F.size(F.array_intersect(u, v)).alias("both")
             )
-            # Rows with the same doc_id may hold other lines at the place: one
-            # line that fits is enough.
+            # Repeated rows give the same pair again.
             like = F.col("both") >= (F.col("nu") + F.col("nv") - F.col("both")) * threshold - 1e-9
             done = stored(
                 sizes.withColumn("like", like).groupBy("s", "e").agg(F.max("like").alias("like"), F.min("cut").alias("cut")),

@@ -247,6 +247,24 @@ def test_lines_equal_brute_force(llm_spark, odd_docs, no_docs):
     assert line_dedup.line_report(no_docs).count() == 0
 
 
+def test_lines_of_rows_with_the_same_doc_id(llm_spark):
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(draw.sample(words, 40))) for i in range(60)]
+    for d in range(100, 140):
+        first = draw.sample(words, 50)
+        rows.append((d - 50, " ".join(first[:40])))
+        # 35 of 45 words in common: not alike; the other row's line is alike.
+        own, other = first[5:45], [*first[:39], first[49]]
+        rows += [(None if d % 4 == 0 else d, " ".join(x)) for x in (own, other)]
+        rows.append((d + 100, " ".join(own)))
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    gone = _removed(docs.collect())
+    got = line_dedup.line_report(docs).collect()
+    want = sorted((str(d), int((-1 if d is None else d, 0, t) in gone)) for d, t in rows)
+    assert sorted((str(r.doc_id), r.n_removed) for r in got) == want
+
+
 def test_line_dedup_runs_no_python_on_executors(odd_docs, capsys):
     line_dedup.dedup_lines(odd_docs).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
