@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ownergraph.llm.common import stored
+
 ERROR_RATE = 0.1
 BLOCK_CHARS = 4 << 20
 NOT_WORD = re.compile(r"[\W_]+")
@@ -172,18 +174,29 @@ def hits(text: Column, block: tuple[tuple[int | None, str], ...], rate: float) -
 
 
 def with_hits(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, name: str = "benchmark_hits") -> DataFrame:
-    """``docs`` plus an array column of all items found in ``text``; no shuffle."""
-    out, columns = docs, []
-    for i, block in enumerate(item_blocks(items)):
-        columns.append(f"__hits{i}")
-        out = out.withColumn(columns[-1], hits(F.col("text"), block, rate))
-    all_hits = F.concat(*columns) if columns else F.array().cast(HIT)
-    return out.withColumn(name, all_hits).drop(*columns)
+    """``docs`` plus an array column of all items found in ``text``. One block of
+    items needs no shuffle; of several, a block's hits are written before the block
+    after the next is read, so no plan and no process holds more than two."""
+    blocks = item_blocks(items)
+    block, ahead = next(blocks, ()), next(blocks, None)
+    if ahead is None:
+        return docs.withColumn(name, hits(F.col("text"), block, rate) if block else F.array().cast(HIT))
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "benchmark-docs")
+    found, i = None, 0
+    while block is not None:
+        own = numbered.select("__row", F.lit(i).alias("i"), hits(F.col("text"), block, rate).alias("h")).where(F.size("h") > 0)
+        own = stored(own, "benchmark-hits")
+        found = own if found is None else found.unionByName(own)
+        block, ahead, i = ahead, next(blocks, None), i + 1
+    # A document's hits together, in the order of the blocks.
+    by_row = found.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("__parts"))
+    all_hits = F.coalesce(F.flatten(F.transform("__parts", lambda x: x["h"])), F.array().cast(HIT))
+    return numbered.join(by_row, "__row", "left").withColumn(name, all_hits).drop("__row", "__parts")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The documents that hold no item, columns unchanged."""
-    return with_hits(docs, items, rate, "__hits").where(F.size("__hits") == 0).select(*[docs[c] for c in docs.columns])
+    return with_hits(docs, items, rate, "__hits").where(F.size("__hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:

@@ -104,6 +104,25 @@ def test_reader_takes_small_reads_and_rejects_damage():
         warc.parse(member[:-4])
 
 
+def test_hits_of_a_block_are_written_before_later_blocks_are_read(llm_spark, odd_docs, monkeypatch):
+    texts = ["four five six seven eight nine", "w10 w11 w12 w13 w14 w15 w16", "something else entirely", "not in any text at all", "no id here"]
+    items = llm_spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = lambda: sorted(map(str, edit_match.contamination(odd_docs, items).collect()))
+    whole, clean = rows(), sorted(map(str, edit_match.clean_documents(odd_docs, items).collect()))
+    written, at, own, store = [], [], edit_match.item_blocks, edit_match.stored
+
+    def one_by_one(items):
+        for block in own(items, block_chars=1):
+            at.append(len(written))
+            yield block
+
+    monkeypatch.setattr(edit_match, "item_blocks", one_by_one)
+    monkeypatch.setattr(edit_match, "stored", lambda df, name: (written.append(name), store(df, name))[1])
+    assert rows() == whole and len(at) == 5
+    assert [at[i + 2] - at[i + 1] for i in range(1, 3)] == [1, 1]
+    assert sorted(map(str, edit_match.clean_documents(odd_docs, items).collect())) == clean
+
+
 # --- toxicity ----------------------------------------------------------------
 
 
