@@ -139,7 +139,7 @@ def test_hierarchy_listing_preorder(spark, diamond):
     out = listing.hierarchy_listing(e, r, requests_of(spark, ULTIMATE)).orderBy("line_no").collect()
     assert out[0]["label"] == "Corporate Group (6 entities)"
     out = out[1:]
-    assert [x["node_lei"] for x in out] == [ULTIMATE, PARENT, CHILD_A, GRANDCHILD, SHARED, CHILD_B]
+    assert [x["node_lei"] for x in out] == [ULTIMATE, PARENT, CHILD_A, SHARED, GRANDCHILD, CHILD_B]
     assert [x["line_no"] for x in out] == [1, 2, 3, 4, 5, 6]
     assert out[0]["label"] == f"{ULTIMATE} Skarven Shipping ASA (GB, ACTIVE)"
 
