@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ownergraph.llm import embedding_pq
 from ownergraph.llm.bpe_count import token_counts
 from ownergraph.llm.common import prepare, table
+from ownergraph.llm.decision_list import quality
 from ownergraph.llm.edit_match import contamination
 from ownergraph.llm.language_gru import language_id
 from ownergraph.llm.line_dedup import line_report
@@ -117,3 +118,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
