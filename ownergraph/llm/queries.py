@@ -15,6 +15,7 @@ from ownergraph.llm.edit_match import contamination
 from ownergraph.llm.language_gru import language_id
 from ownergraph.llm.line_dedup import line_report
 from ownergraph.llm.packing import pack
+from ownergraph.llm.prefix_trie import prefix_trie, turn_sequences, with_shared_openings
 from ownergraph.llm.simhash_anchor import near_duplicates
 from ownergraph.llm.token_files import token_files
 from ownergraph.llm.toxicity import toxicity
@@ -123,3 +124,41 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = with_shared_openings(turn_sequences(table(spark, sf_dir, "conversations")), every=100, most=6)
+    return prefix_trie(rebuilt).drop("turn_digest")
+
+
+# Every prefix as a list of turns; the check sum bit by bit.
+ORACLES["op12_conversation_trie"] = """
+WITH own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+numbered AS (
+  SELECT c, s, c - c % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda sum, byte: list_reduce(list_prepend(xor(sum, byte), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]),
+             lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 6 AS h
+  FROM own),
+rebuilt AS (
+  SELECT n.c, list_concat(coalesce(b.s[1:n.h], []), n.s[n.h + 1:]) AS s
+  FROM numbered n LEFT JOIN own b ON b.c = n.base),
+beginnings AS (SELECT c, len(s) AS size, s, unnest(range(len(s) + 1)) AS d FROM rebuilt),
+nodes AS (
+  SELECT s[1:d] AS p, d, min(c) AS first, count(*) AS n,
+         sha256(coalesce(string_agg(CASE WHEN size = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends
+  FROM beginnings GROUP BY s[1:d], d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a.p[1:k] AS p, sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved
+  FROM (SELECT x.p, x.d, y.p IS NULL AS leaf, CASE WHEN x.d > 0 THEN (x.n - 1) * length(x.p[x.d].t) ELSE 0 END AS saved,
+               unnest(range(x.d + 1)) AS k
+        FROM nodes x LEFT JOIN kids y ON y.p = x.p) a GROUP BY a.p[1:k])
+SELECT v.first AS conv_id, v.d AS depth, u.first AS parent_conv_id, v.n AS n_convs, coalesce(k.n, 0) AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM nodes v JOIN below b ON b.p = v.p LEFT JOIN kids k ON k.p = v.p
+LEFT JOIN nodes u ON v.d > 0 AND u.d = v.d - 1 AND u.p = v.p[1:v.d - 1]
+"""
