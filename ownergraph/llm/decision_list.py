@@ -237,8 +237,10 @@ def rule_number(rules: list[list[Condition]], stats: str) -> Column:
 
 
 def labelled_counts(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, low in quality) of at most ``limit`` labelled documents that pass
-    the base rules, in the order of a hash: a rerun learns from the same ones."""
+    """(counts, low in quality) of the documents that pass the base rules among at
+    most ``limit`` labelled ones, in the order of a hash: a rerun learns from the
+    same ones. The chosen ids are broadcast (``limit`` rows at most), so no text is
+    moved; the counts are worked out for their documents only."""
     sure = (
         labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q"))
         .where("__id IS NOT NULL AND __q IN (0, 1)")
@@ -249,15 +251,17 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -
     chosen = sure.orderBy(F.xxhash64("__id"), "__id").limit(limit)
     rows = (
         docs.select("doc_id", "text")
-        .join(chosen, F.col("doc_id") == F.col("__id"))
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
         .select("__id", "__q", text_stats("text").alias("s"))
-        .where(~base_failed("s"))
         .orderBy(F.xxhash64("__id"), "__id", "s")
         .limit(limit)
         .select("s.*", "__q")
         .toPandas()
     )
-    return rows[TEXT_STATS].to_numpy("i8"), (rows["__q"] == 0).to_numpy(bool)
+    counts = rows[TEXT_STATS].to_numpy("i8").reshape(-1, len(TEXT_STATS))
+    n, repeated = counts[:, TEXT_STATS.index("n_words")], counts[:, TEXT_STATS.index("n_repeat_words")]
+    passes = (n >= LEAST_WORDS) & (100 * repeated <= REPEATED_PERCENT * n)
+    return counts[passes], (rows["__q"] == 0).to_numpy(bool)[passes]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
