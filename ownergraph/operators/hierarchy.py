@@ -7,12 +7,14 @@
   with a visited anti join (``descendant_levels``). With every entity as a root
   the distances are doubled instead (``_shortest``): what lies within 2^k of a
   node follows from what lies within 2^(k-1), so six rounds cover depth 50.
-* Group roots (H3) are the deepest nodes of the simple upward paths. A start
-  that cannot reach a cycle has only simple walks, so distinct
-  (start, node, depth) rows tell, again by doubling (``_walk_lengths``) and
-  without paths; only starts that reach a cycle are walked with paths.
-* Corporate groups (H4) are breadth-first trees of the distinct roots, for a
-  request list and for the whole registry alike.
+* Group roots (H3) are the deepest nodes of the simple upward paths. Edges that lie
+  on a cycle are told apart first (``cyclic_edges``). Only inside the cycles a path
+  is kept; it becomes one step from where the cycle is entered to where it is left.
+  Over these steps and the other edges every walk is simple, so distinct (start,
+  node, depth) rows tell, by doubling and without paths (``_walk_lengths``).
+* Corporate groups (H4) of the whole registry are read off the same rows: the
+  shortest depth per (root, node), then the smallest parent one step nearer. For
+  request lists they are breadth-first trees of the distinct roots.
 
 Every level or round is a reliable checkpoint (a lost executor only recomputes
 the last one); row counts are observed while it runs, so the driver learns that
@@ -189,55 +191,30 @@ def ancestor_chain(
 # ---------------------------------------------------------------------------
 
 
-def _sort_key(name: str, lei: str):
-    """Child order of the listing: name (NULLs last), then LEI."""
-    return F.struct(
-        F.col(name).isNull().alias("k0"), F.col(name).alias("k1"), F.col(lei).alias("k2")
-    )
-
-
 def descendant_levels(
     entities: DataFrame,
     rels: DataFrame,
     roots: DataFrame | None = None,
     max_depth: int = MAX_HIERARCHY_DEPTH,
-    with_sort_path: bool = False,
 ) -> DataFrame:
     """H2 rows without names: ``(root_lei, node_lei, via_type, depth, parent_lei)``.
 
     ``roots`` is a DataFrame with ``lei`` (None = every entity is a root).
-    With ``with_sort_path`` each row also carries ``sort_path``: the
-    (name NULLs last, name, LEI) keys from the root down to the node along
-    the kept parents - ordering by it gives the pre-order listing (H7).
     """
-    edges = _direct_edges(rels)
-    anchors = _anchors(entities, roots, "root_lei").distinct()
-    extra_root, extra_step = [], []
-    if with_sort_path:
-        names = entities.select(F.col("lei").alias("__nl"), F.col("legal_name").alias("__nn"))
-        edges = edges.join(names, edges["__child"] == names["__nl"], "left").select(
-            "__child", "__parent", "__type", _sort_key("__nn", "__child").alias("__key")
-        )
-        anchors = anchors.join(names, anchors["root_lei"] == names["__nl"], "left").select(
-            "root_lei", _sort_key("__nn", "root_lei").alias("__key")
-        )
-        extra_root = [F.array(F.col("__key")).alias("sort_path")]
-        extra_step = [F.array_append(F.col("sort_path"), F.col("__key")).alias("s")]
-    edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
-    level = anchors.select(
+    edges = _direct_edges(rels).persist(StorageLevel.MEMORY_AND_DISK)
+    level = _anchors(entities, roots, "root_lei").distinct().select(
         "root_lei",
         F.col("root_lei").alias("node_lei"),
         F.lit(None).cast("string").alias("via_type"),
         F.lit(0).alias("depth"),
         F.lit(None).cast("string").alias("parent_lei"),
-        *extra_root,
     )
 
     def step(cur: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
         nxt = cur.join(edges, cur["node_lei"] == edges["__parent"]).select(
             "root_lei",
             F.col("__child").alias("node_lei"),
-            F.struct(F.col("node_lei").alias("p"), F.col("__type").alias("t"), *extra_step).alias("__via"),
+            F.struct(F.col("node_lei").alias("p"), F.col("__type").alias("t")).alias("__via"),
         )
         # H5: one row per node of this level, smallest parent first.
         best = nxt.groupBy("root_lei", "node_lei").agg(F.min("__via").alias("__via"))
@@ -248,7 +225,6 @@ def descendant_levels(
             F.col("__via.t").alias("via_type"),
             F.lit(depth).alias("depth"),
             F.col("__via.p").alias("parent_lei"),
-            *([F.col("__via.s").alias("sort_path")] if with_sort_path else []),
         )
 
     levels = _walk(level, step, max_depth, visited_keys=["root_lei", "node_lei"])
@@ -325,27 +301,137 @@ def descendant_tree(
 # ---------------------------------------------------------------------------
 
 
-def _walk_lengths(edges: DataFrame, max_depth: int) -> DataFrame:
-    """Distinct ``(lei, node_lei, depth)`` of all upward walks of 1 to
-    ``max_depth`` edges, by doubling: a walk longer than 2^k is one of 2^k edges
-    followed by a shorter one. At most nodes x ancestors x depth rows, however
-    many paths there are."""
+def _walk_lengths(steps: DataFrame, max_depth: int, single: bool = True) -> DataFrame:
+    """Distinct ``(lei, node_lei, depth)`` of all walks over one or more of ``steps``
+    (the same columns) of depth up to ``max_depth``, by doubling: a walk of more than
+    2^k steps is one of exactly 2^k steps followed by a shorter one. At most nodes x
+    ancestors x depth rows, however many walks there are.
+
+    With ``single`` every step has depth 1, so walks of different numbers of steps
+    never coincide; otherwise what is known already is merged in every round.
+    ``exact`` marks the walks of exactly 2^k steps.
+    """
     cols = ["lei", "node_lei", "depth"]
-    reach = 1
     walks, (longest,) = materialize_counted(
-        edges.select(F.col("__child").alias("lei"), F.col("__parent").alias("node_lei"), F.lit(1).alias("depth")).distinct(),
-        by=("depth", [1]),
+        steps.select(*cols).distinct().withColumn("exact", F.lit(True)), by=("exact", [True])
     )
+    reach = 1
     while longest and reach < max_depth:
-        first = walks.where(F.col("depth") == reach).select("lei", F.col("node_lei").alias("__mid"))
-        rest = walks.select(F.col("lei").alias("__from"), "node_lei", (F.col("depth") + reach).alias("depth")).where(
-            F.col("depth") <= max_depth
+        first = walks.where("exact").select("lei", F.col("node_lei").alias("__mid"), F.col("depth").alias("__d"))
+        rest = walks.select(F.col("lei").alias("__from"), "node_lei", "depth", "exact")
+        more = (
+            first.join(rest, first["__mid"] == rest["__from"])
+            .select("lei", "node_lei", (F.col("__d") + F.col("depth")).alias("depth"), "exact")
+            .where(F.col("depth") <= max_depth)
         )
-        more = first.join(rest, first["__mid"] == rest["__from"]).select(*cols).distinct()
+        known = walks.withColumn("exact", F.lit(False))
+        if single:
+            more, (longest,) = materialize_counted(more.distinct(), by=("exact", [True]))
+            walks = known.unionByName(more)
+        else:
+            both = known.unionByName(more).groupBy(*cols).agg(F.max("exact").alias("exact"))
+            walks, (longest,) = materialize_counted(both, by=("exact", [True]))
         reach *= 2
-        more, (longest,) = materialize_counted(more, by=("depth", [reach]))
-        walks = walks.unionByName(more)
-    return walks
+    return walks.select(*cols)
+
+
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``(edges, rows)`` without the edges that can't lie on a cycle because nothing
+    leads to their child or nothing leads on from their parent, repeated until none
+    goes. A chain loses both its ends in a round."""
+    pairs, (n,) = _pairs_counted(edges.select("__child", "__parent").where("__child <> __parent").distinct())
+    while n:
+        above = pairs.select(F.col("__parent").alias("__child")).distinct()
+        below = pairs.select(F.col("__child").alias("__parent")).distinct()
+        left = pairs.join(above, "__child", "left_semi").join(below, "__parent", "left_semi").select("__child", "__parent")
+        left, (m,) = _pairs_counted(left)
+        if m == n:
+            break
+        pairs, n = left, m
+    return pairs, n
+
+
+def _pairs_counted(pairs: DataFrame) -> tuple[DataFrame, list[int]]:
+    return materialize_counted(pairs.withColumn("__is", F.lit(True)), by=("__is", [True]))
+
+
+def cyclic_edges(edges: DataFrame, max_depth: int) -> DataFrame | None:
+    """The ``(__child, __parent)`` edges that lie on a closed walk of at most
+    ``max_depth`` edges; None when there are none.
+
+    What can't lie on a cycle is trimmed off first; in the rest, the nodes reached
+    within 2^k steps are doubled, and an edge is cyclic if its parent reaches its
+    child. A walk of up to ``max_depth`` edges that meets a node twice runs through
+    cyclic edges alone between the two meetings. So it is simple if each of its runs
+    of cyclic edges is, and runs can be worked out by themselves. Longer cycles need
+    no care: no walk within the depth closes them.
+    """
+    core, n = _trimmed(edges)
+    if not n:
+        return None
+    # The parent leads back to the child in max_depth - 1 steps at most.
+    reach = core.select(F.col("__child").alias("a"), F.col("__parent").alias("b"), F.lit(True).alias("exact"))
+    size = 1
+    while size < max_depth - 1:
+        first = reach.where("exact").select("a", F.col("b").alias("__mid"))
+        rest = reach.select(F.col("a").alias("__from"), "b", "exact")
+        more = first.join(rest, first["__mid"] == rest["__from"]).select("a", "b", "exact")
+        both = reach.withColumn("exact", F.lit(False)).unionByName(more).groupBy("a", "b").agg(F.max("exact").alias("exact"))
+        reach, (far,) = materialize_counted(both, by=("exact", [True]))
+        size *= 2
+        if not far:
+            break
+    back = reach.select(F.col("a").alias("__parent"), F.col("b").alias("__child"))
+    found, (n,) = _pairs_counted(core.select("__child", "__parent").join(back, ["__child", "__parent"], "left_semi"))
+    return found.select("__child", "__parent") if n else None
+
+
+def _runs(cyclic: DataFrame, max_depth: int) -> DataFrame:
+    """Distinct ``(lei, node_lei, depth)`` of the simple paths of 1 to ``max_depth``
+    cyclic edges. Paths are kept here, and here alone: how far a simple path can go
+    inside a cycle is not told by shorter facts."""
+    start = cyclic.select(F.col("__child").alias("lei")).distinct().select(
+        "lei", F.col("lei").alias("node_lei"), F.lit(0).alias("depth"), F.array("lei").alias("path")
+    )
+
+    def step(cur: DataFrame, _seen, depth: int) -> DataFrame:
+        nxt = cur.join(cyclic, cur["node_lei"] == cyclic["__child"]).where(~F.array_contains("path", F.col("__parent")))
+        return nxt.select(
+            "lei", F.col("__parent").alias("node_lei"), F.lit(depth).alias("depth"), F.array_append("path", F.col("__parent")).alias("path")
+        )
+
+    return _walk(start, step, max_depth).where("depth > 0").select("lei", "node_lei", "depth").distinct()
+
+
+def simple_walks(edges: DataFrame, max_depth: int) -> DataFrame:
+    """Distinct ``(lei, node_lei, depth)`` of the simple upward paths of 1 to
+    ``max_depth`` edges from every node, at most nodes x ancestors x depth rows."""
+    single = edges.where("__child <> __parent").select(
+        F.col("__child").alias("lei"), F.col("__parent").alias("node_lei"), F.lit(1).alias("depth")
+    )
+    cyclic = cyclic_edges(edges, max_depth)
+    if cyclic is None:
+        return _walk_lengths(single, max_depth)
+    runs = materialize(_runs(cyclic, max_depth))
+    outside = single.distinct().join(
+        cyclic.select(F.col("__child").alias("lei"), F.col("__parent").alias("node_lei")), ["lei", "node_lei"], "left_anti"
+    )
+    # A step: one edge outside the cycles, then nothing or a run.
+    entered = runs.select(F.col("lei").alias("__at"), F.col("node_lei").alias("__to"), F.col("depth").alias("__d"))
+    steps = outside.unionByName(
+        outside.join(entered, outside["node_lei"] == entered["__at"])
+        .select("lei", F.col("__to").alias("node_lei"), (F.col("depth") + F.col("__d")).alias("depth"))
+        .where(F.col("depth") <= max_depth)
+    )
+    walks = _walk_lengths(steps, max_depth, single=False)
+    # A start on a cycle may begin with a run.
+    onward = walks.select(F.col("lei").alias("__at"), F.col("node_lei").alias("__to"), F.col("depth").alias("__d"))
+    begun = (
+        runs.join(onward, runs["node_lei"] == onward["__at"])
+        .select("lei", F.col("__to").alias("node_lei"), (F.col("depth") + F.col("__d")).alias("depth"))
+        .where(F.col("depth") <= max_depth)
+    )
+    return materialize(walks.unionByName(runs).unionByName(begun).distinct())
 
 
 def _edges_above(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
@@ -360,6 +446,22 @@ def _edges_above(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFra
     return materialize(edges.join(met.select(F.col("node").alias("__child")).distinct(), "__child", "left_semi"))
 
 
+def _roots_of(starts: DataFrame, walks: DataFrame, entities: DataFrame) -> DataFrame:
+    """H3 from the walks: the deepest node, ties the smallest LEI."""
+    deepest = (
+        walks.join(starts.select("lei").distinct(), "lei", "left_semi")
+        .groupBy("lei")
+        .agg(F.min(F.struct((-F.col("depth")).alias("d"), F.col("node_lei").alias("n"))).alias("__top"))
+    )
+    known = entities.select(F.col("lei").alias("__known")).distinct().withColumn("__is_entity", F.lit(True))
+    tops = deepest.join(known, deepest["__top.n"] == known["__known"], "left").select(
+        F.col("lei").alias("__l"), F.when(F.col("__is_entity"), F.col("__top.n")).alias("__root")
+    )
+    return starts.join(tops, starts["lei"] == tops["__l"], "left").select(
+        "lei", F.coalesce("__root", "lei").alias("root_lei")
+    )
+
+
 def group_roots(
     entities: DataFrame,
     rels: DataFrame,
@@ -375,30 +477,31 @@ def group_roots(
     edges = _direct_edges(rels)
     if requests is not None:
         edges = _edges_above(edges, starts, max_depth)
-    walks = _walk_lengths(edges, max_depth)
-    # Starts that meet a node which a walk leads back to: their walks are not
-    # all simple, they need the paths.
-    circular = walks.where(F.col("lei") == F.col("node_lei")).select(F.col("node_lei").alias("__c")).distinct()
-    tangled = (
-        walks.join(circular, walks["node_lei"] == circular["__c"], "left_semi")
-        .select(F.col("lei").alias("__t"))
-        .distinct()
+    return _roots_of(starts, simple_walks(edges, max_depth), entities)
+
+
+def _trees_of(roots: DataFrame, walks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Breadth-first trees of the distinct ``roots(lei)`` from the walks of all
+    nodes: a shortest walk is simple, so the least depth per (root, node) is there;
+    the parent is the smallest one that stands one step nearer to the root."""
+    nearest = materialize(
+        walks.join(roots.select(F.col("lei").alias("node_lei")), "node_lei", "left_semi")
+        .groupBy(F.col("node_lei").alias("root_lei"), F.col("lei").alias("node_lei"))
+        .agg(F.min("depth").alias("depth"))
     )
-    tangled = materialize(starts.select("lei").distinct().join(tangled, F.col("lei") == F.col("__t"), "left_semi"))
-    simple = walks.join(starts.select("lei").distinct(), "lei", "left_semi").join(tangled, "lei", "left_anti")
-    deep = simple
-    if not tangled.isEmpty():
-        deep = simple.unionByName(_upward_walk(tangled, rels, max_depth).where("depth > 0").select("lei", "node_lei", "depth"))
-    deepest = deep.groupBy("lei").agg(
-        F.min(F.struct((-F.col("depth")).alias("d"), F.col("node_lei").alias("n"))).alias("__top")
+    top = roots.select(F.col("lei").alias("root_lei"), F.col("lei").alias("node_lei"), F.lit(0).alias("depth"))
+    ups = edges.select(F.col("__child").alias("node_lei"), F.col("__parent").alias("__p")).distinct()
+    above = nearest.unionByName(top).select(
+        F.col("root_lei").alias("__r"), F.col("node_lei").alias("__n"), (F.col("depth") + 1).alias("__d")
     )
-    known = entities.select(F.col("lei").alias("__known")).distinct().withColumn("__is_entity", F.lit(True))
-    tops = deepest.join(known, deepest["__top.n"] == known["__known"], "left").select(
-        F.col("lei").alias("__l"), F.when(F.col("__is_entity"), F.col("__top.n")).alias("__root")
-    )
-    return starts.join(tops, starts["lei"] == tops["__l"], "left").select(
-        "lei", F.coalesce("__root", "lei").alias("root_lei")
+    asked = nearest.join(ups, "node_lei")
+    met = asked.join(
+        above, (asked["root_lei"] == above["__r"]) & (asked["__p"] == above["__n"]) & (asked["depth"] == above["__d"]), "left_semi"
     )
+    below = met.groupBy("root_lei", "node_lei", "depth").agg(F.min("__p").alias("parent_lei"))
+    return top.select(
+        "root_lei", "node_lei", F.lit(None).cast("string").alias("via_type"), "depth", F.lit(None).cast("string").alias("parent_lei")
+    ).unionByName(below.select("root_lei", "node_lei", F.lit(DIRECT_PARENT).alias("via_type"), "depth", "parent_lei"))
 
 
 def group_levels(
@@ -406,13 +509,19 @@ def group_levels(
     rels: DataFrame,
     requests: DataFrame | None = None,
     max_depth: int = MAX_HIERARCHY_DEPTH,
-    with_sort_path: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``(roots, levels)``: H3 per requested entity, and the breadth-first tree
-    of every distinct root, once per root however many requests map to it."""
-    roots = materialize(group_roots(entities, rels, requests, max_depth))
-    distinct_roots = roots.select(F.col("root_lei").alias("lei")).distinct()
-    return roots, descendant_levels(entities, rels, distinct_roots, max_depth, with_sort_path)
+    of every distinct root, once per root however many requests map to it. For the
+    whole registry the trees come from the rows that gave the roots."""
+    if requests is not None or max_depth < 1:
+        roots = materialize(group_roots(entities, rels, requests, max_depth))
+        distinct_roots = roots.select(F.col("root_lei").alias("lei")).distinct()
+        return roots, descendant_levels(entities, rels, distinct_roots, max_depth)
+    edges = _direct_edges(rels)
+    walks = simple_walks(edges, max_depth)
+    roots = materialize(_roots_of(_anchors(entities, None, "lei"), walks, entities))
+    distinct_roots = materialize(roots.select(F.col("root_lei").alias("lei")).distinct())
+    return roots, materialize(_trees_of(distinct_roots, walks, edges))
 
 
 def corporate_groups(

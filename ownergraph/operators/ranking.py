@@ -1,4 +1,4 @@
-"""Consecutive positions inside groups without sending a big group to one task.
+"""Positions and running sums inside groups without sending a big group to one task.
 
 ``row_number().over(Window.partitionBy(g))`` puts every row of a group into
 one task; a corporate group holding a third of the registry would then sit in
@@ -6,7 +6,8 @@ a single task. So rows are range-partitioned on (group, order keys) - a hot grou
 is cut into many partitions - and each row's position is its global rank
 minus the global rank of its group's first row. The only small pieces there
 are per-partition counts (one row per partition, broadcast, bounded by the
-partition count).
+partition count). Running sums are taken per (partition, group) piece; the sums of
+a group's earlier pieces, at most one per partition, are added.
 """
 
 from __future__ import annotations
@@ -59,3 +60,38 @@ def ordinal_within_group(
         out_col, (F.col("__global") - F.col("__start") + 1).cast("long")
     )
     return out.drop("__pid", "__row", "__off", "__global", "__kpid", "__start", *[f"__k_{c}" for c in group_cols])
+
+
+def running_sums_within_group(
+    df: DataFrame,
+    group_cols: list[str],
+    order_cols: list[Column],
+    sums: dict[str, Column],
+    partitions: int | None = None,
+) -> DataFrame:
+    """Add, for every name of ``sums``, the sum of its column over the rows of the
+    group up to this one, ordered by ``order_cols`` (which must make the order
+    total). The sum of a literal 1 is the row's position."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in group_cols] + list(order_cols)
+    dealt = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    tagged = materialize(
+        dealt.select("*", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__row"), *[
+            value.cast("long").alias(f"__v_{name}") for name, value in sums.items()
+        ])
+    )
+    piece = ["__pid", *group_cols]
+    upto = Window.partitionBy(*piece).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = tagged.select("*", *[F.sum(f"__v_{name}").over(upto).alias(f"__s_{name}") for name in sums])
+    totals = tagged.groupBy(*piece).agg(*[F.sum(f"__v_{name}").alias(f"__t_{name}") for name in sums])
+    earlier = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        F.col("__pid").alias("__kpid"),
+        *[F.col(c).alias(f"__k_{c}") for c in group_cols],
+        *[F.coalesce(F.sum(f"__t_{name}").over(earlier), F.lit(0)).alias(f"__b_{name}") for name in sums],
+    )
+    same = reduce(lambda a, b: a & b, [inside[c].eqNullSafe(before[f"__k_{c}"]) for c in group_cols])
+    joined = inside.join(before, (inside["__pid"] == before["__kpid"]) & same)
+    return joined.select(
+        *[F.col(c) for c in df.columns], *[(F.col(f"__s_{name}") + F.col(f"__b_{name}")).alias(name) for name in sums]
+    )

@@ -296,8 +296,8 @@ def q_hierarchy_listing_isins(spark, sf_dir):
 )
 def q_children_map(spark, sf_dir):
     t = tables(spark, sf_dir)
-    _, levels = hierarchy.group_levels(t["lei_records"], t["relationships"], with_sort_path=True)
-    return listing.children_map(levels)
+    _, levels = hierarchy.group_levels(t["lei_records"], t["relationships"])
+    return listing.children_map(levels, t["lei_records"])
 
 
 def _display_oracle(requested: bool, with_isins: bool) -> str:

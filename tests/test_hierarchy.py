@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from conftest import (
     CHILD_A,
     CHILD_B,
@@ -146,8 +148,8 @@ def test_hierarchy_listing_preorder(spark, diamond):
 
 def test_children_map(spark, deep):
     e, r = deep
-    tree = hierarchy.descendant_levels(e, r, requests_of(spark, ULTIMATE), with_sort_path=True)
-    out = rows(listing.children_map(tree), "parent_lei", "pos", "node_lei")
+    tree = hierarchy.descendant_levels(e, r, requests_of(spark, ULTIMATE))
+    out = rows(listing.children_map(tree, e), "parent_lei", "pos", "node_lei")
     assert (PARENT, 1, CHILD_A) in out and (PARENT, 2, CHILD_B) in out and (None, 1, ULTIMATE) in out
 
 
@@ -232,7 +234,7 @@ def _layers(spark, depth, width):
 def test_layered_registry_needs_no_paths(spark):
     # nine layers of three: 3^8 paths from the lowest layer, few distinct rows
     names, e, r, edges = _layers(spark, 9, 3)
-    walks = hierarchy._walk_lengths(hierarchy._direct_edges(r), 50)
+    walks = hierarchy.simple_walks(hierarchy._direct_edges(r), 50)
     assert walks.count() == 9 * 3 * 3 * 8 // 2  # each start, each node above, one depth
     assert dict(rows(hierarchy.group_roots(e, r))) == {n: names[0][0] if d else n for d, layer in enumerate(names) for n in layer}
     tree = hierarchy.descendant_tree(e, r)
@@ -244,6 +246,60 @@ def test_layered_registry_needs_no_paths(spark):
                 assert best[top, names[k][2]] == (k - d, top if k == d + 1 else names[k - 1][0])
 
 
+def test_layers_below_a_cycle_need_no_paths(spark, layers=9):
+    # layers of three below a cycle of two: 3^layers paths, few distinct rows
+    names, e, r, _ = _layers(spark, layers, 3)
+    x, y = "X" * 20, "Z" * 20
+    more = [(n, x) for n in names[0]] + [(x, y), (y, x)]
+    r = r.unionByName(make_rels(spark, [(a, b, DIRECT_PARENT, "ACTIVE") for a, b in more]))
+    e = e.unionByName(make_entities(spark, [entity(k, k, "x", "US") for k in (x, y)]))
+    walks = hierarchy.simple_walks(hierarchy._direct_edges(r), 50)
+    # each start: the nodes above it in the layers, then x and y, all at one depth
+    assert walks.count() == 9 * layers * (layers - 1) // 2 + 2 * 3 * layers + 2
+    roots = dict(rows(hierarchy.group_roots(e, r)))
+    assert roots == {n: y for layer in names for n in layer} | {x: y, y: x}
+
+
+def _simple_paths(edges, max_depth):
+    up, out = {}, set()
+    for c, p in edges:
+        up.setdefault(c, []).append(p)
+    for s in {c for c, _ in edges}:
+        stack = [[s]]
+        while stack:
+            path = stack.pop()
+            if len(path) > 1:
+                out.add((s, path[-1], len(path) - 1))
+            if len(path) <= max_depth:
+                stack += [[*path, p] for p in up.get(path[-1], []) if p not in path]
+    return sorted(out)
+
+
+def _random_registry(rnd, graphs, nodes, edges):
+    """Many small random graphs that share no node, in one edge list."""
+    found = set()
+    for g in range(graphs):
+        found |= {(f"G{g:02d}N{rnd.randrange(nodes):02d}", f"G{g:02d}N{rnd.randrange(nodes):02d}") for _ in range(edges)}
+    return sorted(found)
+
+
+@pytest.mark.parametrize("nodes, edges, depth", [(8, 14, 50), (10, 18, 4)])
+def test_simple_walks_on_random_cyclic_graphs(spark, nodes, edges, depth):
+    found = _random_registry(random.Random(nodes), 25, nodes, edges)
+    r = make_rels(spark, [(a, b, DIRECT_PARENT, "ACTIVE") for a, b in found])
+    got = rows(hierarchy.simple_walks(hierarchy._direct_edges(r), depth), "lei", "node_lei", "depth")
+    assert got == _simple_paths([p for p in found if p[0] != p[1]], depth)
+
+
+def test_long_and_short_cycles(spark):
+    ring = [f"C{i:02d}" for i in range(12)]
+    edges = list(zip(ring, ring[1:] + ring[:1])) + [("TAIL", "C03"), ("C05", "TOP"), ("TOP", "HIGH"), ("C07", "C06")]
+    r = make_rels(spark, [(a, b, DIRECT_PARENT, "ACTIVE") for a, b in edges])
+    for depth in (5, 50):
+        got = rows(hierarchy.simple_walks(hierarchy._direct_edges(r), depth), "lei", "node_lei", "depth")
+        assert got == _simple_paths(edges, depth)
+
+
 def test_cycle_behind_a_diamond(spark):
     # d -> b, c -> a -> x <-> y, and z -> d: starts below the cycle need paths
     n = {k: k.upper() * 20 for k in "abcdxyz"}
@@ -304,6 +360,27 @@ def test_registry_listing_equals_per_root_listing(spark, diamond):
         assert fast == slow
 
 
+def test_line_numbers_of_a_deep_and_a_wide_tree(spark):
+    # a chain of 30 with a fan of 40 on its tenth node, names in reverse
+    chain, fan = [f"P{i:019d}" for i in range(30)], [f"F{i:019d}" for i in range(40)]
+    pairs = list(zip(chain[1:], chain)) + [(f, chain[9]) for f in fan]
+    e = make_entities(spark, [entity(n, f"{99 - i:02d}", "x", "US") for i, n in enumerate(chain + fan)])
+    r = make_rels(spark, [(a, b, DIRECT_PARENT, "ACTIVE") for a, b in pairs])
+    order = {n: 99 - i for i, n in enumerate(chain + fan)}
+    kids = {}
+    for a, b in pairs:
+        kids.setdefault(b, []).append(a)
+    want, stack = [], [chain[0]]
+    while stack:
+        n = stack.pop()
+        want.append(n)
+        stack += sorted(kids.get(n, []), key=order.get, reverse=True)
+    lines = listing.registry_listing(e, r).where("line_no > 0").orderBy("line_no")
+    assert [x["node_lei"] for x in lines.collect()] == want
+    plan = lines._jdf.queryExecution().toString()
+    assert "sort_path" not in plan
+
+
 def test_empty_name_sorts_first_and_null_last(spark):
     top, a, b, c = "T" * 20, "A" * 20, "B" * 20, "C" * 20
     e = make_entities(spark, [entity(top, "Top", "x", "US"), entity(a, "Zed", "x", "US"),
@@ -311,8 +388,8 @@ def test_empty_name_sorts_first_and_null_last(spark):
     r = make_rels(spark, [(k, top, DIRECT_PARENT, "ACTIVE") for k in (a, b, c)])
     lines = listing.registry_listing(e, r).where("line_no > 0").orderBy("line_no").collect()
     assert [x["node_lei"] for x in lines] == [top, b, a, c]
-    tree = hierarchy.descendant_levels(e, r, requests_of(spark, top), with_sort_path=True)
-    kids = [x["node_lei"] for x in listing.children_map(tree).where(f"parent_lei = '{top}'").orderBy("pos").collect()]
+    tree = hierarchy.descendant_levels(e, r, requests_of(spark, top))
+    kids = [x["node_lei"] for x in listing.children_map(tree, e).where(f"parent_lei = '{top}'").orderBy("pos").collect()]
     assert kids == [b, a, c]
 
 
