@@ -8,10 +8,12 @@
   the distances are doubled instead (``_shortest``): what lies within 2^k of a
   node follows from what lies within 2^(k-1), so six rounds cover depth 50.
 * Group roots (H3) are the deepest nodes of the simple upward paths. Edges that lie
-  on a cycle are told apart first (``cyclic_edges``). Only inside the cycles a path
+  on a cycle (their parent leads back to their child) are told apart. Only inside the cycles a path
   is kept; it becomes one step from where the cycle is entered to where it is left.
-  Over these steps and the other edges every walk is simple, so distinct (start,
-  node, depth) rows tell, by doubling and without paths (``_walk_lengths``).
+  Over these steps and the other edges every walk is simple, so the depths that
+  join two nodes tell, by doubling and without paths: one row per (start, node)
+  with the depths as the bits of a long (``_simple_masks``; beyond 62 levels one row
+  per depth, ``_row_walks``).
 * Corporate groups (H4) of the whole registry are read off the same rows: the
   shortest depth per (root, node), then the smallest parent one step nearer. For
   request lists they are breadth-first trees of the distinct roots.
@@ -371,16 +373,17 @@ def cyclic_edges(edges: DataFrame, max_depth: int) -> DataFrame | None:
         return None
     # The parent leads back to the child in max_depth - 1 steps at most.
     reach = core.select(F.col("__child").alias("a"), F.col("__parent").alias("b"), F.lit(True).alias("exact"))
-    size = 1
+    size, met = 1, n
     while size < max_depth - 1:
         first = reach.where("exact").select("a", F.col("b").alias("__mid"))
         rest = reach.select(F.col("a").alias("__from"), "b", "exact")
         more = first.join(rest, first["__mid"] == rest["__from"]).select("a", "b", "exact")
         both = reach.withColumn("exact", F.lit(False)).unionByName(more).groupBy("a", "b").agg(F.max("exact").alias("exact"))
-        reach, (far,) = materialize_counted(both, by=("exact", [True]))
+        reach, (far, other) = materialize_counted(both, by=("exact", [True, False]))
         size *= 2
-        if not far:
+        if not far or far + other == met:
             break
+        met = far + other
     back = reach.select(F.col("a").alias("__parent"), F.col("b").alias("__child"))
     found, (n,) = _pairs_counted(core.select("__child", "__parent").join(back, ["__child", "__parent"], "left_semi"))
     return found.select("__child", "__parent") if n else None
@@ -403,9 +406,8 @@ def _runs(cyclic: DataFrame, max_depth: int) -> DataFrame:
     return _walk(start, step, max_depth).where("depth > 0").select("lei", "node_lei", "depth").distinct()
 
 
-def simple_walks(edges: DataFrame, max_depth: int) -> DataFrame:
-    """Distinct ``(lei, node_lei, depth)`` of the simple upward paths of 1 to
-    ``max_depth`` edges from every node, at most nodes x ancestors x depth rows."""
+def _row_walks(edges: DataFrame, max_depth: int) -> DataFrame:
+    """``simple_walks`` with one row per depth, for limits that a mask can't hold."""
     single = edges.where("__child <> __parent").select(
         F.col("__child").alias("lei"), F.col("__parent").alias("node_lei"), F.lit(1).alias("depth")
     )
@@ -434,6 +436,136 @@ def simple_walks(edges: DataFrame, max_depth: int) -> DataFrame:
     return materialize(walks.unionByName(runs).unionByName(begun).distinct())
 
 
+# ---------------------------------------------------------------------------
+# Walk depths as bits of a long: one row per (start, node)
+# ---------------------------------------------------------------------------
+
+MASK_DEPTH = 62  # bit d of a mask stands for a walk of depth d
+
+
+def _kept_bits(max_depth: int):
+    return F.lit((1 << (max_depth + 1)) - 1).cast("long")
+
+
+def _masked_walks(edges: DataFrame, max_depth: int) -> tuple[DataFrame, bool]:
+    """``(lei, node_lei, mask)`` of all walks of 1 to ``max_depth`` edges, and whether
+    one leads back to its start. Doubling: a walk of more than 2^k edges is one of
+    2^k edges (bit 2^k of the first mask) followed by a shorter one (the second mask,
+    moved up by 2^k bits)."""
+    pair = ["lei", "node_lei"]
+
+    def counted(df: DataFrame, reach: int):
+        far = (F.col("mask").bitwiseAND(F.lit(1 << reach).cast("long")) != 0).cast("int")
+        back = (F.col("lei") == F.col("node_lei")).cast("int")
+        out, (far, back, both) = materialize_counted(df.withColumn("__tag", far + 2 * back), by=("__tag", [1, 2, 3]))
+        return out.drop("__tag"), far + both, back + both
+
+    start = edges.select(F.col("__child").alias("lei"), F.col("__parent").alias("node_lei")).where("lei <> node_lei").distinct()
+    reach = 1
+    walks, far, back = counted(start.withColumn("mask", F.lit(2).cast("long")), reach)
+    while far and reach < max_depth:
+        first = walks.where(F.col("mask").bitwiseAND(F.lit(1 << reach).cast("long")) != 0).select("lei", F.col("node_lei").alias("__mid"))
+        moved = F.shiftleft("mask", reach).bitwiseAND(_kept_bits(max_depth))
+        rest = walks.select(F.col("lei").alias("__from"), "node_lei", moved.alias("mask")).where("mask <> 0")
+        more = first.join(rest, first["__mid"] == rest["__from"]).select(*pair, "mask")
+        reach *= 2
+        # Bits past the limit are cut off, so no walk looks longer than it may be.
+        walks, far, back = counted(
+            walks.unionByName(more).groupBy(*pair).agg(F.bit_or("mask").alias("mask")), min(reach, MASK_DEPTH)
+        )
+    return walks, back > 0
+
+
+def _sums_of(a, b, max_depth: int):
+    """Mask of all sums of a depth of ``a`` and one of ``b`` up to the limit."""
+    one = F.lit(1).cast("long")
+    total = F.aggregate(
+        F.sequence(F.lit(1), F.lit(max_depth)),
+        F.lit(0).cast("long"),
+        lambda got, d: got.bitwiseOR(
+            F.when(F.expr("0") == F.call_function("shiftright", a, d).bitwiseAND(one), F.lit(0).cast("long")).otherwise(
+                F.call_function("shiftleft", b, d)
+            )
+        ),
+    )
+    return total.bitwiseAND(_kept_bits(max_depth))
+
+
+def _simple_masks(edges: DataFrame, max_depth: int) -> DataFrame:
+    """``(lei, node_lei, mask)``: the depths of the simple upward paths per pair."""
+    walks, circular = _masked_walks(edges, max_depth)
+    if not circular:
+        return walks
+    # An edge is cyclic if its parent reaches its child.
+    back = walks.select(F.col("lei").alias("__parent"), F.col("node_lei").alias("__child"))
+    pairs = edges.select("__child", "__parent").where("__child <> __parent").distinct()
+    cyclic = materialize(pairs.join(back, ["__child", "__parent"], "left_semi"))
+    on_cycle = cyclic.select(F.col("__child").alias("node_lei")).distinct()
+    # Only walks from nodes that lead to a cycle can be other than simple.
+    tangled = materialize(
+        walks.join(on_cycle, "node_lei", "left_semi").select("lei").unionByName(on_cycle.select(F.col("node_lei").alias("lei"))).distinct()
+    )
+    plain = walks.join(tangled, "lei", "left_anti")
+    near = tangled.unionByName(walks.join(tangled, "lei", "left_semi").select(F.col("node_lei").alias("lei"))).distinct()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth"))
+    runs = materialize(_runs(cyclic, max_depth).groupBy("lei", "node_lei").agg(F.bit_or(bit).alias("mask")))
+    outside = (
+        pairs.join(cyclic, ["__child", "__parent"], "left_anti")
+        .select(F.col("__child").alias("lei"), F.col("__parent").alias("node_lei"))
+        .join(near, "lei", "left_semi")
+    )
+    # A step: one edge outside the cycles, then nothing or a run.
+    entered = runs.select(F.col("lei").alias("__at"), F.col("node_lei").alias("__to"), "mask")
+    through = outside.join(entered, outside["node_lei"] == entered["__at"]).select(
+        "lei", F.col("__to").alias("node_lei"), F.shiftleft("mask", 1).bitwiseAND(_kept_bits(max_depth)).alias("mask")
+    )
+    steps = outside.withColumn("mask", F.lit(2).cast("long")).unionByName(through)
+    known = steps.groupBy("lei", "node_lei").agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
+    # ``exact``: the depths of walks of exactly 2^k steps.
+    known, (far,) = materialize_counted(known.select("*", F.col("mask").alias("exact"), F.lit(True).alias("far")), by=("far", [True]))
+    reach = 1
+    while far and reach < max_depth:
+        first = known.where("exact <> 0").select("lei", F.col("node_lei").alias("__mid"), F.col("exact").alias("__e"))
+        rest = known.select(F.col("lei").alias("__from"), "node_lei", F.col("mask").alias("__m"), F.col("exact").alias("__x"))
+        more = first.join(rest, first["__mid"] == rest["__from"]).select(
+            "lei",
+            "node_lei",
+            _sums_of(F.col("__e"), F.col("__m"), max_depth).alias("mask"),
+            _sums_of(F.col("__e"), F.col("__x"), max_depth).alias("exact"),
+        )
+        both = (
+            known.select("lei", "node_lei", "mask", F.lit(0).cast("long").alias("exact"))
+            .unionByName(more)
+            .groupBy("lei", "node_lei")
+            .agg(F.bit_or("mask").alias("mask"), F.bit_or("exact").alias("exact"))
+            .where("mask <> 0")
+        )
+        known, (far,) = materialize_counted(both.withColumn("far", F.col("exact") != 0), by=("far", [True]))
+        reach *= 2
+    # A start on a cycle may begin with a run.
+    onward = known.select(F.col("lei").alias("__at"), F.col("node_lei").alias("__to"), F.col("mask").alias("__m"))
+    begun = runs.join(onward, runs["node_lei"] == onward["__at"]).select(
+        "lei", F.col("__to").alias("node_lei"), _sums_of(F.col("mask"), F.col("__m"), max_depth).alias("mask")
+    )
+    own = known.join(tangled, "lei", "left_semi").select("lei", "node_lei", "mask")
+    mended = own.unionByName(runs).unionByName(begun).groupBy("lei", "node_lei").agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
+    return plain.unionByName(mended)
+
+
+def simple_walks(edges: DataFrame, max_depth: int) -> DataFrame:
+    """``(lei, node_lei, least, most)``: the smallest and the largest depth of the
+    simple upward paths of 1 to ``max_depth`` edges of every pair that has one."""
+    if max_depth > MASK_DEPTH:
+        rows = _row_walks(edges, max_depth)
+        return rows.groupBy("lei", "node_lei").agg(F.min("depth").alias("least"), F.max("depth").alias("most"))
+    lowest = F.col("mask").bitwiseAND(-F.col("mask"))
+    return materialize(
+        _simple_masks(edges, max_depth).select(
+            "lei", "node_lei", (F.length(F.bin(lowest)) - 1).alias("least"), (F.length(F.bin("mask")) - 1).alias("most")
+        )
+    )
+
+
 def _edges_above(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """The edges that upward walks from ``starts`` can use."""
     top = starts.select(F.col("lei").alias("node"), F.lit(0).alias("depth")).distinct()
@@ -451,7 +583,7 @@ def _roots_of(starts: DataFrame, walks: DataFrame, entities: DataFrame) -> DataF
     deepest = (
         walks.join(starts.select("lei").distinct(), "lei", "left_semi")
         .groupBy("lei")
-        .agg(F.min(F.struct((-F.col("depth")).alias("d"), F.col("node_lei").alias("n"))).alias("__top"))
+        .agg(F.min(F.struct((-F.col("most")).alias("d"), F.col("node_lei").alias("n"))).alias("__top"))
     )
     known = entities.select(F.col("lei").alias("__known")).distinct().withColumn("__is_entity", F.lit(True))
     tops = deepest.join(known, deepest["__top.n"] == known["__known"], "left").select(
@@ -485,9 +617,9 @@ def _trees_of(roots: DataFrame, walks: DataFrame, edges: DataFrame) -> DataFrame
     nodes: a shortest walk is simple, so the least depth per (root, node) is there;
     the parent is the smallest one that stands one step nearer to the root."""
     nearest = materialize(
-        walks.join(roots.select(F.col("lei").alias("node_lei")), "node_lei", "left_semi")
-        .groupBy(F.col("node_lei").alias("root_lei"), F.col("lei").alias("node_lei"))
-        .agg(F.min("depth").alias("depth"))
+        walks.join(roots.select(F.col("lei").alias("node_lei")), "node_lei", "left_semi").select(
+            F.col("node_lei").alias("root_lei"), F.col("lei").alias("node_lei"), F.col("least").alias("depth")
+        )
     )
     top = roots.select(F.col("lei").alias("root_lei"), F.col("lei").alias("node_lei"), F.lit(0).alias("depth"))
     ups = edges.select(F.col("__child").alias("node_lei"), F.col("__parent").alias("__p")).distinct()

