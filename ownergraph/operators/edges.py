@@ -7,28 +7,58 @@ from pyspark.sql import functions as F
 
 from ownergraph.schema import ACTIVE
 
+SHORT_LIST = 20_000  # requested LEIs (of 20 characters) that are broadcast
+
 EDGE_COLUMNS = ["start_node_id", "end_node_id", "relationship_type", "relationship_status"]
 
 
+def bucket_column(key: str, n: int) -> str:
+    """Name of the partition column that holds the hash of ``key`` modulo ``n``."""
+    return f"{key}__in_{n}"
+
+
+def _bucket_of(df: DataFrame, key: str) -> tuple[str, int] | None:
+    """The bucket column of ``key`` and its modulus, if the table has one."""
+    for name in df.columns:
+        before, _, n = name.rpartition("__in_")
+        if before == key and n.isdigit() and int(n):
+            return name, int(n)
+    return None
+
+
 def active_edges(rels: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Edges with status ACTIVE (NULL status is dropped), optionally of
     the given types. Both filters reach the Parquet scan as pushed filters."""
     edges = rels.where(F.col("relationship_status") == ACTIVE)
     if types:
         edges = edges.where(F.col("relationship_type").isin(*types))
-    return edges.select(*EDGE_COLUMNS)
+    buckets = [b[0] for b in (_bucket_of(rels, "start_node_id"), _bucket_of(rels, "end_node_id")) if b]
+    return edges.select(*EDGE_COLUMNS, *buckets)
 
 
 def restrict(df: DataFrame, column: str, requests: DataFrame | None) -> DataFrame:
     """Keep rows of ``df`` whose ``column`` is a requested LEI.
 
     ``requests`` is a DataFrame with a ``lei`` column (None = everything).
-    A semi join never duplicates rows, whatever the request list holds.
+    A semi join never duplicates rows, whatever the request list holds. If the table
+    is partitioned by the hash bucket of ``column``, the requests' buckets are joined
+    too: a list of up to ``SHORT_LIST`` rows, counted first, is broadcast, and Spark
+    reads only these partitions (dynamic partition pruning). A longer list asks for
+    nearly all buckets anyway and is joined by a shuffle.
     """
     if requests is None:
         return df
     keys = requests.select(F.col("lei").alias("__req_lei"))
-    return df.join(keys, df[column] == keys["__req_lei"], "left_semi")
+    bucket = _bucket_of(df, column)
+    if bucket is None:
+        return df.join(keys, df[column] == keys["__req_lei"], "left_semi")
+    name, n = bucket
+    # A filter on the requests' side is what lets Spark prune by it.
+    keys = keys.where(F.length("__req_lei") > 0).withColumn("__req_in", F.pmod(F.xxhash64("__req_lei"), F.lit(n)).cast("int"))
+    if requests.limit(SHORT_LIST + 1).count() <= SHORT_LIST:
+        keys = F.broadcast(keys)
+    same = (df[column] == keys["__req_lei"]) & (df[name] == keys["__req_in"])
+    return df.join(keys, same, "left_semi").drop(name)
 
 
 def chosen_parent(rels: DataFrame, rel_type: str, requests: DataFrame | None = None) -> DataFrame:

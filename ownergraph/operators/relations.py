@@ -69,19 +69,25 @@ def children(
 
 
 def siblings(
-    entities: DataFrame, rels: DataFrame, requests: DataFrame, stored_name: bool = False
+    entities: DataFrame,
+    rels: DataFrame,
+    requests: DataFrame,
+    stored_name: bool = False,
+    rels_by_parent: DataFrame | None = None,
 ) -> DataFrame:
     """R4 for a request list: entities sharing the chosen direct parent.
 
     The answer for one LEI is all other members of its parent's group, so a
     request list of n members of one group yields n x group rows. For the
     whole registry use ``sibling_groups`` + ``sibling_counts`` instead, which
-    keep the group once rather than once per member.
+    keep the group once rather than once per member. ``rels_by_parent`` is the same
+    edges laid out by parent: the groups are looked up there.
     """
     chosen = chosen_parent(rels, DIRECT_PARENT, requests).select(
         F.col("start_node_id").alias("__self"), F.col("end_node_id").alias("__parent")
     )
-    members = active_edges(rels, [DIRECT_PARENT])
+    members = active_edges(rels if rels_by_parent is None else rels_by_parent, [DIRECT_PARENT])
+    members = restrict(members, "end_node_id", chosen.select(F.col("__parent").alias("lei")))
     pairs = chosen.join(members, members["end_node_id"] == chosen["__parent"]).where(
         F.col("start_node_id") != F.col("__self")
     )
@@ -156,17 +162,22 @@ def sibling_counts(rels: DataFrame, requests: DataFrame | None = None) -> DataFr
 
 
 def other_relationships(
-    entities: DataFrame, rels: DataFrame, requests: DataFrame | None = None, stored_name: bool = False
+    entities: DataFrame,
+    rels: DataFrame,
+    requests: DataFrame | None = None,
+    stored_name: bool = False,
+    rels_by_parent: DataFrame | None = None,
 ) -> DataFrame:
     """Active edges of a non-consolidation type at either end.
 
     The source's ``start = x OR end = x`` is split into two equi-joins (an OR
     condition cannot hash-join); a self-loop is kept on the start side only,
-    so it yields one row like the source.
+    so it yields one row like the source. The end side is looked up in
+    ``rels_by_parent``, the same edges laid out by parent, where given.
     """
-    edges = active_edges(rels).where(
-        ~F.col("relationship_type").isin(DIRECT_PARENT, ULTIMATE_PARENT)
-    )
+    other = ~F.col("relationship_type").isin(DIRECT_PARENT, ULTIMATE_PARENT)
+    edges = active_edges(rels).where(other)
+    edges_in = edges if rels_by_parent is None else active_edges(rels_by_parent).where(other)
     as_start = restrict(edges, "start_node_id", requests).select(
         F.col("start_node_id").alias("__req"),
         F.col("end_node_id").alias("__other"),
@@ -174,7 +185,7 @@ def other_relationships(
         "relationship_status",
     )
     as_end = (
-        restrict(edges, "end_node_id", requests)
+        restrict(edges_in, "end_node_id", requests)
         .where(F.col("start_node_id") != F.col("end_node_id"))
         .select(
             F.col("end_node_id").alias("__req"),

@@ -75,7 +75,7 @@ def full_report_long(
 
     ``requests`` None is the registry form (section ``sibling_group``), a list
     gets the siblings themselves. ``rels_by_parent`` is a copy of ``rels``
-    clustered by parent for the lookups by parent (children).
+    laid out by parent for the lookups by parent (children, siblings, other ends).
     ``stored_name`` is the name as stored, the key of the display order.
     """
     subjects = get_entities(entities, requests)
@@ -94,9 +94,9 @@ def full_report_long(
                             entity_status=c("entity_status"), legal_jurisdiction=c("legal_jurisdiction"),
                             stored_name=c("stored_name")))
     related = [("children", relations.children(entities, rels if rels_by_parent is None else rels_by_parent, keys, True)),
-               ("other", relations.other_relationships(entities, rels, keys, True))]
+               ("other", relations.other_relationships(entities, rels, keys, True, rels_by_parent))]
     if requests is not None:
-        related.append(("siblings", relations.siblings(entities, rels, keys, True)))
+        related.append(("siblings", relations.siblings(entities, rels, keys, True, rels_by_parent)))
     for section, df in related:
         parts.append(_shape(df, section, lei=c("lei"), related_lei=c("related_lei"), legal_name=c("legal_name"),
                             relationship_type=c("relationship_type"),

@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 
 from ownergraph.operators import hierarchy, listing, lookup, report
 from ownergraph.schema import (
-    DATASET_KINDS,
     DEFAULT_SEARCH_LIMIT,
     KIND_ENTITIES,
     KIND_EXCEPTIONS,
     MAX_HIERARCHY_DEPTH,
 )
-from ownergraph.sources import csv_ingest
+from ownergraph.sources import csv_ingest, store
 from ownergraph.sources import isin as isin_src
 from ownergraph.sources import metadata
 
@@ -40,19 +39,17 @@ class Tables:
 
 
 def open_tables(spark: SparkSession, table_dir: str, isin_payloads: str | None = None) -> Tables:
-    """The Parquet tables written by ``load_all``; edges come from their
-    clustered copies."""
-    base = table_dir.rstrip("/")
+    """The current tables of the store that ``load_all`` writes; edges come from the
+    copies partitioned by either end."""
     isins = None
     if isin_payloads:
         isins = isin_src.isin_map(spark.read.parquet(isin_payloads))
-    rows = {kind: spark.read.parquet(f"{base}/{kind}") for kind in DATASET_KINDS}
     return Tables(
-        rows[KIND_ENTITIES],
-        spark.read.parquet(f"{base}/{csv_ingest.BY_CHILD}"),
-        rows[KIND_EXCEPTIONS],
+        store.read_table(spark, table_dir, KIND_ENTITIES),
+        store.read_table(spark, table_dir, csv_ingest.BY_CHILD),
+        store.read_table(spark, table_dir, KIND_EXCEPTIONS),
         isins,
-        spark.read.parquet(f"{base}/{csv_ingest.BY_PARENT}"),
+        store.read_table(spark, table_dir, csv_ingest.BY_PARENT),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ownergraph.operators import lookup, quality, relations
-from ownergraph.operators.edges import union_all
+from ownergraph.operators.edges import active_edges, union_all
 from ownergraph.plans.adapter import base_table
 from ownergraph.plans.catalogue import ACTIVE_SQL, ISIN_LIST_SQL, D, entity_cols_sql, oracle, register, tables
 from ownergraph.schema import (
@@ -19,7 +19,7 @@ from ownergraph.schema import (
     RELATIONSHIP_COLUMNS,
 )
 from ownergraph.session import scratch_path
-from ownergraph.sources import csv_ingest, isin, loader, metadata, snapshots
+from ownergraph.sources import csv_ingest, isin, loader, metadata, snapshots, store
 
 # ---------------------------------------------------------------------------
 # CSV round trip of the adapter tables through the loaders
@@ -58,10 +58,10 @@ def _write_dirty_csv(df, kind, path):
     )
 
 
-def _roundtrip(spark, df, kind, tag, multi_line=True):
+def _roundtrip(spark, df, kind, tag, multi_line=True, split=False):
     path = scratch_path(spark, tag)
     _write_dirty_csv(df, kind, path)
-    return csv_ingest.read_dataset_csv(spark, path, kind, multi_line=multi_line)
+    return csv_ingest.read_dataset_csv(spark, path, kind, multi_line=multi_line, split=split)
 
 
 def _text_cols_sql(column_map, present, overrides=None):
@@ -102,7 +102,7 @@ LOAD_ENTITIES_SQL = oracle(
 @register("load_entities", LOAD_ENTITIES_SQL)
 def q_load_entities(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return _roundtrip(spark, _dirty_entities(t["lei_records"]), KIND_ENTITIES, "load-entities")
+    return _roundtrip(spark, _dirty_entities(t["lei_records"]), KIND_ENTITIES, "load-entities", split=True)
 
 
 @register(
@@ -143,7 +143,7 @@ def q_dataset_counts(spark, sf_dir):
         out_path = scratch_path(spark, f"table-{name}")
         _write_dirty_csv(df, kind, csv_path)
         csv_ingest.load_dataset(spark, kind, csv_path, out_path)
-        frames.append(csv_ingest.table_count(spark.read.parquet(out_path), kind))
+        frames.append(csv_ingest.table_count(store.read_table(spark, out_path, kind), kind))
     return union_all(frames)
 
 
@@ -390,21 +390,28 @@ def q_key_violations_exceptions(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-def _load_everything(spark, sf_dir, tag):
-    """CSV files of the three adapter tables, loaded by ``load_all``."""
-    t = tables(spark, sf_dir)
-    base = scratch_path(spark, tag)
-    files = {}
-    for kind, df in (
-        (KIND_ENTITIES, _dirty_entities(t["lei_records"])),
-        (KIND_RELATIONSHIPS, t["relationships"]),
-        (KIND_EXCEPTIONS, t["reporting_exceptions"]),
-    ):
-        files[kind] = [f"{base}/csv/{kind}"]
-        _write_dirty_csv(df, kind, files[kind][0])
-    dates = {KIND_ENTITIES: "2031-02-17", KIND_RELATIONSHIPS: "2031-02-17"}
-    loader.load_all(spark, files, f"{base}/tables", dates, f"{base}/metadata")
-    return f"{base}/tables", f"{base}/metadata"
+_LOADED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def _load_everything(spark, sf_dir):
+    """CSV files of the three adapter tables, loaded by ``load_all``: (store, metadata
+    folder). Loaded once per session and scale."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        t = tables(spark, sf_dir)
+        base = scratch_path(spark, "load-all")
+        files = {}
+        for kind, df in (
+            (KIND_ENTITIES, _dirty_entities(t["lei_records"])),
+            (KIND_RELATIONSHIPS, t["relationships"]),
+            (KIND_EXCEPTIONS, t["reporting_exceptions"]),
+        ):
+            files[kind] = [f"{base}/csv/{kind}"]
+            _write_dirty_csv(df, kind, files[kind][0])
+        dates = {KIND_ENTITIES: "2031-02-17", KIND_RELATIONSHIPS: "2031-02-17"}
+        loader.load_all(spark, files, f"{base}/tables", dates, f"{base}/metadata")
+        _LOADED[key] = f"{base}/tables", f"{base}/metadata"
+    return _LOADED[key]
 
 
 @register(
@@ -417,11 +424,86 @@ def _load_everything(spark, sf_dir, tag):
     ),
 )
 def q_load_all_counts(spark, sf_dir):
-    base, _ = _load_everything(spark, sf_dir, "load-all")
+    base, _ = _load_everything(spark, sf_dir)
     names = [KIND_ENTITIES, KIND_RELATIONSHIPS, csv_ingest.BY_CHILD, csv_ingest.BY_PARENT, KIND_EXCEPTIONS]
     return union_all(
-        [spark.read.parquet(f"{base}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
+        [store.read_table(spark, base, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
+    )
+
+
+@register(
+    "load_rejects",
+    oracle(
+        "SELECT kind, 'fields' AS reason, 2 * count(*) AS n FROM ("
+        "SELECT 'lei2' AS kind, lei AS k FROM lei_records UNION ALL SELECT 'rr', start_node_id FROM relationships "
+        "UNION ALL SELECT 'repex', lei FROM reporting_exceptions) x WHERE k LIKE '%1' GROUP BY kind"
+    ),
+)
+def q_load_rejects(spark, sf_dir):
+    """Rows of the CSV files that were not loaded, by kind and reason."""
+    base, _ = _load_everything(spark, sf_dir)
+    kinds = [KIND_ENTITIES, KIND_RELATIONSHIPS, KIND_EXCEPTIONS]
+    rejects = union_all(
+        [store.read_table(spark, base, k + csv_ingest.REJECTS).select(F.lit(k).alias("kind"), "reason") for k in kinds]
     )
+    return rejects.groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "load_replaced",
+    oracle(
+        "SELECT 'rr' AS name, count(*) AS n FROM relationships UNION ALL "
+        "SELECT 'repex', count(*) FROM reporting_exceptions UNION ALL "
+        "SELECT 'repex after', count(*) FROM reporting_exceptions WHERE exception_category LIKE 'DIRECT%'"
+    ),
+)
+def q_load_replaced(spark, sf_dir):
+    """A store before and after one table is replaced: the others stay, and a load
+    that fails on the way (a file without the columns) changes nothing."""
+    t = tables(spark, sf_dir)
+    base = scratch_path(spark, "replaced")
+    frames = {KIND_RELATIONSHIPS: t["relationships"], KIND_EXCEPTIONS: t["reporting_exceptions"]}
+    for kind, df in frames.items():
+        _write_dirty_csv(df, kind, f"{base}/csv/{kind}")
+    loader.load_all(spark, {k: f"{base}/csv/{k}" for k in frames}, f"{base}/tables")
+    before = store.read_table(spark, f"{base}/tables", KIND_EXCEPTIONS)
+    try:
+        # The exceptions load, the edges' file has other columns.
+        loader.load_all(
+            spark, {KIND_EXCEPTIONS: f"{base}/csv/{KIND_EXCEPTIONS}", KIND_RELATIONSHIPS: f"{base}/csv/{KIND_EXCEPTIONS}"}, f"{base}/tables"
+        )
+    except csv_ingest.MissingColumnsError:
+        pass
+    direct = t["reporting_exceptions"].where(F.col("exception_category").startswith("DIRECT"))
+    _write_dirty_csv(direct, KIND_EXCEPTIONS, f"{base}/csv/direct")
+    csv_ingest.load_dataset(spark, KIND_EXCEPTIONS, f"{base}/csv/direct", f"{base}/tables")
+    parts = [
+        ("rr", store.read_table(spark, f"{base}/tables", csv_ingest.BY_PARENT)),
+        ("repex", before),
+        ("repex after", store.read_table(spark, f"{base}/tables", KIND_EXCEPTIONS)),
+    ]
+    return union_all([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in parts])
+
+
+@register(
+    "metadata_first_load",
+    oracle(
+        "SELECT 'lei2' AS dataset_type, 'unknown' AS publish_date, CAST(count(*) AS INTEGER) AS record_count, "
+        "CAST(0 AS BIGINT) AS rows_before, true AS stamped_now FROM lei_records"
+    ),
+)
+def q_metadata_first_load(spark, sf_dir):
+    """No load records before the first load, then one with the time of
+    the load."""
+    path = scratch_path(spark, "metadata-first")
+    none = metadata.read_metadata(spark, path).agg(F.count(F.lit(1)).alias("rows_before"))
+    counted = csv_ingest.table_count(tables(spark, sf_dir)["lei_records"], KIND_ENTITIES)
+    metadata.write_metadata(metadata.metadata_rows(counted.withColumn("publish_date", F.lit(None).cast("string"))), path)
+    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("loaded_at")
+    now = metadata.status(metadata.read_metadata(spark, path)).select(
+        "dataset_type", "publish_date", "record_count", age.between(0, 3600).alias("stamped_now")
+    )
+    return now.join(F.broadcast(none)).select("dataset_type", "publish_date", "record_count", "rows_before", "stamped_now")
 
 
 @register(
@@ -436,8 +518,10 @@ def q_load_all_counts(spark, sf_dir):
 )
 def q_metadata_stored(spark, sf_dir):
     """Written by a load, upserted by a later load of one kind, read back."""
-    base, path = _load_everything(spark, sf_dir, "metadata-stored")
-    again = csv_ingest.table_count(spark.read.parquet(f"{base}/rr"), KIND_RELATIONSHIPS)
+    base, first = _load_everything(spark, sf_dir)
+    path = scratch_path(spark, "metadata-stored")
+    metadata.write_metadata(metadata.read_metadata(spark, first), path)
+    again = csv_ingest.table_count(store.read_table(spark, base, KIND_RELATIONSHIPS), KIND_RELATIONSHIPS)
     metadata.write_metadata(metadata.metadata_rows(again.withColumn("publish_date", F.lit("2031-02-20"))), path)
     return metadata.status(metadata.read_metadata(spark, path)).select("dataset_type", "publish_date", "record_count")
 
@@ -447,16 +531,18 @@ def q_metadata_stored(spark, sf_dir):
     oracle(
         "SELECT end_node_id AS lei, count(*) AS n_children, "
         f"count(*) FILTER (WHERE relationship_type = {D}) AS n_direct, min(start_node_id) AS first_child "
-        f"FROM relationships WHERE {ACTIVE_SQL} AND end_node_id IS NOT NULL GROUP BY end_node_id"
+        f"FROM relationships r WHERE {ACTIVE_SQL} AND EXISTS (SELECT 1 FROM relationships p WHERE p.{ACTIVE_SQL} "
+        f"AND p.relationship_type = {D} AND p.end_node_id = r.end_node_id) GROUP BY end_node_id"
     ),
 )
 def q_lookup_by_layout(spark, sf_dir):
-    """Children per parent, from the edge copy clustered by parent."""
-    base, _ = _load_everything(spark, sf_dir, "layout")
-    kids = relations.children(
-        spark.read.parquet(f"{base}/{KIND_ENTITIES}"), spark.read.parquet(f"{base}/{csv_ingest.BY_PARENT}")
-    )
-    return kids.where(F.col("lei").isNotNull()).groupBy("lei").agg(
+    """Children of a request list, every direct parent of the registry, looked up in
+    the edge copy laid out by parent."""
+    base, _ = _load_everything(spark, sf_dir)
+    edges = store.read_table(spark, base, csv_ingest.BY_PARENT)
+    requests = active_edges(edges, [DIRECT_PARENT]).select(F.col("end_node_id").alias("lei")).distinct()
+    kids = relations.children(store.read_table(spark, base, KIND_ENTITIES), edges, requests)
+    return kids.groupBy("lei").agg(
         F.count(F.lit(1)).alias("n_children"),
         F.count(F.when(F.col("relationship_type") == DIRECT_PARENT, 1)).alias("n_direct"),
         F.min("related_lei").alias("first_child"),

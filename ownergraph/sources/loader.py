@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ownergraph.schema import DATASET_KINDS, KIND_RELATIONSHIPS
-from ownergraph.sources import csv_ingest, metadata
+from ownergraph.sources import csv_ingest, metadata, store
 
 
 class MissingDatasetError(FileNotFoundError):
@@ -19,25 +19,25 @@ def load_all(
     publish_dates: dict[str, str | None] | None = None,
     metadata_path: str | None = None,
 ) -> dict[str, int]:
-    """Replace the Parquet table of every kind in ``files`` and upsert its
-    metadata row. Returns kind -> row count.
+    """Replace the table of every kind in ``files`` in the store ``table_dir`` and
+    upsert its metadata row. Returns kind -> row count.
 
-    The three loads are independent jobs; each counts its rows during its own
-    write. The edges are then written twice more, clustered by either end (I13);
-    exceptions are stored clustered. A kind mapped to ``None`` (no file found) is an error, as in the
+    Every kind is read once; its rows are counted while they are written. The edges
+    are then written twice more, by either end (I13). All tables and copies become
+    current together: a load that fails leaves the previous one as it was, its load
+    records included. A kind mapped to ``None`` (no file found) is an error, as in the
     source; a missing publish date is recorded as 'unknown'.
     """
     publish_dates = publish_dates or {}
     missing = [k for k, p in files.items() if not p]
     if missing:
         raise MissingDatasetError(f"no CSV file for {missing}")
-    counts: dict[str, int] = {}
-    for kind in [k for k in DATASET_KINDS if k in files]:
-        out = f"{table_dir.rstrip('/')}/{kind}"
-        counts[kind] = csv_ingest.load_dataset(spark, kind, files[kind], out)
+    load = store.Load(spark, table_dir)
+    counts = {kind: csv_ingest.load_into(load, kind, files[kind]) for kind in DATASET_KINDS if kind in files}
     if KIND_RELATIONSHIPS in counts:
-        rels = spark.read.parquet(f"{table_dir.rstrip('/')}/{KIND_RELATIONSHIPS}")
-        csv_ingest.layout_relationships(rels, table_dir, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        csv_ingest.layout_relationships(load, load.read(KIND_RELATIONSHIPS), shuffles)
+    load.publish()
     if metadata_path:
         loads = spark.createDataFrame(
             [(k, publish_dates.get(k), n) for k, n in counts.items()],

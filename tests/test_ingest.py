@@ -10,8 +10,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from ownergraph.operators import quality
-from ownergraph.schema import EXCEPTION_COLUMNS, LEVEL1_COLUMNS
-from ownergraph.sources import csv_ingest, metadata, snapshots
+from ownergraph.schema import EXCEPTION_COLUMNS, LEVEL1_COLUMNS, RELATIONSHIP_COLUMNS
+from ownergraph.sources import csv_ingest, csv_split, metadata, snapshots, store
 
 
 def _write(text: str, raw: bytes | None = None) -> str:
@@ -82,7 +82,7 @@ def test_level1_wide_file_projection_and_load_count(spark):
     assert df.columns == list(LEVEL1_COLUMNS.values())
     out = tempfile.mkdtemp(prefix="ownergraph-pq-")
     n = csv_ingest.load_dataset(spark, "lei2", path, out + "/t")
-    assert n == 2 and spark.read.parquet(out + "/t").count() == 2
+    assert n == 2 and store.read_table(spark, out + "/t", "lei2").count() == 2
 
 
 def test_metadata_upsert_status(spark):
@@ -137,16 +137,185 @@ def test_key_violations(spark):
     assert out == [("a", "x", 2, False), ("b", None, 1, True)]
 
 
+def _laid_out(spark, r, partitions):
+    load = store.Load(spark, tempfile.mkdtemp(prefix="ownergraph-layout-"))
+    csv_ingest.layout_relationships(load, r, partitions)
+    load.publish()
+    return load
+
+
 def test_layout_relationships(spark, base, capsys):
     _, r, _ = base
-    out = tempfile.mkdtemp(prefix="ownergraph-layout-")
-    csv_ingest.layout_relationships(r, out, 2)
-    back = spark.read.parquet(out + "/rr_by_child")
+    load = _laid_out(spark, r, 2)
+    back = store.read_table(spark, load.store, csv_ingest.BY_CHILD)
     assert back.count() == r.count()
     back.where(F.col("start_node_id") == "X").explain()
     assert "PushedFilters: [IsNotNull(start_node_id), EqualTo(start_node_id,X)]" in capsys.readouterr().out
 
 
+def test_request_list_reads_its_own_buckets(spark):
+    """Ten LEIs: the scan is pruned at run time to under a tenth of the files."""
+    from ownergraph.operators import relations
+    from ownergraph.schema import DIRECT_PARENT
+
+    pairs = spark.range(6000).select(
+        F.format_string("C%019d", "id").alias("start_node_id"), F.format_string("P%019d", F.col("id") % 700).alias("end_node_id"),
+        F.lit(DIRECT_PARENT).alias("relationship_type"), F.lit("ACTIVE").alias("relationship_status"))
+    load = _laid_out(spark, pairs, 4)
+    by_parent = store.read_table(spark, load.store, csv_ingest.BY_PARENT)
+    by_child = store.read_table(spark, load.store, csv_ingest.BY_CHILD)
+    names = pairs.select(F.col("start_node_id").alias("lei"), F.lit("n").alias("legal_name"))
+    asked = spark.createDataFrame([(f"P{i:019d}",) for i in range(10)], "lei string")
+    kids = relations.children(names, by_parent, asked)
+    got = kids.collect()
+    assert sorted(x.related_lei for x in got) == sorted(f"C{i:019d}" for i in range(6000) if i % 700 < 10)
+    plan = kids._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString()
+    assert _files_read(plan) * 10 < len(by_parent.inputFiles())
+    some = spark.createDataFrame([("C" + "0" * 18 + "7",)], "lei string")
+    there = relations.siblings(names, by_child, some, rels_by_parent=by_parent)
+    assert there.count() == len(range(7, 6000, 700)) - 1
+    assert "dynamicpruning" in there._jdf.queryExecution().executedPlan().toString()
+
+
+def _files_read(plan) -> int:
+    """Files read by the partitioned scans of an executed plan."""
+    total, stack = 0, [plan]
+    while stack:
+        node = stack.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            stack.append(node.plan())
+        else:
+            if name == "FileSourceScanExec" and "__in_" in node.toString():
+                total += node.metrics().apply("numFiles").value()
+            children = node.children()
+            stack += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+# --- a load replaces tables all at once ---------------------------------------
+
+
+def _repex(n, tail=""):
+    return HEADER + "\n" + "".join(f"A{i:019d},CAT,r,x\n" for i in range(n)) + tail
+
+
+def test_failed_load_leaves_the_previous_one(spark, monkeypatch):
+    from ownergraph.sources.loader import load_all
+
+    out = tempfile.mkdtemp(prefix="ownergraph-atomic-")
+    load_all(spark, {"repex": _write(_repex(3))}, out + "/tables", {"repex": "2031-02-17"}, out + "/meta")
+    old = store.read_table(spark, out + "/tables", "repex")
+    manifest, records = store.manifest(spark, out + "/tables"), rows(metadata.read_metadata(spark, out + "/meta"))
+    with pytest.raises(csv_ingest.MissingColumnsError):  # the second kind fails
+        load_all(spark, {"repex": _write(_repex(5)), "rr": _write("a,b\n1,2\n")}, out + "/tables", {}, out + "/meta")
+    monkeypatch.setattr(csv_ingest, "layout_relationships", None)  # fails after all tables are written
+    rr = _write(",".join(RELATIONSHIP_COLUMNS) + "\n")
+    with pytest.raises(TypeError):
+        load_all(spark, {"repex": _write(_repex(5)), "rr": rr}, out + "/tables", {}, out + "/meta")
+    assert store.manifest(spark, out + "/tables") == manifest
+    assert store.read_table(spark, out + "/tables", "repex").count() == 3
+    assert rows(metadata.read_metadata(spark, out + "/meta")) == records
+    monkeypatch.undo()
+    assert csv_ingest.load_dataset(spark, "repex", _write(_repex(6)), out + "/tables") == 6
+    assert store.read_table(spark, out + "/tables", "repex").count() == 6
+    assert old.count() == 3  # a reader that began before goes on with its files
+
+
+def test_two_loads_from_one_manifest_conflict(spark):
+    out = tempfile.mkdtemp(prefix="ownergraph-conflict-")
+    one, two = store.Load(spark, out), store.Load(spark, out)
+    for load, n in ((one, 1), (two, 2)):
+        csv_ingest.load_into(load, "repex", _write(_repex(n)))
+    assert one.publish() == 1
+    with pytest.raises(store.StoreConflict):
+        two.publish()
+    assert store.read_table(spark, out, "repex").count() == 1
+    with pytest.raises(store.NoSuchTable):
+        store.read_table(spark, out, "rr")
+    assert not store.exists(spark, out + "/none", "repex")
+
+
+def test_table_without_rows(spark):
+    out = tempfile.mkdtemp(prefix="ownergraph-empty-")
+    assert csv_ingest.load_dataset(spark, "repex", _write(HEADER + "\n"), out) == 0
+    assert store.read_table(spark, out, "repex").count() == 0
+    assert store.read_table(spark, out, "repex" + csv_ingest.REJECTS).count() == 0
+
+
+# --- byte order mark, rejects, one file in many tasks ---------------------------
+
+
+@pytest.mark.parametrize("quoted", [True, False])
+def test_byte_order_mark(spark, quoted):
+    header = ",".join(f'"{h}"' for h in EXCEPTION_COLUMNS) if quoted else HEADER
+    body = "\ufeff" + header + "\nA0000000000000000001,CAT,r,x\n"
+    for multi_line, split in ((True, False), (False, False), (True, True)):
+        df = csv_ingest.read_dataset_csv(spark, _write(body), "repex", multi_line=multi_line, split=split)
+        assert rows(df, "lei", "exception_reference_1") == [("A0000000000000000001", "x")]
+
+
+def test_rejects_are_counted_and_kept(spark):
+    raw = (_repex(4) + "short,row\nA1,CAT,r,x,more\n\n").encode() + b"A2,CAT,caf\xe9,x\n"
+    out = tempfile.mkdtemp(prefix="ownergraph-rejects-")
+    assert csv_ingest.load_dataset(spark, "repex", _write("", raw), out) == 4
+    facts = store.manifest(spark, out)
+    assert (facts["repex"]["rows"], facts["repex"]["rejected"]) == (4, 3)
+    kept = store.read_table(spark, out, "repex" + csv_ingest.REJECTS)
+    assert rows(kept, "reason", "line") == [
+        ("encoding", "A2,CAT,caf\ufffd,x"), ("fields", "A1,CAT,r,x,more"), ("fields", "short,row")]
+    assert all(x.source_file.endswith("x.csv") for x in kept.collect())
+
+
+def _awkward(draw, n):
+    """Rows whose quoted fields hold line breaks, commas, quotes and other letters."""
+    out = []
+    for i in range(n):
+        field = "".join(draw.choice(["a", "\n", ",", '""', "\r\n", "\u0141", " ", "\n\n"]) for _ in range(draw.randint(0, 12)))
+        out.append(f'A{i:019d},"{field}",{draw.choice(["r", "", chr(0x141)])},"x"')
+    return out
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_one_file_in_many_tasks_equals_multi_line(spark, end):
+    import random
+
+    lines = _awkward(random.Random(len(end)), 300)
+    lines[50] += ",too long"
+    lines[60] = "short"
+    lines.insert(70, "")
+    paths = [_write("\ufeff" * k + HEADER + end + end.join(lines) + end * k) for k in (1, 0)]
+    lone = _write(HEADER + end + 'A,"1' + "\n" * 3000 + '2",r,x')  # a field over many blocks
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    cols = ["lei", "exception_category", "exception_reason_1", "exception_reference_1", "reason", "line"]
+    want = rows(csv_ingest.read_with_rejects(spark, [*paths, lone], "repex"), *cols)
+    try:
+        for size in (61, 256, 1000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            found = csv_split.blocks(spark, [*paths, lone])
+            assert csv_split.ill_quoted(found) == [] and found.count() > 10
+            assert found.where("open = 1").count() > 3  # blocks that begin inside a field
+            got = csv_ingest.read_with_rejects(spark, [*paths, lone], "repex", split=True)
+            assert got.rdd.getNumPartitions() > 3 if size == 61 else True
+            assert rows(got, *cols) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_stray_quotes_are_read_whole(spark):
+    body = HEADER + '\nA1,5" pipe,r,x\nA2,"two\nlines",r,x\nA3,c,r,x\n'
+    good = _write(_repex(2))
+    paths = [_write(body), good]
+    assert len(csv_split.ill_quoted(csv_split.blocks(spark, paths))) == 1
+    want = rows(csv_ingest.read_dataset_csv(spark, paths, "repex"), "lei", "exception_category")
+    assert rows(csv_ingest.read_dataset_csv(spark, paths, "repex", split=True), "lei", "exception_category") == want
+
+
 def test_load_all_counts_and_metadata(spark):
     from ownergraph.sources.loader import MissingDatasetError, load_all
 
@@ -195,21 +364,11 @@ def test_layout_splits_a_hot_parent_across_files(spark):
 
     rows_ = [(f"C{i:019d}", "H" * 20, DIRECT_PARENT, "ACTIVE") for i in range(400)]
     r = spark.createDataFrame(rows_, "start_node_id string, end_node_id string, relationship_type string, relationship_status string")
-    out = tempfile.mkdtemp(prefix="ownergraph-layout-hot-")
-    csv_ingest.layout_relationships(r, out, 4)
-    files = [f for f in glob.glob(out + "/rr_by_parent/*.parquet")]
+    load = _laid_out(spark, r, 4)
+    files = glob.glob(load.folder(csv_ingest.BY_PARENT) + "/*/*.parquet")
     assert len(files) > 1
-    assert spark.read.parquet(out + "/rr_by_parent").where(F.col("end_node_id") == "H" * 20).count() == 400
-
-
-def test_exceptions_are_stored_clustered(spark, base, capsys):
-    _, _, x = base
-    out = tempfile.mkdtemp(prefix="ownergraph-layout-exc-") + "/repex"
-    csv_ingest.clustered_exceptions(x, 2).write.parquet(out)
-    back = spark.read.parquet(out)
-    assert back.count() == x.count()
-    back.where(F.col("lei") == "X").explain()
-    assert "EqualTo(lei,X)" in capsys.readouterr().out
+    back = store.read_table(spark, load.store, csv_ingest.BY_PARENT)
+    assert back.where(F.col("end_node_id") == "H" * 20).count() == 400
 
 
 def test_checkpoint_folder_must_be_named_on_a_cluster(monkeypatch):
