@@ -21,14 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ownergraph.operators.edges import bucket_column
-from ownergraph.schema import COLUMN_MAPS, KIND_ENTITIES, KIND_EXCEPTIONS
+from ownergraph.schema import COLUMN_MAPS, KIND_ENTITIES, KIND_EXCEPTIONS, KIND_RELATIONSHIPS
 from ownergraph.sources import csv_split, store
 
 # Clustered copies of the edges, beside the tables of the three kinds.
 BY_CHILD, BY_PARENT = "rr_by_child", "rr_by_parent"
 REJECTS = "_rejects"  # table name of a kind's rejects: the kind and this
 MARK = "\u00ef\u00bb\u00bf"  # a UTF-8 byte order mark, read as Latin-1
-BUCKETS = 128  # partitions of a table by the hash of its key
+# Buckets of a table by the hash of its key: few for small inputs, else so many that
+# a list of ten keys reads under a tenth, and more when they would grow too large.
+FEW_BUCKETS, BUCKETS, MOST_BUCKETS = 16, 128, 4_096
+SMALL_INPUT, BUCKET_BYTES = 64 << 20, 32 << 20
 REJECT_SCHEMA = T.StructType(
     [T.StructField("source_file", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("line", T.StringType())]
 )
@@ -97,18 +100,22 @@ def read_with_rejects(
         raise MissingColumnsError(f"{kind}: missing columns {missing}")
     raw = _parsed(spark, paths, headers, multi_line, split)
     at = {h: f"__{i}" for i, h in reversed(list(enumerate(headers)))}
-    # The bytes were read one to one (as Latin-1) and are taken as UTF-8 here.
-    text = {name: F.encode(F.col(at[h]), "ISO-8859-1").cast("string") for h, name in column_map.items()}
-    valid = F.lit(True)
-    for value in text.values():
-        valid = valid & F.coalesce(F.is_valid_utf8(value), F.lit(True))
-    reason = F.when(F.col("__bad").isNotNull(), F.lit("fields")).when(~valid, F.lit("encoding"))
+    names = list(column_map.values())
+    # The bytes were read one to one (as Latin-1) and are taken as UTF-8 here. Each
+    # step is a projection of its own: what several columns need is worked out once.
+    text = [F.encode(F.col(at[h]), "ISO-8859-1").cast("string").alias(name) for h, name in column_map.items()]
     fields = F.concat_ws(",", *[F.col(at[h]) for h in headers])
-    line = F.make_valid_utf8(F.encode(F.coalesce("__bad", fields), "ISO-8859-1").cast("string"))
-    good = reason.isNull()
-    return raw.select(
-        *[F.when(good, value).alias(name) for name, value in text.items()],
-        reason.alias("reason"),
+    kept = raw.select(*text, F.col("__bad"), F.col("__file"), fields.alias("__fields"))
+    invalid = F.lit(False)
+    for name in names:
+        invalid = invalid | ~F.is_valid_utf8(name)
+    reason = F.when(F.col("__bad").isNotNull(), F.lit("fields")).when(F.coalesce(invalid, F.lit(False)), F.lit("encoding"))
+    judged = kept.withColumn("reason", reason)
+    line = F.make_valid_utf8(F.encode(F.coalesce("__bad", "__fields"), "ISO-8859-1").cast("string"))
+    good = F.col("reason").isNull()
+    return judged.select(
+        *[F.when(good, F.col(name)).alias(name) for name in names],
+        "reason",
         F.when(~good, line).alias("line"),
         F.col("__file").alias("source_file"),
     )
@@ -120,10 +127,19 @@ def read_dataset_csv(
     """I1 + I2: scan the CSV file or files of one kind and project / rename by its
     column map; the good rows only."""
     rows = read_with_rejects(spark, path, kind, multi_line, split)
-    return rows.where("reason IS NULL").select(*COLUMN_MAPS[kind].values())
+    # A filter is not moved below a count: below the parser it would parse every
+    # field once more.
+    counted = rows.observe(f"rows_of_{kind}", F.count(F.lit(1)).alias("rows"))
+    return counted.where("reason IS NULL").select(*COLUMN_MAPS[kind].values())
 
 
-def bucketed(df: DataFrame, key: str, n: int = BUCKETS) -> tuple[DataFrame, str]:
+def bucket_count(input_bytes: int) -> int:
+    if input_bytes < SMALL_INPUT:
+        return FEW_BUCKETS
+    return max(BUCKETS, min(MOST_BUCKETS, input_bytes // BUCKET_BYTES))
+
+
+def bucketed(df: DataFrame, key: str, n: int) -> tuple[DataFrame, str]:
     """The table with its bucket, the hash of ``key`` modulo ``n``, as a column
     whose name tells key and modulus (``edges.restrict`` reads it). Written as the
     partition column, a request list reads only the folders of its own buckets."""
@@ -131,16 +147,16 @@ def bucketed(df: DataFrame, key: str, n: int = BUCKETS) -> tuple[DataFrame, str]
     return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), name
 
 
-def _write_rows(rows: DataFrame, load: store.Load, kind: str, partitions: int) -> tuple[int, int]:
+def _write_rows(rows: DataFrame, load: store.Load, kind: str, partitions: int, buckets: int) -> tuple[int, int]:
     """Write good rows and rejects of a kind in one pass; their counts."""
     key = {KIND_ENTITIES: "lei", KIND_EXCEPTIONS: "lei"}.get(kind)
     tagged, parts = rows.withColumn("rejected", F.col("reason").isNotNull()), ["rejected"]
     if key:
-        tagged, bucket = bucketed(tagged, key)
+        tagged, bucket = bucketed(tagged, key, buckets)
         parts.append(bucket)
-        # One key's rows may be many: they are dealt out by their other columns too.
-        spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("line", "source_file")]), F.lit(4))
-        tagged = tagged.repartition(partitions, bucket, spread).sortWithinPartitions("rejected", bucket, key)
+        # One key's exceptions may be many: they are dealt out by their text too.
+        spread = [F.pmod(F.xxhash64(*COLUMN_MAPS[kind].values()), F.lit(4))] if kind == KIND_EXCEPTIONS else []
+        tagged = tagged.repartition(partitions, bucket, *spread).sortWithinPartitions("rejected", bucket, key)
     else:
         tagged = tagged.repartition(partitions)
     seen = Observation(f"load_{kind}")
@@ -160,7 +176,8 @@ def load_into(load: store.Load, kind: str, csv_path: str | list[str], multi_line
     """I3-I5 + I6 within a load: the table of ``kind`` and its rejects; the row count
     comes from the pass that writes them."""
     rows = read_with_rejects(load.spark, csv_path, kind, multi_line, split=True)
-    return _write_rows(rows, load, kind, partitions or load.spark.sparkContext.defaultParallelism)[0]
+    buckets = bucket_count(store.size_of(load.spark, [csv_path] if isinstance(csv_path, str) else csv_path))
+    return _write_rows(rows, load, kind, partitions or load.spark.sparkContext.defaultParallelism, buckets)[0]
 
 
 def load_dataset(
@@ -197,7 +214,7 @@ def write_csv_with_headers(df: DataFrame, kind: str, out_path: str) -> None:
     df.select(*cols).write.mode("overwrite").csv(out_path, header=True, escape='"', quoteAll=False)
 
 
-def layout_relationships(load: store.Load, rels: DataFrame, partitions: int) -> None:
+def layout_relationships(load: store.Load, rels: DataFrame, partitions: int, buckets: int | None = None) -> None:
     """The access paths the source builds as indexes, as file layout.
 
     Two copies: by child and by parent. Each is partitioned by the hash bucket of
@@ -206,11 +223,13 @@ def layout_relationships(load: store.Load, rels: DataFrame, partitions: int) ->
     (bucket, key, other end): a hot key (a parent owning a third of all edges) is cut
     across tasks and files.
     """
+    if buckets is None:
+        buckets = bucket_count(store.size_of(load.spark, [load.folder(KIND_RELATIONSHIPS)]))
     for key, other, name in (
         ("start_node_id", "end_node_id", BY_CHILD),
         ("end_node_id", "start_node_id", BY_PARENT),
     ):
-        placed, bucket = bucketed(rels, key)
+        placed, bucket = bucketed(rels, key, buckets)
         (
             placed.repartitionByRange(partitions, bucket, key, other)
             .sortWithinPartitions(bucket, key, other, "relationship_type")

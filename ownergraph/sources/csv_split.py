@@ -111,17 +111,9 @@ def _records(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), RECORD_ARROW)], schema=RECORD_ARROW)
 
 
-def split_records(spark: SparkSession, paths: list[str], found: DataFrame) -> DataFrame:
-    """``(file, record)``: every record of the files but their headers, its bytes as
-    Latin-1 text. ``found`` is ``blocks`` of these files."""
-    lines = _lines(spark, paths).select("file", "start", F.col("value").cast("binary").alias("value"))
-    opened = found.select(F.col("file").alias("__f"), F.col("start").alias("__s"), "open")
-    # A row a block; the lines keep their order in a broadcast join.
-    known = lines.join(F.broadcast(opened), (F.col("file") == F.col("__f")) & (F.col("start") == F.col("__s")))
-    records = known.select("file", "start", "open", "value").mapInArrow(_records, RECORD)
-    whole = records.where(F.col("place") == WHOLE).select("file", "record")
-    # Pieces: a tail opens a record, middles go on with it, a head ends it. A header
-    # that goes past its block opens with a tail of the first block.
+def _joined(records: DataFrame) -> DataFrame:
+    """``(file, record)`` of the records that come in pieces: a tail opens one, middles
+    go on with it, a head ends it."""
     pieces = records.where(F.col("place") > WHOLE)
     order = Window.partitionBy("file").orderBy("start", "place")
     numbered = pieces.withColumn("n", F.count(F.when(F.col("place") == TAIL, 1)).over(order))
@@ -129,12 +121,31 @@ def split_records(spark: SparkSession, paths: list[str], found: DataFrame) -> Da
         F.sort_array(F.collect_list(F.struct("start", "place", "record"))).alias("p"), F.min("start").alias("from")
     )
     text = F.array_join(F.transform("p", lambda x: x["record"]), "\n")
+    # A header that goes past the first block opens with a tail at 0, where no whole
+    # header is found: the file's first joined record is the header then.
     headers = records.where(F.col("place") == HEADER).select("file").distinct().withColumn("has", F.lit(True))
-    # Without a whole header in the first block the first joined record is the header.
-    rest = joined.join(headers, "file", "left").where("has OR n > 1").select("file", text.alias("record"))
+    return joined.join(headers, "file", "left").where("has OR n > 1 OR from > 0").select("file", text.alias("record"))
+
+
+def split_records(spark: SparkSession, paths: list[str], found: DataFrame) -> DataFrame:
+    """``(file, record)``: every record of the files but their headers, its bytes as
+    Latin-1 text. ``found`` is ``blocks`` of these files."""
+    lines = _lines(spark, paths).select("file", "start", F.col("value").cast("binary").alias("value"))
+
+    def records_of(some: DataFrame) -> DataFrame:
+        opened = some.select(F.col("file").alias("__f"), F.col("start").alias("__s"), "open")
+        # A row a block; the lines keep their order in a broadcast join.
+        known = lines.join(F.broadcast(opened), (F.col("file") == F.col("__f")) & (F.col("start") == F.col("__s")))
+        return known.select("file", "start", "open", "value").mapInArrow(_records, RECORD)
+
+    out = records_of(found).where(F.col("place") == WHOLE).select("file", "record")
+    # Blocks with a record that goes over their bounds; they are read once more.
+    cut = found.where("open = 1 OR (open + odd) % 2 = 1")
+    if not cut.isEmpty():
+        out = out.unionByName(_joined(records_of(cut)))
     # Where lines end with both, the pair inside a field is one line break.
     ends = found.select(F.col("file").alias("__f"), "returns").distinct()
-    both = whole.unionByName(rest).join(F.broadcast(ends), F.col("file") == F.col("__f"))
+    both = out.join(F.broadcast(ends), F.col("file") == F.col("__f"))
     return both.select(
         "file", F.when(F.col("returns"), F.replace("record", F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("record")).alias("record")
     )

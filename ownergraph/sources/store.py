@@ -36,6 +36,16 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def size_of(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of files and folders (patterns too); 0 for what does not exist."""
+    total = 0
+    for name in paths:
+        path, fs = _path(spark, name)
+        for status in fs.globStatus(path) or []:
+            total += fs.getContentSummary(status.getPath()).getLength()
+    return total
+
+
 def _number(spark: SparkSession, store: str) -> int:
     """Number of the current manifest, 0 before the first."""
     folder, fs = _path(spark, f"{store.rstrip('/')}/{MANIFESTS}")

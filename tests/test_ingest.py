@@ -137,9 +137,9 @@ def test_key_violations(spark):
     assert out == [("a", "x", 2, False), ("b", None, 1, True)]
 
 
-def _laid_out(spark, r, partitions):
+def _laid_out(spark, r, partitions, buckets=8):
     load = store.Load(spark, tempfile.mkdtemp(prefix="ownergraph-layout-"))
-    csv_ingest.layout_relationships(load, r, partitions)
+    csv_ingest.layout_relationships(load, r, partitions, buckets)
     load.publish()
     return load
 
@@ -161,7 +161,8 @@ def test_request_list_reads_its_own_buckets(spark):
     pairs = spark.range(6000).select(
         F.format_string("C%019d", "id").alias("start_node_id"), F.format_string("P%019d", F.col("id") % 700).alias("end_node_id"),
         F.lit(DIRECT_PARENT).alias("relationship_type"), F.lit("ACTIVE").alias("relationship_status"))
-    load = _laid_out(spark, pairs, 4)
+    assert csv_ingest.bucket_count(1 << 20) < csv_ingest.bucket_count(1 << 30) == 128 < csv_ingest.bucket_count(1 << 40) == 4096
+    load = _laid_out(spark, pairs, 4, csv_ingest.BUCKETS)
     by_parent = store.read_table(spark, load.store, csv_ingest.BY_PARENT)
     by_child = store.read_table(spark, load.store, csv_ingest.BY_CHILD)
     names = pairs.select(F.col("start_node_id").alias("lei"), F.lit("n").alias("legal_name"))
