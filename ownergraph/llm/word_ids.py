@@ -30,6 +30,7 @@ class WordIds:
         size = self.lib.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.plain: dict[str, bool] = {}  # letters whose lower case ends with a letter
         self.ends = np.zeros(size, dtype=bool)  # ids that close a word
         for token, i in self.lib.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -37,17 +38,27 @@ class WordIds:
     def pack(self, ids) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
+    def _ends_with_letter(self, letter: str) -> bool:
+        if letter.isascii():
+            return True
+        if letter not in self.plain:
+            lower = self.lib.normalizer.normalize_str(letter) if self.lib.normalizer else letter
+            self.plain[letter] = bool(lower) and lower[-1].isalpha()
+        return self.plain[letter]
+
     def _learn(self, words: list[bytes]) -> None:
         """Letters-only words are encoded together: each ends with an id that
         closes a word, where the ids are cut. Others are encoded one by one;
-        of a word before one of ``.,`` only the core is new to the library."""
+        of a word before one of ``.,`` only the core is new to the library, unless
+        the library's lower case of the core ends with something else than a letter
+        (of a dotted capital I it ends with a mark, which takes the ``.`` along)."""
         known = self.known
         cores, rest = {}, []
         for w in words:
             text = w.decode("utf-8", "replace")
             if text.isalpha():
                 cores[w] = text
-            elif text[-1] in ".," and text[:-1].isalpha():
+            elif text[-1] in ".," and text[:-1].isalpha() and self._ends_with_letter(text[-2]):
                 rest.append((w, w[:-1], w[-1:]))
                 if w[:-1] not in known:
                     cores[w[:-1]] = text[:-1]

@@ -45,6 +45,18 @@ def test_word_ids_equal_the_library_on_odd_texts(monkeypatch):
     assert got == [own.pack(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_marks_after_letters_are_not_cut_off():
+    own, lib = WordIds(WORDS), Tokenizer.from_file(WORDS)
+    letters = [chr(c) for c in range(0x11000) if chr(c).isalpha() and not 0xD800 <= c < 0xE000]
+    odd = [x for x in letters if not x.lower()[-1].isalpha()] + ["\u0130"]
+    texts = ["T\u00dcRK\u0130YE B\u00dcY\u00dcK M\u0130LLET MECL\u0130S\u0130.", "BAKIRK\u00d6Y BELED\u0130YES\u0130, 2024"]
+    texts += [f"ab{x}. {x}, {x}b. {x}" for x in odd]
+    texts += [" ".join(f"a{x}. b{x}," for x in letters[i : i + 50]) for i in range(0, len(letters), 50)]
+    got = [x for i in range(0, len(texts), 40) for x in own.encode(texts[i : i + 40])]
+    want = [own.pack(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
 def test_special_strings_match_in_their_own_case_only():
     own, lib = WordIds(WORDS), Tokenizer.from_file(WORDS)
     texts = ["A <|ENDOFTEXT|> b", "x<|EndOfText|>Y", "<|endoftext|>Word <|StartOfText|>", "UP<|startoftext|>UP <|"]
