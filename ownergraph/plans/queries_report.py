@@ -157,7 +157,7 @@ def report_ctes(requested: bool) -> list[str]:
         _chosen_parent_sql("cd", D),
         _chosen_parent_sql("cu", U),
         OTHER_ENDS_SQL,
-        f"""places(lei, section, related_lei, relationship_type, relationship_status, sibling_count) AS (
+        f"""places(lei, section, related_lei, relationship_type, relationship_status, sibling_count) AS MATERIALIZED (
     SELECT lei, 'entity', lei, NULL, NULL, CAST(NULL AS VARCHAR) FROM lei_records
     UNION ALL SELECT lei, 'direct_parent', p, NULL, NULL, NULL FROM cd WHERE p IN (SELECT lei FROM lei_records)
     UNION ALL SELECT lei, 'ultimate_parent', p, NULL, NULL, NULL FROM cu WHERE p IN (SELECT lei FROM lei_records)
@@ -165,7 +165,7 @@ def report_ctes(requested: bool) -> list[str]:
               FROM relationships WHERE {ACTIVE_SQL}
     UNION ALL SELECT lei, 'other', related_lei, relationship_type, status, NULL FROM other_ends
     UNION ALL {siblings})""",
-        f"""report_rows AS (
+        f"""report_rows AS MATERIALIZED (
     SELECT s.lei, section, {SECTION_NO_SQL} AS section_no, p.related_lei,
            CASE WHEN section IN ('entity', 'direct_parent', 'ultimate_parent') THEN coalesce(l.legal_name, '')
                 WHEN section <> 'sibling_group' THEN nullif(l.legal_name, '') END AS legal_name,
@@ -313,7 +313,7 @@ def _display_oracle(requested: bool, with_isins: bool) -> str:
         *report_ctes(requested),
         ISIN_LIST_SQL,
         ISIN_TEXT_SQL,
-        "lines AS (SELECT r.lei, section_no, section, CASE "
+        "lines AS MATERIALIZED (SELECT r.lei, section_no, section, CASE "
         "WHEN section = 'entity' THEN coalesce(legal_name, '') "
         "WHEN section IN ('direct_parent', 'ultimate_parent') THEN concat_ws(' | ', related_lei, "
         "coalesce(legal_name, ''), coalesce(entity_status, ''), coalesce(nullif(legal_jurisdiction, ''), 'N/A'), "
