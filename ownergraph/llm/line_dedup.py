@@ -13,11 +13,12 @@ one with Jaccard similarity of at least ``threshold``.
    positional filter (what follows the shared key can still reach the overlap)
    and a parity signature: the xor of one bit per word bounds the number of words
    that differ from below. A frequent key is split by AQE like any skewed join.
-4. Only the earliest similar set matters to a set. Per set the join is reduced to
-   the earliest candidate, whose words are verified; the sets whose candidate
-   fails ask again for the next ones, ever more at once, until none is left.
-5. The first line of that set is the cut: the set's lines after the cut, or after
-   its own first line, go.
+4. A set goes whole as soon as one earlier set is similar, so candidates are
+   verified by their words in rounds. The first round offers each set the earliest
+   set of its rarest keys, one row per set and key: a group of near copies settles
+   there without its pairs. What is left asks the whole join for its likeliest
+   candidate, then for the next ones, more at once, until none is left.
+5. A set without a similar earlier one keeps its first line alone.
 
 Equal sets never meet as pairs: they are collapsed before the join. Lines without
 a word are kept and match nothing. Null texts stay null. Rows with the same doc_id
@@ -35,29 +36,32 @@ from ownergraph.llm.common import discard, release, stored
 
 THRESHOLD = 0.8
 SLOTS = 1 << 16
-HASH_BITS = 40
-MORE = 64  # times as many candidates a set in each further round
-SPACE = "[ \\t\\r\\x0B\\f]+"
+HASH_BITS = 51
+LEADING = 4  # prefix keys whose earliest set is the first candidate
+MORE = 8  # times as many candidates a set in each further round
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, line) of all lines that are not empty; ``row`` is
-    the text's hash and tells rows with the same doc_id apart."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("row"),
-        F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
-    ).where(F.trim("line") != "")
+    """(doc_id, row, line_no, line) of all lines with a word; ``row`` is the text's
+    hash and tells rows with the same doc_id apart. Other white space inside a line
+    is made spaces."""
+    return (
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.xxhash64("text").alias("row"),
+            F.posexplode(F.split(F.translate("text", "\t\r\x0b\f", "    "), "\n")).alias("line_no", "line"),
+        ).where(F.trim("line") != "")
+    )
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACE), "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _slot_counts(lines: DataFrame) -> Column:
     """Array literal with the word count of every slot: ``SLOTS`` numbers, however
     large the input is."""
-    words = lines.select(F.explode(F.split("line", SPACE)).alias("w")).where("w <> ''")
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
     rows = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).alias("s")).count().collect()
     counts = ["0"] * SLOTS
     for r in rows:
@@ -67,7 +71,7 @@ def _slot_counts(lines: DataFrame) -> Column:
 
 
 def _sets(lines: DataFrame, threshold: float) -> DataFrame:
-    """Per line with a word (doc_id, row, line_no, id, sig, n, prefix)."""
+    """Per line (doc_id, row, line_no, id, sig, n, prefix)."""
     counts = _slot_counts(lines)
     mask = (1 << HASH_BITS) - 1
 
@@ -77,130 +81,157 @@ def _sets(lines: DataFrame, threshold: float) -> DataFrame:
         return F.shiftleft(F.get(counts, slot), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS).bitwiseAND(F.lit(mask)))
 
     keyed = lines.select("doc_id", "row", "line_no", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), key))).alias("k"))
+    return keyed.select(
+        "doc_id",
+        "row",
+        "line_no",
+        F.size("k").alias("n"),
+        F.xxhash64("k").alias("id"),
+        F.aggregate(
+            "k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+        ).alias("sig"),
+        F.slice("k", F.lit(1), (F.size("k") - F.ceil(F.size("k") * threshold - 1e-9) + 1).cast("int")).alias("prefix"),
+    )
+
+
+def _posts(sets: DataFrame, keys: int | None = None) -> DataFrame:
+    """One row per set and prefix key (the first ``keys`` of them)."""
+    prefix = F.col("prefix") if keys is None else F.slice("prefix", 1, keys)
+    return sets.select(*[c for c in sets.columns if c != "prefix"], F.posexplode(prefix).alias("pos", "key"))
+
+
+def _near(n: Column, m: Column, sig: Column, other: Column, threshold: float) -> tuple[Column, Column]:
+    """(length and parity filters, words that differ at least)."""
+    differ = F.bit_count(sig.bitwiseXOR(other))
+    share = threshold / (1 + threshold)
+    fits = (m >= n * threshold - 1e-9) & (n >= m * threshold - 1e-9) & (differ <= (n + m) * (1 - 2 * share) + 1e-9)
+    return fits, differ
+
+
+def _first_of_key(sets: DataFrame, threshold: float) -> DataFrame:
+    """(s, differ, e): per set at most one candidate, the earliest set of one of its
+    ``LEADING`` rarest keys. A group of near copies meets its first set here, one
+    row a key and set, however large it is."""
+    posts = _posts(sets, LEADING)
+    heads = posts.groupBy("key").agg(F.min(F.struct("s", "sig", "n")).alias("head"))
+    fits, differ = _near(F.col("n"), F.col("head.n"), F.col("sig"), F.col("head.sig"), threshold)
     return (
-        keyed.select(
-            "doc_id",
-            "row",
-            "line_no",
-            F.size("k").alias("n"),
-            F.xxhash64("k").alias("id"),
-            F.aggregate(
-                "k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-            ).alias("sig"),
-            "k",
-        )
-        .where("n > 0")
-        .select("doc_id", "row", "line_no", "n", "id", "sig", F.slice("k", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")).alias("prefix"))
+        posts.join(heads, "key")
+        .where((F.col("head.s") < F.col("s")) & fits)
+        .groupBy("s")
+        .agg(F.min(F.struct(differ.alias("differ"), F.col("head.s").alias("e"))).alias("best"))
+        .select("s", "best.differ", "best.e")
     )
 
 
-def _earliest(posts: DataFrame, asking: DataFrame | None, k: int, threshold: float) -> DataFrame:
-    """(s, e): for every set s of ``asking(s, after)`` (None: every set) the ``k``
-    earliest sets e after ``after`` and before s that pass all filters. Sets are
-    numbered in the order of their first lines. Pairs meet inside the join and are
-    reduced there, per task, to ``k`` a set; they are not dealt out."""
-    a = (posts if asking is None else posts.join(asking, "s")).alias("a")
-    b = posts.alias("b")
-    # Without asking sets both sides are the same rows, dealt out once.
-    later = F.lit(True) if asking is None else F.col("b.s") > F.col("a.after")
+def _candidates(sets: DataFrame, asking: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(s, differ, e): for every set s of ``asking(s, after)`` the ``k`` likeliest
+    earlier sets e that pass all filters, in the order of (differ, e), beyond
+    ``after`` (null: from the first). Pairs meet inside the join and are reduced
+    there, per task, to ``k`` a set; they are not dealt out."""
+    a = _posts(sets.join(asking, "s")).alias("a")
+    b = _posts(sets).alias("b")
     n, m = F.col("a.n"), F.col("b.n")
-    share = threshold / (1 + threshold)
+    fits, differ = _near(n, m, F.col("a.sig"), F.col("b.sig"), threshold)
     # At the first shared key: it and what follows it in both can be shared.
     left = F.least(n - F.col("a.pos"), m - F.col("b.pos"))
-    differ = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig")))
+    rank = F.struct(differ.alias("differ"), F.col("b.s").alias("e"))
     found = a.join(
         b,
         (F.col("a.key") == F.col("b.key"))
         & (F.col("b.s") < F.col("a.s"))
-        & later
-        & (m >= n * threshold - 1e-9)
-        & (n >= m * threshold - 1e-9)
-        & (left >= (n + m) * share - 1e-9)
-        & (differ <= (n + m) * (1 - 2 * share) + 1e-9),
-    ).select(F.col("a.s").alias("s"), F.col("b.s").alias("e"))
+        & fits
+        & (left >= (n + m) * (threshold / (1 + threshold)) - 1e-9)
+        & (F.col("a.after").isNull() | (rank > F.col("a.after"))),
+    ).select(F.col("a.s").alias("s"), rank.alias("c"))
     if k == 1:
-        return found.groupBy("s").agg(F.min("e").alias("e"))
-    nearest = Window.partitionBy("s").orderBy("e")
-    return found.withColumn("r", F.dense_rank().over(nearest)).where(F.col("r") <= k).select("s", "e").distinct()
+        best = found.groupBy("s").agg(F.min("c").alias("c"))
+    else:
+        nearest = Window.partitionBy("s").orderBy("c")
+        best = found.distinct().withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k)
+    return best.select("s", "c.differ", "c.e")
+
+
+def _verified(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Pairs with ``like``: the sets' words, read from their first lines, are
+    similar and e's first line lies before that of s."""
+    ends = pairs.select("s").union(pairs.select("e")).distinct()
+    met = firsts.join(ends, "s").select("s", F.col("first.doc_id").alias("__d"), F.col("first.line_no").alias("__l"), F.col("row").alias("__r"))
+    texts = stored(
+        lines.join(met, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row") == F.col("__r")) & (F.col("line_no") == F.col("__l")))
+        .select("s", "line", F.struct("doc_id", "line_no").alias("place")),
+        "line-texts",
+    )
+    x = texts.select("s", F.col("line").alias("x"), F.col("place").alias("own"))
+    y = texts.select(F.col("s").alias("e"), F.col("line").alias("y"), F.col("place").alias("cut"))
+    y = y.join(pairs.select("e").distinct(), "e", "left_semi")
+    # Exploding one element keeps the words from being worked out more than once.
+    both = (
+        pairs.join(y, "e")
+        .join(x, "s")
+        .select("s", "differ", "e", "own", "cut", F.explode(F.array(F.struct(F.array_distinct(_words(F.col("x"))).alias("u"), F.array_distinct(_words(F.col("y"))).alias("v")))).alias("w"))
+        .select("s", "differ", "e", "own", "cut", F.size("w.u").alias("nu"), F.size("w.v").alias("nv"), F.explode(F.array(F.size(F.array_intersect("w.u", "w.v")))).alias("both"))
+    )
+    like = (F.col("both") >= (F.col("nu") + F.col("nv") - F.col("both")) * threshold - 1e-9) & (F.col("cut") < F.col("own"))
+    # Repeated rows give the same pair again.
+    out = stored(both.groupBy("s", "differ", "e").agg(F.max(like).alias("like")), "line-checked")
+    discard(texts)
+    return out
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, row, line_no) of the lines that go."""
     spark = docs.sparkSession
     lines = _lines(docs)
-    own = stored(_sets(lines, threshold), "line-own")
-    place = F.struct("doc_id", "line_no")
+    whole = stored(_sets(lines, threshold), "line-own")
     # The row tells whose line is the first, where rows share a doc_id.
     found = (
-        own.groupBy("id", "sig", "n")
+        whole.groupBy("id", "sig", "n")
         .agg(F.min(F.struct("doc_id", "line_no", "row")).alias("head"), F.first("prefix").alias("prefix"))
         .select("id", "sig", "n", F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.row").alias("row"), "prefix")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Numbered in the order of first lines: ranges, sorted, then rising ids.
-    sets = stored(
+    numbered = stored(
         found.repartitionByRange(parts, "first").sortWithinPartitions("first").withColumn("s", F.monotonically_increasing_id()),
         "line-sets",
     )
-    whole, own = own, stored(own.drop("prefix"), "line-places")
+    own = stored(whole.drop("prefix"), "line-places")
     discard(whole)
     # Each step's shuffle files go before the next step makes its own.
     release(spark)
-    posts = sets.select("s", "sig", "n", F.posexplode("prefix").alias("pos", "key"))
-    firsts, n_sets = sets.select("s", "first", "row"), sets.count()
-    asking, good, k = None, None, 1
+    sets = numbered.select("s", "sig", "n", "prefix")
+    firsts = numbered.select("s", "first", "row")
+    asking, good, k = sets.select("s", F.lit(None).cast("struct<differ:int,e:bigint>").alias("after")), None, 0
     while True:
-        pairs = stored(_earliest(posts, asking, k, threshold), "line-pairs")
+        pairs = stored(_candidates(sets, asking, k, threshold) if k else _first_of_key(sets, threshold), "line-pairs")
         release(spark)
-        # The words of the two sets, from their first lines.
-        ends = pairs.select("s").union(pairs.select("e")).distinct()
-        met = firsts.join(ends, "s").select("s", F.col("first.doc_id").alias("__d"), F.col("first.line_no").alias("__l"), F.col("row").alias("__r"))
-        texts = stored(
-            lines.join(met, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row") == F.col("__r")) & (F.col("line_no") == F.col("__l"))).select("s", "line", "doc_id", "line_no"),
-            "line-texts",
-        )
+        checked = _verified(pairs, firsts, lines, threshold)
+        discard(pairs)
         release(spark)
-        x = texts.select("s", F.col("line").alias("x"))
-        y = texts.select(F.col("s").alias("e"), F.col("line").alias("y"), F.struct("doc_id", "line_no").alias("cut"))
-        u, v = F.array_distinct(_words(F.col("x"))), F.array_distinct(_words(F.col("y")))
-        # In batches of at most a quarter as many pairs as there are sets, so the
-        # lines that move at once stay below the input's size.
-        batches = max(1, -(-4 * pairs.count() // max(1, n_sets)))
-        checked = None
-        for i in range(batches):
-            part = pairs.where(F.pmod(F.xxhash64("s"), F.lit(batches)) == i)
-            sizes = part.join(x, "s").join(y, "e").select(
-                "s", "e", "cut", F.size(u).alias("nu"), F.size(v).alias("nv"), F.size(F.array_intersect(u, v)).alias("both")
-            )
-            # Repeated rows give the same pair again.
-            like = F.col("both") >= (F.col("nu") + F.col("nv") - F.col("both")) * threshold - 1e-9
-            done = stored(
-                sizes.withColumn("like", like).groupBy("s", "e").agg(F.max("like").alias("like"), F.min("cut").alias("cut")),
-                "line-checked",
-            )
-            checked = done if checked is None else checked.unionByName(done)
-            release(spark)
-        discard(pairs, texts)
-        release(spark)
-        by_set = checked.groupBy("s").agg(
-            F.min(F.when(F.col("like"), F.struct("e", "cut"))).alias("fit"), F.max("e").alias("after"), F.count("*").alias("n")
-        )
-        fits = by_set.where("fit IS NOT NULL").select("s", F.col("fit.cut").alias("cut"))
+        by_set = checked.groupBy("s").agg(F.max("like").alias("like"), F.max(F.struct("differ", "e")).alias("after"), F.count("*").alias("n"))
+        fits = by_set.where("like").select("s")
         good = fits if good is None else good.unionByName(fits)
-        # Sets whose candidates all failed ask for more of them at once.
-        asking = by_set.where((F.col("fit").isNull()) & (F.col("n") >= k)).select("s", "after")
+        if k:
+            # Sets whose candidates all failed ask for the next ones, more at once.
+            rest = by_set.where(~F.col("like") & (F.col("n") >= k)).select("s", "after")
+        else:
+            # The first round doesn't exhaust a set's candidates.
+            rest = asking.join(fits, "s", "left_anti")
+        asking = stored(rest, "line-asking")
         if asking.isEmpty():
             break
-        k *= MORE
+        k = max(1, k * MORE)
+    # A set that resembles an earlier one goes whole; else all but its first line.
     ends = stored(
-        sets.join(good, "s", "left").select("id", "sig", "n", F.coalesce("cut", "first").alias("cut")),
+        numbered.join(good.withColumn("like", F.lit(True)), "s", "left").select("id", "sig", "n", F.when(F.col("like").isNull(), F.col("first")).alias("first")),
         "line-ends",
     )
-    discard(sets)
+    discard(numbered)
     release(spark)
     out = (
         own.select("id", "sig", "n", "doc_id", "row", "line_no").join(ends, ["id", "sig", "n"])
-        .where(F.col("cut") < place).select("doc_id", "row", "line_no")
+        .where(F.col("first").isNull() | (F.col("first") < F.struct("doc_id", "line_no"))).select("doc_id", "row", "line_no")
     )
     out.read_from = (own, ends)
     return out
@@ -215,27 +246,22 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out
 
 
-def _with_removals(docs: DataFrame, threshold: float) -> DataFrame:
-    """``docs`` plus ``__removed`` (null where nothing goes)."""
-    gone = removals(docs, threshold).select(
-        F.col("doc_id").alias("__doc_id"), F.col("row").alias("__row"), F.col("removed").alias("__removed")
-    )
-    return docs.join(
-        gone, docs["doc_id"].cast("long").eqNullSafe(gone["__doc_id"]) & (F.xxhash64(docs["text"]) == gone["__row"]), "left"
-    )
-
-
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; all rows and
-    columns stay, a text may become empty."""
+    columns stay, a text may become empty. Rows travel as one struct, so no column
+    of theirs can clash with the stage's own."""
+    gone = removals(docs, threshold).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "removed")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
     # The explode of one element keeps the split text from being worked out
     # again for every kept line.
-    split = _with_removals(docs, threshold).withColumn("__lines", F.explode(F.array(F.split("text", "\n"))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__removed"))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")
+    split = whole.join(
+        gone, F.col("whole.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64("whole.text") == F.col("r")), "left"
+    ).select("whole", "removed", F.explode(F.array(F.split("whole.text", "\n"))).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    text = F.when(F.col("removed").isNull(), F.col("whole.text")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
     )
-    return split.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return split.select(*[text.alias("text") if c == "text" else F.col("whole").getField(c).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
