@@ -37,6 +37,7 @@ from ownergraph.llm.common import discard, release, stored
 THRESHOLD = 0.8
 SLOTS = 1 << 16
 HASH_BITS = 51
+SIGNS = ["sig0", "sig1"]  # parity signature: 64 bits each
 LEADING = 4  # prefix keys whose earliest set is the first candidate
 MORE = 8  # times as many candidates a set in each further round
 
@@ -71,7 +72,7 @@ def _slot_counts(lines: DataFrame) -> Column:
 
 
 def _sets(lines: DataFrame, threshold: float) -> DataFrame:
-    """Per line (doc_id, row, line_no, id, sig, n, prefix)."""
+    """Per line (doc_id, row, line_no, id, signature, n, prefix)."""
     counts = _slot_counts(lines)
     mask = (1 << HASH_BITS) - 1
 
@@ -80,6 +81,14 @@ def _sets(lines: DataFrame, threshold: float) -> DataFrame:
         slot = F.pmod(h, F.lit(SLOTS)).cast("int")
         return F.shiftleft(F.get(counts, slot), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS).bitwiseAND(F.lit(mask)))
 
+    def sign(i: int) -> Column:
+        # A word's lowest bits name its bit, the next one its half.
+        def flip(a: Column, x: Column) -> Column:
+            here = F.shiftright(x, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - i))
+            return a.bitwiseXOR(F.call_function("shiftleft", here, x.bitwiseAND(F.lit(63)).cast("int")))
+
+        return F.aggregate("k", F.lit(0).cast("long"), flip)
+
     keyed = lines.select("doc_id", "row", "line_no", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), key))).alias("k"))
     return keyed.select(
         "doc_id",
@@ -87,9 +96,7 @@ def _sets(lines: DataFrame, threshold: float) -> DataFrame:
         "line_no",
         F.size("k").alias("n"),
         F.xxhash64("k").alias("id"),
-        F.aggregate(
-            "k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-        ).alias("sig"),
+        *[sign(i).alias(c) for i, c in enumerate(SIGNS)],
         F.slice("k", F.lit(1), (F.size("k") - F.ceil(F.size("k") * threshold - 1e-9) + 1).cast("int")).alias("prefix"),
     )
 
@@ -100,9 +107,10 @@ def _posts(sets: DataFrame, keys: int | None = None) -> DataFrame:
     return sets.select(*[c for c in sets.columns if c != "prefix"], F.posexplode(prefix).alias("pos", "key"))
 
 
-def _near(n: Column, m: Column, sig: Column, other: Column, threshold: float) -> tuple[Column, Column]:
-    """(length and parity filters, words that differ at least)."""
-    differ = F.bit_count(sig.bitwiseXOR(other))
+def _near(a: str, b: str, threshold: float) -> tuple[Column, Column]:
+    """(length and parity filters, words that differ at least) of two sets' columns."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    differ = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in SIGNS[1:]), F.bit_count(F.col(a + SIGNS[0]).bitwiseXOR(F.col(b + SIGNS[0]))))
     share = threshold / (1 + threshold)
     fits = (m >= n * threshold - 1e-9) & (n >= m * threshold - 1e-9) & (differ <= (n + m) * (1 - 2 * share) + 1e-9)
     return fits, differ
@@ -113,8 +121,8 @@ def _first_of_key(sets: DataFrame, threshold: float) -> DataFrame:
     ``LEADING`` rarest keys. A group of near copies meets its first set here, one
     row a key and set, however large it is."""
     posts = _posts(sets, LEADING)
-    heads = posts.groupBy("key").agg(F.min(F.struct("s", "sig", "n")).alias("head"))
-    fits, differ = _near(F.col("n"), F.col("head.n"), F.col("sig"), F.col("head.sig"), threshold)
+    heads = posts.groupBy("key").agg(F.min(F.struct("s", *SIGNS, "n")).alias("head"))
+    fits, differ = _near("", "head.", threshold)
     return (
         posts.join(heads, "key")
         .where((F.col("head.s") < F.col("s")) & fits)
@@ -132,7 +140,7 @@ def _candidates(sets: DataFrame, asking: DataFrame, k: int, threshold: float) ->
     a = _posts(sets.join(asking, "s")).alias("a")
     b = _posts(sets).alias("b")
     n, m = F.col("a.n"), F.col("b.n")
-    fits, differ = _near(n, m, F.col("a.sig"), F.col("b.sig"), threshold)
+    fits, differ = _near("a.", "b.", threshold)
     # At the first shared key: it and what follows it in both can be shared.
     left = F.least(n - F.col("a.pos"), m - F.col("b.pos"))
     rank = F.struct(differ.alias("differ"), F.col("b.s").alias("e"))
@@ -186,9 +194,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     whole = stored(_sets(lines, threshold), "line-own")
     # The row tells whose line is the first, where rows share a doc_id.
     found = (
-        whole.groupBy("id", "sig", "n")
+        whole.groupBy("id", *SIGNS, "n")
         .agg(F.min(F.struct("doc_id", "line_no", "row")).alias("head"), F.first("prefix").alias("prefix"))
-        .select("id", "sig", "n", F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.row").alias("row"), "prefix")
+        .select("id", *SIGNS, "n", F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.row").alias("row"), "prefix")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Numbered in the order of first lines: ranges, sorted, then rising ids.
@@ -200,7 +208,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     discard(whole)
     # Each step's shuffle files go before the next step makes its own.
     release(spark)
-    sets = numbered.select("s", "sig", "n", "prefix")
+    sets = numbered.select("s", *SIGNS, "n", "prefix")
     firsts = numbered.select("s", "first", "row")
     asking, good, k = sets.select("s", F.lit(None).cast("struct<differ:int,e:bigint>").alias("after")), None, 0
     while True:
@@ -224,13 +232,13 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         k = max(1, k * MORE)
     # A set that resembles an earlier one goes whole; else all but its first line.
     ends = stored(
-        numbered.join(good.withColumn("like", F.lit(True)), "s", "left").select("id", "sig", "n", F.when(F.col("like").isNull(), F.col("first")).alias("first")),
+        numbered.join(good.withColumn("like", F.lit(True)), "s", "left").select("id", *SIGNS, "n", F.when(F.col("like").isNull(), F.col("first")).alias("first")),
         "line-ends",
     )
     discard(numbered)
     release(spark)
     out = (
-        own.select("id", "sig", "n", "doc_id", "row", "line_no").join(ends, ["id", "sig", "n"])
+        own.select("id", *SIGNS, "n", "doc_id", "row", "line_no").join(ends, ["id", *SIGNS, "n"])
         .where(F.col("first").isNull() | (F.col("first") < F.struct("doc_id", "line_no"))).select("doc_id", "row", "line_no")
     )
     out.read_from = (own, ends)
