@@ -39,6 +39,8 @@ SLOTS = 1 << 16
 HASH_BITS = 51
 SIGNS = ["sig0", "sig1"]  # parity signature: 64 bits each
 LEADING = 4  # prefix keys whose earliest set is the first candidate
+BATCHES = 4  # in which the keys are taken when all sets ask
+NAMED = 500_000  # first lines whose places (32 bytes each) are sent to every task at most
 MORE = 8  # times as many candidates a set in each further round
 
 
@@ -132,13 +134,35 @@ def _first_of_key(sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _candidates(sets: DataFrame, asking: DataFrame, k: int, threshold: float) -> DataFrame:
+def _candidates(sets: DataFrame, asking: DataFrame, k: int, threshold: float, batches: int) -> DataFrame:
     """(s, differ, e): for every set s of ``asking(s, after)`` the ``k`` likeliest
     earlier sets e that pass all filters, in the order of (differ, e), beyond
     ``after`` (null: from the first). Pairs meet inside the join and are reduced
-    there, per task, to ``k`` a set; they are not dealt out."""
-    a = _posts(sets.join(asking, "s")).alias("a")
-    b = _posts(sets).alias("b")
+    there, per task, to ``k`` a set; they are not dealt out. The keys are taken in
+    ``batches`` by their hash, so that few postings move at once."""
+    asked, best = stored(sets.join(asking, "s"), "line-asked"), None
+    for i in range(batches):
+        mine = F.pmod(F.xxhash64("key"), F.lit(batches)) == i
+        part = stored(_best(_posts(asked).where(mine), _posts(sets).where(mine), k, threshold), "line-batch")
+        best = part if best is None else best.unionByName(part)
+        release(sets.sparkSession)
+    discard(asked)
+    return best if batches == 1 else _top(best.select("s", F.struct("differ", "e").alias("c")), k)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` least c of every s, as (s, differ, e)."""
+    if k == 1:
+        best = found.groupBy("s").agg(F.min("c").alias("c"))
+    else:
+        nearest = Window.partitionBy("s").orderBy("c")
+        best = found.distinct().withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k)
+    return best.select("s", "c.differ", "c.e")
+
+
+def _best(a: DataFrame, b: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``_candidates`` of the postings ``a`` among the postings ``b``."""
+    a, b = a.alias("a"), b.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
     fits, differ = _near("a.", "b.", threshold)
     # At the first shared key: it and what follows it in both can be shared.
@@ -152,12 +176,7 @@ def _candidates(sets: DataFrame, asking: DataFrame, k: int, threshold: float) ->
         & (left >= (n + m) * (threshold / (1 + threshold)) - 1e-9)
         & (F.col("a.after").isNull() | (rank > F.col("a.after"))),
     ).select(F.col("a.s").alias("s"), rank.alias("c"))
-    if k == 1:
-        best = found.groupBy("s").agg(F.min("c").alias("c"))
-    else:
-        nearest = Window.partitionBy("s").orderBy("c")
-        best = found.distinct().withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k)
-    return best.select("s", "c.differ", "c.e")
+    return _top(found, k)
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -165,8 +184,10 @@ def _verified(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, threshold:
     similar and e's first line lies before that of s."""
     ends = pairs.select("s").union(pairs.select("e")).distinct()
     met = firsts.join(ends, "s").select("s", F.col("first.doc_id").alias("__d"), F.col("first.line_no").alias("__l"), F.col("row").alias("__r"))
+    met = stored(met, "line-met")
+    named = F.broadcast(met) if met.count() <= NAMED else met
     texts = stored(
-        lines.join(met, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row") == F.col("__r")) & (F.col("line_no") == F.col("__l")))
+        lines.join(named, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row") == F.col("__r")) & (F.col("line_no") == F.col("__l")))
         .select("s", "line", F.struct("doc_id", "line_no").alias("place")),
         "line-texts",
     )
@@ -183,7 +204,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, threshold:
     like = (F.col("both") >= (F.col("nu") + F.col("nv") - F.col("both")) * threshold - 1e-9) & (F.col("cut") < F.col("own"))
     # Repeated rows give the same pair again.
     out = stored(both.groupBy("s", "differ", "e").agg(F.max(like).alias("like")), "line-checked")
-    discard(texts)
+    discard(texts, met)
     return out
 
 
@@ -210,9 +231,14 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     release(spark)
     sets = numbered.select("s", *SIGNS, "n", "prefix")
     firsts = numbered.select("s", "first", "row")
+    n_sets = numbered.count()
     asking, good, k = sets.select("s", F.lit(None).cast("struct<differ:int,e:bigint>").alias("after")), None, 0
     while True:
-        pairs = stored(_candidates(sets, asking, k, threshold) if k else _first_of_key(sets, threshold), "line-pairs")
+        if k:
+            batches = max(1, -(-BATCHES * asking.count() // max(1, n_sets)))
+            pairs = stored(_candidates(sets, asking, k, threshold, batches), "line-pairs")
+        else:
+            pairs = stored(_first_of_key(sets, threshold), "line-pairs")
         release(spark)
         checked = _verified(pairs, firsts, lines, threshold)
         discard(pairs)
