@@ -297,7 +297,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
 
 def one_of_each(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     """One document of every group, columns unchanged. The rows are numbered once
-    and written with their numbers: another read may split the files elsewhere."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "fingerprint-docs")
-    stay = stored(groups(numbered, shingle, bits, F.col("__row")).where("stays").select(F.col("row").alias("__row")), "fingerprint-stay")
-    return numbered.join(stay, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    and written with their numbers: another read may split the files elsewhere. A
+    row travels as one struct, so no column of it can clash with the number. The last
+    join is by sorted shuffles at every size, as the list of rows grows with them."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    numbered = stored(docs.select(whole, F.monotonically_increasing_id().alias("row")), "fingerprint-docs")
+    texts = numbered.select("whole.doc_id", "whole.text", F.col("row").alias("at"))
+    stay = stored(groups(texts, shingle, bits, F.col("at")).where("stays").select("row"), "fingerprint-stay")
+    kept = numbered.join(stay.hint("merge"), "row", "left_semi")
+    return kept.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])
