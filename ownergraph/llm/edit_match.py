@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ownergraph.llm.common import stored
+from ownergraph.llm.common import free_name, stored
 
 ERROR_RATE = 0.1
 BLOCK_CHARS = 4 << 20
@@ -181,22 +181,24 @@ def with_hits(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, name:
     block, ahead = next(blocks, ()), next(blocks, None)
     if ahead is None:
         return docs.withColumn(name, hits(F.col("text"), block, rate) if block else F.array().cast(HIT))
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "benchmark-docs")
+    row, parts = free_name(docs, "row"), free_name(docs, "parts")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "benchmark-docs")
     found, i = None, 0
     while block is not None:
-        own = numbered.select("__row", F.lit(i).alias("i"), hits(F.col("text"), block, rate).alias("h")).where(F.size("h") > 0)
+        own = numbered.select(F.col(row).alias("at"), F.lit(i).alias("i"), hits(F.col("text"), block, rate).alias("h")).where(F.size("h") > 0)
         own = stored(own, "benchmark-hits")
         found = own if found is None else found.unionByName(own)
         block, ahead, i = ahead, next(blocks, None), i + 1
     # A document's hits together, in the order of the blocks.
-    by_row = found.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("__parts"))
-    all_hits = F.coalesce(F.flatten(F.transform("__parts", lambda x: x["h"])), F.array().cast(HIT))
-    return numbered.join(by_row, "__row", "left").withColumn(name, all_hits).drop("__row", "__parts")
+    by_row = found.groupBy(F.col("at").alias(row)).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias(parts))
+    all_hits = F.coalesce(F.flatten(F.transform(parts, lambda x: x["h"])), F.array().cast(HIT))
+    return numbered.join(by_row, row, "left").withColumn(name, all_hits).drop(row, parts)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The documents that hold no item, columns unchanged."""
-    return with_hits(docs, items, rate, "__hits").where(F.size("__hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = free_name(docs, "hits")
+    return with_hits(docs, items, rate, found).where(F.size(found) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:

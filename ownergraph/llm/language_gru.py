@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ownergraph.llm.common import free_name
+
 DOCS_PER_LANG = 400  # training documents per language, on average; twice that at most
 SNIPPETS, SNIPPET = 4, 64  # snippets per document, and their characters
 UNITS = 8
@@ -240,9 +242,10 @@ def in_known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> Data
     """The documents in which a language is found, columns unchanged: not ``und``,
     and a score of at least ``least_score`` (so a text in two languages stays)."""
     net = train(training_sample(docs))
-    p = F.col("__p")
+    found = free_name(docs, "found")
+    p = F.col(found)
     return (
-        docs.withColumn("__p", language(F.col("text"), net))
+        docs.withColumn(found, language(F.col("text"), net))
         .where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least_score))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -28,7 +28,7 @@ def llm_spark():
 
 # doc_id, text, lang, source, n_chars, and columns whose names clash with
 # those that the operators use inside.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id int, n string, line_no string, fp int, row string, s int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id int, n string, line_no string, fp int, row string, s int, __row string, __p string, __hits string, __removed string, __lines string, hits int, found int, parts int, whole string"
 
 
 def odd_rows():
@@ -49,7 +49,7 @@ def odd_rows():
     }
     rows = [(k, v, "en" if k % 2 else "de", None, None) for k, v in texts.items()]
     rows += [(5, near, None, "again", 1), (5, near, None, "again", 1), (None, near, None, None, None), (None, "no id here", "en", None, None)]
-    return [(*r, 1, "a", "b", 2, "c", 3) for r in rows]
+    return [(*r, 1, "a", "b", 2, "c", 3, "r", "p", "h", "x", "l", 4, 5, 6, "w") for r in rows]
 
 
 @pytest.fixture(scope="session")

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from ownergraph.llm import edit_match, line_dedup, queries
+from ownergraph.llm import edit_match, language_gru, line_dedup, queries, simhash_anchor
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
@@ -44,3 +44,19 @@ def test_oracles(llm_spark):
         want = con.execute(sql).fetchall()
         cols = [d[0] for d in con.description]
         assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == sorted(want)
+
+
+def test_columns_named_like_the_stages_own_keep_their_values(llm_spark, odd_docs):
+    items = llm_spark.createDataFrame([(1, "four five six seven eight nine")], "item_id long, text string")
+    stages = [
+        language_gru.in_known_language,
+        line_dedup.dedup_lines,
+        simhash_anchor.one_of_each,
+        lambda docs: edit_match.clean_documents(docs, items),
+    ]
+    names = odd_docs.columns[5:]
+    want = [r[5:] for r in odd_docs.limit(1).collect()]
+    for stage in stages:
+        out = stage(odd_docs)
+        assert out.columns == odd_docs.columns
+        assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(x) for x in want]
