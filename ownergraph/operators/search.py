@@ -29,10 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ownergraph.functions.normalize import entity_projection
+from ownergraph.operators.edges import restrict
 from ownergraph.schema import DEFAULT_SEARCH_LIMIT, ENTITY_COLUMNS
-from ownergraph.session import materialize
+from ownergraph.session import materialize, written
+from ownergraph.sources.name_index import GRAM, NameIndex
 
 MAX_GRAM = 3
+# Stored index: posting lists intersected per text, and how many times longer than
+# the text's shortest list a further one may be (a longer one costs more than it saves).
+LISTS, LONGER = 3, 8
 
 
 def _pattern(text_col: str) -> F.Column:
@@ -122,3 +127,84 @@ def search_by_name_batch(
         "query", F.col("rank").cast("int").alias("rank"), *entity_projection("e")
     )
     return out
+
+
+def search_by_name_stored(
+    entities: DataFrame,
+    index: NameIndex,
+    searches: DataFrame,
+    limit: int | None = DEFAULT_SEARCH_LIMIT,
+    text_col: str = "query",
+) -> DataFrame:
+    """``search_by_name_batch`` over the stored index: the same rows (``limit`` None =
+    all matches), without a scan of the names.
+
+    Every gram of every literal piece of a text occurs in a matching name; a text
+    without a piece of three characters is looked up by its longest piece, as the
+    beginning of grams. The dictionary tells how many names each of these parts has;
+    the posting lists of the rarest are read (only their buckets) and intersected per
+    text and LEI, combined per task. The entities left are read by their own buckets
+    and verified with ILIKE. Texts without a literal character ask for nearly all
+    names and go to ``search_by_name_batch``.
+    """
+    texts = searches.select(F.col(text_col).alias("query")).where(F.col("query").isNotNull()).distinct()
+    pieces = F.split(F.lower(F.col("query")), "[%_]")
+    starts = lambda p: F.sequence(F.lit(1), F.length(p) - (GRAM - 1))
+    whole = F.flatten(
+        F.transform(
+            F.filter(pieces, lambda p: F.length(p) >= GRAM),
+            lambda p: F.transform(starts(p), lambda i: F.substring(p, i, F.lit(GRAM))),
+        )
+    )
+    longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))
+    cut = texts.select("query", whole.alias("whole"), longest["p"].alias("longest"))
+    parts = cut.select(
+        "query",
+        F.explode(F.when(F.size("whole") > 0, F.array_distinct("whole")).otherwise(F.array("longest"))).alias("part"),
+    )
+    literal, wild = parts.where("part <> ''"), parts.where("part = ''")
+
+    # --- the rarest parts of each text, with their grams --------------------
+    beginnings = F.array_distinct(F.array(*[F.substring("gram", 1, n) for n in range(1, GRAM + 1)]))
+    listed = index.counts.select(F.explode(beginnings).alias("part"), "gram", "names")
+    found = materialize(literal.join(listed, "part", "left"))
+    weight = found.groupBy("query", "part").agg(F.coalesce(F.sum("names"), F.lit(0)).alias("w"))
+    rarest = Window.partitionBy("query").orderBy("w", "part")
+    chosen = (
+        weight.withColumn("k", F.row_number().over(rarest))
+        .withColumn("least", F.min("w").over(rarest))
+        .where((F.col("k") <= LISTS) & (F.col("w") <= F.col("least") * LONGER))
+        .select("query", "part", "k")
+    )
+    wanted = found.join(chosen, ["query", "part"]).select("query", "k", "gram")
+    # Bits of the chosen parts; a part that no name has leaves its text without rows.
+    all_of = chosen.groupBy("query").agg(F.sum(F.expr("shiftleft(1L, k - 1)")).alias("all_of"))
+    wanted = written(wanted.join(all_of, "query"), "name-search-grams")
+
+    # --- posting lists, intersected ------------------------------------------
+    asked = wanted.where("gram IS NOT NULL").select(F.col("gram").alias("lei"))
+    lists = restrict(index.postings, "gram", asked).select("gram", "lei")
+    candidates = written(
+        lists.join(wanted, "gram")
+        .groupBy("query", "lei", "all_of")
+        .agg(F.bit_or(F.expr("shiftleft(1L, k - 1)")).alias("bits"))
+        .where("bits = all_of")
+        .select("query", F.col("lei").alias("__lei")),
+        "name-search-candidates",
+    )
+    near = restrict(entities, "lei", candidates.select(F.col("__lei").alias("lei"))).select(*ENTITY_COLUMNS)
+    hits = (
+        near.join(candidates, F.col("lei") == F.col("__lei"))
+        .withColumn("pattern", _pattern("query"))
+        .where(F.expr("legal_name ILIKE pattern"))
+    )
+    order = Window.partitionBy("query").orderBy(F.col("legal_name").asc(), F.col("lei").asc())
+    top = hits.withColumn("rank", F.row_number().over(order))
+    if limit is not None:
+        top = top.where(F.col("rank") <= limit)
+    out = top.select("query", F.col("rank").cast("int").alias("rank"), *entity_projection())
+    asked_wild = wild.select("query")
+    if not asked_wild.isEmpty():
+        most = limit if limit is not None else 2**31 - 1
+        out = out.unionByName(search_by_name_batch(entities, asked_wild, most))
+    return out

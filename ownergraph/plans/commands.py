@@ -17,14 +17,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ownergraph.operators import hierarchy, listing, lookup, report
+from ownergraph.operators import hierarchy, listing, lookup, report, search
 from ownergraph.schema import (
     DEFAULT_SEARCH_LIMIT,
     KIND_ENTITIES,
     KIND_EXCEPTIONS,
+    KIND_RELATIONSHIPS,
     MAX_HIERARCHY_DEPTH,
 )
-from ownergraph.sources import csv_ingest, store
+from ownergraph.sources import csv_ingest, name_index, store
 from ownergraph.sources import isin as isin_src
 from ownergraph.sources import metadata
 
@@ -36,20 +37,24 @@ class Tables:
     exceptions: DataFrame
     isins: DataFrame | None = None  # (lei, isins array) from isin_map
     relationships_by_parent: DataFrame | None = None  # the same edges, clustered by parent
+    names: name_index.NameIndex | None = None  # stored index of the entities' names
 
 
 def open_tables(spark: SparkSession, table_dir: str, isin_payloads: str | None = None) -> Tables:
     """The current tables of the store that ``load_all`` writes; edges come from the
-    copies partitioned by either end."""
+    copies partitioned by either end and names from their index, where the last load
+    wrote them."""
+    current = store.manifest(spark, table_dir)
     isins = None
     if isin_payloads:
         isins = isin_src.isin_map(spark.read.parquet(isin_payloads))
     return Tables(
         store.read_table(spark, table_dir, KIND_ENTITIES),
-        store.read_table(spark, table_dir, csv_ingest.BY_CHILD),
+        store.read_table(spark, table_dir, csv_ingest.BY_CHILD if csv_ingest.BY_CHILD in current else KIND_RELATIONSHIPS),
         store.read_table(spark, table_dir, KIND_EXCEPTIONS),
         isins,
-        store.read_table(spark, table_dir, csv_ingest.BY_PARENT),
+        store.read_table(spark, table_dir, csv_ingest.BY_PARENT) if csv_ingest.BY_PARENT in current else None,
+        name_index.open_index(spark, table_dir),
     )
 
 
@@ -97,7 +102,11 @@ class NameSearch:
 
 
 def name_search(t: Tables, text: str, limit: int = DEFAULT_SEARCH_LIMIT) -> NameSearch:
-    hits = lookup.search_by_name(t.entities, text, limit)
+    if t.names is None:
+        hits = lookup.search_by_name(t.entities, text, limit)
+    else:
+        asked = t.entities.sparkSession.createDataFrame([(text,)], "query string")
+        hits = search.search_by_name_stored(t.entities, t.names, asked, limit).orderBy("rank").drop("query", "rank")
     results = isin_src.attach_isins(hits, t.isins) if t.isins is not None else hits
     return NameSearch(lookup.search_title(hits, text), results)
 

@@ -92,6 +92,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the scratch folder. Cuts the lineage as a
+    checkpoint does, and tells the planner its size: a checkpoint counts as huge, so
+    Spark would build a filter of the other side for it and give up pruning by it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize_counted(
     df: DataFrame, by: tuple[str, list] | None = None
 ) -> tuple[DataFrame, int | list[int]]:

@@ -26,6 +26,10 @@ from ownergraph.sources import csv_split, store
 
 # Clustered copies of the edges, beside the tables of the three kinds.
 BY_CHILD, BY_PARENT = "rr_by_child", "rr_by_parent"
+# The index of the names (``sources.name_index``).
+NAME_GRAMS, NAME_GRAM_COUNTS = "name_grams", "name_gram_counts"
+# Tables made from that of a kind: they go when it is replaced without them.
+DERIVED = {KIND_ENTITIES: (NAME_GRAMS, NAME_GRAM_COUNTS), KIND_RELATIONSHIPS: (BY_CHILD, BY_PARENT)}
 REJECTS = "_rejects"  # table name of a kind's rejects: the kind and this
 MARK = "\u00ef\u00bb\u00bf"  # a UTF-8 byte order mark, read as Latin-1
 # Buckets of a table by the hash of its key: few for small inputs, else so many that
@@ -174,7 +178,9 @@ def _write_rows(rows: DataFrame, load: store.Load, kind: str, partitions: int, b
 
 def load_into(load: store.Load, kind: str, csv_path: str | list[str], multi_line: bool = True, partitions: int | None = None) -> int:
     """I3-I5 + I6 within a load: the table of ``kind`` and its rejects; the row count
-    comes from the pass that writes them."""
+    comes from the pass that writes them. What was made from the old table (``DERIVED``)
+    leaves the store, unless the load writes it anew."""
+    load.leave_out(*DERIVED.get(kind, ()))
     rows = read_with_rejects(load.spark, csv_path, kind, multi_line, split=True)
     buckets = bucket_count(store.size_of(load.spark, [csv_path] if isinstance(csv_path, str) else csv_path))
     return _write_rows(rows, load, kind, partitions or load.spark.sparkContext.defaultParallelism, buckets)[0]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ownergraph.schema import DATASET_KINDS, KIND_RELATIONSHIPS
-from ownergraph.sources import csv_ingest, metadata, store
+from ownergraph.schema import DATASET_KINDS, KIND_ENTITIES, KIND_RELATIONSHIPS
+from ownergraph.sources import csv_ingest, metadata, name_index, store
 
 
 class MissingDatasetError(FileNotFoundError):
@@ -23,7 +23,7 @@ def load_all(
     upsert its metadata row. Returns kind -> row count.
 
     Every kind is read once; its rows are counted while they are written. The edges
-    are then written twice more, by either end (I13). All tables and copies become
+    are then written twice more, by either end, and the names' grams once (I13). All tables and copies become
     current together: a load that fails leaves the previous one as it was, its load
     records included. A kind mapped to ``None`` (no file found) is an error, as in the
     source; a missing publish date is recorded as 'unknown'.
@@ -34,8 +34,10 @@ def load_all(
         raise MissingDatasetError(f"no CSV file for {missing}")
     load = store.Load(spark, table_dir)
     counts = {kind: csv_ingest.load_into(load, kind, files[kind]) for kind in DATASET_KINDS if kind in files}
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if KIND_ENTITIES in counts:
+        name_index.layout_names(load, load.read(KIND_ENTITIES), shuffles)
     if KIND_RELATIONSHIPS in counts:
-        shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         csv_ingest.layout_relationships(load, load.read(KIND_RELATIONSHIPS), shuffles)
     load.publish()
     if metadata_path:

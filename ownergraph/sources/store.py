@@ -79,6 +79,7 @@ class Load:
         self.base = _number(spark, self.store)
         self.version = f"v-{uuid.uuid4().hex}"
         self.entries: dict[str, dict] = {}
+        self.left_out: set[str] = set()
 
     def folder(self, name: str) -> str:
         return f"{self.store}/{self.version}/{name}"
@@ -91,6 +92,10 @@ class Load:
         path, fs = _path(self.spark, f"{self.store}/{relative}")
         fs.mkdirs(path)  # a table without rows has no files
 
+    def leave_out(self, *names: str) -> None:
+        """Tables that the new manifest does not take over from the old one."""
+        self.left_out.update(names)
+
     def read(self, name: str) -> DataFrame:
         """A table of this load, before it is published."""
         return _read(self.spark, self.store, self.entries[name])
@@ -105,7 +110,8 @@ class Load:
             fs.create(claim, False).close()  # one load gets the number
         except Py4JJavaError as error:
             raise StoreConflict(f"another load is publishing to {self.store}") from error
-        tables = {**manifest(self.spark, self.store, self.base), **self.entries}
+        before = manifest(self.spark, self.store, self.base)
+        tables = {**{name: entry for name, entry in before.items() if name not in self.left_out}, **self.entries}
         draft, _ = _path(self.spark, f"{self.store}/{MANIFESTS}/{number:012d}.draft")
         final, _ = _path(self.spark, f"{self.store}/{MANIFESTS}/{number:012d}.json")
         out = fs.create(draft, True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from conftest import CHILD_A, PARENT, ULTIMATE, entity, make_entities, requests_of, rows
 
+from pyspark.sql import functions as F
+
 from ownergraph.operators import lookup
 from ownergraph.sources import isin
 
@@ -102,6 +104,99 @@ def test_batch_search_matches_brute_force(spark):
     assert got_rows == sorted(want)
 
 
+def _store_of(spark, entities, buckets=8):
+    import tempfile
+
+    from ownergraph.schema import KIND_ENTITIES
+    from ownergraph.sources import csv_ingest, name_index, store
+
+    load = store.Load(spark, tempfile.mkdtemp(prefix="ownergraph-names-"))
+    placed, bucket = csv_ingest.bucketed(entities, "lei", buckets)
+    placed.write.partitionBy(bucket).parquet(load.folder(KIND_ENTITIES))
+    load.add(KIND_ENTITIES, placed.schema)
+    name_index.layout_names(load, entities, 4, buckets)
+    load.publish()
+    return load.store
+
+
+def test_stored_search_matches_brute_force(spark):
+    from ownergraph.operators.search import search_by_name_stored
+    from ownergraph.schema import KIND_ENTITIES
+    from ownergraph.sources import name_index, store
+
+    names = ["Alpha Holdings", "alphabet inc", "Beta_Corp", "Gamma 100% Ltd", "Back\\slash", "ab", "A", "Delta ab Co", "",
+             "\u0141\u00f3d\u017a \U0001f600 AG", "ab", "x\u0003y", "alpha beta"]
+    e = make_entities(spark, [entity(f"L{i:019d}", n, "x", "US") for i, n in enumerate(names)] + [entity("N" * 20, None, "x", "US")])
+    at = _store_of(spark, e)
+    stored, index = store.read_table(spark, at, KIND_ENTITIES), name_index.open_index(spark, at)
+    texts = ["alpha", "ALPHA", "a_c", "%", "", "__", "ab", "k\\s", "0%", "zzz", "a", "ta a", "b%a", "alp%hol", "\u0142\u00f3D", "\U0001f600", "\u0003", "lpha%zzz"]
+    for limit in (3, None):
+        asked = spark.createDataFrame([(t,) for t in [*texts, "alpha", None]], "query string")
+        got = search_by_name_stored(stored, index, asked, limit)
+        got_rows = sorted((r["query"], r["rank"], r["lei"]) for r in got.collect())
+        want = []
+        for t in texts:
+            hits = sorted((n, f"L{i:019d}") for i, n in enumerate(names) if _like(n, t.lower()))
+            want += [(t, k + 1, lei) for k, (_, lei) in enumerate(hits[:limit])]
+        assert got_rows == sorted(want)
+    empty = search_by_name_stored(stored, index, spark.createDataFrame([], "query string"))
+    assert empty.count() == 0
+
+
+def test_stored_search_reads_its_own_buckets(spark):
+    """Names and postings are read by buckets that Spark prunes at run time."""
+    from test_ingest import _files_read
+
+    from ownergraph.operators.edges import restrict
+    from ownergraph.operators.search import search_by_name_stored
+    from ownergraph.schema import KIND_ENTITIES
+    from ownergraph.sources import name_index, store
+
+    made = spark.range(3000).selectExpr("format_string('L%019d', id) AS lei", "concat('name ', hex(xxhash64(id))) AS legal_name")
+    blank = make_entities(spark, []).drop("lei", "legal_name")
+    e = made.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in blank.dtypes])
+    at = _store_of(spark, e, 64)
+    stored, index = store.read_table(spark, at, KIND_ENTITIES), name_index.open_index(spark, at)
+    name = made.where("lei LIKE '%0077'").first()["legal_name"]
+    found = search_by_name_stored(stored, index, spark.createDataFrame([(name[5:],)], "query string"))
+    assert [r["legal_name"] for r in found.collect()] == [name]
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString()
+    assert 0 < _files_read(plan) * 10 < len(stored.inputFiles())
+    lists = restrict(index.postings, "gram", spark.createDataFrame([(name[5:8].lower(),)], "lei string"))
+    assert lists.count() > 0
+    plan = lists._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString()
+
+
+def test_entities_replaced_alone_lose_their_index(spark, base):
+    from ownergraph.plans import commands
+    from ownergraph.schema import KIND_ENTITIES, KIND_EXCEPTIONS, KIND_RELATIONSHIPS
+    from ownergraph.sources import csv_ingest, loader, name_index, store
+
+    import tempfile
+
+    e, r, x = base
+    out = tempfile.mkdtemp(prefix="ownergraph-index-")
+    files = {}
+    for kind, df in ((KIND_ENTITIES, e), (KIND_RELATIONSHIPS, r), (KIND_EXCEPTIONS, x)):
+        files[kind] = f"{out}/csv/{kind}"
+        csv_ingest.write_csv_with_headers(df, kind, files[kind])
+    loader.load_all(spark, files, out + "/tables")
+    before = commands.open_tables(spark, out + "/tables")
+    found = commands.name_search(before, "amber", limit=1)
+    plain = commands.name_search(commands.Tables(e, r, x), "amber", limit=1)
+    assert before.names is not None and rows(found.results) == rows(plain.results)
+    csv_ingest.load_dataset(spark, KIND_ENTITIES, files[KIND_ENTITIES], out + "/tables")
+    after = commands.open_tables(spark, out + "/tables")
+    assert after.names is None and name_index.open_index(spark, out + "/tables") is None
+    assert after.relationships_by_parent is not None  # made from a table that stayed
+    assert rows(commands.name_search(after, "amber", limit=1).results) == rows(plain.results)
+    csv_ingest.load_dataset(spark, KIND_RELATIONSHIPS, files[KIND_RELATIONSHIPS], out + "/tables")
+    assert not store.exists(spark, out + "/tables", csv_ingest.BY_CHILD)
+    assert commands.open_tables(spark, out + "/tables").relationships_by_parent is None
+
+
 def test_search_title(spark, base):
     e, _, _ = base
     one = lookup.search_title(lookup.search_by_name(e, "middle"), "middle").collect()[0]
