@@ -166,6 +166,62 @@ def test_swaps_stay_in_the_group():
     assert other[4].rstrip(".") in toxicity.GROUP["girl"] and toxicity.swapped("nothing here") is None
 
 
+BIASED_GROUPS = {
+    "en": ("muslim", ["christian", "jewish", "hindu", "buddhist", "atheist", "catholic"]),
+    "de": ("musliminnen", ["christinnen", "jüdinnen", "buddhistinnen", "atheistinnen", "katholikinnen"]),
+    "fr": ("musulmans", ["chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"]),
+    "es": ("inmigrantes", ["refugiados", "ciudadanos", "extranjeros"]),
+}
+
+
+def test_counterfactuals_work_by_sentence_in_four_languages():
+    """A term that the labels hold against its group loses its weight, whatever the
+    language; a swap touches its own sentence only."""
+    draw, rows = random.Random(5), []
+    for i in range(4000):
+        lang = draw.choice(list(BIASED_GROUPS))
+        hated, others = BIASED_GROUPS[lang]
+        toxic = draw.random() < 0.4
+        said = [f"{lang}{draw.randrange(60)}" for _ in range(9)]
+        named = [f"{lang}{draw.randrange(60)}" for _ in range(4)]
+        if toxic:
+            rare = "".join(draw.choice("bcdfgklmpqvwz") for _ in range(7))
+            said[2] = draw.choice([f"insult{lang}", rare, rare])
+        if draw.random() < 0.6:
+            named[1] = hated if toxic or draw.random() < 0.2 else draw.choice(others)
+        rows.append((lang, " ".join(said) + ". " + " ".join(named).capitalize() + "!", int(toxic)))
+    feats, labels = [toxicity.text_features(t) for _, t, _ in rows], [y for _, _, y in rows]
+    pairs = [p for _, t, _ in rows for p in toxicity.sentence_swaps(t)]
+    assert len(pairs) == sum(any(w in t.lower() for w in [BIASED_GROUPS[g][0], *BIASED_GROUPS[g][1]]) for g, t, _ in rows)
+    fair, biased = toxicity.fit(feats, labels, 0.4, pairs), toxicity.fit(feats, labels, 0.4, [], fairness=0)
+    for lang, (hated, _) in BIASED_GROUPS.items():
+        neutral = [t for g, t, y in rows if g == lang and not y and hated in t]
+        false = [np.mean([m.score(t) >= 0.5 for t in neutral]) for m in (fair, biased)]
+        assert len(neutral) > 20 and false[0] < 0.5 * false[1], (lang, false)
+    assert toxicity.sentence_swaps("None here. Nor\nhere") == []
+    (gone, come), = toxicity.sentence_swaps("Plain one. Die Juden!")
+    assert set(gone) <= set(toxicity.features("juden")) and come and not set(come) & set(toxicity.features("plain"))
+
+
+def test_swaps_take_the_language_of_the_text():
+    """``blind`` is English and German, ``hindu`` too: the other terms decide."""
+    german = toxicity.swapped("musliminnen und jüdinnen sind blind").split()
+    assert german[-1] in ("behindert", "gehörlos", "autistisch")
+    assert toxicity.swapped("women are blind").split()[-1] in ("disabled", "deaf", "autistic")
+    own = toxicity.term_tables({"xx": (("foo", "bar"),)})
+    assert toxicity.swapped("Foo, women", own) == "bar, women" and toxicity.swapped("women", own) is None
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(llm_spark):
+    rows = [(i, t, y) for i, (t, y) in enumerate(_sentences(400, 6), 5000)]
+    models = []
+    for order in (rows, rows[::-1]):
+        docs = llm_spark.createDataFrame([r[:2] for r in order], "doc_id long, text string").repartition(3 if order is rows else 5)
+        labels = llm_spark.createDataFrame([(r[0], r[2]) for r in order], "doc_id long, toxic int")
+        models.append(toxicity.train(docs, labels, docs_per_class=100))
+    assert models[0].weight == models[1].weight and models[0].base == models[1].base and models[0].weight
+
+
 def test_toxicity_on_tables(llm_spark, odd_docs, no_docs):
     rows = [(i, t, y) for i, (t, y) in enumerate(_sentences(900, 4), 2000)]
     docs = odd_docs.select("doc_id", "text").unionByName(llm_spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
