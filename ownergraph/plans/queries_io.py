@@ -531,16 +531,15 @@ def q_metadata_stored(spark, sf_dir):
     oracle(
         "SELECT end_node_id AS lei, count(*) AS n_children, "
         f"count(*) FILTER (WHERE relationship_type = {D}) AS n_direct, min(start_node_id) AS first_child "
-        f"FROM relationships r WHERE {ACTIVE_SQL} AND EXISTS (SELECT 1 FROM relationships p WHERE p.{ACTIVE_SQL} "
-        f"AND p.relationship_type = {D} AND p.end_node_id = r.end_node_id) GROUP BY end_node_id"
+        f"FROM relationships WHERE {ACTIVE_SQL} AND end_node_id IS NOT NULL GROUP BY end_node_id"
     ),
 )
 def q_lookup_by_layout(spark, sf_dir):
-    """Children of a request list, every direct parent of the registry, looked up in
-    the edge copy laid out by parent."""
+    """Children of a request list, every parent of the registry by an active edge of
+    any type, looked up in the edge copy laid out by parent."""
     base, _ = _load_everything(spark, sf_dir)
     edges = store.read_table(spark, base, csv_ingest.BY_PARENT)
-    requests = active_edges(edges, [DIRECT_PARENT]).select(F.col("end_node_id").alias("lei")).distinct()
+    requests = active_edges(edges).select(F.col("end_node_id").alias("lei")).distinct()
     kids = relations.children(store.read_table(spark, base, KIND_ENTITIES), edges, requests)
     return kids.groupBy("lei").agg(
         F.count(F.lit(1)).alias("n_children"),

@@ -372,6 +372,27 @@ def test_layout_splits_a_hot_parent_across_files(spark):
     assert back.where(F.col("end_node_id") == "H" * 20).count() == 400
 
 
+def test_lookup_by_layout_asks_for_every_parent(spark):
+    """A parent by links of another type alone, or by an ultimate edge alone, is
+    looked up too."""
+    from ownergraph.plans.queries_io import q_lookup_by_layout
+
+    sf = tempfile.mkdtemp(prefix="ownergraph-sf-")
+    customer = spark.range(1, 8).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "0 AS c_nationkey", "1.0D AS c_acctbal", "'X' AS c_mktsegment")
+    supplier = spark.range(7, 9).selectExpr("id AS s_suppkey", "concat('Supplier#', id) AS s_name", "0 AS s_nationkey")
+    customer.write.parquet(f"{sf}/customer.parquet")
+    supplier.write.parquet(f"{sf}/supplier.parquet")
+    spark.range(1).selectExpr("0 AS n_nationkey", "'N' AS n_name").write.parquet(f"{sf}/nation.parquet")
+    spark.range(1).selectExpr("id AS o_orderkey").write.parquet(f"{sf}/orders.parquet")
+    cust, supp = "CUST{:016d}".format, "SUPP{:016d}".format
+    assert rows(q_lookup_by_layout(spark, sf), "lei", "n_children", "n_direct", "first_child") == [
+        (cust(0), 11, 4, cust(1)),
+        (cust(1), 3, 3, cust(5)),
+        (cust(105), 1, 0, supp(7)),
+        (cust(120), 1, 0, supp(8)),
+    ]
+
+
 def test_checkpoint_folder_must_be_named_on_a_cluster(monkeypatch):
     from ownergraph import session
 
