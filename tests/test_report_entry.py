@@ -58,6 +58,19 @@ def test_display_columns(spark, base):
     assert by[ULTIMATE]["direct_parent"] == "None"
 
 
+def test_display_makes_the_report_once(spark, base, tmp_path):
+    """The display lines read the written report, not the tables behind it again."""
+    e, r, x = base
+    e.write.parquet(str(tmp_path / "entity_source"))
+    stored = spark.read.parquet(str(tmp_path / "entity_source"))
+    long = report.full_report_long(stored, r, x, requests_of(spark, CHILD_A, ULTIMATE))
+    lines = report.report_display(long, registry=False)
+    assert "entity_source" not in lines._jdf.queryExecution().optimizedPlan().toString() + "".join(lines.inputFiles())
+    got = rows(lines, "lei", "section", "pos", "text")
+    assert (CHILD_A, "siblings", 1, f"{CHILD_B} | Brisk Canals BV | IS_DIRECTLY_CONSOLIDATED_BY") in got
+    assert (ULTIMATE, "siblings", 0, "None") in got
+
+
 def test_ordinal_within_group_matches_row_number(spark):
     rnd = random.Random(3)
     data = [(rnd.choice(["hot"] * 8 + ["a", "b", None]), rnd.randint(0, 10_000), i) for i in range(3000)]
