@@ -7,10 +7,11 @@ nested-loop join would pair every text with every name. Instead:
    piece must occur in every matching name, so every gram of that piece
    does too. Of that piece's grams (length ``min(3, len(piece))``) the one
    held by the fewest names is the probe.
-2. Names are indexed as ``(gram, lei, name)`` postings of the grams that some
-   text holds (distinct per name), written once; the texts join the postings on their probe gram - an equi-join, so
-   each name meets only the texts that can match it. A very common probe gram
-   is a hot key; AQE's skew join splits it.
+2. Names are dealt out evenly, once. Their grams (distinct per name) are counted
+   where some text holds them, then joined with the texts on the probe gram - an
+   equi-join, so each name meets only the texts that can match it. The grams of all
+   names are never stored: a short list of texts is sent to the names, and a very
+   common probe gram of a long list is a hot key, which AQE's skew join splits.
 3. Candidates are verified with ILIKE, then the first ``limit`` per text by
    (name, LEI) are kept. The per-text ``row_number`` filter is planned with a
    partial window-group limit before the shuffle, so a text with a huge
@@ -61,6 +62,7 @@ def search_by_name_batch(
     """``(query, rank, <10 entity columns>)``: for each distinct search text,
     the first ``limit`` entities whose legal name contains it (ILIKE, case
     insensitive, wildcards live), ordered by name then LEI."""
+    spark = entities.sparkSession
     texts = searches.select(F.col(text_col).alias("query")).where(F.col("query").isNotNull()).distinct()
     pieces = F.split(F.lower(F.col("query")), "[%_]")
     longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))
@@ -71,12 +73,17 @@ def search_by_name_batch(
         F.least(F.length(longest["p"]), F.lit(MAX_GRAM)).alias("g"),
         F.length(F.regexp_replace(F.col("query"), "[^_]", "")).alias("n_underscore"),
     )
+    # Dealt out once: the table's files may be few, and each name becomes many grams.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     names = entities.select("lei", "legal_name").where(F.col("legal_name").isNotNull())
+    names = written(names.repartition(parts), "name-search-names")
 
     # --- texts with a literal piece: gram postings -------------------------
     literal = texts.where(F.col("g") > 0)
-    text_grams = literal.select(
-        "query", "pattern", "g", F.explode(_grams(F.col("piece"), F.col("g"))).alias("gram")
+    # Written: its size is known then, and the grams of a short list are sent to the names.
+    text_grams = written(
+        literal.select("query", "pattern", "g", F.explode(_grams(F.col("piece"), F.col("g"))).alias("gram")),
+        "name-search-texts",
     )
     # One small job: gram lengths in use (at most 3 values), and whether there
     # are texts without a literal character.
@@ -84,22 +91,21 @@ def search_by_name_batch(
     gram_sizes = sorted(shapes - {0})
     ranked_parts = []
     if gram_sizes:
-        # Only wanted grams become postings; they are written once, counted
-        # (combined per task, behind an exchange of its own) and joined.
+        # Counted first (combined per task): only the grams that some text holds.
         wanted = text_grams.select(F.col("g").alias("__g"), F.col("gram").alias("__gram")).distinct()
         grams = F.flatten(F.array(*[_tagged_grams(F.lower(F.col("legal_name")), g) for g in gram_sizes]))
         exploded = names.select("lei", "legal_name", F.explode(grams).alias("x")).select("lei", "legal_name", "x.g", "x.gram")
-        postings = materialize(
-            exploded.join(wanted, (F.col("g") == F.col("__g")) & (F.col("gram") == F.col("__gram")), "left_semi")
-        )
-        freq = postings.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("df"))
-        probe = (
+        held = exploded.join(wanted, (F.col("g") == F.col("__g")) & (F.col("gram") == F.col("__gram")), "left_semi")
+        freq = held.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("df"))
+        probe = written(
             text_grams.join(freq, ["g", "gram"], "left")
             .groupBy("query", "pattern", "g")
             .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))).alias("probe"))
-            .select("query", "pattern", "g", F.col("probe.gram").alias("gram"))
+            .where("probe.df > 0")
+            .select("query", "pattern", "g", F.col("probe.gram").alias("gram")),
+            "name-search-probes",
         )
-        candidates = probe.join(postings, ["g", "gram"]).where(F.expr("legal_name ILIKE pattern"))
+        candidates = exploded.join(probe, ["g", "gram"]).where(F.expr("legal_name ILIKE pattern"))
         ranked_parts.append(candidates.select("query", "lei", "legal_name"))
 
     # --- texts without a literal character: top names per name length ------
@@ -121,7 +127,8 @@ def search_by_name_batch(
     for p in ranked_parts[1:]:
         hits = hits.unionByName(p)
     order = Window.partitionBy("query").orderBy(F.col("legal_name").asc(), F.col("lei").asc())
-    top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    # Written: its size is known then, and a short answer is sent to the entities.
+    top = written(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "rank", "lei"), "name-search-top")
     ent = entities.select(*ENTITY_COLUMNS).alias("e")
     out = top.join(ent, top["lei"] == F.col("e.lei")).select(
         "query", F.col("rank").cast("int").alias("rank"), *entity_projection("e")

@@ -104,6 +104,31 @@ def test_batch_search_matches_brute_force(spark):
     assert got_rows == sorted(want)
 
 
+def test_batch_search_deals_names_out_and_keeps_no_postings(spark, monkeypatch):
+    """Names from one file are dealt out to several tasks; the grams of all names are
+    not written, only the names once, the texts' grams and the answers."""
+    from ownergraph.operators import search
+    from ownergraph.session import written
+
+    seen = {}
+
+    def recorded(df, name):
+        out = written(df, name)
+        seen[name] = (len({f for f in out.inputFiles()}), out.count())
+        return out
+
+    def refused(df):
+        raise AssertionError("postings of all names were stored")
+
+    monkeypatch.setattr(search, "written", recorded)
+    monkeypatch.setattr(search, "materialize", refused)
+    e = make_entities(spark, [entity(f"L{i:019d}", f"name {i:04d}", "x", "US") for i in range(500)]).coalesce(1)
+    got = search.search_by_name_batch(e, spark.createDataFrame([("AME 00",), ("e 0123",), ("none",)], "query string"), limit=2)
+    assert rows(got, "query", "rank", "legal_name") == [("AME 00", 1, "name 0000"), ("AME 00", 2, "name 0001"), ("e 0123", 1, "name 0123")]
+    assert seen["name-search-names"][0] > 1 and seen["name-search-names"][1] == 500
+    assert max(n for _, n in seen.values()) == 500
+
+
 def _store_of(spark, entities, buckets=8):
     import tempfile
 
