@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ownergraph.schema import KIND_ENTITIES
+from ownergraph.session import written
 from ownergraph.sources import csv_ingest, store
 
 GRAMS, COUNTS = csv_ingest.NAME_GRAMS, csv_ingest.NAME_GRAM_COUNTS
@@ -45,12 +46,14 @@ def layout_names(load: store.Load, entities: DataFrame, partitions: int, buckets
     if buckets is None:
         buckets = csv_ingest.bucket_count(store.size_of(load.spark, [load.folder(KIND_ENTITIES)]))
     names = entities.where("lei IS NOT NULL AND legal_name IS NOT NULL")
-    postings = names.select(F.explode(name_grams(F.col("legal_name"))).alias("gram"), "lei")
-    placed, bucket = csv_ingest.bucketed(postings, "gram", buckets)
+    # A name's grams are distinct; equal pairs come only of a LEI that is there twice.
+    repeated = written(names.groupBy("lei").count().where("count > 1").select("lei"), "repeated-leis")
+    grams = F.explode(name_grams(F.col("legal_name"))).alias("gram")
+    once = names.join(repeated, "lei", "left_anti").select(grams, "lei")
+    again = names.join(repeated, "lei", "left_semi").select(grams, "lei").distinct()
+    placed, bucket = csv_ingest.bucketed(once.unionByName(again), "gram", buckets)
     (
-        # Equal pairs (a LEI twice) fall into one range.
         placed.repartitionByRange(partitions, bucket, "gram", "lei")
-        .dropDuplicates([bucket, "gram", "lei"])
         .sortWithinPartitions(bucket, "gram", "lei")
         .write.partitionBy(bucket)
         .parquet(load.folder(GRAMS))

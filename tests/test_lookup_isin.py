@@ -168,6 +168,23 @@ def test_stored_search_matches_brute_force(spark):
     assert empty.count() == 0
 
 
+def test_index_of_repeated_leis_holds_each_pair_once(spark, monkeypatch):
+    """A LEI that is there twice gives each gram once; the pairs of the others are
+    not compared for it."""
+    from ownergraph.sources import name_index
+
+    def refused(self, *columns):
+        raise AssertionError("all pairs were compared")
+
+    monkeypatch.setattr(type(spark.range(1)), "dropDuplicates", refused)
+    e = make_entities(spark, [entity("A" * 20, "abcd", "x", "US"), entity("A" * 20, "abce", "x", "US"), entity("B" * 20, "abc", "x", "US")])
+    index = name_index.open_index(spark, _store_of(spark, e))
+    want = [(g, "A" * 20) for g in ("abc", "bcd", "bce", "cd\u0003", "ce\u0003", "d\u0003\u0003", "e\u0003\u0003")]
+    want += [(g, "B" * 20) for g in ("abc", "bc\u0003", "c\u0003\u0003")]
+    assert rows(index.postings, "gram", "lei") == sorted(want)
+    assert {r["gram"]: r["names"] for r in index.counts.collect()}["abc"] == 2
+
+
 def test_stored_search_reads_its_own_buckets(spark):
     """Names and postings are read by buckets that Spark prunes at run time."""
     from test_ingest import _files_read
