@@ -9,6 +9,7 @@ library once for a word it has not seen lately and keeps its ids as bytes.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -48,12 +49,12 @@ class WordIds:
 
     def _learn(self, words: list[bytes]) -> None:
         """Letters-only words are encoded together: each ends with an id that
-        closes a word, where the ids are cut. Others are encoded one by one;
+        closes a word, where the ids are cut. Others are given apart;
         of a word before one of ``.,`` only the core is new to the library, unless
         the library's lower case of the core ends with something else than a letter
         (of a dotted capital I it ends with a mark, which takes the ``.`` along)."""
         known = self.known
-        cores, rest = {}, []
+        cores, rest, others = {}, [], {}
         for w in words:
             text = w.decode("utf-8", "replace")
             if text.isalpha():
@@ -63,7 +64,14 @@ class WordIds:
                 if w[:-1] not in known:
                     cores[w[:-1]] = text[:-1]
             else:
-                known[w] = self.pack(self.lib.encode(text, add_special_tokens=False).ids)
+                others[w] = text
+        if others:
+            # Given apart, in one call: each word is encoded for itself, as alone.
+            found = self.lib.encode(list(others.values()), is_pretokenized=True, add_special_tokens=False)
+            raw, size = self.pack(found.ids), self.dtype.itemsize
+            bounds = np.searchsorted(np.asarray(found.word_ids, dtype=np.int64), np.arange(len(others) + 1)) * size
+            for w, start, end in zip(others, bounds.tolist(), bounds[1:].tolist()):
+                known[w] = raw[start:end]
         if cores:
             ids = np.array(self.lib.encode(" ".join(cores.values()), add_special_tokens=False).ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -85,13 +93,13 @@ class WordIds:
         """Per text the ids as little-endian unsigned integers of ``dtype``."""
         split = [_split((t or "").encode("utf-8", "replace")) for t in texts]
         known = self.known
-        new = {w for words in split for w in words if w not in known}
+        new = set(chain.from_iterable(split)).difference(known)
         if new:
             if len(known) + len(new) > REMEMBER:
-                used = {w for words in split for w in words}
+                used = set(chain.from_iterable(split))
                 self.known = known = {w: known[w] for w in used - new}
-            self._learn(sorted(new))
-        return [b"".join([known[w] for w in words]) for words in split]
+            self._learn(list(new))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=4)

@@ -122,3 +122,26 @@ def test_packing_wastes_little(llm_spark):
     got = pack(llm_spark.createDataFrame(rows, "doc_id long, text string"), WORDS, 1).toPandas()
     used = got.groupby("sequence_id").length.sum()
     assert (2048 - used).sum() < 0.01 * used.sum()
+
+
+def test_odd_words_are_given_to_the_library_together():
+    import public_tokenizers
+
+    from ownergraph.llm.word_ids import WordIds
+
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    plain, calls = words.lib, []
+
+    class Counted:
+        def encode(self, *args, **kwargs):
+            calls.append(args)
+            return plain.encode(*args, **kwargs)
+
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+    words.lib = Counted()
+    texts = ["a-b 12 x_y \u200b <|endoftext|>! na\u00efve's", "12 caf\u00e9, 3.5 \u0301 \ufb01x9 <|x|> \x00", "", None]
+    got = words.encode(texts)
+    assert got == [words.pack(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert len(calls) <= 4  # the odd words, the words of letters, two marks
