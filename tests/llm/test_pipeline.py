@@ -38,7 +38,8 @@ def test_stages(llm_spark):
 
 def test_oracles(llm_spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     for name, sql in queries.ORACLES.items():
         got = queries.QUERIES[name](llm_spark, SF)
         want = con.execute(sql).fetchall()
