@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import string
 import zlib
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -145,3 +146,31 @@ def test_odd_words_are_given_to_the_library_together():
     got = words.encode(texts)
     assert got == [words.pack(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
     assert len(calls) <= 4  # the odd words, the words of letters, two marks
+
+
+def test_words_of_plain_letters_go_to_the_model_alone():
+    words = WordIds(WORDS)
+    plain, calls = words.lib, []
+
+    class Counted:
+        def encode(self, *args, **kwargs):
+            calls.append(args)
+            return plain.encode(*args, **kwargs)
+
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+    words.lib = Counted()
+    texts = [" ".join(f"{a}{b}{a}{b}th" for a in string.ascii_letters for b in "aeZ"), "The END. the\tend,\x0b\x1cthe\x85end\x0c\r\n", " ", None]
+    assert words.encode(texts[:1]) == [words.pack(plain.encode(texts[0], add_special_tokens=False).ids)] and not calls
+    assert words.encode(texts) == [words.pack(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def test_words_before_any_punctuation_share_their_core():
+    words, lib = WordIds(WORDS), Tokenizer.from_file(WORDS)
+    cores = ["word", "été", "İ", "don't", "x9", "ΣΣ", "UP<|", "日本", "a_b", "क़"]
+    texts = [" ".join(c + t for c in cores) for t in [*string.punctuation, "!!!", ",###", "'s", "''", ".<|", "́.", "<|endoftext|>."]]
+    assert words.encode(texts) == [words.pack(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    known = dict(words.known)
+    words.encode(["word" + t for t in string.punctuation])
+    assert words.known == known
