@@ -16,8 +16,9 @@ one with Jaccard similarity of at least ``threshold``.
 4. A set goes whole as soon as one earlier set is similar, so candidates are
    verified by their words in rounds. The first round offers each set the earliest
    set of its rarest keys, one row per set and key: a group of near copies settles
-   there without its pairs. What is left asks the whole join for its likeliest
-   candidate, then for the next ones, more at once, until none is left.
+   there without its pairs. What is left asks for its likeliest candidate, the keys
+   in batches: a set that has found a similar one does not ask the next batch. Sets
+   whose candidates all failed ask all keys for more at once, until none is left.
 5. A set without a similar earlier one keeps its first line alone.
 
 Equal sets never meet as pairs: they are collapsed before the join. Lines without
@@ -44,14 +45,18 @@ NAMED = 500_000  # first lines whose places (32 bytes each) are sent to every ta
 MORE = 8  # times as many candidates a set in each further round
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(doc_id, row, line_no, line) of all lines with a word; ``row`` is the text's
     hash and tells rows with the same doc_id apart. Other white space inside a line
-    is made spaces."""
+    is made spaces. ``rows(row)``: only the lines of these texts; the others are not
+    split."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
+    if rows is not None:
+        whole = whole.join(rows, "row", "left_semi")
     return (
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.xxhash64("text").alias("row"),
+        whole.select(
+            "doc_id",
+            "row",
             F.posexplode(F.split(F.translate("text", "\t\r\x0b\f", "    "), "\n")).alias("line_no", "line"),
         ).where(F.trim("line") != "")
     )
@@ -134,16 +139,20 @@ def _first_of_key(sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _batch(posts: DataFrame, i: int, batches: int) -> DataFrame:
+    """The postings of one of ``batches`` shares of the keys, so that few move at once."""
+    return posts if batches == 1 else posts.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == i)
+
+
 def _candidates(sets: DataFrame, asking: DataFrame, k: int, threshold: float, batches: int) -> DataFrame:
     """(s, differ, e): for every set s of ``asking(s, after)`` the ``k`` likeliest
     earlier sets e that pass all filters, in the order of (differ, e), beyond
     ``after`` (null: from the first). Pairs meet inside the join and are reduced
     there, per task, to ``k`` a set; they are not dealt out. The keys are taken in
-    ``batches`` by their hash, so that few postings move at once."""
+    ``batches``."""
     asked, best = stored(sets.join(asking, "s"), "line-asked"), None
     for i in range(batches):
-        mine = F.pmod(F.xxhash64("key"), F.lit(batches)) == i
-        part = stored(_best(_posts(asked).where(mine), _posts(sets).where(mine), k, threshold), "line-batch")
+        part = stored(_best(_batch(_posts(asked), i, batches), _batch(_posts(sets), i, batches), k, threshold), "line-batch")
         best = part if best is None else best.unionByName(part)
         release(sets.sparkSession)
     discard(asked)
@@ -179,13 +188,21 @@ def _best(a: DataFrame, b: DataFrame, k: int, threshold: float) -> DataFrame:
     return _top(found, k)
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with ``like``: the sets' words, read from their first lines, are
-    similar and e's first line lies before that of s."""
+def _small(table: DataFrame) -> DataFrame:
+    """``table``, sent to every task if it has at most ``NAMED`` rows."""
+    return F.broadcast(table) if table.count() <= NAMED else table
+
+
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Per set s with pairs: ``like`` (whether the words of s and of one e, read from
+    their first lines, are similar and e's first line lies before that of s), the
+    last of its pairs as ``after`` and their number n."""
     ends = pairs.select("s").union(pairs.select("e")).distinct()
     met = firsts.join(ends, "s").select("s", F.col("first.doc_id").alias("__d"), F.col("first.line_no").alias("__l"), F.col("row").alias("__r"))
     met = stored(met, "line-met")
-    named = F.broadcast(met) if met.count() <= NAMED else met
+    few = met.count() <= NAMED
+    named = F.broadcast(met) if few else met
+    lines = _lines(docs, F.broadcast(met.select(F.col("__r").alias("row")).distinct()) if few else None)
     texts = stored(
         lines.join(named, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row") == F.col("__r")) & (F.col("line_no") == F.col("__l")))
         .select("s", "line", F.struct("doc_id", "line_no").alias("place")),
@@ -204,8 +221,9 @@ def _verified(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, threshold:
     like = (F.col("both") >= (F.col("nu") + F.col("nv") - F.col("both")) * threshold - 1e-9) & (F.col("cut") < F.col("own"))
     # Repeated rows give the same pair again.
     out = stored(both.groupBy("s", "differ", "e").agg(F.max(like).alias("like")), "line-checked")
-    discard(texts, met)
-    return out
+    discard(texts, met, pairs)
+    release(docs.sparkSession)
+    return out.groupBy("s").agg(F.max("like").alias("like"), F.max(F.struct("differ", "e")).alias("after"), F.count("*").alias("n"))
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -232,30 +250,34 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = numbered.select("s", *SIGNS, "n", "prefix")
     firsts = numbered.select("s", "first", "row")
     n_sets = numbered.count()
-    asking, good, k = sets.select("s", F.lit(None).cast("struct<differ:int,e:bigint>").alias("after")), None, 0
-    while True:
-        if k:
-            batches = max(1, -(-BATCHES * asking.count() // max(1, n_sets)))
-            pairs = stored(_candidates(sets, asking, k, threshold, batches), "line-pairs")
-        else:
-            pairs = stored(_first_of_key(sets, threshold), "line-pairs")
+    checked = _verified(stored(_first_of_key(sets, threshold), "line-pairs"), firsts, docs, threshold)
+    good = checked.where("like").select("s")
+    afresh = F.lit(None).cast("struct<differ:int,e:bigint>").alias("after")
+    asked = stored(sets.join(good, "s", "left_anti").withColumn("after", afresh), "line-asked")
+    release(spark)
+    settled = failed = None
+    for i in range(BATCHES):
+        # What has found a similar set in an earlier batch asks no more.
+        still = asked if settled is None else asked.join(_small(settled), "s", "left_anti")
+        pairs = stored(_best(_batch(_posts(still), i, BATCHES), _batch(_posts(sets), i, BATCHES), 1, threshold), "line-pairs")
         release(spark)
-        checked = _verified(pairs, firsts, lines, threshold)
-        discard(pairs)
+        checked = _verified(pairs, firsts, docs, threshold)
+        fits, rest = checked.where("like").select("s"), checked.where(~F.col("like")).select("s")
+        settled = fits if settled is None else settled.unionByName(fits)
+        failed = rest if failed is None else failed.unionByName(rest)
+    discard(asked)
+    good, k = good.unionByName(settled), MORE
+    # All keys together, from the first candidate on.
+    asking = stored(failed.distinct().join(settled, "s", "left_anti").select("s", afresh), "line-asking")
+    while not asking.isEmpty():
+        batches = max(1, -(-BATCHES * asking.count() // max(1, n_sets)))
+        pairs = stored(_candidates(sets, asking, k, threshold, batches), "line-pairs")
         release(spark)
-        by_set = checked.groupBy("s").agg(F.max("like").alias("like"), F.max(F.struct("differ", "e")).alias("after"), F.count("*").alias("n"))
-        fits = by_set.where("like").select("s")
-        good = fits if good is None else good.unionByName(fits)
-        if k:
-            # Sets whose candidates all failed ask for the next ones, more at once.
-            rest = by_set.where(~F.col("like") & (F.col("n") >= k)).select("s", "after")
-        else:
-            # The first round doesn't exhaust a set's candidates.
-            rest = asking.join(fits, "s", "left_anti")
-        asking = stored(rest, "line-asking")
-        if asking.isEmpty():
-            break
-        k = max(1, k * MORE)
+        checked = _verified(pairs, firsts, docs, threshold)
+        good = good.unionByName(checked.where("like").select("s"))
+        # Sets whose candidates all failed ask for the next ones, more at once.
+        asking = stored(checked.where(~F.col("like") & (F.col("n") >= k)).select("s", "after"), "line-asking")
+        k *= MORE
     # A set that resembles an earlier one goes whole; else all but its first line.
     ends = stored(
         numbered.join(good.withColumn("like", F.lit(True)), "s", "left").select("id", *SIGNS, "n", F.when(F.col("like").isNull(), F.col("first")).alias("first")),
