@@ -116,20 +116,23 @@ class Index:
         return home, row[keep], probe[keep]
 
     def asymmetric(self, query: np.ndarray, list_id: int, codes: np.ndarray) -> np.ndarray:
-        """Distances of the queries to the coded rows of a list."""
+        """Squared distances of the coded rows of a list (one after the other) to the
+        queries: a row's table entries for all queries lie together."""
         rest = self._pad(query - self.centre[list_id])
-        total = np.zeros((len(query), len(codes)), "f4")
+        total, part = np.zeros((len(codes), len(query)), "f4"), np.empty((len(codes), len(query)), "f4")
         for p in range(self.parts):
-            total += _distances(rest[:, p], self.words[p]).astype("f4")[:, codes[:, p]]
-        return np.sqrt(total)
+            np.take(_distances(self.words[p], rest[:, p]).astype("f4"), codes[:, p], axis=0, out=part, mode="clip")
+            total += part
+        return total
 
 
 def _unit(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("f8")
-    x = flat.reshape(len(column), -1)
+    x = flat.reshape(len(column), -1)  # a copy: divided in place
     # Scaled by the largest component first: its square may not be a number.
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    return x
 
 
 def links(reps: DataFrame, dim: int, rows: int, threshold: float) -> DataFrame:
@@ -189,14 +192,15 @@ def links(reps: DataFrame, dim: int, rows: int, threshold: float) -> DataFrame:
         list_id = int(group.column("key")[0].as_py()) >> 32
         home = group.column("home").to_numpy()[ask]
         rows, own, many, asked = x[~ask], rep[~ask], copies[~ask], copies[ask]
+        queries, names = x[ask], rep[ask]
         out: list[tuple[int, int, int | None]] = []
         if len(rows):
             codes, left = index.place(rows, list_id)
             forest, back = Forest(), np.zeros(len(rows), "i8")
-            bound = (radius + left + 1e-5).astype("f4")
-            for i in range(0, int(ask.sum()), 512):
-                query, name = x[ask][i : i + 512], rep[ask][i : i + 512]
-                q, r = np.nonzero(index.asymmetric(query, list_id, codes) <= bound[None])
+            bound = ((radius + left + 1e-5) ** 2).astype("f4")
+            for i in range(0, len(queries), 512):
+                query, name = queries[i : i + 512], names[i : i + 512]
+                r, q = np.nonzero(index.asymmetric(query, list_id, codes) <= bound[:, None])
                 keep = name[q] != own[r]
                 q, r = q[keep], r[keep]
                 hit = np.concatenate([np.einsum("ij,ij->i", query[q[j : j + 65536]], rows[r[j : j + 65536]]) for j in range(0, len(q), 65536)] or [np.empty(0)]) >= threshold
