@@ -128,6 +128,17 @@ def test_links_are_counted_for_both_ends(llm_spark, monkeypatch):
     assert [got[i] for i in [*range(1500), 2000]] == want.tolist()
 
 
+def test_asymmetric_distances_are_those_of_the_code_words():
+    x = _hot_vectors(600, 0.31, 16)
+    index = embedding_pq.Index(x, 600)
+    codes, left = index.place(x[:50], 0)
+    back = np.stack([index.words[p][codes[:, p]] for p in range(index.parts)], 1).reshape(50, -1)[:, : index.dim] + index.centre[0]
+    got = index.asymmetric(x[100:130], 0, codes)
+    # A row of the result for each coded vector: what its queries need lies together.
+    assert got.shape == (50, 30) and got.flags.c_contiguous
+    assert np.allclose(got, ((back[:, None] - x[None, 100:130]) ** 2).sum(2), atol=1e-5)
+
+
 # --- SimHash -----------------------------------------------------------------
 
 
@@ -265,6 +276,35 @@ def test_lines_of_rows_with_the_same_doc_id(llm_spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in got) == want
 
 
+def test_lines_that_have_found_one_ask_no_more(llm_spark, monkeypatch):
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    base = draw.sample(words, 80)
+    rows = [(0, " ".join(base))]
+    for d in range(1, 80):
+        line = [*base]
+        for i in draw.sample(range(80), 4):
+            line[i] = f"own{d}x{i}"  # rarer than any shared word: the first round meets nothing
+        rows.append((d, " ".join(line)))
+    rows += [(100 + d, " ".join(draw.sample(words, 40))) for d in range(20)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    met, best = [], line_dedup._best
+
+    def seen(*args):
+        out = best(*args)
+        met.append(out.select("s").distinct().collect())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_best", seen)
+    got = {(r.doc_id, r.n_removed) for r in line_dedup.line_report(docs).collect()}
+    gone = _removed(docs.collect())
+    assert got == {(d, int((d, 0, t) in gone)) for d, t in rows}
+    # A set that is settled in a batch of keys meets no more sets in the next ones.
+    alike = {d for d, _, _ in gone}
+    sets = [{r.s for r in m} for m in met]
+    assert len(alike) > 50 and sum(len(m) for m in sets) <= len(set().union(*sets)) + 30
+
+
 def test_line_dedup_runs_no_python_on_executors(odd_docs, capsys):
     line_dedup.dedup_lines(odd_docs).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
