@@ -25,6 +25,7 @@ one); an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -90,12 +91,15 @@ def _code(slack: int):
 
     low = np.array([remainder(x) for x in range(1 << 12)])
     high = np.array([remainder(x << 12) for x in range(1 << (BITS - 12))])
-    every = np.arange(1 << BITS, dtype="int64")
-    syndrome = low[every & 4095] ^ high[every >> 12]
-    words = every[syndrome == 0]
-    light = every[np.bitwise_count(every) <= RADIUS]
+    # The 2^12 words and 2^11 leaders are listed themselves: a table of all 2^23
+    # points would take each worker some 250 MB.
+    words = np.zeros(1, "int64")
+    for i in range(CODE_BITS):
+        words = np.concatenate([words, words ^ (GENERATOR << i)])
+    words.sort()
+    light = np.array([sum(1 << i for i in e) for w in range(RADIUS + 1) for e in combinations(range(BITS), w)], "int64")
     leader = np.zeros(1 << check, "int64")
-    leader[syndrome[light]] = light  # a perfect code: one leader per syndrome
+    leader[low[light & 4095] ^ high[light >> 12]] = light  # a perfect code: one leader per syndrome
     near, starts = [], np.zeros((1 << check, slack + 2), "int64")
     at = 0
     words = words[np.bitwise_count(words) <= 2 * RADIUS + slack]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -192,6 +193,25 @@ def test_close_fingerprints_share_an_anchor():
         assert near[0] & near[1]
 
 
+def test_anchor_tables_take_little_memory():
+    tracemalloc.start()
+    low, high, leader, near, starts = simhash_anchor._code.__wrapped__(2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # an executor's tasks make them at once
+    # Every syndrome has its own leader, of weight 3 at most.
+    assert np.bitwise_count(leader).max() == 3
+    assert ((low[leader & 4095] ^ high[leader >> 12]) == np.arange(1 << 11)).all()
+    # The Golay code has 253 words of weight 7 and 506 of weight 8; each is listed with
+    # the leaders within 5 bits.
+    words = np.unique(near)
+    assert (low[words & 4095] == high[words >> 12]).all()
+    assert np.bincount(np.bitwise_count(words)).tolist() == [1, 0, 0, 0, 0, 0, 0, 253, 506]
+    for s in range(0, 1 << 11, 97):
+        want = words[np.bitwise_count(words ^ leader[s]) <= 5]
+        assert sorted(near[starts[s, 0] : starts[s, -1]].tolist()) == want.tolist()
+
+
 def test_links_of_planted_groups(llm_spark, monkeypatch):
     monkeypatch.setattr(simhash_anchor, "BLOCK", 40)  # hot anchors are dealt out in blocks
     draw = random.Random(6)
