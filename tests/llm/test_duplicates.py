@@ -325,6 +325,32 @@ def test_lines_that_have_found_one_ask_no_more(llm_spark, monkeypatch):
     assert len(alike) > 50 and sum(len(m) for m in sets) <= len(set().union(*sets)) + 30
 
 
+def test_lines_whose_few_candidates_failed_are_done(llm_spark, monkeypatch):
+    draw = random.Random(14)
+    common = [f"c{i}" for i in range(24)]
+    rows = []
+    for p in range(80):
+        # 39 of 51 words in common: not alike, but some signatures allow it.
+        shared, own = [f"p{p}x{i}" for i in range(39)], draw.sample(common, 12)
+        rows += [(2 * p, " ".join(shared + own[:6])), (2 * p + 1, "\t".join(shared + own[6:]))]
+    rows += [(200, rows[0][1] + "\n\n " + rows[0][1]), (201, None)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    failed, asked, verified, more = [], [], line_dedup._verified, line_dedup._candidates
+
+    def seen(*args):
+        out = verified(*args)
+        failed.append(out.where("not like").count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_verified", seen)
+    monkeypatch.setattr(line_dedup, "_candidates", lambda *args: asked.append(args) or more(*args))
+    got = {(r.doc_id, r.n_removed) for r in line_dedup.line_report(docs).collect()}
+    gone = _removed(docs.collect())
+    assert got == {(d, sum((d, i, t) in gone for i in range(3))) for d, t in rows} and (200, 2) in got
+    # All candidates of a set were seen at once: it does not ask all keys again.
+    assert sum(failed[1:]) > 0 and not asked
+
+
 def test_line_dedup_runs_no_python_on_executors(odd_docs, capsys):
     line_dedup.dedup_lines(odd_docs).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
