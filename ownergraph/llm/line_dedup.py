@@ -41,7 +41,7 @@ SLOTS = 1 << 16
 HASH_BITS = 51
 SIGNS = ["sig0", "sig1"]  # parity signature: 64 bits each
 LEADING = 4  # prefix keys whose earliest set is the first candidate
-BATCHES = 2  # in which the keys are taken when all sets ask
+SHARES = (1, 3, 4)  # of the keys, in which they are taken when all sets ask; few first, as they settle most of a group
 NAMED = 500_000  # rows (places of first lines, postings, numbers) sent to every task at most
 MORE = 8  # candidates a set at first, times as many in each further round
 
@@ -164,9 +164,10 @@ def _first_of_key(sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _batch(posts: DataFrame, i: int, batches: int) -> DataFrame:
-    """The postings of one of ``batches`` shares of the keys, so that few move at once."""
-    return posts if batches == 1 else posts.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == i)
+def _batch(posts: DataFrame, i: int, batches: int, width: int = 1) -> DataFrame:
+    """The postings of ``width`` of ``batches`` shares of the keys, from the share ``i``
+    on, so that few move at once."""
+    return posts if batches == width else posts.where(F.pmod(F.xxhash64("key"), F.lit(batches)).between(i, i + width - 1))
 
 
 def _candidates(sets: DataFrame, asking: DataFrame, k: int, threshold: float, batches: int) -> DataFrame:
@@ -279,10 +280,11 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n_sets = numbered.count()
     checked = _verified(stored(_first_of_key(sets, threshold), "line-pairs"), firsts, docs, threshold)
     good, failed, k = checked.where("like").select("s"), None, MORE
-    for i in range(BATCHES):
+    for i, width in enumerate(SHARES):
         # What has found a similar set before asks no more.
         still = sets.join(_small(good), "s", "left_anti")
-        pairs = stored(_best(_batch(_posts(still), i, BATCHES), _batch(_posts(sets), i, BATCHES), k, threshold), "line-pairs")
+        asks, others = (_batch(_posts(x), sum(SHARES[:i]), sum(SHARES), width) for x in (still, sets))
+        pairs = stored(_best(asks, others, k, threshold), "line-pairs")
         release(spark)
         checked = _verified(pairs, firsts, docs, threshold)
         # With less than k candidates, all of them failed: these keys are done.
@@ -294,7 +296,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     k *= MORE
     asking = stored(failed.distinct().join(good, "s", "left_anti").select("s", afresh), "line-asking")
     while not asking.isEmpty():
-        batches = max(1, -(-BATCHES * asking.count() // max(1, n_sets)))
+        batches = max(1, -(-sum(SHARES) * asking.count() // (max(SHARES) * max(1, n_sets))))
         pairs = stored(_candidates(sets, asking, k, threshold, batches), "line-pairs")
         release(spark)
         checked = _verified(pairs, firsts, docs, threshold)
