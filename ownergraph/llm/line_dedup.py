@@ -41,7 +41,7 @@ SLOTS = 1 << 16
 HASH_BITS = 51
 SIGNS = ["sig0", "sig1"]  # parity signature: 64 bits each
 LEADING = 4  # prefix keys whose earliest set is the first candidate
-SHARES = (1, 3, 4)  # of the keys, in which they are taken when all sets ask; few first, as they settle most of a group
+SHARES = (1, 1, 2, 4, 8)  # of the keys, in which they are taken when all sets ask; few first, as they settle most of a group
 NAMED = 500_000  # rows (places of first lines, postings, numbers) sent to every task at most
 MORE = 8  # candidates a set at first, times as many in each further round
 
